@@ -1,7 +1,7 @@
 """Registered queries (one per SURVEY §2 operator) and their SQL oracles."""
 
 from .registry import REGISTRY, Entry, query  # noqa: F401
-from . import q_imputation  # noqa: F401,E402
+from . import q_imputation, q_basic  # noqa: F401,E402
 
 
 def queries():

@@ -21,29 +21,35 @@ class Entry:
     fn: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     digits: int = 6
-    doubles: Sequence[str] = field(default_factory=tuple)
+    doubles: dict = field(default_factory=dict)
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         if not self.doubles:
             return self.sql
-        rep = ", ".join(f'round("{c}", {self.digits}) AS "{c}"' for c in self.doubles)
+        rep = ", ".join(f'round("{c}", {d}) AS "{c}"' for c, d in self.doubles.items())
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) AS oracle_q"
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), digits: int = 6):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, doubles: Sequence[str] | dict = (), digits: int = 6):
+    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
+
+    ``doubles``: the DOUBLE output columns, as a list (all at ``digits``) or a
+    dict column → digits.
+    """
+    dmap = dict(doubles) if isinstance(doubles, dict) else {c: digits for c in doubles}
+
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir), digits)
+            return round_doubles(fn(spark, sf_dir), digits, dmap)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, run, sql, digits, tuple(doubles))
+        REGISTRY[name] = Entry(name, run, sql, digits, dmap)
         return fn
     return deco

@@ -143,9 +143,12 @@ def big_mark(x: ColumnOrName, missing: str = "n/a") -> Column:
     return F.coalesce(F.format_number(F.bround(col(x), 0), 0), F.lit(missing))
 
 
-def round_doubles(df, digits: int = 6):
-    """Round every DOUBLE column (result comparison is done on rounded values)."""
+def round_doubles(df, digits: int = 6, per_column: dict | None = None):
+    """Round every DOUBLE column (result comparison is done on rounded values);
+    ``per_column`` overrides the digits of single columns."""
     from pyspark.sql.types import DoubleType, FloatType
-    exprs = [F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
-             else F.col(f.name) for f in df.schema.fields]
+    per_column = per_column or {}
+    exprs = [F.round(F.col(f.name), per_column.get(f.name, digits)).alias(f.name)
+             if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+             for f in df.schema.fields]
     return df.select(*exprs)
