@@ -1,7 +1,7 @@
 """Registered queries (one per SURVEY §2 operator) and their SQL oracles."""
 
 from .registry import REGISTRY, Entry, query  # noqa: F401
-from . import q_imputation, q_basic, q_joins, q_aggregates, q_windows, q_timeseries, q_reshape, q_forecast  # noqa: F401,E402,I001
+from . import q_imputation, q_basic, q_joins, q_aggregates, q_windows, q_timeseries, q_reshape, q_forecast, q_domain  # noqa: F401,E402,I001
 
 
 def queries():

@@ -320,7 +320,7 @@ def fn_string(spark, sf_dir):
 
 
 @query("fn_number_format", with_ctes("""
-SELECT Country, Year, round_even(Percent_Own_Processed, 1) AS pct_1dp,
+SELECT Country, Year, round_even(Percent_Own_Processed, 1) + 0.0 AS pct_1dp,
        CASE WHEN Import_Value IS NULL THEN 'n/a'
             ELSE format('{:,}', CAST(round_even(Import_Value, 0) AS BIGINT)) END AS import_value_fmt
 FROM waste""", "waste"), doubles={"pct_1dp": 1})

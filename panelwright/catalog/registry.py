@@ -28,7 +28,8 @@ class Entry:
             return None
         if not self.doubles:
             return self.sql
-        rep = ", ".join(f'round("{c}", {d}) AS "{c}"' for c, d in self.doubles.items())
+        # "+ 0.0" turns a rounded -0.0 into 0.0 (same on the Spark side)
+        rep = ", ".join(f'round("{c}", {d}) + 0.0 AS "{c}"' for c, d in self.doubles.items())
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) AS oracle_q"
 
 

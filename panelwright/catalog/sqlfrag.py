@@ -42,3 +42,40 @@ def chain(value, keys, index, x=None, final=None) -> str:
 
 def if_else3(cond, yes, no) -> str:
     return f"CASE WHEN ({cond}) IS NULL THEN NULL WHEN ({cond}) THEN {yes} ELSE {no} END"
+
+
+def md5_uniform(parts: str, seed, tag: str = "") -> str:
+    """DuckDB text of ``functions.exprs.md5_uniform`` (same bytes hashed)."""
+    extra = f"'{tag}', " if tag else ""
+    return (f"((('0x' || substr(md5(concat_ws('|', {parts}, {extra}'{seed}')), 1, 8))::BIGINT + 0.5) "
+            "/ 4294967296.0)")
+
+
+def std_normal(parts: str, seed) -> str:
+    u1, u2 = md5_uniform(parts, seed, "u1"), md5_uniform(parts, seed, "u2")
+    return f"(sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2}))"
+
+
+def residual_paths(src: str, keys, value: str, index: str, h: int, times: int, seed, model: str) -> str:
+    """DuckDB text of ``operators.forecast.residual_paths``."""
+    k = ", ".join(keys)
+    resid = (f"{value} - lag({value}) OVER (PARTITION BY {k} ORDER BY {index})" if model == "NAIVE"
+             else f"{value} - avg({value}) OVER (PARTITION BY {k})")
+    base = f"arg_max({value}, {index})" if model == "NAIVE" else f"avg({value})"
+    r0 = f"(SELECT * FROM (SELECT *, {resid} AS _e FROM {src}) WHERE _e IS NOT NULL)"
+    parts = ", ".join([*keys, "CAST(path AS VARCHAR)", f"CAST({index} AS VARCHAR)"])
+    u = md5_uniform(parts, seed)
+    sim = (f"_base + sum(_e) OVER (PARTITION BY {k}, path ORDER BY {index} "
+           "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)") if model == "NAIVE" else "_base + _e"
+    on = " AND ".join(f"g.{c} = r.{c}" for c in keys)
+    gsel = ", ".join(f"g.{c}" for c in keys)
+    return f"""
+SELECT {k}, path, {index}, {sim} AS sim FROM (
+  SELECT {gsel}, g.path, g.{index}, g._base, r._e FROM (
+    SELECT *, CAST(floor({u} * _m) + 1 AS INTEGER) AS _pos FROM (
+      SELECT *, CAST(unnest(generate_series(_last + 1, _last + {h})) AS INTEGER) AS {index} FROM (
+        SELECT s.*, m._m, CAST(unnest(generate_series(1, {times})) AS INTEGER) AS path
+        FROM (SELECT {k}, {base} AS _base, max({index}) AS _last FROM {src} GROUP BY {k}) s
+        JOIN (SELECT {k}, count(*) AS _m FROM {r0} GROUP BY {k}) m USING ({k})))) g
+  LEFT JOIN (SELECT {k}, _e, row_number() OVER (PARTITION BY {k} ORDER BY {index}) AS _pos FROM {r0}) r
+    ON {on} AND g._pos = r._pos)"""

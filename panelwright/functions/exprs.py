@@ -140,7 +140,7 @@ def round_half_even(x: ColumnOrName, digits: int = 0) -> Column:
 
 def big_mark(x: ColumnOrName, missing: str = "n/a") -> Column:
     """``format(round(x), big.mark=",")`` with a text for missing values."""
-    return F.coalesce(F.format_number(F.bround(col(x), 0), 0), F.lit(missing))
+    return F.coalesce(F.format_number(F.bround(col(x), 0) + F.lit(0.0), 0), F.lit(missing))
 
 
 def round_doubles(df, digits: int = 6, per_column: dict | None = None):
@@ -148,7 +148,7 @@ def round_doubles(df, digits: int = 6, per_column: dict | None = None):
     ``per_column`` overrides the digits of single columns."""
     from pyspark.sql.types import DoubleType, FloatType
     per_column = per_column or {}
-    exprs = [F.round(F.col(f.name), per_column.get(f.name, digits)).alias(f.name)
+    exprs = [(F.round(F.col(f.name), per_column.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
              if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
              for f in df.schema.fields]
     return df.select(*exprs)
