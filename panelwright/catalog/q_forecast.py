@@ -9,6 +9,7 @@ from ..functions.exprs import std_normal
 from ..operators import forecast as fc
 from ..operators import timeseries as ts
 from ..plans import evaluation as ev
+from ..session import cut_lineage
 from ..sources import bindings as b
 from . import sqlfrag as sf
 from .common import waste
@@ -30,13 +31,18 @@ register("test_m", "SELECT * FROM series_m WHERE Year > (SELECT max(Year) FROM s
 
 
 def series_m(spark, sf_dir):
-    """Monthly quantity series per (country, flow), gaps filled by the chain."""
+    """Monthly quantity series per (country, flow), gaps filled by the chain.
+
+    This is the model-input table every forecast reads several times (train,
+    test, one pass per model), so it is written once to the checkpoint folder
+    instead of re-deriving it from the fact join in every branch.
+    """
     t = b.trade_panel(spark, sf_dir, monthly=True)
-    return ts.fill_chain(t, KEYS, IDX, "Qty", final=0.0).select(*KEYS, IDX, "Qty")
+    return cut_lineage(ts.fill_chain(t, KEYS, IDX, "Qty", final=0.0).select(*KEYS, IDX, "Qty"))
 
 
-def split_m(spark, sf_dir):
-    return fc.split_relative(series_m(spark, sf_dir), IDX, 4)
+def split_m(spark, sf_dir, series=None):
+    return fc.split_relative(series if series is not None else series_m(spark, sf_dir), IDX, 4)
 
 
 # --- SQL of the models ----------------------------------------------------------------
@@ -124,15 +130,19 @@ SELECT Country, flowDesc, model, sqrt(avg((mean - actual) * (mean - actual))) AS
 FROM fcm_act WHERE actual IS NOT NULL GROUP BY 1, 2, 3""", ("fcm_act",))
 
 
-def models_m(spark, sf_dir, h=H):
-    train, _ = split_m(spark, sf_dir)
+def _models(train, h=H):
     return (fc.fc_mean(train, KEYS, IDX, "Qty", h).unionByName(fc.fc_naive(train, KEYS, IDX, "Qty", h))
               .unionByName(fc.fc_ets(train, KEYS, IDX, "Qty", h)))
 
 
+def models_m(spark, sf_dir, h=H):
+    train, _ = split_m(spark, sf_dir)
+    return _models(train, h)
+
+
 def with_actual_m(spark, sf_dir):
-    _, test = split_m(spark, sf_dir)
-    return ev.with_actual(models_m(spark, sf_dir), test, KEYS, IDX, "Qty")
+    train, test = split_m(spark, sf_dir)
+    return ev.with_actual(_models(train), test, KEYS, IDX, "Qty")
 
 
 def accuracy_m(spark, sf_dir):
@@ -299,7 +309,7 @@ SELECT Country, flowDesc, path, Year, sim, hist_sd, noise_sd,
 def q_fc_noise(spark, sf_dir):
     """Extra Gaussian noise (10 % of the historical sd) on the scenario paths, clamped at 0."""
     s = series_m(spark, sf_dir)
-    paths = fc.residual_paths(s, KEYS, IDX, "Qty", PATH_H, PATHS, SEED, "NAIVE")
+    paths = fc.residual_paths(s, KEYS, IDX, "Qty", PATH_H, PATHS, SEED, "NAIVE")  # s is checkpointed
     return add_noise(paths, s, KEYS, IDX).select(*KEYS, "path", IDX, "sim", "hist_sd", "noise_sd", "Amount")
 
 
@@ -412,9 +422,10 @@ LEFT JOIN series_m s ON f.Country = s.Country AND f.flowDesc = s.flowDesc AND s.
     "fcm_mean", "series_m"), doubles={"jump_off": 6})
 def q_jump_off_point(spark, sf_dir):
     """Actual value at (first forecast period − 1) per series."""
-    train, _ = split_m(spark, sf_dir)
+    series = series_m(spark, sf_dir)
+    train, _ = split_m(spark, sf_dir, series)
     f = fc.fc_mean(train, KEYS, IDX, "Qty", H).groupBy(*KEYS).agg(F.min(IDX).alias("first_fc"))
-    s = series_m(spark, sf_dir).select(*KEYS, (F.col(IDX) + 1).alias("first_fc"), F.col("Qty").alias("jump_off"))
+    s = series.select(*KEYS, (F.col(IDX) + 1).alias("first_fc"), F.col("Qty").alias("jump_off"))
     return f.join(s, on=[*KEYS, "first_fc"], how="left")
 
 

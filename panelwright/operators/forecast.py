@@ -9,9 +9,9 @@ accuracy are derived from it.
 * ETS is a grid search folded over the sorted series with the built-in
   ``aggregate`` higher-order function; the grid is a literal array exploded
   per series, the winner is a ``min_by`` on AICc — no Python.
-* Automatic ARIMA fits each (series, p, q) candidate in a grouped-map pandas
-  job (NumPy least squares, Hannan–Rissanen); candidates are exploded and
-  the best is chosen by Spark.  Python only runs the per-candidate fit.
+* Automatic ARIMA fits the (p, q) candidates of a series in a grouped-map
+  pandas job (NumPy least squares, Hannan–Rissanen); every candidate comes
+  back as rows and the best is chosen by Spark.  Python only runs the fit.
 
 A series is bounded by its index range (years / months): collecting one into
 an array is bounded by that length, not by the data volume.
@@ -150,8 +150,9 @@ def ets_fit(df: DataFrame, keys: Keys, index: str, value: str, grid=None) -> Dat
     k = 2 (ANN), 4 (AAN), 5 (AAdN).  Initial state: l₀ = y₁, b₀ = y₂ − y₁.
     """
     grid = grid or ets_grid()
-    arr = F.array(*[F.struct(F.lit(f).alias("fam"), F.lit(a).alias("alpha"), F.lit(b).alias("beta"),
-                             F.lit(p).alias("phi")) for f, a, b, p in grid])
+    # one literal expression (parsed once) instead of hundreds of Column objects
+    arr = F.expr("array(" + ", ".join(
+        f"named_struct('fam', '{f}', 'alpha', {a!r}D, 'beta', {b!r}D, 'phi', {p!r}D)" for f, a, b, p in grid) + ")")
     s = collect_series(df, keys, index, value).where(F.col("n") >= 3)
     c = s.select(*keys, "y", "n", "_last", F.explode(arr).alias("g")).select(
         *keys, "y", "n", "_last", "g.fam", "g.alpha", "g.beta", "g.phi")
@@ -295,36 +296,47 @@ def _seed(key: str, seed: int) -> int:
 
 def arima_candidates(df: DataFrame, keys: Keys, index: str, value: str, h: int,
                      pq: Sequence[tuple[int, int]] = ARIMA_PQ) -> DataFrame:
-    """Every (series, p, q) fit with its AICc and h forecast rows."""
+    """Every viable (series, p, d, q) fit with its AICc and h forecast rows.
+
+    One grouped-map call per series fits all (p, q) candidates (a series is a
+    few dozen points, so per-call overhead dominates per-candidate groups);
+    the choice among candidates is left to Spark.
+    """
     keys = list(keys)
-    arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in pq])
-    x = df.select(*keys, index, value, F.explode(arr).alias("_pq")).select(
-        *keys, index, value, F.col("_pq.p").alias("p"), F.col("_pq.q").alias("q"))
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [
         T.StructField("p", T.IntegerType()), T.StructField("d", T.IntegerType()), T.StructField("q", T.IntegerType()),
         T.StructField("aicc", T.DoubleType()), T.StructField("sigma2", T.DoubleType()),
         T.StructField(index, T.IntegerType()), T.StructField("mean", T.DoubleType()),
         T.StructField("variance", T.DoubleType())])
+    names = [f.name for f in schema.fields]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
         y = pdf[value].to_numpy(float)
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        if len(y) < 3:
+            return pd.DataFrame(columns=names)
         d = choose_d(y)
-        res = arima_fit_one(y, p, d, q) if len(y) >= 3 else None
-        if res is None:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        mean, var = arima_forecast(y, d, res, h)
         last = int(pdf[index].iloc[-1])
-        out = pd.DataFrame({index: np.arange(last + 1, last + h + 1, dtype="int32"), "mean": mean, "variance": var})
+        parts = []
+        for p, q in pq:
+            res = arima_fit_one(y, p, d, q)
+            if res is None:
+                continue
+            mean, var = arima_forecast(y, d, res, h)
+            out = pd.DataFrame({index: np.arange(last + 1, last + h + 1, dtype="int32"), "mean": mean,
+                                "variance": var})
+            out["p"], out["d"], out["q"] = p, d, q
+            out["aicc"], out["sigma2"] = res["aicc"], res["sigma2"]
+            parts.append(out)
+        if not parts:
+            return pd.DataFrame(columns=names)
+        out = pd.concat(parts, ignore_index=True)
         for k in keys:
             out[k] = pdf[k].iloc[0]
-        out["p"], out["d"], out["q"] = p, d, q
-        out["aicc"], out["sigma2"] = res["aicc"], res["sigma2"]
-        return out[[f.name for f in schema.fields]]
+        return out[names]
 
-    return x.groupBy(*keys, "p", "q").applyInPandas(fit, schema)
+    return df.select(*keys, index, value).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def fc_arima(df: DataFrame, keys: Keys, index: str, value: str, h: int,
