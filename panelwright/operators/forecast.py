@@ -161,11 +161,11 @@ def ets_fit(df: DataFrame, keys: Keys, index: str, value: str, grid=None) -> Dat
     m = (F.col("n") - 1).cast("double")
     sse = F.greatest(F.col("st.sse"), F.lit(1e-12))
     aicc = m * F.log(sse / m) + 2 * k + F.when(m - k - 1 > 0, 2 * k * (k + 1) / (m - k - 1))
-    c = (c.withColumn("k", k).withColumn("aicc", aicc)
+    c = (c.withColumn("_npar", k).withColumn("aicc", aicc)
           .withColumn("sigma2", F.col("st.sse") / F.when(m - k > 0, m - k).otherwise(m))
           .where(F.col("aicc").isNotNull()))
     best = c.groupBy(*keys).agg(F.min_by(F.struct("fam", "alpha", "beta", "phi", "st", "sigma2", "aicc", "_last"),
-                                         F.struct("aicc", "k", "alpha", "beta", "phi")).alias("b"))
+                                         F.struct("aicc", "_npar", "alpha", "beta", "phi")).alias("b"))
     return best.select(*keys, "b.fam", "b.alpha", "b.beta", "b.phi", F.col("b.st.l").alias("level"),
                        F.col("b.st.b").alias("trend"), "b.sigma2", "b.aicc", F.col("b._last").alias("_last"))
 
