@@ -12,6 +12,7 @@ from ..operators import timeseries as ts
 from ..operators.reshape import pivot_multi, pivot_single, unpivot_long
 from ..plans import forecast_system as fs
 from ..plans import prescriptive as pr
+from ..session import cut_lineage
 from ..sources import bindings as b
 from . import sqlfrag as sf
 from .common import WASTE_DIGITS, trade, waste
@@ -430,10 +431,11 @@ def app_trade(spark, sf_dir):
                      F.col("PrimaryValue_filled").alias("PrimaryValue_imputed"))
 
 
-def year_snapshot(spark, sf_dir, source: str = "imputed"):
+def year_snapshot(spark, sf_dir, source: str = "imputed", app=None):
     """Per country × year × flow totals of the chosen source, pivoted, 0-filled."""
     q, v = ("Qty_raw", "PrimaryValue_raw") if source == "raw" else ("Qty_imputed", "PrimaryValue_imputed")
-    t = app_trade(spark, sf_dir).groupBy("CountryCode", "Country", "Year", "flowDesc").agg(
+    app = app if app is not None else app_trade(spark, sf_dir)
+    t = app.groupBy("CountryCode", "Country", "Year", "flowDesc").agg(
         X.sum0(q).alias("total_qty"), X.sum0(v).alias("total_value"))
     return pivot_multi(t, ["CountryCode", "Country", "Year"], "flowDesc", ["total_qty", "total_value"],
                        ["Import", "Export"], agg="sum", fill=0.0)
@@ -477,8 +479,8 @@ def metric_table(spark, sf_dir, metric: str = "import"):
     nation = b.table(spark, sf_dir, "nation")
     dim = nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("CountryCode"),
                         F.col("n_name").alias("name"), rel.normalised_name("n_name").alias("_k"))
-    t = trade(spark, sf_dir)
-    years = t.select(F.array_sort(F.collect_set("Year"))).scalar()
+    app = cut_lineage(app_trade(spark, sf_dir))  # read twice: year list and snapshot
+    years = app.select(F.array_sort(F.collect_set("Year"))).scalar()
     grid = dim.withColumn("Year", F.explode(years))
     w = waste(spark, sf_dir)
     wy = w.join(dim.select("CountryCode", "_k"), rel.normalised_name(w["Country"]) == F.col("_k")).select(
@@ -487,7 +489,7 @@ def metric_table(spark, sf_dir, metric: str = "import"):
         (F.col("Processed_Own_Waste") * 1e9).alias("own_proc_kg"),
         (F.col("Processed_Others_Waste") * 1e9).alias("others_proc_kg"),
         F.col("Percent_Own_Processed").alias("percent_own_proc"))
-    snap = year_snapshot(spark, sf_dir).drop("Country")
+    snap = year_snapshot(spark, sf_dir, app=app).drop("Country")
     out = grid.drop("_k").join(snap, ["CountryCode", "Year"], "left").join(wy, ["CountryCode", "Year"], "left")
     return out.withColumn("metric_value", F.col(col_name)).withColumn("metric_label", F.lit(label))
 

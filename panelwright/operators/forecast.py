@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import md5_uniform
+from ..session import ship_package, spread_by_keys
 
 Keys = Sequence[str]
 
@@ -153,7 +154,9 @@ def ets_fit(df: DataFrame, keys: Keys, index: str, value: str, grid=None) -> Dat
     # one literal expression (parsed once) instead of hundreds of Column objects
     arr = F.expr("array(" + ", ".join(
         f"named_struct('fam', '{f}', 'alpha', {a!r}D, 'beta', {b!r}D, 'phi', {p!r}D)" for f, a, b, p in grid) + ")")
-    s = collect_series(df, keys, index, value).where(F.col("n") >= 3)
+    # one exchange: the input is hash-partitioned by the series keys into a
+    # core-sized partition count, and the collect reuses that partitioning
+    s = collect_series(spread_by_keys(df, keys), keys, index, value).where(F.col("n") >= 3)
     c = s.select(*keys, "y", "n", "_last", F.explode(arr).alias("g")).select(
         *keys, "y", "n", "_last", "g.fam", "g.alpha", "g.beta", "g.phi")
     c = c.withColumn("st", F.expr(_ETS_FOLD))
@@ -161,11 +164,14 @@ def ets_fit(df: DataFrame, keys: Keys, index: str, value: str, grid=None) -> Dat
     m = (F.col("n") - 1).cast("double")
     sse = F.greatest(F.col("st.sse"), F.lit(1e-12))
     aicc = m * F.log(sse / m) + 2 * k + F.when(m - k - 1 > 0, 2 * k * (k + 1) / (m - k - 1))
+    # invalid candidates (too few points for their parameters) rank last
+    # instead of being filtered: a filter on aicc would be pushed below the
+    # projection and evaluate the fold twice
     c = (c.withColumn("_npar", k).withColumn("aicc", aicc)
-          .withColumn("sigma2", F.col("st.sse") / F.when(m - k > 0, m - k).otherwise(m))
-          .where(F.col("aicc").isNotNull()))
+          .withColumn("sigma2", F.col("st.sse") / F.when(m - k > 0, m - k).otherwise(m)))
+    rank_key = F.struct(F.coalesce("aicc", F.lit(float("inf"))).alias("a"), "_npar", "alpha", "beta", "phi")
     best = c.groupBy(*keys).agg(F.min_by(F.struct("fam", "alpha", "beta", "phi", "st", "sigma2", "aicc", "_last"),
-                                         F.struct("aicc", "_npar", "alpha", "beta", "phi")).alias("b"))
+                                         rank_key).alias("b")).where(F.col("b.aicc").isNotNull())
     return best.select(*keys, "b.fam", "b.alpha", "b.beta", "b.phi", F.col("b.st.l").alias("level"),
                        F.col("b.st.b").alias("trend"), "b.sigma2", "b.aicc", F.col("b._last").alias("_last"))
 
@@ -336,7 +342,9 @@ def arima_candidates(df: DataFrame, keys: Keys, index: str, value: str, h: int,
             out[k] = pdf[k].iloc[0]
         return out[names]
 
-    return df.select(*keys, index, value).groupBy(*keys).applyInPandas(fit, schema)
+    ship_package(df.sparkSession)
+    x = spread_by_keys(df.select(*keys, index, value), keys)
+    return x.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def fc_arima(df: DataFrame, keys: Keys, index: str, value: str, h: int,
@@ -393,7 +401,8 @@ def arima_paths(df: DataFrame, keys: Keys, index: str, value: str, h: int, times
         out[index] = out[index].astype("int32")
         return out[[f.name for f in schema.fields]]
 
-    return x.groupBy(*keys).applyInPandas(sim, schema)
+    ship_package(df.sparkSession)
+    return spread_by_keys(x, keys).groupBy(*keys).applyInPandas(sim, schema)
 
 
 # --- derived tables ------------------------------------------------------------------

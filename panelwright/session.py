@@ -74,3 +74,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``panelwright`` importable in Python workers (grouped-map jobs
+    pickle references to its functions): zip the package once per
+    SparkContext and ``addPyFile`` it, so executors get it from the driver."""
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="panelwright-py-"), "panelwright.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
+def spread_by_keys(df: DataFrame, keys) -> DataFrame:
+    """Hash-partition by ``keys`` into 2 × the cluster's cores.
+
+    Used before CPU-heavy per-series work (ETS folds, ARIMA fits): those
+    inputs are small in bytes (one row or a few rows per series), so AQE
+    would coalesce them into a single task; a fixed, core-sized partition
+    count keeps the work spread over every executor.  Grouped operators keyed
+    by the same columns reuse this partitioning (no second exchange).
+    """
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, 2)
+    return df.repartition(n, *keys)
