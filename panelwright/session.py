@@ -62,14 +62,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Used where one expensive sub-plan (a model table) feeds several branches:
-    the result survives executor loss without recomputing the fit.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    This cuts lineage like ``checkpoint()`` (a lost executor re-reads the
+    table instead of recomputing the fact joins behind it) and, unlike an RDD
+    checkpoint, keeps file statistics, column pruning and filter pushdown for
+    every later reader.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise a stage that several later stages read (see ``materialize``)."""
+    return materialize(df, name)
 
 
 def sf_path(sf_dir: str, table: str) -> str:

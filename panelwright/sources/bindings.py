@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import sf_path
+from ..session import materialize, sf_path
 
 # Codes and labels of the reference data model.
 FLOW_IMPORT, FLOW_EXPORT = "Import", "Export"
@@ -57,7 +57,7 @@ def _flow(status: Column, imp, exp) -> Column:
 
 
 def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
-                missing: bool = True) -> DataFrame:
+                missing: bool = True, materialized: bool = True) -> DataFrame:
     """UN-style long trade panel ``Year, CountryCode, Country, flowCode,
     flowDesc, Qty, PrimaryValue`` (one row per country × period × flow).
 
@@ -78,7 +78,7 @@ def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
     if missing:
         qty = F.when(k % 3 == 0, F.lit(None)).when(k % 5 == 0, F.lit(0.0)).otherwise(qty)
         val = F.when(k % 7 == 0, F.lit(None)).otherwise(val)
-    return panel.select(
+    out = panel.select(
         "Year",
         F.concat(F.lit("N"), F.col("nk").cast("string")).alias("CountryCode"),
         "Country",
@@ -86,6 +86,10 @@ def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
         _flow(F.col("st"), FLOW_IMPORT, FLOW_EXPORT).alias("flowDesc"),
         qty.cast("double").alias("Qty"),
         val.cast("double").alias("PrimaryValue"))
+    # The panel plays the part of the reference's trade file: queries read it
+    # several times (reference prices, series, pivots), so it is written once
+    # per query as a table instead of re-running the fact join per reader.
+    return materialize(out, "trade_m" if monthly else "trade") if materialized else out
 
 
 def recycling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,10 @@ def test_pivot_unpivot_round_trip(spark):
     w = pivot_single(df, ["k"], "n", "v", ["x", "y"])
     long = unpivot_long(w, ["k"], ["x", "y"], "n", "v")
     assert long.count() == 4 and long.where("v IS NULL").count() == 2
+
+
+def test_reference_dictionary_lookup_dedupes_repeated_alias(spark):
+    from panelwright.sources.dictionaries import name_fixes_df
+    names = spark.createDataFrame([("Viet Nam",), ("USA",), ("Spain",)], "Country string")
+    out = {r.Country: r.m for r in rel.lookup_dictionary(names, name_fixes_df(spark), "Country", "m").collect()}
+    assert out == {"Viet Nam": "Vietnam", "USA": "United States", "Spain": "Spain"}
