@@ -548,7 +548,7 @@ def q_fc_bottom_up_controlled(spark, sf_dir):
 
 
 @query("fc_leaderboard", with_ctes("""
-SELECT Approach, model, RMSE, MAE, MAPE, rank() OVER (ORDER BY round(RMSE, 6) ASC NULLS LAST) AS rank FROM (
+SELECT Approach, model, RMSE, MAE, MAPE, CAST(rank() OVER (ORDER BY round(RMSE, 6) ASC NULLS LAST) AS INTEGER) AS rank FROM (
   SELECT Approach, model, sqrt(avg((d - a) * (d - a))) AS RMSE, avg(abs(d - a)) AS MAE,
          avg(abs((d - a) / nullif(a, 0))) * 100 AS MAPE FROM (
     SELECT x.Approach, x.model, x.d, t.Amount AS a FROM (
@@ -576,7 +576,7 @@ def q_fc_leaderboard(spark, sf_dir):
 
 @query("fc_trend_growth", with_ctes("""
 SELECT OECD_Code AS LOCATION_CODES, regr_slope(Regional_Recycling_Rate, Year) AS Gradient,
-       rank() OVER (ORDER BY regr_slope(Regional_Recycling_Rate, Year) DESC) AS rank
+       CAST(rank() OVER (ORDER BY regr_slope(Regional_Recycling_Rate, Year) DESC) AS INTEGER) AS rank
 FROM regional GROUP BY OECD_Code""", "regional"), doubles={"Gradient": 9})
 def q_fc_trend_growth(spark, sf_dir):
     """Linear slope of the recycling rate on time per region, ranked (descending)."""
