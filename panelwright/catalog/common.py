@@ -51,8 +51,8 @@ WASTE_DIGITS = {"Est_Waste_Produced": 9, "Est_Recycled_Amount": 9, "Regional_Rec
                 "Processed_Own_Waste": 9, "Processed_Others_Waste": 12, "Percent_Own_Processed": 7}
 
 
-def waste(spark, sf_dir):
-    return pr.prescriptive_dataset(spark, sf_dir)
+def waste(spark, sf_dir, trade=None):
+    return pr.prescriptive_dataset(spark, sf_dir, trade=trade)
 
 
 def trade(spark, sf_dir):

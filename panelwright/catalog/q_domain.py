@@ -423,9 +423,10 @@ FROM (SELECT CountryCode, Country, Year, flowDesc, coalesce(sum(Qty_imputed), 0.
 GROUP BY 1, 2, 3""", ("app_trade",))
 
 
-def app_trade(spark, sf_dir):
+def app_trade(spark, sf_dir, t_long=None):
     from ..operators import imputation as imp
-    df = imp.impute_trade(trade(spark, sf_dir), keys=("CountryCode", "flowDesc"))
+    t_long = t_long if t_long is not None else trade(spark, sf_dir)
+    df = imp.impute_trade(t_long, keys=("CountryCode", "flowDesc"))
     return df.select("Year", "CountryCode", "Country", "flowDesc", F.col("Qty").alias("Qty_raw"),
                      F.col("PrimaryValue").alias("PrimaryValue_raw"), F.col("Qty_filled").alias("Qty_imputed"),
                      F.col("PrimaryValue_filled").alias("PrimaryValue_imputed"))
@@ -479,10 +480,11 @@ def metric_table(spark, sf_dir, metric: str = "import"):
     nation = b.table(spark, sf_dir, "nation")
     dim = nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("CountryCode"),
                         F.col("n_name").alias("name"), rel.normalised_name("n_name").alias("_k"))
-    app = cut_lineage(app_trade(spark, sf_dir))  # read twice: year list and snapshot
+    t_long = trade(spark, sf_dir)
+    app = cut_lineage(app_trade(spark, sf_dir, t_long))  # read twice: year list and snapshot
     years = app.select(F.array_sort(F.collect_set("Year"))).scalar()
     grid = dim.withColumn("Year", F.explode(years))
-    w = waste(spark, sf_dir)
+    w = waste(spark, sf_dir, t_long)
     wy = w.join(dim.select("CountryCode", "_k"), rel.normalised_name(w["Country"]) == F.col("_k")).select(
         "CountryCode", "Year", (F.col("Est_Waste_Produced") * 1e9).alias("waste_prod_kg"),
         (F.col("Est_Recycled_Amount") * 1e9).alias("waste_recyc_kg"),
@@ -563,8 +565,9 @@ FROM waste w LEFT JOIN (SELECT Country, count(Qty) AS n_trade FROM trade GROUP B
 GROUP BY w.Country""", "waste", "trade"))
 def dom_country_profile(spark, sf_dir):
     """Per country: years available, turning year (first year importing others' waste), data availability."""
-    w = waste(spark, sf_dir)
-    t = trade(spark, sf_dir).groupBy("Country").agg(F.count("Qty").alias("n_trade"))
+    t_long = trade(spark, sf_dir)
+    w = waste(spark, sf_dir, t_long)
+    t = t_long.groupBy("Country").agg(F.count("Qty").alias("n_trade"))
     return w.join(t, "Country", "left").groupBy("Country").agg(
         F.min("Year").alias("first_year"), F.max("Year").alias("last_year"), F.count(F.lit(1)).alias("n_years"),
         F.min(F.when(F.col("Processed_Others_Waste") > 0, F.col("Year"))).alias("turning_year"),
@@ -606,10 +609,11 @@ UNPIVOT INCLUDE NULLS (Value FOR Series IN ("Waste produced", "Own waste process
        doubles={"Value": 2})
 def dom_waste_history(spark, sf_dir):
     """Waste history ⟗ imputed trade per country and year, five series long."""
-    w = waste(spark, sf_dir).select("Country", "Year", (F.col("Est_Waste_Produced") * 1e9).alias("Waste produced"),
+    t_long = trade(spark, sf_dir)
+    w = waste(spark, sf_dir, t_long).select("Country", "Year", (F.col("Est_Waste_Produced") * 1e9).alias("Waste produced"),
                                     (F.col("Processed_Own_Waste") * 1e9).alias("Own waste processed"),
                                     (F.col("Processed_Others_Waste") * 1e9).alias("Others' waste processed"))
-    t = app_trade(spark, sf_dir).groupBy("Country", "Year", "flowDesc").agg(X.sum0("Qty_imputed").alias("q"))
+    t = app_trade(spark, sf_dir, t_long).groupBy("Country", "Year", "flowDesc").agg(X.sum0("Qty_imputed").alias("q"))
     t = pivot_multi(t, ["Country", "Year"], "flowDesc", ["q"], ["Import", "Export"], agg="sum", fill=0.0).select(
         "Country", "Year", F.col("q_Import").alias("Imports (kg)"), F.col("q_Export").alias("Exports (kg)"))
     j = w.join(t, ["Country", "Year"], "full")

@@ -110,8 +110,9 @@ FROM waste w FULL JOIN trade_wide t ON w.Country = t.Country AND w.Year = t.Year
        doubles={"Est_Waste_Produced": 9, "Trade_Imports": 12})
 def join_full_outer(spark, sf_dir):
     """Waste history ⟗ trade on (Country, Year): rows of either side kept."""
-    w = waste(spark, sf_dir).select("Country", "Year", "Est_Waste_Produced")
-    t = pr.trade_wide(trade(spark, sf_dir)).select("Country", "Year", F.col("Imports").alias("Trade_Imports"))
+    t_long = trade(spark, sf_dir)
+    w = waste(spark, sf_dir, t_long).select("Country", "Year", "Est_Waste_Produced")
+    t = pr.trade_wide(t_long).select("Country", "Year", F.col("Imports").alias("Trade_Imports"))
     return w.join(t, on=["Country", "Year"], how="full")
 
 
@@ -133,7 +134,7 @@ def join_star_metrics(spark, sf_dir):
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("CountryCode"), F.col("n_name").alias("name"))
     t = pr.trade_wide(t_long).where(F.col("Year") == year).select(
         F.col("Country").alias("name"), "Imports", "Exports")
-    w = waste(spark, sf_dir).where(F.col("Year") == year).select(
+    w = waste(spark, sf_dir, t_long).where(F.col("Year") == year).select(
         F.col("Country").alias("name"), "Est_Waste_Produced", "Percent_Own_Processed")
     return dim.join(t, "name", "left").join(w, "name", "left")
 

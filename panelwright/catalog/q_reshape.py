@@ -73,8 +73,9 @@ SELECT Country, Year, NULL::DOUBLE, Exports, NULL FROM trade_wide""", "waste", "
        doubles={"Imports": 12, "Exports": 12})
 def union_by_name(spark, sf_dir):
     """bind_rows: columns matched by name, missing ones NULL."""
-    a = waste(spark, sf_dir).select("Country", "Year", "Imports", F.lit("History").alias("Type"))
-    c = pr.trade_wide(trade(spark, sf_dir)).select("Exports", "Year", "Country")
+    t_long = trade(spark, sf_dir)
+    a = waste(spark, sf_dir, t_long).select("Country", "Year", "Imports", F.lit("History").alias("Type"))
+    c = pr.trade_wide(t_long).select("Exports", "Year", "Country")
     return rs.union_by_name(a, c)
 
 

@@ -81,8 +81,11 @@ def waste_processing(est: DataFrame, trade_w: DataFrame, guard: str = "null") ->
              .withColumn("Percent_Own_Processed", pct))
 
 
-def prescriptive_dataset(spark, sf_dir: str, dedupe_codes: bool = False) -> DataFrame:
-    """E2 end to end from the driver tables (the ``waste`` fixture)."""
+def prescriptive_dataset(spark, sf_dir: str, dedupe_codes: bool = False,
+                         trade: DataFrame | None = None) -> DataFrame:
+    """E2 end to end from the driver tables (the ``waste`` fixture); pass
+    ``trade`` when the caller already holds the trade panel."""
     shares = gdp_shares(gdp_clean(b.gdp(spark, sf_dir), b.country_bridge(spark, sf_dir), dedupe_codes))
     est = country_estimates(shares, regional_rates(b.recycling(spark, sf_dir)))
-    return waste_processing(est, trade_wide(b.trade_panel(spark, sf_dir)))
+    trade = trade if trade is not None else b.trade_panel(spark, sf_dir)
+    return waste_processing(est, trade_wide(trade))
