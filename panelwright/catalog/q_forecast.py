@@ -393,8 +393,7 @@ SELECT flowDesc, model, avg(MAPE) AS mean_MAPE, median(MAPE) AS median_MAPE FROM
        doubles={"mean_MAPE": 6, "median_MAPE": 6})
 def q_agg_mean_median_errors(spark, sf_dir):
     """Mean and median MAPE per flow and model."""
-    return accuracy_m(spark, sf_dir).groupBy("flowDesc", "model").agg(
-        F.avg("MAPE").alias("mean_MAPE"), F.median("MAPE").alias("median_MAPE"))
+    return ev.error_summary(accuracy_m(spark, sf_dir), ["flowDesc", "model"], ["MAPE"])
 
 
 @query("fc_divergence", with_ctes("""

@@ -2,9 +2,9 @@
 
 Plain group aggregates (sum/avg/count/min/max/stddev) are split by Spark into
 a map-side partial aggregate and a final one, so only one row per group and
-task crosses the shuffle.  Exact median / quartiles use ``percentile``, whose
-partial buffer is a value → count map (distinct values per task), merged per
-group.  Statistics that are attached back to every row use a window over the
+task crosses the shuffle.  Exact median / quartiles are rank selections over a
+range-partitioned sort (``exact_quantiles``): no group is ever merged in one
+task.  Statistics that are attached back to every row use a window over the
 group instead of aggregate + self-join (one shuffle instead of two).
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div, sum0
+from ..session import materialize
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
@@ -23,9 +24,54 @@ def sum_by(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFr
     return df.groupBy(*keys).agg(*[sum0(src).alias(out) for out, src in values.items()])
 
 
-def median_by(df: DataFrame, keys: Sequence[str], value: str | Column, out: str) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
+                    probs: Sequence[float] = (0.5,)) -> DataFrame:
+    """Exact quantiles (linear interpolation, R type 7) per group without
+    gathering a group in one task.
+
+    ``percentile`` merges every distinct value of a group in a single task, so
+    one hot key holding a third of the rows would land on one executor.  Here
+    the values are range-partitioned on (keys, value) — a hot key's values
+    are spread over many partitions by value range — and sorted within each
+    partition; ``monotonically_increasing_id`` then numbers rows in sorted
+    order.  A small per-(partition, key) block table (first id, count, rows
+    before it) turns the target ranks ⌊p(n−1)⌋ and ⌈p(n−1)⌉ into row ids, and
+    only those rows are joined back.  Returns ``keys…, p, q``; groups without
+    a non-NULL value are absent.
+    """
+    keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    return df.groupBy(*keys).agg(F.median(v).alias(out))
+    n_parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, 2)
+    s = (df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+           .repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
+           .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    # the numbering depends on the range bounds, which are sampled at run time:
+    # write it once so the block table and the pick read the same numbering
+    s = materialize(s, "ranked")
+    blk = s.groupBy("_pid", *keys).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
+    wk = Window.partitionBy(*keys)
+    blk = (blk.withColumn("_before", F.sum("_c").over(wk.orderBy("_pid")) - F.col("_c"))
+              .withColumn("_n", F.sum("_c").over(wk))
+              .withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in probs])))
+              .withColumn("_pos", (F.col("_n") - 1) * F.col("p"))
+              .withColumn("_r", F.explode(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    inside = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))
+    targets = blk.where(inside).select(*keys, "p", "_pos", "_r",
+                                       (F.col("_m0") + F.col("_r") - F.col("_before")).alias("_mid"))
+    picked = s.select(*keys, "_mid", "_v").join(targets, on=[*keys, "_mid"], how="inner")
+    g = picked.groupBy(*keys, "p").agg(F.first("_pos").alias("_pos"), F.min("_r").alias("_lo"),
+                                      F.max("_r").alias("_hi"), F.min_by("_v", "_r").alias("_vlo"),
+                                      F.max_by("_v", "_r").alias("_vhi"))
+    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
+        (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
+    return g.select(*keys, "p", q.alias("q"))
+
+
+def median_by(df: DataFrame, keys: Sequence[str], value: str | Column, out: str) -> DataFrame:
+    """Exact median per group (see ``exact_quantiles``); every group of
+    ``df`` is returned, NULL where it has no value."""
+    m = exact_quantiles(df, keys, value, (0.5,)).select(*keys, F.col("q").alias(out))
+    return df.select(*keys).distinct().join(m, on=list(keys), how="left")
 
 
 def sd_by(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -71,9 +117,9 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     Two aggregates over the same grouping: quartiles first, then a join on
     the group keys (one row per group) for the fences.
     """
-    q = df.groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    qs = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75))
+    q = qs.groupBy(*keys).agg(*[F.first(F.when(F.col("p") == p, F.col("q")), ignorenulls=True).alias(n)
+                                for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lo_fence", F.col("q1") - 1.5 * F.col("iqr"))
           .withColumn("hi_fence", F.col("q3") + 1.5 * F.col("iqr")))

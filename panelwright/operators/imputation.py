@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import if_else3
+from .aggregate import median_by
 from .timeseries import fill_chain_expr
 
 QTY, VAL = "Qty", "PrimaryValue"
@@ -43,7 +44,7 @@ def reference_price(df: DataFrame, by: Sequence[str] = ("flowDesc",), qty: str =
                     val: str = VAL, out: str = "global_unit_price") -> DataFrame:
     """Exact median unit price of rows with both measures positive, per flow."""
     ok = df.where((F.col(qty) > 0) & (F.col(val) > 0))
-    return ok.groupBy(*by).agg(F.median(F.col(val) / F.col(qty)).alias(out))
+    return median_by(ok, list(by), F.col(val) / F.col(qty), out)
 
 
 def unit_price(df: DataFrame, keys: Sequence[str] = ("Country", "flowDesc"), index: str = "Year",

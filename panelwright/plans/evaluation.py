@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_cdf, norm_pdf, safe_div
+from ..operators.aggregate import exact_quantiles
 
 INV_SQRT_PI = 0.5641895835477563  # 1 / sqrt(pi)
 
@@ -45,12 +46,21 @@ def crps_normal(fc_actual: DataFrame, by: Sequence[str]) -> DataFrame:
                      .groupBy(*by).agg(F.avg("_crps").alias("CRPS")))
 
 
-def error_summary(acc: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Mean and median of each metric over the series."""
-    aggs = []
-    for m in ("RMSE", "MAE", "MAPE"):
-        aggs += [F.avg(m).alias(f"mean_{m}"), F.median(m).alias(f"median_{m}")]
-    return acc.groupBy(*by).agg(*aggs)
+def error_summary(acc: DataFrame, by: Sequence[str] = ("model",),
+                  metrics: Sequence[str] = ("RMSE", "MAE", "MAPE")) -> DataFrame:
+    """Mean and exact median of each metric over the series.
+
+    Metrics are stacked long so one rank selection (``exact_quantiles``)
+    serves all of them; a model's group is as large as the number of series,
+    so no group is merged in one task.
+    """
+    by = list(by)
+    long = acc.unpivot(by, list(metrics), "_metric", "_value")
+    means = acc.groupBy(*by).agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics])
+    med = exact_quantiles(long, [*by, "_metric"], "_value", (0.5,))
+    med = med.groupBy(*by).agg(*[F.first(F.when(F.col("_metric") == m, F.col("q")), ignorenulls=True)
+                                 .alias(f"median_{m}") for m in metrics])
+    return means.join(med, on=by, how="left")
 
 
 def divergence(acc: DataFrame, keys: Sequence[str], model_a: str, model_b: str) -> DataFrame:

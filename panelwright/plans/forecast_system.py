@@ -19,6 +19,7 @@ from ..functions.exprs import clamp, if_else3, pmax, pmin, std_normal
 from ..operators import forecast as fc
 from ..operators import imputation as imp
 from ..operators import timeseries as ts
+from ..operators.aggregate import median_by
 from ..operators.reshape import complete_grid, pivot_multi, pivot_single, union_by_name
 
 MT = 1e9
@@ -107,8 +108,8 @@ def industry_inputs(history: DataFrame, finput: DataFrame, paths: DataFrame, noi
 
 def global_prices(full: DataFrame, min_kg: float = 1000.0) -> DataFrame:
     """Median import price per year over rows with more than ``min_kg`` imported."""
-    return (full.where(F.col("Imports_Kg") > min_kg).groupBy("Year")
-                .agg(F.median(F.col("Import_Value") / F.col("Imports_Kg")).alias("Global_Avg_Price")))
+    rows = full.where(F.col("Imports_Kg") > min_kg)
+    return median_by(rows, ["Year"], F.col("Import_Value") / F.col("Imports_Kg"), "Global_Avg_Price")
 
 
 def industry_value(full: DataFrame, min_kg: float = 1000.0, price_cap: float = 2.50) -> DataFrame:

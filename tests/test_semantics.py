@@ -113,3 +113,20 @@ def test_reference_dictionary_lookup_dedupes_repeated_alias(spark):
     names = spark.createDataFrame([("Viet Nam",), ("USA",), ("Spain",)], "Country string")
     out = {r.Country: r.m for r in rel.lookup_dictionary(names, name_fixes_df(spark), "Country", "m").collect()}
     assert out == {"Viet Nam": "Vietnam", "USA": "United States", "Spain": "Spain"}
+
+
+def test_exact_quantiles_match_numpy_with_a_hot_key(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    hot = [("hot", float(x)) for x in rng.normal(size=3000).round(3)]
+    cold = [(f"k{i % 7}", float(x)) for i, x in enumerate(rng.exponential(size=700).round(3))]
+    df = spark.createDataFrame(hot + cold + [("nulls", None)], "k string, x double")
+    got = {(r.k, r.p): r.q for r in agg.exact_quantiles(df, ["k"], "x", (0.1, 0.5, 0.75)).collect()}
+    by = {}
+    for k, x in hot + cold:
+        by.setdefault(k, []).append(x)
+    for k, xs in by.items():
+        for p in (0.1, 0.5, 0.75):
+            assert abs(got[(k, p)] - float(np.quantile(xs, p))) < 1e-9
+    med = {r.k: r.m for r in agg.median_by(df, ["k"], "x", "m").collect()}
+    assert med["nulls"] is None and abs(med["hot"] - float(np.median(by["hot"]))) < 1e-12
