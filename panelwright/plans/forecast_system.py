@@ -112,10 +112,12 @@ def global_prices(full: DataFrame, min_kg: float = 1000.0) -> DataFrame:
     return median_by(rows, ["Year"], F.col("Import_Value") / F.col("Imports_Kg"), "Global_Avg_Price")
 
 
-def industry_value(full: DataFrame, min_kg: float = 1000.0, price_cap: float = 2.50) -> DataFrame:
+def industry_value(full: DataFrame, min_kg: float = 1000.0, price_cap: float = 2.50,
+                   prices: DataFrame | None = None) -> DataFrame:
     """Price chain per country (raw → positional interp → locf/nocb → global
     fallback → cap → 3-year trailing mean) × processed volume."""
-    j = full.join(global_prices(full, min_kg), on="Year", how="left")
+    prices = prices if prices is not None else global_prices(full, min_kg)
+    j = full.join(prices, on="Year", how="left")
     raw = F.when(F.col("Imports_Kg") > min_kg, F.col("Import_Value") / F.col("Imports_Kg"))
     j = j.withColumn("Raw_Price", if_else3(F.col("Imports_Kg") > min_kg, raw, F.lit(None).cast("double")))
     j = j.withColumn("_pos", F.row_number().over(ts._spec(["Country"], "Year")))
@@ -153,6 +155,7 @@ def run(wide: DataFrame, h: int = 20, model: str = "NAIVE", max_price: float = 5
     paths_b = scenario_paths(finput, h, seeds[1], model)
     self_df = self_sufficiency(hist, paths_a)
     full = cut_lineage(industry_inputs(hist, finput, paths_b, seeds[2]))
-    ind = industry_value(full, min_kg, price_cap)
+    prices = global_prices(full, min_kg)
+    ind = industry_value(full, min_kg, price_cap, prices)
     return {"history": hist, "forecast_input": finput, "self": self_df, "full": full,
-            "global_prices": global_prices(full, min_kg), "industry": ind, "output": best_of_both(ind, self_df)}
+            "global_prices": prices, "industry": ind, "output": best_of_both(ind, self_df)}
