@@ -24,26 +24,34 @@ def sum_by(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFr
     return df.groupBy(*keys).agg(*[sum0(src).alias(out) for out, src in values.items()])
 
 
+MAX_GROUP_ROWS = 2_000_000
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                    probs: Sequence[float] = (0.5,)) -> DataFrame:
-    """Exact quantiles (linear interpolation, R type 7) per group without
-    gathering a group in one task.
-
-    ``percentile`` merges every distinct value of a group in a single task, so
-    one hot key holding a third of the rows would land on one executor.  Here
-    the values are range-partitioned on (keys, value) — a hot key's values
-    are spread over many partitions by value range — and sorted within each
-    partition; ``monotonically_increasing_id`` then numbers rows in sorted
-    order.  A small per-(partition, key) block table (first id, count, rows
-    before it) turns the target ranks ⌊p(n−1)⌋ and ⌈p(n−1)⌉ into row ids, and
-    only those rows are joined back.  Returns ``keys…, p, q``; groups without
-    a non-NULL value are absent.
+                    probs: Sequence[float] = (0.5,), max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Exact quantiles (linear interpolation, R type 7) per group.
+
+    ``percentile`` merges every distinct value of a group in one task.  That
+    is the fast path, taken only when the largest group is known to be small
+    (one count aggregate, checked on the driver as a single number).  Beyond
+    ``max_group_rows`` the values are range-partitioned on (keys, value) — a
+    hot key's values are spread over many partitions by value range — and
+    sorted within each partition; ``monotonically_increasing_id`` numbers the
+    rows in sorted order, a small per-(partition, key) block table (first id,
+    count, rows before it) turns the target ranks ⌊p(n−1)⌋ and ⌈p(n−1)⌉ into
+    row ids, and only those rows are joined back.  Returns ``keys…, p, q``;
+    groups without a non-NULL value are absent.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
+    vals = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    largest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= max_group_rows:
+        g = vals.groupBy(*keys).agg(F.percentile("_v", [float(x) for x in probs]).alias("_q"))
+        return g.select(*keys, F.posexplode("_q").alias("_i", "q")).select(
+            *keys, F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("_i") + 1).alias("p"), "q")
     n_parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, 2)
-    s = (df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-           .repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
+    s = (vals.repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
            .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     # the numbering depends on the range bounds, which are sampled at run time:
     # write it once so the block table and the pick read the same numbering

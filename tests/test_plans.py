@@ -53,6 +53,8 @@ def test_global_top_n_with_ties_uses_no_single_partition_window(spark):
     assert out.count() == 58  # the top 3 are all 16.0, which occurs 58 times: every tie is kept
 
 
-def test_exact_quantiles_do_not_use_percentile(spark):
+def test_large_groups_do_not_use_percentile(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(100)], "k string, x double")
-    assert "percentile" not in _plan(exact_quantiles(df, ["k"], "x", (0.5,))).lower()
+    big = exact_quantiles(df, ["k"], "x", (0.5,), max_group_rows=10)  # a group above the bound
+    assert "percentile" not in _plan(big).lower()
+    assert big.collect()[0].q == 49.5
