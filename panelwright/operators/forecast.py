@@ -226,11 +226,15 @@ def _lagmat(x, lags, start):
     return np.column_stack([x[start - i:len(x) - i] for i in range(1, lags + 1)]) if lags else np.empty((len(x) - start, 0))
 
 
-def arima_fit_one(y: np.ndarray, p: int, d: int, q: int):
-    """CSS-style fit of ARIMA(p,d,q) by Hannan–Rissanen; returns dict or None."""
+def arima_fit_one(y: np.ndarray, p: int, d: int, q: int, const: bool | None = None):
+    """CSS-style fit of ARIMA(p,d,q) by Hannan–Rissanen; returns dict or None.
+
+    ``const``: constant in the differenced model (a mean for d = 0, a drift
+    for d = 1); default: only for d = 0.
+    """
     w = np.diff(y, n=d) if d else y.astype(float)
     n = len(w)
-    const = d == 0
+    const = (d == 0) if const is None else bool(const and d < 2)
     if q:
         m = min(max(p + q + 2, 3), n // 3)
         if m < 1 or n - m <= m + 1:
@@ -312,6 +316,7 @@ def arima_candidates(df: DataFrame, keys: Keys, index: str, value: str, h: int,
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [
         T.StructField("p", T.IntegerType()), T.StructField("d", T.IntegerType()), T.StructField("q", T.IntegerType()),
+        T.StructField("constant", T.BooleanType()),
         T.StructField("aicc", T.DoubleType()), T.StructField("sigma2", T.DoubleType()),
         T.StructField(index, T.IntegerType()), T.StructField("mean", T.DoubleType()),
         T.StructField("variance", T.DoubleType())])
@@ -326,15 +331,16 @@ def arima_candidates(df: DataFrame, keys: Keys, index: str, value: str, h: int,
         last = int(pdf[index].iloc[-1])
         parts = []
         for p, q in pq:
-            res = arima_fit_one(y, p, d, q)
-            if res is None:
-                continue
-            mean, var = arima_forecast(y, d, res, h)
-            out = pd.DataFrame({index: np.arange(last + 1, last + h + 1, dtype="int32"), "mean": mean,
-                                "variance": var})
-            out["p"], out["d"], out["q"] = p, d, q
-            out["aicc"], out["sigma2"] = res["aicc"], res["sigma2"]
-            parts.append(out)
+            for const in ((True, False) if d < 2 else (False,)):
+                res = arima_fit_one(y, p, d, q, const)
+                if res is None:
+                    continue
+                mean, var = arima_forecast(y, d, res, h)
+                out = pd.DataFrame({index: np.arange(last + 1, last + h + 1, dtype="int32"), "mean": mean,
+                                    "variance": var})
+                out["p"], out["d"], out["q"], out["constant"] = p, d, q, const
+                out["aicc"], out["sigma2"] = res["aicc"], res["sigma2"]
+                parts.append(out)
         if not parts:
             return pd.DataFrame(columns=names)
         out = pd.concat(parts, ignore_index=True)
@@ -349,11 +355,13 @@ def arima_candidates(df: DataFrame, keys: Keys, index: str, value: str, h: int,
 
 def fc_arima(df: DataFrame, keys: Keys, index: str, value: str, h: int,
              pq: Sequence[tuple[int, int]] = ARIMA_PQ) -> DataFrame:
-    """Automatic ARIMA: d by repeated KPSS tests, (p, q) by minimum AICc."""
+    """Automatic ARIMA: d by repeated KPSS tests; (p, q) and the constant
+    (mean for d = 0, drift for d = 1) by minimum AICc."""
     c = arima_candidates(df, keys, index, value, h, pq)
-    w = Window.partitionBy(*keys).orderBy("aicc", "p", "q")
+    w = Window.partitionBy(*keys).orderBy("aicc", "p", "q", "constant")
     ranked = c.withColumn("_rk", F.dense_rank().over(w)).where("_rk = 1")
-    return ranked.select(*keys, F.lit("ARIMA").alias("model"), index, "mean", "variance", "p", "d", "q", "aicc")
+    return ranked.select(*keys, F.lit("ARIMA").alias("model"), index, "mean", "variance", "p", "d", "q",
+                         "constant", "aicc")
 
 
 def arima_paths(df: DataFrame, keys: Keys, index: str, value: str, h: int, times: int = 1, seed: int = 123,
@@ -362,7 +370,7 @@ def arima_paths(df: DataFrame, keys: Keys, index: str, value: str, h: int, times
     generator seeded by md5(key, seed), so a path never depends on
     partitioning or retries."""
     keys = list(keys)
-    orders = fc_arima(df, keys, index, value, 1, pq).select(*keys, "p", "d", "q")
+    orders = fc_arima(df, keys, index, value, 1, pq).select(*keys, "p", "d", "q", "constant")
     x = df.join(orders, on=keys, how="inner")
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("path", T.IntegerType()),
@@ -372,7 +380,7 @@ def arima_paths(df: DataFrame, keys: Keys, index: str, value: str, h: int, times
         pdf = pdf.sort_values(index)
         y = pdf[value].to_numpy(float)
         p, d, q = (int(pdf[c].iloc[0]) for c in ("p", "d", "q"))
-        fit = arima_fit_one(y, p, d, q)
+        fit = arima_fit_one(y, p, d, q, bool(pdf["constant"].iloc[0]))
         keytxt = "|".join(str(pdf[k].iloc[0]) for k in keys)
         rng = np.random.default_rng(_seed(keytxt, seed))
         resid = fit["e"][fit["start"]:] if fit is not None and len(fit["e"]) > fit["start"] else np.zeros(1)
