@@ -585,3 +585,15 @@ def q_fc_trend_growth(spark, sf_dir):
     g = ev.trend_slope(r, ["OECD_Code"], "Year", "Regional_Recycling_Rate").withColumnRenamed(
         "OECD_Code", "LOCATION_CODES")
     return g.withColumn("rank", F.rank().over(Window.orderBy(F.col("Gradient").desc())))
+
+
+@query("sink_parquet_partitioned", with_ctes("SELECT * FROM fcm_all WHERE model = 'ETS'", "fcm_all"), doubles=FC_D)
+def q_sink_parquet_partitioned(spark, sf_dir):
+    """Default sink: forecast table written as Parquet partitioned by model,
+    read back with a filter on the partition column (only that folder is
+    listed and scanned)."""
+    from ..sources import files
+    from .common import scratch_path
+    path = scratch_path(spark, "forecasts")
+    files.write_parquet(models_m(spark, sf_dir), path, partition_by=["model"])
+    return files.read_parquet(spark, path).where(F.col("model") == "ETS")
