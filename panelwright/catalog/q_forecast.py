@@ -226,38 +226,8 @@ def q_fc_intervals(spark, sf_dir):
 PATHS, PATH_H, SEED = 5, 20, 123
 
 
-def _md5_u(parts: str, tag: str = "") -> str:
-    extra = f"'{tag}', " if tag else ""
-    return (f"((('0x' || substr(md5(concat_ws('|', {parts}, {extra}'{{seed}}')), 1, 8))::BIGINT + 0.5) "
-            "/ 4294967296.0)")
-
-
-def _sql_paths(model: str) -> tuple[str, str]:
-    k = ", ".join(KEYS)
-    resid = ("Qty - lag(Qty) OVER (PARTITION BY Country, flowDesc ORDER BY Year)" if model == "NAIVE"
-             else "Qty - avg(Qty) OVER (PARTITION BY Country, flowDesc)")
-    base = "arg_max(Qty, Year)" if model == "NAIVE" else "avg(Qty)"
-    u = _md5_u("Country, flowDesc, CAST(path AS VARCHAR), CAST(Year AS VARCHAR)").format(seed=SEED)
-    sim = ("_base + sum(_e) OVER (PARTITION BY Country, flowDesc, path ORDER BY Year "
-           "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)") if model == "NAIVE" else "_base + _e"
-    body = f"""
-SELECT {k}, path, Year, {sim} AS sim FROM (
-  SELECT g.Country, g.flowDesc, g.path, g.Year, g._base, r._e FROM (
-    SELECT *, CAST(floor({u} * _m) + 1 AS INTEGER) AS _pos FROM (
-      SELECT *, CAST(unnest(generate_series(_last + 1, _last + {PATH_H})) AS INTEGER) AS Year FROM (
-        SELECT s.*, m._m, CAST(unnest(generate_series(1, {PATHS})) AS INTEGER) AS path
-        FROM (SELECT {k}, {base} AS _base, max(Year) AS _last FROM series_m GROUP BY {k}) s
-        JOIN (SELECT {k}, count(*) AS _m FROM r0 GROUP BY {k}) m USING ({k})))) g
-  LEFT JOIN (SELECT {k}, _e, row_number() OVER (PARTITION BY {k} ORDER BY Year) AS _pos FROM r0) r
-    ON g.Country = r.Country AND g.flowDesc = r.flowDesc AND g._pos = r._pos)"""
-    return body, resid
-
-
 def _paths_sql(model):
-    body, resid = _sql_paths(model)
-    register(f"r0_{model}", f"SELECT * FROM (SELECT *, {resid} AS _e FROM series_m) WHERE _e IS NOT NULL",
-             ("series_m",))
-    return with_ctes(body.replace("FROM r0", f"FROM r0_{model}"), "series_m", f"r0_{model}")
+    return with_ctes(sf.residual_paths("series_m", KEYS, "Qty", IDX, PATH_H, PATHS, SEED, model), "series_m")
 
 
 @query("fc_bootstrap_paths", _paths_sql("NAIVE"), doubles={"sim": 4})
@@ -292,19 +262,17 @@ def add_noise(paths, hist, keys, index, seed=NOISE_SEED, share=0.10):
         "Amount", clamp_expr(F.col("sim") + z * F.col("noise_sd"), lo=0.0))
 
 
-def _u_sql(tag):
-    return _md5_u("p.Country, p.flowDesc, CAST(p.path AS VARCHAR), CAST(p.Year AS VARCHAR)", tag).format(
-        seed=NOISE_SEED)
+_Z = sf.std_normal("p.Country, p.flowDesc, CAST(p.path AS VARCHAR), CAST(p.Year AS VARCHAR)", NOISE_SEED)
 
 
 @query("fc_noise", with_ctes(f"""
 SELECT Country, flowDesc, path, Year, sim, hist_sd, noise_sd,
        CASE WHEN sim + z * noise_sd IS NOT NULL THEN greatest(sim + z * noise_sd, 0.0) END AS Amount FROM (
   SELECT p.*, s.hist_sd, CASE WHEN s.hist_sd IS NULL OR s.hist_sd = 0 THEN 0.001 ELSE s.hist_sd END * 0.1 AS noise_sd,
-         sqrt(-2.0 * ln({_u_sql('u1')})) * cos({2.0 * 3.141592653589793!r} * {_u_sql('u2')}) AS z
-  FROM paths p LEFT JOIN (SELECT Country, flowDesc, stddev_samp(Qty) AS hist_sd FROM series_m GROUP BY 1, 2) s
-    ON p.Country = s.Country AND p.flowDesc = s.flowDesc)""".replace("FROM paths p", "FROM (" +
-    _sql_paths("NAIVE")[0].replace("FROM r0", "FROM r0_NAIVE") + ") p"), "series_m", "r0_NAIVE"),
+         {_Z} AS z
+  FROM ({sf.residual_paths("series_m", KEYS, "Qty", IDX, PATH_H, PATHS, SEED, "NAIVE")}) p
+  LEFT JOIN (SELECT Country, flowDesc, stddev_samp(Qty) AS hist_sd FROM series_m GROUP BY 1, 2) s
+    ON p.Country = s.Country AND p.flowDesc = s.flowDesc)""", "series_m"),
        doubles={"sim": 4, "hist_sd": 4, "noise_sd": 4, "Amount": 4})
 def q_fc_noise(spark, sf_dir):
     """Extra Gaussian noise (10 % of the historical sd) on the scenario paths, clamped at 0."""
