@@ -2,7 +2,7 @@
 
 ``with_ctes(body, *names)`` prefixes a query body with the CTEs it needs (and
 their dependencies, in order).  Tables ``lineitem orders supplier nation
-region customer events`` are views registered by the oracle runner.
+region customer`` are views registered by the oracle runner.
 """
 
 from __future__ import annotations
@@ -29,12 +29,6 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "trade": (_TRADE.format(src="trade_agg"), ("trade_agg",)),
     "trade_m_agg": (_TRADE_AGG.format(period="year(o.o_orderdate) * 12 + month(o.o_orderdate)"), ()),
     "trade_m": (_TRADE.format(src="trade_m_agg"), ("trade_m_agg",)),
-    "trade_raw": ("""
-SELECT Year, 'N' || CAST(nk AS VARCHAR) AS CountryCode, Country,
-       CASE WHEN st = 'F' THEN 'M' ELSE 'X' END AS flowCode,
-       CASE WHEN st = 'F' THEN 'Import' ELSE 'Export' END AS flowDesc,
-       CAST(q AS DOUBLE) AS Qty, CAST(v AS DOUBLE) AS PrimaryValue
-FROM trade_agg""", ("trade_agg",)),
     "recycling_wide": ("""
 SELECT r.r_name AS LOCATION_CODES, CAST(year(o.o_orderdate) AS INTEGER) AS TIME_PERIOD,
        sum(l.l_extendedprice) / 1e6 AS "TOTAL",
@@ -77,9 +71,6 @@ FROM nation WHERE n_nationkey % 2 = 1
 UNION ALL
 SELECT upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)), n_name FROM nation WHERE n_nationkey = 1""", ()),
     "wb_countries": ("SELECT DISTINCT Country AS Join_Name, WB_Code, Country AS WB_Name FROM gdp", ("gdp",)),
-    "events_daily": ("""
-SELECT event_type AS Series, CAST(dayofyear(ts) AS INTEGER) AS Day, sum(value) AS Amount
-FROM events GROUP BY 1, 2""", ()),
 }
 
 

@@ -164,11 +164,3 @@ def wb_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (Join_Name, WB_Code, WB_Name) of the GDP source."""
     return gdp(spark, sf_dir).select(F.col("Country").alias("Join_Name"), "WB_Code",
                                      F.col("Country").alias("WB_Name")).distinct()
-
-
-def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second series source: Σ value by event type and day index."""
-    e = table(spark, sf_dir, "events").select("ts", "event_type", "value")
-    return (e.groupBy(F.col("event_type").alias("Series"),
-                      F.dayofyear("ts").cast("int").alias("Day"))
-             .agg(F.sum("value").alias("Amount")))
