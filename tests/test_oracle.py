@@ -48,3 +48,9 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0
+
+
+def test_every_oracle_sql_binds_in_duckdb(duck):
+    import __spark_entry__ as E
+    for name, sql in E.oracle_sql().items():
+        duck.execute("EXPLAIN " + sql)  # raises on a syntax or binder error
