@@ -181,7 +181,7 @@ def q_fc_arima_ar1(spark, sf_dir):
 
 @query("fc_arima")
 def q_fc_arima(spark, sf_dir):
-    """Automatic ARIMA: d by KPSS, (p, q) ≤ 2 by AICc, per-candidate grouped-map fit."""
+    """Automatic ARIMA: d by KPSS, (p, q) with p + q ≤ 5 by AICc, one grouped-map fit per series."""
     train, _ = split_m(spark, sf_dir)
     return fc.fc_arima(train, KEYS, IDX, "Qty", H)
 

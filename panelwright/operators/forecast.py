@@ -192,7 +192,9 @@ def fc_ets(df: DataFrame, keys: Keys, index: str, value: str, h: int, grid=None)
 
 # --- automatic ARIMA (grouped-map fit per candidate) ---------------------------------
 
-ARIMA_PQ = [(p, q) for p in range(3) for q in range(3)]
+# Search space of the automatic ARIMA: p, q ≤ 5 with p + q ≤ 5 (the usual
+# automatic-ARIMA limits), each with and without a constant for d ≤ 1.
+ARIMA_PQ = [(p, q) for p in range(6) for q in range(6) if p + q <= 5]
 KPSS_CRIT = 0.463  # 5 % critical value of the level-stationarity KPSS test
 
 
@@ -355,7 +357,7 @@ def arima_candidates(df: DataFrame, keys: Keys, index: str, value: str, h: int,
 
 def fc_arima(df: DataFrame, keys: Keys, index: str, value: str, h: int,
              pq: Sequence[tuple[int, int]] = ARIMA_PQ) -> DataFrame:
-    """Automatic ARIMA: d by repeated KPSS tests; (p, q) and the constant
+    """Automatic ARIMA: d by repeated KPSS tests; (p, q) ≤ 5 and the constant
     (mean for d = 0, drift for d = 1) by minimum AICc."""
     c = arima_candidates(df, keys, index, value, h, pq)
     w = Window.partitionBy(*keys).orderBy("aicc", "p", "q", "constant")
