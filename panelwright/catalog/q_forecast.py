@@ -37,7 +37,7 @@ def series_m(spark, sf_dir):
     test, one pass per model), so it is written once to the checkpoint folder
     instead of re-deriving it from the fact join in every branch.
     """
-    t = b.trade_panel(spark, sf_dir, monthly=True)
+    t = b.trade_panel(spark, sf_dir, monthly=True, materialized=False)
     return cut_lineage(ts.fill_chain(t, KEYS, IDX, "Qty", final=0.0).select(*KEYS, IDX, "Qty"))
 
 

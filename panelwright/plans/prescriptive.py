@@ -87,5 +87,6 @@ def prescriptive_dataset(spark, sf_dir: str, dedupe_codes: bool = False,
     ``trade`` when the caller already holds the trade panel."""
     shares = gdp_shares(gdp_clean(b.gdp(spark, sf_dir), b.country_bridge(spark, sf_dir), dedupe_codes))
     est = country_estimates(shares, regional_rates(b.recycling(spark, sf_dir)))
-    trade = trade if trade is not None else b.trade_panel(spark, sf_dir)
+    # read once here, so no need to write the panel first
+    trade = trade if trade is not None else b.trade_panel(spark, sf_dir, materialized=False)
     return waste_processing(est, trade_wide(trade))
