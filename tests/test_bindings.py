@@ -34,3 +34,24 @@ def test_bridge_has_missing_codes_and_aliases(spark, small_dir):
 def test_recycling_codes(spark, small_dir):
     codes = {r.PLASTICS_CODES for r in b.recycling(spark, small_dir).select("PLASTICS_CODES").distinct().collect()}
     assert codes == {"TOTAL", "REC", "LAND"}
+
+
+def test_prescriptive_options(spark, small_dir):
+    """Decisions kept as parameters: de-duplicated codes avoid double counting
+    in regional totals; the zero guard replaces a NULL percentage by 0."""
+    from panelwright.plans import prescriptive as pr
+    g, br = b.gdp(spark, small_dir), b.country_bridge(spark, small_dir)
+    dup = pr.gdp_clean(g, br).count()
+    dedup = pr.gdp_clean(g, br, dedupe_codes=True).count()
+    assert dedup < dup
+    shares = pr.gdp_shares(pr.gdp_clean(g, br, dedupe_codes=True))
+    sums = shares.groupBy("OECD_Code", "Year").agg(F.sum("GDP_Share").alias("s")).collect()
+    assert all(abs(r.s - 1.0) < 1e-9 for r in sums)
+    est = spark.createDataFrame([("A", 2000, 0.0, 1.0, 0.5)],
+                                "Country string, Year int, Est_Waste_Produced double, "
+                                "Est_Recycled_Amount double, Regional_Recycling_Rate double")
+    tw = spark.createDataFrame([("A", 2000, 0.0, 0.0, 0.0, 0.0)],
+                               "Country string, Year int, Imports double, Exports double, "
+                               "Import_Value double, Export_Value double")
+    assert pr.waste_processing(est, tw).collect()[0].Percent_Own_Processed is None
+    assert pr.waste_processing(est, tw, guard="zero").collect()[0].Percent_Own_Processed == 0.0
