@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import relational as rel
-from ..operators import timeseries as ts
 from ..operators.reshape import pivot_multi, pivot_single, unpivot_long
 from ..plans import forecast_system as fs
 from ..plans import prescriptive as pr

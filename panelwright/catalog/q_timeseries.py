@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import timeseries as ts
 from ..sources import bindings as b
 from . import sqlfrag as sf
