@@ -366,6 +366,36 @@ def fc_arima(df: DataFrame, keys: Keys, index: str, value: str, h: int,
                          "constant", "aicc")
 
 
+def simulate_arima(y: np.ndarray, p: int, d: int, q: int, const: bool, h: int, times: int,
+                   rng: np.random.Generator) -> list[np.ndarray]:
+    """``times`` bootstrap futures of length h: the fitted recursion driven by
+    in-sample residuals drawn with replacement, then undifferenced."""
+    fit = arima_fit_one(y, p, d, q, const)
+    resid = fit["e"][fit["start"]:] if fit is not None and len(fit["e"]) > fit["start"] else np.zeros(1)
+    levels = [np.asarray(y, float)]
+    for _ in range(d):
+        levels.append(np.diff(levels[-1]))
+    out = []
+    for _ in range(times):
+        draws = rng.choice(resid, size=h, replace=True)
+        w, e = list(fit["w"]), list(fit["e"])
+        for t in range(h):
+            n = len(w)
+            val = fit["c"] + sum(fit["phi"][i] * w[n - 1 - i] for i in range(p)) \
+                + sum(fit["theta"][j] * e[n - 1 - j] for j in range(q)) + draws[t]
+            w.append(val)
+            e.append(draws[t])
+        fw = np.array(w[-h:])
+        for k in range(d, 0, -1):
+            fw = levels[k - 1][-1] + np.cumsum(fw)
+        out.append(fw)
+    return out
+
+
+def series_rng(key_text: str, seed: int) -> np.random.Generator:
+    return np.random.default_rng(_seed(key_text, seed))
+
+
 def arima_paths(df: DataFrame, keys: Keys, index: str, value: str, h: int, times: int = 1, seed: int = 123,
                 pq: Sequence[tuple[int, int]] = ARIMA_PQ) -> DataFrame:
     """Bootstrap futures of the chosen ARIMA: residuals resampled with a
@@ -382,29 +412,11 @@ def arima_paths(df: DataFrame, keys: Keys, index: str, value: str, h: int, times
         pdf = pdf.sort_values(index)
         y = pdf[value].to_numpy(float)
         p, d, q = (int(pdf[c].iloc[0]) for c in ("p", "d", "q"))
-        fit = arima_fit_one(y, p, d, q, bool(pdf["constant"].iloc[0]))
-        keytxt = "|".join(str(pdf[k].iloc[0]) for k in keys)
-        rng = np.random.default_rng(_seed(keytxt, seed))
-        resid = fit["e"][fit["start"]:] if fit is not None and len(fit["e"]) > fit["start"] else np.zeros(1)
+        rng = series_rng("|".join(str(pdf[k].iloc[0]) for k in keys), seed)
+        paths = simulate_arima(y, p, d, q, bool(pdf["constant"].iloc[0]), h, times, rng)
         last = int(pdf[index].iloc[-1])
-        rows = []
-        for path in range(times):
-            draws = rng.choice(resid, size=h, replace=True)
-            w, e = list(fit["w"]), list(fit["e"])
-            for t in range(h):
-                n = len(w)
-                val = fit["c"] + sum(fit["phi"][i] * w[n - 1 - i] for i in range(p)) \
-                    + sum(fit["theta"][j] * e[n - 1 - j] for j in range(q)) + draws[t]
-                w.append(val)
-                e.append(draws[t])
-            fw = np.array(w[-h:])
-            levels = [y]
-            for _ in range(d):
-                levels.append(np.diff(levels[-1]))
-            for k in range(d, 0, -1):
-                fw = levels[k - 1][-1] + np.cumsum(fw)
-            rows.append(pd.DataFrame({"path": path + 1, index: np.arange(last + 1, last + h + 1), "sim": fw}))
-        out = pd.concat(rows, ignore_index=True)
+        out = pd.concat([pd.DataFrame({"path": i + 1, index: np.arange(last + 1, last + h + 1), "sim": fw})
+                         for i, fw in enumerate(paths)], ignore_index=True)
         for k in keys:
             out[k] = pdf[k].iloc[0]
         out["path"] = out["path"].astype("int32")

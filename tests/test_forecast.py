@@ -119,3 +119,20 @@ def test_arima_job_equals_local_brute_force(spark):
         mean, _ = fc.arima_forecast(ys, d, best[1], 3)
         for i in range(3):
             assert abs(got[(k, len(ys) + i)] - mean[i]) < 1e-6
+
+
+def test_arima_paths_equal_local_simulation(spark):
+    """Bootstrap paths of the distributed job equal a local run of the same
+    seeded simulation for the model the search picks (brute force on a fixture)."""
+    rng = np.random.default_rng(11)
+    series = {"a": np.cumsum(rng.normal(0.5, 1.0, 30)), "b": 10 + rng.normal(0, 1, 25)}
+    rows = [(k, t, float(v)) for k, ys in series.items() for t, v in enumerate(ys)]
+    df = spark.createDataFrame(rows, "k string, t int, y double")
+    got = {(r.k, r.path, r.t): r.sim for r in fc.arima_paths(df, ["k"], "t", "y", 4, times=2, seed=5).collect()}
+    orders = {r.k: (r.p, r.d, r.q, r.constant) for r in fc.fc_arima(df, ["k"], "t", "y", 1).collect()}
+    for k, ys in series.items():
+        p, d, q, const = orders[k]
+        local = fc.simulate_arima(ys, p, d, q, const, 4, 2, fc.series_rng(k, 5))
+        for i, fw in enumerate(local):
+            for j in range(4):
+                assert abs(got[(k, i + 1, len(ys) + j)] - fw[j]) < 1e-9
