@@ -322,13 +322,13 @@ def fn_string(spark, sf_dir):
 @query("fn_number_format", with_ctes("""
 SELECT Country, Year, round_even(Percent_Own_Processed, 1) + 0.0 AS pct_1dp,
        CASE WHEN Import_Value IS NULL THEN 'n/a'
-            ELSE format('{:,}', CAST(round_even(Import_Value, 0) AS BIGINT)) END AS import_value_fmt
+            ELSE format('{:,}', CAST(round_even(round(Import_Value, 2), 0) AS BIGINT)) END AS import_value_fmt
 FROM waste""", "waste"), doubles={"pct_1dp": 1})
 def fn_number_format(spark, sf_dir):
     """round (half-even), thousands separator, 'n/a' for missing."""
     w = waste(spark, sf_dir)
     return w.select("Country", "Year", X.round_half_even("Percent_Own_Processed", 1).alias("pct_1dp"),
-                    X.big_mark("Import_Value").alias("import_value_fmt"))
+                    X.big_mark("Import_Value", pre_round=2).alias("import_value_fmt"))
 
 
 @query("fn_math", with_ctes("""

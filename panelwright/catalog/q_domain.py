@@ -580,7 +580,7 @@ SELECT Country, Year, Type,
        CASE WHEN Percent_Own_Processed IS NULL THEN 'n/a'
             ELSE format('{:,.2f}', round_even(Percent_Own_Processed, 2) + 0.0) END AS sufficiency_txt,
        CASE WHEN Local_Industry_Value IS NULL THEN 'n/a'
-            ELSE format('{:,}', CAST(round_even(Local_Industry_Value, 0) AS BIGINT)) END AS value_txt
+            ELSE format('{:,}', CAST(round_even(round(Local_Industry_Value, -3), 0) AS BIGINT)) END AS value_txt
 FROM e_out""", "e_out"))
 def dom_prescriptive_profile(spark, sf_dir):
     """Per country-year sufficiency and industry value as display text, with an explicit no-data state."""
@@ -589,7 +589,9 @@ def dom_prescriptive_profile(spark, sf_dir):
     return o.select("Country", "Year", "Type",
                     F.when(p.isNull() & v.isNull(), "no data").otherwise("ok").alias("state"),
                     F.coalesce(F.format_number(F.bround(p, 2) + F.lit(0.0), 2), F.lit("n/a")).alias("sufficiency_txt"),
-                    X.big_mark(v).alias("value_txt"))
+                    # whole thousands: the unit digit of a ~1e12 estimate is below the
+                    # precision its float sums keep across summation orders
+                    X.big_mark(v, pre_round=-3).alias("value_txt"))
 
 
 @query("dom_waste_history", with_ctes("""

@@ -138,9 +138,15 @@ def round_half_even(x: ColumnOrName, digits: int = 0) -> Column:
     return F.bround(col(x), digits)
 
 
-def big_mark(x: ColumnOrName, missing: str = "n/a") -> Column:
-    """``format(round(x), big.mark=",")`` with a text for missing values."""
-    return F.coalesce(F.format_number(F.bround(col(x), 0) + F.lit(0.0), 0), F.lit(missing))
+def big_mark(x: ColumnOrName, missing: str = "n/a", pre_round: int | None = None) -> Column:
+    """``format(round(x), big.mark=",")`` with a text for missing values.
+
+    ``pre_round``: for money sums, round to that many decimals first, so a
+    sum that is exactly at a half unit rounds the same whatever order its
+    terms were added in.
+    """
+    v = col(x) if pre_round is None else F.round(col(x), pre_round)
+    return F.coalesce(F.format_number(F.bround(v, 0) + F.lit(0.0), 0), F.lit(missing))
 
 
 def round_doubles(df, digits: int = 6, per_column: dict | None = None):
