@@ -45,7 +45,7 @@ SELECT Country, Year, Variable, Amount FROM (
   SELECT Country, Year, """ + ", ".join(f"{v} * 1e9 AS {k}" for k, v in KG_VARS.items())
     + """, Import_Value, Export_Value, Regional_Recycling_Rate FROM waste)
 UNPIVOT INCLUDE NULLS (Amount FOR Variable IN (""" + ", ".join(LONG_VARS) + "))", "waste"),
-       doubles={"Amount": 4})
+       doubles={"Amount": "sig10"})
 def unpivot_long(spark, sf_dir):
     """Seven wide columns (quantities in kg) to (Variable, Amount); NULLs kept."""
     w = waste(spark, sf_dir).select("Country", "Year", *[(F.col(v) * 1e9).alias(k) for k, v in KG_VARS.items()],

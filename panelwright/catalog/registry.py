@@ -29,10 +29,21 @@ class Entry:
         if not self.doubles:
             return self.sql
         # "+ 0.0" turns a rounded -0.0 into 0.0 (same on the Spark side)
-        rep = ", ".join(f'round("{c}", {d}) + 0.0 AS "{c}"' for c, d in self.doubles.items())
+        rep = ", ".join(f'{_sql_round(c, d)} AS "{c}"' for c, d in self.doubles.items())
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) AS oracle_q"
 
 
+def _sql_round(c: str, d) -> str:
+    """DuckDB text of ``functions.exprs._round_one``."""
+    if isinstance(d, str) and d.startswith("sig"):
+        n = int(d[3:])
+        k = f'(floor(log10(abs("{c}"))) - {n - 1})'
+        return (f'CASE WHEN "{c}" IS NULL OR "{c}" = 0 THEN "{c}" + 0.0 ELSE (CASE WHEN {k} >= 0 '
+                f'THEN round("{c}" / pow(10.0, {k})) * pow(10.0, {k}) '
+                f'ELSE round("{c}" * pow(10.0, -{k})) / pow(10.0, -{k}) END) + 0.0 END')
+    return f'round("{c}", {d}) + 0.0'
+
+
 REGISTRY: dict[str, Entry] = {}
 
 
@@ -40,7 +51,7 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] | dict = (),
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
     ``doubles``: the DOUBLE output columns, as a list (all at ``digits``) or a
-    dict column → digits.
+    dict column → digits (an int, or ``"sigN"`` for N significant digits).
     """
     dmap = dict(doubles) if isinstance(doubles, dict) else {c: digits for c in doubles}
 

@@ -149,12 +149,31 @@ def big_mark(x: ColumnOrName, missing: str = "n/a", pre_round: int | None = None
     return F.coalesce(F.format_number(F.bround(v, 0) + F.lit(0.0), 0), F.lit(missing))
 
 
+def round_significant(x: ColumnOrName, digits: int) -> Column:
+    """Round to ``digits`` significant digits with exact powers of ten only
+    (x / 10^k for k ≥ 0, x · 10^−k otherwise), so two engines given values
+    that differ in their last float bits return the same double."""
+    x = col(x)
+    k = F.floor(F.log10(F.abs(x))) - F.lit(digits - 1)
+    ten_k = F.pow(F.lit(10.0), k)
+    ten_mk = F.pow(F.lit(10.0), -k)
+    r = F.when(k >= 0, F.round(x / ten_k) * ten_k).otherwise(F.round(x * ten_mk) / ten_mk)
+    return F.when(x.isNull() | (x == 0), x + F.lit(0.0)).otherwise(r + F.lit(0.0))
+
+
+def _round_one(name: str, d):
+    if isinstance(d, str) and d.startswith("sig"):
+        return round_significant(name, int(d[3:]))
+    return F.round(F.col(name), d) + F.lit(0.0)
+
+
 def round_doubles(df, digits: int = 6, per_column: dict | None = None):
     """Round every DOUBLE column (result comparison is done on rounded values);
-    ``per_column`` overrides the digits of single columns."""
+    ``per_column`` overrides the digits of single columns (an int, or
+    ``"sigN"`` for N significant digits)."""
     from pyspark.sql.types import DoubleType, FloatType
     per_column = per_column or {}
-    exprs = [(F.round(F.col(f.name), per_column.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
+    exprs = [_round_one(f.name, per_column.get(f.name, digits)).alias(f.name)
              if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
              for f in df.schema.fields]
     return df.select(*exprs)
