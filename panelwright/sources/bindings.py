@@ -32,22 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(sf_path(sf_dir, name))
 
 
-def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = False) -> DataFrame:
-    """Σ quantity and Σ value per (period, supplier, line status, return flag).
+def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = False,
+                           flag: str = "l_linestatus") -> DataFrame:
+    """Σ quantity and Σ value per (period, supplier, ``flag``).
 
     Eager aggregation: the fact join ``lineitem ⋈ orders`` (shuffled on the
     order key) is aggregated to supplier grain *before* the supplier join, so
     the second exchange carries suppliers × periods × 6 flags instead of
-    every line — at TPC-H scale 100 000 the supplier table is far above any
+    every line (``flag`` is the one line attribute the caller groups by) — at
+    TPC-H scale 100 000 the supplier table is far above any
     broadcast threshold and that join is a shuffle of its own.
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", flag)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
     period = (F.year(d) * 12 + F.month(d)) if monthly else F.year(d)
     return (li.join(o, li.l_orderkey == o.o_orderkey)
-              .groupBy(period.cast("int").alias("Year"), "l_suppkey", "l_linestatus", "l_returnflag")
+              .groupBy(period.cast("int").alias("Year"), "l_suppkey", flag)
               .agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v")))
 
 
@@ -111,7 +112,8 @@ def recycling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     TOTAL = all revenue, REC = returned ('R') revenue, LAND = 'N' revenue.
     """
-    lines = with_nation(supplier_period_totals(spark, sf_dir), spark, sf_dir, with_region=True)
+    lines = with_nation(supplier_period_totals(spark, sf_dir, flag="l_returnflag"), spark, sf_dir,
+                        with_region=True)
     v = F.col("v")
     agg = (lines.groupBy(F.col("r_name").alias("LOCATION_CODES"), F.col("Year").alias("TIME_PERIOD"))
                 .agg((F.sum(v) / 1e6).alias("TOTAL"),
