@@ -11,7 +11,9 @@ against the runtime size of the shuffled side.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +48,16 @@ def build_session(master: str | None = None, app: str = "panelwright",
     return spark
 
 
+def _own_folder(prefix: str) -> str:
+    """A folder of this driver process, removed when it ends."""
+    path = os.path.realpath(tempfile.mkdtemp(prefix=prefix))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only a local session
-    without one gets a private scratch folder."""
+    without one (tests) gets a private scratch folder, removed at exit."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -57,7 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="panelwright-ckpt-")
+        configured = _own_folder("panelwright-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
 
@@ -101,7 +110,7 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="panelwright-py-"), "panelwright.zip")
+    out = os.path.join(_own_folder("panelwright-py-"), "panelwright.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             if "__pycache__" in root:
