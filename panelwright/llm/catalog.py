@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_report
+from .ngram_join import jaccard_classes
+from .quality import grade_documents
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (jaccard_classes(read_table(spark, sf_dir, "documents"))
+            .selectExpr("id AS doc_id", "class_id", "class_size", "n_links", "lead AS kept"))
+
+
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +56,8 @@ SELECT d.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(c, 0))::BIGINT
 FROM docs d LEFT JOIN per USING (doc_id)"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_ngram_join": (op1_ngram_join, None),
+    "op2_ordinal_quality": (op2_ordinal_quality, None),
     "op5_chunk_recipes": (op5_chunk_recipes, SQL_OP5),
     "op9_line_dedup": (op9_line_dedup, SQL_OP9),
 }

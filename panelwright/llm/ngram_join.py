@@ -53,10 +53,8 @@ def gram_arrays(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         if c >= words:
             out.append(np.unique(grams[at:at + c - words + 1]))
         elif c:
-            short = np.uint64(c)
-            for j in range(c):
-                short = short + h[at + j] * odd[j]
-            out.append(mix(np.array([short], np.uint64)))
+            short = (h[at:at + c] * odd[:c]).sum(dtype=np.uint64, keepdims=True) + np.uint64(c)
+            out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
         at += c

@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A document's grade is 0 (poor), 1 (fair text, toxic) or 2 (good).  One weight
+A document's grade is 0 (toxic), 1 (poor) or 2 (good).  One weight
 vector over hashed text features is shared by all grades; ordered thresholds
 cut its score into grades: P(grade <= k) = sigmoid(threshold_k - score).  The
 model gives the expected grade and the tail probability P(grade >= 2) that
@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import on_workers, text_or_empty
 
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 12_000
 DIM = 1 << 18
 MIN_DF = 4
+MIN_Z = 5.0
 GRADES = 3
 PREFIXES = (4, 5)
 KEEP_TAIL = 0.5
@@ -40,39 +42,53 @@ def _level(share: float) -> int:
     return 0 if share < 0.02 else 1 if share < 0.1 else 2 if share < 0.3 else 3
 
 
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIM
+
+
 class Slots(dict):
-    """Feature name → hashed position; remembers up to 200,000 names."""
+    """Word or word beginning → its hashed feature as a tuple, empty if the
+    model has no weight for it (``live``).  Remembers up to 200,000 names."""
+
+    def __init__(self, kind: str, live: np.ndarray | None = None):
+        super().__init__()
+        self.kind, self.live = kind, live
 
     def __missing__(self, name):
-        slot = zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIM
+        at = _slot(self.kind + name)
         if len(self) >= 200_000:
             self.clear()
-        self[name] = slot
-        return slot
+        self[name] = out = (at,) if self.live is None or self.live[at] else ()
+        return out
+
+
+def all_slots(live: np.ndarray | None = None) -> list[Slots]:
+    return [Slots("w:", live)] + [Slots(f"p{k}:", live) for k in PREFIXES]
 
 
-def features(text: str, slots: Slots) -> set[int]:
+def features(text: str, slots: list[Slots]) -> set[int]:
     """Hashed binary features: the distinct lower-cased words and their first
-    four and five letters (word families), and levels of runs of signs, upper-case words, repeated words and length."""
+    four and five letters (word families), and levels of runs of signs,
+    upper-case words, repeated words and length."""
     words = _WORD.findall(text)
     n = len(words)
     distinct = set(map(str.lower, words))
-    out = {slots["w:" + w] for w in distinct}
-    for k in PREFIXES:
-        out.update([slots[f"p:{p}"] for p in {w[:k] for w in distinct}])
+    out = set(chain.from_iterable(map(slots[0].__getitem__, distinct)))
+    for k, known in zip(PREFIXES, slots[1:]):
+        out.update(chain.from_iterable(map(known.__getitem__, {w[:k] for w in distinct})))
     length = n.bit_length()
     runs: dict[str, int] = {}
     for s in _SIGNS.findall(text):
         s = s[:4]
         runs[s] = runs.get(s, 0) + 1
     for s, c in runs.items():
-        out.add(slots[f"s:{s}:{_level(c / max(n, 1))}"])
+        out.add(_slot(f"s:{s}:{_level(c / max(n, 1))}"))
     upper = sum(map(str.isupper, words))
     twice = sum(map(str.__eq__, words, words[1:]))
-    out.add(slots[f"upper:{_level(upper / max(n, 1))}"])
-    out.add(slots[f"twice:{_level(twice / max(n, 1))}"])
-    out.add(slots[f"new:{10 * len(distinct) // max(n, 1)}:{length}"])
-    out.add(slots[f"len:{length}"])
+    out.add(_slot(f"upper:{_level(upper / max(n, 1))}"))
+    out.add(_slot(f"twice:{_level(twice / max(n, 1))}"))
+    out.add(_slot(f"new:{10 * len(distinct) // max(n, 1)}:{length}"))
+    out.add(_slot(f"len:{length}"))
     return out
 
 
@@ -86,19 +102,23 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, rounds: int = 250, ridge: float = 0.5,
+def fit(rows: list[np.ndarray], grade: np.ndarray, rounds: int = 500, ridge: float = 0.1,
         rate: float = 0.05) -> OrdinalModel | None:
-    """Maximum likelihood with ridge, by Adam on the full sample; features in
-    under ``MIN_DF`` rows get no weight.  None without rows."""
+    """Maximum likelihood with ridge, by Adam on the full sample.  Only
+    features of at least ``MIN_DF`` rows whose mean grade lies ``MIN_Z``
+    standard errors below the overall mean get a weight: a fault counts the
+    same in a long text as in a short one.  None without rows."""
     if not len(rows):
         return None
     at = np.concatenate(rows)
-    starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
-    lens = np.array([len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     df = np.bincount(at, minlength=DIM)
-    used = (df >= MIN_DF) & (df < len(rows))
+    # screening: the mean grade of rows with the feature lies clearly below the overall mean
+    mean = np.bincount(at, grade[row], DIM) / np.maximum(df, 1)
+    z = (mean - grade.mean()) * np.sqrt(df) / max(grade.std(), 1e-9)
+    used = (df >= MIN_DF) & (z <= -MIN_Z)
+    at, row = at[used[at]], row[used[at]]
     names, col = np.unique(at, return_inverse=True)
-    live = used[names].astype(float)
     w = np.zeros(len(names))
     cut = np.array([-1.0, 1.0])
     params = np.concatenate([w, [cut[0], np.log(cut[1] - cut[0])]])
@@ -110,14 +130,14 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, rounds: int = 250, ridge: flo
 
     for t in range(1, rounds + 1):
         w, th = params[:-2], np.array([params[-2], params[-2] + np.exp(params[-1])])
-        score = np.add.reduceat(w[col], starts)
+        score = np.bincount(row, w[col], len(rows))
         hi = np.where(grade == GRADES - 1, 1.0, sig(np.take(th, np.minimum(grade, GRADES - 2)) - score))
         lo = np.where(grade == 0, 0.0, sig(np.take(th, np.maximum(grade - 1, 0)) - score))
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
         g_score = dhi - dlo                                   # d(-log p)/d score
         g_th = np.array([-(dhi * (grade == k)).sum() + (dlo * (grade == k + 1)).sum() for k in (0, 1)])
-        grad = np.concatenate([(np.bincount(col, np.repeat(g_score, lens), len(names)) + ridge * w) * live,
+        grad = np.concatenate([np.bincount(col, g_score[row], len(names)) + ridge * w,
                                [g_th.sum(), g_th[1] * np.exp(params[-1])]])
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad ** 2
@@ -128,7 +148,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, rounds: int = 250, ridge: flo
 
 
 def _sample_features(batches):
-    slots = Slots()
+    slots = all_slots()
     for pdf in batches:
         rows = [sorted(features(t, slots)) for t in pdf["text"]]
         yield pd.DataFrame({"key": pdf["key"], "grade": pdf["grade"], "at": rows})
@@ -138,10 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           sample_rows: int = SAMPLE_ROWS) -> OrdinalModel | None:
     """Fit on at most ``sample_rows`` labelled rows that ``docs`` holds.
 
-    A row of ``labels`` (doc_id, quality, toxic) gives grade 0 for quality 0,
-    1 for toxic text, else 2; a NULL quality is no label, a NULL toxic counts
+    A row of ``labels`` (doc_id, quality, toxic) gives grade 0 for toxic
+    text, 1 for quality 0, else 2; a NULL quality is no label, a NULL toxic counts
     as 0.  None if no labelled row is found."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     chosen = (labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
               .select(F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.col("doc_id").cast("long").alias("l_id"),
                       grade.alias("grade")).distinct().orderBy("key", "l_id", "grade").limit(sample_rows))
@@ -162,7 +182,7 @@ def score_column(df: DataFrame, model: OrdinalModel, text_col: str) -> Column:
 
     def score(batches):
         weights, thresholds = shared.value
-        slots = Slots()
+        slots = all_slots(weights != 0)
         for texts in batches:
             s = np.array([float(weights[list(features(t, slots))].sum(dtype=np.float64)) for t in texts])
             tails = OrdinalModel(weights, thresholds).tails(s)
