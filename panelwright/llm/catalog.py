@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontamination import find_passages
 from .exact_dedup import exact_dedup
 from .line_dedup import line_report
 from .ngram_join import jaccard_classes
+from .packing import pack_documents, packed_digests
 from .quality import grade_documents
 
 
@@ -22,6 +25,10 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digests(pack_documents(read_table(spark, sf_dir, "documents")))
+
+
 def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +37,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("n_places"), F.min("start").alias("first_start"), F.max("end").alias("last_end"),
+        F.min("edits").cast("long").alias("least_edits"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 SQL_OP5 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -58,8 +77,11 @@ FROM docs d LEFT JOIN per USING (doc_id)"""
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ngram_join": (op1_ngram_join, None),
     "op2_ordinal_quality": (op2_ordinal_quality, None),
+    "op3_harmonic_packing": (op3_harmonic_packing, None),
     "op5_chunk_recipes": (op5_chunk_recipes, SQL_OP5),
     "op9_line_dedup": (op9_line_dedup, SQL_OP9),
+    "op10_benchmark_passages": (op10_benchmark_passages, None),
+    "pipeline": (pipeline, None),
 }
 
 
