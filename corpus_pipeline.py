@@ -27,9 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document holds; those that had
     text and lose all of it are dropped.  ``n_chars`` follows the text."""
-    before = docs.withColumn("had_text", F.length(F.trim("text")) > 0)
-    after = line_dedup(before).filter("NOT coalesce(had_text, false) OR length(trim(text)) > 0")
-    return after.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    after = line_dedup(docs, drop_emptied=True)
+    return after.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, scratch
 from .decontamination import find_passages
 from .exact_dedup import exact_dedup
+from .html_text import extract_text, learn_weights
 from .line_dedup import line_report
 from .ngram_join import jaccard_classes
 from .packing import pack_documents, packed_digests
 from .quality import grade_documents
+from .sharding import shard_documents
+from .token_counts import count_tokens
+from .warc import read_warc, resolve_revisits, write_warc
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +33,29 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(pack_documents(read_table(spark, sf_dir, "documents")))
 
 
+def op4_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return extract_text(pages, learn_weights(pages))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    write_warc(read_table(spark, sf_dir, "pages"), path)
+    return resolve_revisits(read_warc(spark, path))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +72,39 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+SQL_OP1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS gs FROM w),
+s AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS gram FROM g),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+c AS (SELECT doc_id, min(other) AS class_id, count(*) AS class_size FROM reach GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT c.doc_id, class_id, class_size, coalesce(k.n, 0) AS n_links, c.doc_id = class_id AS kept
+FROM c LEFT JOIN k ON c.doc_id = k.doc_id"""
+
+# The mark-up of the given pages, stated directly: blocks inside <article>.
+SQL_OP6 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS b FROM pages),
+t AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(b, '</?(h1|p|br)>'),
+        lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'),
+          '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM a)
+SELECT page_id, url, array_to_string(ls, chr(10)) AS text, length(array_to_string(ls, chr(10))) AS n_chars FROM t"""
+
+SQL_OP8 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p),
+x AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::INT) AS v FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM x"""
+
 SQL_OP5 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -75,10 +131,14 @@ SELECT d.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(c, 0))::BIGINT
 FROM docs d LEFT JOIN per USING (doc_id)"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "op1_ngram_join": (op1_ngram_join, None),
+    "op1_ngram_join": (op1_ngram_join, SQL_OP1),
     "op2_ordinal_quality": (op2_ordinal_quality, None),
     "op3_harmonic_packing": (op3_harmonic_packing, None),
+    "op4_label_propagation_shards": (op4_label_propagation_shards, None),
     "op5_chunk_recipes": (op5_chunk_recipes, SQL_OP5),
+    "op6_main_text": (op6_main_text, SQL_OP6),
+    "op7_token_counts": (op7_token_counts, None),
+    "op8_warc_round_trip": (op8_warc_round_trip, SQL_OP8),
     "op9_line_dedup": (op9_line_dedup, SQL_OP9),
     "op10_benchmark_passages": (op10_benchmark_passages, None),
     "pipeline": (pipeline, None),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, sf_path, ship_package
+from ..session import ensure_checkpoint_dir, materialize, sf_path, ship_package
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +29,8 @@ def on_workers(df: DataFrame) -> DataFrame:
     """Make this package importable in the Python workers that will process ``df``."""
     ship_package(df.sparkSession)
     return df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the cluster's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/llm-{name}-{uuid.uuid4().hex}"

@@ -131,8 +131,9 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               min_chars: int = MIN_CHARS) -> DataFrame:
+               min_chars: int = MIN_CHARS, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of the text; all columns stay.
+    ``drop_emptied`` drops documents that lose all but blank lines.
 
     * Kept lines keep their text, blanks and order.  A document without
       repeated lines is returned unchanged; one that loses every line has the
@@ -153,6 +154,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
     clean = F.when(F.col("dropped").isNull(), row[text_col].cast("string")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    if drop_emptied:
+        joined = joined.filter(F.col("dropped").isNull() | (F.length(F.trim(F.translate(clean, "\n", " "))) > 0))
     return joined.select(*[(clean if c == text_col else row[c]).alias(c) for c in docs.columns])
 
 
