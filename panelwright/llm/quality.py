@@ -105,17 +105,18 @@ class OrdinalModel:
 def fit(rows: list[np.ndarray], grade: np.ndarray, rounds: int = 500, ridge: float = 0.1,
         rate: float = 0.05) -> OrdinalModel | None:
     """Maximum likelihood with ridge, by Adam on the full sample.  Only
-    features of at least ``MIN_DF`` rows whose mean grade lies ``MIN_Z``
-    standard errors below the overall mean get a weight: a fault counts the
+    features of at least ``MIN_DF`` rows whose share of top grades lies
+    ``MIN_Z`` standard errors below the overall share get a weight: a fault counts the
     same in a long text as in a short one.  None without rows."""
     if not len(rows):
         return None
     at = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     df = np.bincount(at, minlength=DIM)
-    # screening: the mean grade of rows with the feature lies clearly below the overall mean
-    mean = np.bincount(at, grade[row], DIM) / np.maximum(df, 1)
-    z = (mean - grade.mean()) * np.sqrt(df) / max(grade.std(), 1e-9)
+    # screening: rows with the feature have the top grade clearly less often than all rows
+    top = (grade == GRADES - 1).astype(float)
+    share = np.bincount(at, top[row], DIM) / np.maximum(df, 1)
+    z = (share - top.mean()) * np.sqrt(df) / max(top.std(), 1e-9)
     used = (df >= MIN_DF) & (z <= -MIN_Z)
     at, row = at[used[at]], row[used[at]]
     names, col = np.unique(at, return_inverse=True)

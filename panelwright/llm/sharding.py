@@ -3,9 +3,9 @@
 Documents that share a group are linked.  Starting from hashed shards, every
 round counts the shards of each document's neighbours (an aggregation per
 group and a join back), lets documents ask for the shard that holds most of
-them, and grants moves under quotas: as many documents may swap between two
-shards as ask in the other direction, plus what room the capacity leaves.
-Only the shard-by-shard request matrix reaches the driver.
+them, and grants moves under capacity quotas: what comes into a shard beyond
+what leaves it must fit its room.
+Only the shard-by-shard request matrices reach the driver.
 
 A last pass makes the counts exact: rows are ordered by shard, with linked
 groups in the middle of each shard and single documents at its ends, numbered
@@ -20,22 +20,37 @@ from pyspark.sql import functions as F
 
 from .common import store, text_or_empty
 
-SHARDS, ROUNDS, SLACK = 8, 4, 0.02
+SHARDS, ROUNDS, SLACK = 8, 4, 0.2
 _UNIT = 1 << 20
 
 
-def _quotas(wants: dict[tuple[int, int], int], load: list[int], capacity: float) -> dict[tuple[int, int], float]:
-    """Share of the requests from shard a to shard b that are granted."""
+def _quotas(wants: dict[tuple[int, int, int], int], load: list[int], capacity: float) -> dict[tuple[int, int, int], float]:
+    """Share granted of the requests (size class, from shard, to shard).
+
+    Documents with few neighbours come first, as large groups may not fit
+    anyway.  Moves in and out of a shard offset each other; where what remains
+    is more than the capacity, the requests for that shard are cut evenly.  A
+    group of half a shard or more is granted whole: the final cut lays what a
+    shard cannot hold into the next."""
     shards = range(len(load))
-    grant = {(a, b): min(n, wants.get((b, a), 0)) for (a, b), n in wants.items()}
-    room = [max(0.0, capacity - load[s]) for s in shards]
-    for b in shards:
-        open_ = {a: wants[a, b] - grant[a, b] for a in shards if (a, b) in wants}
-        total = sum(open_.values())
-        share = min(1.0, room[b] / total) if total else 0.0
-        for a, n in open_.items():
-            grant[a, b] += n * share
-    return {ab: grant[ab] / n for ab, n in wants.items()}
+    load, share = list(load), {}
+    for c in sorted({c for c, _, _ in wants}):
+        ask = {(a, b): n for (k, a, b), n in wants.items() if k == c}
+        grant = {ab: float(n) for ab, n in ask.items()}
+        for _ in range(0 if 2 ** (c + 1) >= capacity else 2 * len(load)):
+            for b in shards:
+                come = sum(n for (_, t), n in grant.items() if t == b)
+                go = sum(n for (f, _), n in grant.items() if f == b)
+                over = load[b] + come - go - capacity
+                if over > 0 and come > 0:
+                    for a in shards:
+                        if (a, b) in grant:
+                            grant[a, b] *= max(0.0, 1 - over / come)
+        for (a, b), n in grant.items():
+            load[b] += n
+            load[a] -= n
+        share.update({(c, a, b): grant[a, b] / n for (a, b), n in ask.items()})
+    return share
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
@@ -66,15 +81,22 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         liking = links.join(held, "hub").groupBy("node").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)])
         most = F.greatest(*[F.col(f"n{s}") for s in range(shards)])
         best = F.coalesce(*[F.when(F.col(f"n{s}") == most, F.lit(s)) for s in range(shards)])
-        asked = store(linked.join(liking.select("node", best.alias("best")), "node"), "shard-requests")
-        wants = {(r["shard"], r["best"]): r["count"]                 # at most shards² rows
-                 for r in asked.filter("shard <> best").groupBy("shard", "best").count().collect()}
+        near = sum((F.col(f"n{s}") for s in range(shards)), F.lit(0.0))
+        size = F.floor(F.log2(F.greatest(near, F.lit(1.0)))).cast("int")
+        asked = store(linked.join(liking.select("node", best.alias("best"), size.alias("size")), "node"), "shard-requests")
+        wants = {(r["size"], r["shard"], r["best"]): r["count"]      # at most shards² rows for each power of two
+                 for r in asked.filter("shard <> best").groupBy("size", "shard", "best").count().collect()}
         if not wants:
             break
         quota = _quotas(wants, load, capacity)
+
+        def code(c, a, b):
+            return (c * shards + a) * shards + b
+        share = F.create_map(*[x for k, q in quota.items() for x in (F.lit(code(*k)), F.lit(float(q)))])
+        granted = F.element_at(share, code(F.col("size"), F.col("shard"), F.col("best")))
+        # a group moves as one
         draw = F.pmod(F.xxhash64(F.lit(turn), F.col("main")), F.lit(_UNIT)) / F.lit(float(_UNIT))
-        share = F.create_map(*[x for (a, b), q in quota.items() for x in (F.lit(a * shards + b), F.lit(float(q)))])
-        moves = (F.col("shard") != F.col("best")) & (draw < F.element_at(share, F.col("shard") * shards + F.col("best")))
+        moves = (F.col("shard") != F.col("best")) & (draw < granted)
         linked = store(asked.select("node", "main", F.when(moves, F.col("best")).otherwise(F.col("shard")).cast("int").alias("shard")),
                        "shard-labels")
         load = [a + b for a, b in zip(alone, per_shard(linked))]
