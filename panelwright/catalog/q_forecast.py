@@ -81,17 +81,18 @@ def _sql_ets(src, keys, h, value="Qty"):
 SELECT {k}, 'ETS' AS model, Year, level + {cum} * trend AS mean, sigma2 * (1.0 + {varsum}) AS variance FROM (
   SELECT *, CAST(unnest(generate_series(last + 1, last + {h})) AS INTEGER) AS Year FROM (
     SELECT {k}, fam, alpha, beta, phi, st.l AS level, st.b AS trend, sigma2, last FROM (
-      SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY aicc, kk, alpha, beta, phi) AS rn FROM (
-        SELECT *, m * ln(greatest(st.sse, 1e-12) / m) + 2 * kk
+      SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY aicc NULLS LAST, kk,
+                                        CASE WHEN aicc IS NULL THEN st.sse END, alpha, beta, phi) AS rn FROM (
+        SELECT *, m * ln(greatest(st.sse, 1e-12) / nullif(m, 0)) + 2 * kk
                   + CASE WHEN m - kk - 1 > 0 THEN 2 * kk * (kk + 1) / (m - kk - 1) END AS aicc,
-               st.sse / CASE WHEN m - kk > 0 THEN m - kk ELSE m END AS sigma2
+               st.sse / CASE WHEN m - kk > 0 THEN m - kk ELSE nullif(m, 0) END AS sigma2
         FROM (SELECT *, {fold} AS st, CASE fam WHEN 'ANN' THEN 2 WHEN 'AAN' THEN 4 ELSE 5 END AS kk,
                      CAST(n - 1 AS DOUBLE) AS m
               FROM (SELECT s.*, g.fam, g.alpha, g.beta, g.phi
                     FROM (SELECT {k}, list({value} ORDER BY Year) AS y, count(*) AS n, max(Year) AS last
-                          FROM {src} GROUP BY {k} HAVING count(*) >= 3) s,
+                          FROM {src} GROUP BY {k}) s,
                          (SELECT unnest([{grid}]) AS g0) gg(g)))
-        ) WHERE aicc IS NOT NULL)
+        ))
     WHERE rn = 1))"""
 
 
@@ -103,22 +104,16 @@ def _sql_ar1(src, keys, h, value="Qty"):
 SELECT {k}, 'AR1' AS model, Year, c * {geo} + pow(phi, kk) * y AS mean, sigma2 * {geo2} AS variance FROM (
   SELECT *, CAST(Year - last AS DOUBLE) AS kk FROM (
     SELECT *, CAST(unnest(generate_series(last + 1, last + {h})) AS INTEGER) AS Year FROM (
-      SELECT s.*, CASE WHEN s.m > 2 THEN r.sse / (s.m - 2) END AS sigma2 FROM (
+      SELECT *, CASE WHEN m > 2 THEN greatest(syy - phi * sxy, 0.0) / (m - 2) END AS sigma2 FROM (
         SELECT {k}, regr_slope({value}, lg) AS phi, regr_intercept({value}, lg) AS c, regr_count({value}, lg) AS m,
-               arg_max({value}, Year) AS y, max(Year) AS last
-        FROM (SELECT *, lag({value}) OVER (PARTITION BY {k} ORDER BY Year) AS lg FROM {src}) GROUP BY {k}) s
-      JOIN (SELECT d.{keys[0]}{''.join(', d.' + x for x in keys[1:])},
-                   sum(({value} - c - phi * lg) * ({value} - c - phi * lg)) AS sse
-            FROM (SELECT *, lag({value}) OVER (PARTITION BY {k} ORDER BY Year) AS lg FROM {src}) d
-            JOIN (SELECT {k}, regr_slope({value}, lg) AS phi, regr_intercept({value}, lg) AS c
-                  FROM (SELECT *, lag({value}) OVER (PARTITION BY {k} ORDER BY Year) AS lg FROM {src}) GROUP BY {k}) p
-              USING ({k})
-            GROUP BY {k}) r USING ({k}))))"""
+               regr_syy({value}, lg) AS syy, regr_sxy({value}, lg) AS sxy, arg_max({value}, Year) AS y, max(Year) AS last
+        FROM (SELECT *, lag({value}) OVER (PARTITION BY {k} ORDER BY Year) AS lg FROM {src}) GROUP BY {k}))))"""
 
 
 register("fcm_mean", _sql_mean("train_m", KEYS, H), ("train_m",))
 register("fcm_naive", _sql_naive("train_m", KEYS, H), ("train_m",))
 register("fcm_ets", _sql_ets("train_m", KEYS, H), ("train_m",))
+register("fcm_ar1", _sql_ar1("train_m", KEYS, H), ("train_m",))
 register("fcm_all", "SELECT * FROM fcm_mean UNION ALL SELECT * FROM fcm_naive UNION ALL SELECT * FROM fcm_ets",
          ("fcm_mean", "fcm_naive", "fcm_ets"))
 register("fcm_act", """
@@ -172,7 +167,7 @@ def q_fc_ets(spark, sf_dir):
     return fc.fc_ets(train, KEYS, IDX, "Qty", H)
 
 
-@query("fc_arima_ar1", with_ctes(_sql_ar1("train_m", KEYS, H), "train_m"), doubles=FC_D)
+@query("fc_arima_ar1", with_ctes("SELECT * FROM fcm_ar1", "fcm_ar1"), doubles=FC_D)
 def q_fc_arima_ar1(spark, sf_dir):
     """AR(1) with constant by conditional least squares (regr_slope / regr_intercept)."""
     train, _ = split_m(spark, sf_dir)
@@ -195,11 +190,13 @@ def model_menu(choice: str):
     return MENU[choice]
 
 
-@query("fc_model_menu", with_ctes("SELECT * FROM fcm_naive", "fcm_naive"), doubles=FC_D)
+@query("fc_model_menu", with_ctes("SELECT * FROM fcm_all UNION ALL SELECT * FROM fcm_ar1", "fcm_all", "fcm_ar1"), doubles=FC_D)
 def q_fc_model_menu(spark, sf_dir):
-    """User-picked model (parameter → branch); here NAIVE."""
+    """User-picked model (parameter → branch): every SQL-checkable branch in
+    turn, told apart by the model column."""
     train, _ = split_m(spark, sf_dir)
-    return model_menu("NAIVE")(train, KEYS, IDX, "Qty", H)
+    picks = [model_menu(m)(train, KEYS, IDX, "Qty", H) for m in ("MEAN", "NAIVE", "ETS", "AR1")]
+    return picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3])
 
 
 @query("fc_multi_model", with_ctes("SELECT * FROM fcm_all", "fcm_all"), doubles=FC_D)
@@ -352,8 +349,10 @@ SELECT model, avg(RMSE) AS mean_RMSE, median(RMSE) AS median_RMSE, avg(MAE) AS m
        avg(MAPE) AS mean_MAPE, median(MAPE) AS median_MAPE FROM fcm_acc GROUP BY model""", "fcm_acc"),
        doubles={f"{a}_{m}": (6 if m == "MAPE" else 4) for a in ("mean", "median") for m in ("RMSE", "MAE", "MAPE")})
 def q_fc_error_summary(spark, sf_dir):
-    """Mean and median of the accuracy metrics over series, per model."""
-    return ev.error_summary(accuracy_m(spark, sf_dir))
+    """Mean and median of the accuracy metrics over series, per model.  The
+    accuracy table (one row per series and model) is written once, so the
+    models are fitted once."""
+    return ev.error_summary(cut_lineage(accuracy_m(spark, sf_dir)))
 
 
 @query("agg_mean_median_errors", with_ctes("""
@@ -361,25 +360,27 @@ SELECT flowDesc, model, avg(MAPE) AS mean_MAPE, median(MAPE) AS median_MAPE FROM
        doubles={"mean_MAPE": 6, "median_MAPE": 6})
 def q_agg_mean_median_errors(spark, sf_dir):
     """Mean and median MAPE per flow and model."""
-    return ev.error_summary(accuracy_m(spark, sf_dir), ["flowDesc", "model"], ["MAPE"])
+    return ev.error_summary(cut_lineage(accuracy_m(spark, sf_dir)), ["flowDesc", "model"], ["MAPE"])
 
 
 @query("fc_divergence", with_ctes("""
-SELECT * FROM (
+SELECT *, CAST(rank() OVER (ORDER BY round(divergence, 6) DESC) AS INTEGER) AS rank FROM (
   SELECT Country, flowDesc, mape_a, mape_b, abs(mape_a - mape_b) AS divergence FROM (
     SELECT Country, flowDesc, max(CASE WHEN model = 'ETS' THEN MAPE END) AS mape_a,
            max(CASE WHEN model = 'NAIVE' THEN MAPE END) AS mape_b
     FROM fcm_acc WHERE model IN ('ETS', 'NAIVE') GROUP BY 1, 2))
 WHERE divergence IS NOT NULL""", "fcm_acc"), doubles={"mape_a": 6, "mape_b": 6, "divergence": 6})
 def q_fc_divergence(spark, sf_dir):
-    """Per-series |MAPE_ETS − MAPE_NAIVE| (the disagreement ranking's input)."""
-    return ev.divergence(accuracy_m(spark, sf_dir), KEYS, "ETS", "NAIVE")
+    """Per-series |MAPE_ETS − MAPE_NAIVE| and its rank (1 = largest)."""
+    return ev.divergence(cut_lineage(accuracy_m(spark, sf_dir)), KEYS, "ETS", "NAIVE")
 
 
-@query("fc_refit_full", with_ctes(_sql_naive("series_m", KEYS, 10), "series_m"), doubles=FC_D)
+@query("fc_refit_full", with_ctes(_sql_naive("series_m", KEYS, 10) + " UNION ALL " + _sql_ets("series_m", KEYS, 10), "series_m"),
+       doubles=FC_D)
 def q_fc_refit_full(spark, sf_dir):
-    """Model refitted on all data, 10 steps ahead."""
-    return fc.fc_naive(series_m(spark, sf_dir), KEYS, IDX, "Qty", 10)
+    """Models refitted on all data, 10 steps ahead: NAIVE and ETS."""
+    s = series_m(spark, sf_dir)
+    return fc.fc_naive(s, KEYS, IDX, "Qty", 10).unionByName(fc.fc_ets(s, KEYS, IDX, "Qty", 10))
 
 
 @query("jump_off_point", with_ctes("""
@@ -422,8 +423,9 @@ SELECT Country, Year, Variable, Amount FROM (SELECT Country, Year, """ + ", ".jo
 UNPIVOT INCLUDE NULLS (Amount FOR Variable IN (""" + ", ".join(WVARS) + "))", ("waste",))
 register("wl_train", f"SELECT * FROM wl WHERE Year <= {CUT_YEAR}", ("wl",))
 register("wl_test", f"SELECT * FROM wl WHERE Year > {CUT_YEAR}", ("wl",))
-register("wfc", _sql_mean("wl_train", ["Country", "Variable"], HB, "Amount").replace("'MEAN' AS model", "'MEAN' AS model")
-         + " UNION ALL " + _sql_naive("wl_train", ["Country", "Variable"], HB, "Amount"), ("wl_train",))
+register("wfc", _sql_mean("wl_train", ["Country", "Variable"], HB, "Amount")
+         + " UNION ALL " + _sql_naive("wl_train", ["Country", "Variable"], HB, "Amount")
+         + " UNION ALL " + _sql_ets("wl_train", ["Country", "Variable"], HB, "Amount"), ("wl_train",))
 
 
 def waste_long(spark, sf_dir):
@@ -435,41 +437,48 @@ def waste_models(spark, sf_dir):
     wl = cut_lineage(waste_long(spark, sf_dir))
     train, test = fc.split_absolute(wl, IDX, CUT_YEAR)
     k = ["Country", "Variable"]
-    return fc.fc_mean(train, k, IDX, "Amount", HB).unionByName(fc.fc_naive(train, k, IDX, "Amount", HB)), test
+    fits = [f(train, k, IDX, "Amount", HB) for f in (fc.fc_mean, fc.fc_naive, fc.fc_ets)]
+    # every part of a combination reads the forecasts: write them once
+    return cut_lineage(fits[0].unionByName(fits[1]).unionByName(fits[2])), test
 
 
 def _part(f, var):
     return f.where(F.col("Variable") == var).drop("Variable")
 
 
-BU_D = {"mean": 9, "variance": 12}
+BU_D = {"mean": 9, "variance": 12, "lo80": 9, "hi80": 9, "lo95": 9, "hi95": 9}
+
+
+def _bounds(sql):
+    return f"""SELECT *, mean - 1.28 * sqrt(variance) AS lo80, mean + 1.28 * sqrt(variance) AS hi80,
+       mean - 1.96 * sqrt(variance) AS lo95, mean + 1.96 * sqrt(variance) AS hi95 FROM ({sql})"""
 
 
-@query("fc_bottom_up_diff", with_ctes("""
+@query("fc_bottom_up_diff", with_ctes(_bounds("""
 SELECT a.Country, a.model, a.Year, a.mean - b.mean AS mean, a.variance + b.variance AS variance
 FROM (SELECT * FROM wfc WHERE Variable = 'Est_Recycled_Amount') a
-JOIN (SELECT * FROM wfc WHERE Variable = 'Exports') b ON a.Country = b.Country AND a.model = b.model AND a.Year = b.Year""",
+JOIN (SELECT * FROM wfc WHERE Variable = 'Exports') b ON a.Country = b.Country AND a.model = b.model AND a.Year = b.Year"""),
     "wfc"), doubles=BU_D)
 def q_fc_bottom_up_diff(spark, sf_dir):
     """Own processing = recycled − exports from separately forecast parts."""
     f, _ = waste_models(spark, sf_dir)
-    return ev.combine_difference(_part(f, "Est_Recycled_Amount"), _part(f, "Exports"), ["Country", "model", IDX])
+    return fc.intervals(ev.combine_difference(_part(f, "Est_Recycled_Amount"), _part(f, "Exports"), ["Country", "model", IDX]))
 
 
-@query("fc_bottom_up_product", with_ctes("""
+@query("fc_bottom_up_product", with_ctes(_bounds("""
 SELECT w.Country, w.model, w.Year, w.mean * r.mean - e.mean AS mean,
        w.mean * w.mean * r.variance + r.mean * r.mean * w.variance + w.variance * r.variance + e.variance AS variance
 FROM (SELECT * FROM wfc WHERE Variable = 'Est_Waste_Produced') w
 JOIN (SELECT * FROM wfc WHERE Variable = 'Regional_Recycling_Rate') r
   ON w.Country = r.Country AND w.model = r.model AND w.Year = r.Year
 JOIN (SELECT * FROM wfc WHERE Variable = 'Exports') e
-  ON w.Country = e.Country AND w.model = e.model AND w.Year = e.Year""", "wfc"), doubles=BU_D)
+  ON w.Country = e.Country AND w.model = e.model AND w.Year = e.Year"""), "wfc"), doubles=BU_D)
 def q_fc_bottom_up_product(spark, sf_dir):
     """Own processing = waste × rate − exports with the product-variance rule."""
     f, _ = waste_models(spark, sf_dir)
     on = ["Country", "model", IDX]
-    return ev.combine_product_minus(_part(f, "Est_Waste_Produced"), _part(f, "Regional_Recycling_Rate"),
-                                    _part(f, "Exports"), on)
+    return fc.intervals(ev.combine_product_minus(_part(f, "Est_Waste_Produced"), _part(f, "Regional_Recycling_Rate"),
+                                                 _part(f, "Exports"), on))
 
 
 register("bu_dynamic", """
@@ -538,7 +547,7 @@ def q_fc_leaderboard(spark, sf_dir):
     j = direct.unionByName(dyn).unionByName(ctl).join(act, on=["Country", IDX]).withColumnRenamed("d", "mean")
     acc = ev.accuracy(j, ["Approach", "model"])
     # rank on the displayed precision so float noise cannot split ties
-    return ev.rank_by(acc.withColumn("_r", F.round("RMSE", 6)), "_r").drop("_r")
+    return ev.rank_all(acc.withColumn("_r", F.round("RMSE", 6)), "_r").drop("_r")
 
 
 @query("fc_trend_growth", with_ctes("""
@@ -548,11 +557,10 @@ FROM regional GROUP BY OECD_Code""", "regional"), doubles={"Gradient": 9})
 def q_fc_trend_growth(spark, sf_dir):
     """Linear slope of the recycling rate on time per region, ranked (descending)."""
     from ..plans import prescriptive as pr
-    from pyspark.sql import Window
     r = pr.regional_rates(b.recycling(spark, sf_dir))
     g = ev.trend_slope(r, ["OECD_Code"], "Year", "Regional_Recycling_Rate").withColumnRenamed(
         "OECD_Code", "LOCATION_CODES")
-    return g.withColumn("rank", F.rank().over(Window.orderBy(F.col("Gradient").desc())))
+    return ev.rank_all(g, "Gradient", descending=True)
 
 
 @query("sink_parquet_partitioned", with_ctes("SELECT * FROM fcm_all WHERE model = 'ETS'", "fcm_all"), doubles=FC_D)

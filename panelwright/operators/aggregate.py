@@ -2,9 +2,9 @@
 
 Plain group aggregates (sum/avg/count/min/max/stddev) are split by Spark into
 a map-side partial aggregate and a final one, so only one row per group and
-task crosses the shuffle.  Exact median / quartiles are rank selections over a
-range-partitioned sort (``exact_quantiles``): no group is ever merged in one
-task.  Statistics that are attached back to every row use a window over the
+task crosses the shuffle.  Exact median / quartiles are rank selections over
+slices of each group's range (``exact_quantiles``): no group is ever merged in
+one task.  Statistics that are attached back to every row use a window over the
 group instead of aggregate + self-join (one shuffle instead of two).
 """
 
@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div, sum0
-from ..session import materialize
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
@@ -24,62 +23,65 @@ def sum_by(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFr
     return df.groupBy(*keys).agg(*[sum0(src).alias(out) for out, src in values.items()])
 
 
-MAX_GROUP_ROWS = 2_000_000
+BUCKETS = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                    probs: Sequence[float] = (0.5,), max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                    probs: Sequence[float] = (0.5,), buckets: int = BUCKETS) -> DataFrame:
     """Exact quantiles (linear interpolation, R type 7) per group.
 
-    ``percentile`` merges every distinct value of a group in one task.  That
-    is the fast path, taken only when the largest group is known to be small
-    (one count aggregate, checked on the driver as a single number).  Beyond
-    ``max_group_rows`` the values are range-partitioned on (keys, value) — a
-    hot key's values are spread over many partitions by value range — and
-    sorted within each partition; ``monotonically_increasing_id`` numbers the
-    rows in sorted order, a small per-(partition, key) block table (first id,
-    count, rows before it) turns the target ranks ⌊p(n−1)⌋ and ⌈p(n−1)⌉ into
-    row ids, and only those rows are joined back.  Returns ``keys…, p, q``;
-    groups without a non-NULL value are absent.
+    One path at every size, without a driver action:
+
+    1. equal values of a group are counted (map-side combine), so a value
+       repeated any number of times is one row;
+    2. each group's range is cut into ``buckets`` slices on a log scale; their
+       counts, running per group, tell in which slice each wanted rank
+       ⌊p(n−1)⌋ and ⌈p(n−1)⌉ lies;
+    3. only the values of those slices are ordered, per (group, slice), and
+       the rows at the ranks are picked.
+
+    No task sees more of a group than one slice of its distinct values.  NULL
+    and NaN are missing (R's ``na.rm``).  Returns ``keys…, p, q``; groups
+    without a value are absent.  NULL keys form a group like others.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    vals = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    largest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_group_rows:
-        g = vals.groupBy(*keys).agg(F.percentile("_v", [float(x) for x in probs]).alias("_q"))
-        return g.select(*keys, F.posexplode("_q").alias("_i", "q")).select(
-            *keys, F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("_i") + 1).alias("p"), "q")
-    n_parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, 2)
-    s = (vals.repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
-           .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    # the numbering depends on the range bounds, which are sampled at run time:
-    # write it once so the block table and the pick read the same numbering
-    s = materialize(s, "ranked")
-    blk = s.groupBy("_pid", *keys).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
-    wk = Window.partitionBy(*keys)
-    blk = (blk.withColumn("_before", F.sum("_c").over(wk.orderBy("_pid")) - F.col("_c"))
-              .withColumn("_n", F.sum("_c").over(wk))
-              .withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in probs])))
+    counts = (df.select(F.struct(*keys).alias("_k"), v.cast("double").alias("_v"))
+              .where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    scale = F.signum("_v") * F.log1p(F.least(F.abs("_v"), F.lit(1.7e308)))
+    span = counts.groupBy("_k").agg(F.min(scale).alias("_lo"), F.max(scale).alias("_hi"), F.sum("_c").alias("_n"))
+    sliced = counts.join(span, "_k").withColumn("_b", F.least(
+        F.floor(F.coalesce((scale - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0)) * buckets),
+        F.lit(buckets - 1)))
+    running = Window.partitionBy("_k").orderBy("_b")
+    slices = (sliced.groupBy("_k", "_b").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
+              .withColumn("_before", F.sum("_c").over(running) - F.col("_c")))
+    wanted = (slices.withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in probs])))
               .withColumn("_pos", (F.col("_n") - 1) * F.col("p"))
-              .withColumn("_r", F.explode(F.array(F.floor("_pos"), F.ceil("_pos")))))
-    inside = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))
-    targets = blk.where(inside).select(*keys, "p", "_pos", "_r",
-                                       (F.col("_m0") + F.col("_r") - F.col("_before")).alias("_mid"))
-    picked = s.select(*keys, "_mid", "_v").join(targets, on=[*keys, "_mid"], how="inner")
-    g = picked.groupBy(*keys, "p").agg(F.first("_pos").alias("_pos"), F.min("_r").alias("_lo"),
-                                      F.max("_r").alias("_hi"), F.min_by("_v", "_r").alias("_vlo"),
-                                      F.max_by("_v", "_r").alias("_vhi"))
-    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
+              .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+              .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")))
+              .groupBy("_k", "_b", "_before").agg(F.collect_list(F.struct("p", "_pos", "_r")).alias("_w")))
+    inside = Window.partitionBy("_k", "_b").orderBy("_v")
+    picked = (sliced.select("_k", "_b", "_v", "_c").join(wanted, ["_k", "_b"])
+              .withColumn("_from", F.col("_before") + F.sum("_c").over(inside) - F.col("_c"))
+              .select("_k", "_v", "_c", "_from", F.explode("_w").alias("_w"))
+              .where((F.col("_w._r") >= F.col("_from")) & (F.col("_w._r") < F.col("_from") + F.col("_c"))))
+    g = picked.groupBy("_k", F.col("_w.p").alias("p")).agg(
+        F.first("_w._pos").alias("_pos"), F.min("_w._r").alias("_lo"), F.max("_w._r").alias("_hi"),
+        F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
+    q = F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
         (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
-    return g.select(*keys, "p", q.alias("q"))
+    return g.select(*[F.col("_k")[k].alias(k) for k in keys], "p", q.alias("q"))
 
 
 def median_by(df: DataFrame, keys: Sequence[str], value: str | Column, out: str) -> DataFrame:
     """Exact median per group (see ``exact_quantiles``); every group of
-    ``df`` is returned, NULL where it has no value."""
-    m = exact_quantiles(df, keys, value, (0.5,)).select(*keys, F.col("q").alias(out))
-    return df.select(*keys).distinct().join(m, on=list(keys), how="left")
+    ``df`` is returned, NULL where it has no value.  The medians are joined to
+    the groups with NULL keys matching."""
+    keys = list(keys)
+    m = exact_quantiles(df, keys, value, (0.5,)).select(F.struct(*keys).alias("_k"), F.col("q").alias(out))
+    groups = df.select(F.struct(*keys).alias("_k")).distinct().join(m, "_k", "left")
+    return groups.select(*[F.col("_k")[k].alias(k) for k in keys], out)
 
 
 def sd_by(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -93,11 +95,6 @@ def share_of_total(df: DataFrame, partition: Sequence[str], value: str, out: str
     return df.withColumn(out, safe_div(F.col(value), total))
 
 
-def group_stat(df: DataFrame, keys: Sequence[str], expr: Column, out: str) -> DataFrame:
-    """Attach a per-group aggregate expression to every row (window)."""
-    return df.withColumn(out, expr.over(Window.partitionBy(*keys)))
-
-
 def first_index_where(df: DataFrame, keys: Sequence[str], index: str, cond: Column, out: str) -> DataFrame:
     """Earliest index at which ``cond`` holds, per key (NULL if never)."""
     return df.groupBy(*keys).agg(F.min(F.when(cond, F.col(index))).alias(out))

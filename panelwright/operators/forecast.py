@@ -92,13 +92,12 @@ def ar1_stats(df: DataFrame, keys: Keys, index: str, value: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(index)
     d = df.withColumn("_lag", F.lag(value).over(w))
     s = d.groupBy(*keys).agg(F.regr_slope(value, "_lag").alias("phi"), F.regr_intercept(value, "_lag").alias("c"),
-                             F.regr_count(value, "_lag").alias("_m"), F.max_by(value, index).alias("_y"),
+                             F.regr_count(value, "_lag").alias("_m"), F.regr_syy(value, "_lag").alias("_syy"),
+                             F.regr_sxy(value, "_lag").alias("_sxy"), F.max_by(value, index).alias("_y"),
                              F.max(index).alias("_last"))
-    d = d.join(s.select(*keys, "phi", "c", "_m"), on=list(keys))
-    res = F.col(value) - F.col("c") - F.col("phi") * F.col("_lag")
-    sse = d.groupBy(*keys).agg(F.sum(res * res).alias("_sse"))
-    return s.join(sse, on=list(keys)).withColumn(
-        "sigma2", F.when(F.col("_m") > 2, F.col("_sse") / (F.col("_m") - 2)))
+    # least squares: SSE = Syy − slope · Sxy
+    return s.withColumn("sigma2", F.when(F.col("_m") > 2, F.greatest(F.col("_syy") - F.col("phi") * F.col("_sxy"), F.lit(0.0))
+                                         / (F.col("_m") - 2)))
 
 
 def fc_ar1(df: DataFrame, keys: Keys, index: str, value: str, h: int) -> DataFrame:
@@ -137,7 +136,7 @@ def collect_series(df: DataFrame, keys: Keys, index: str, value: str) -> DataFra
 
 
 _ETS_FOLD = """
-aggregate(slice(y, 2, n), named_struct('l', y[0], 'b', CASE WHEN fam = 'ANN' THEN 0D ELSE y[1] - y[0] END, 'sse', 0D),
+aggregate(slice(y, 2, n), named_struct('l', y[0], 'b', CASE WHEN fam = 'ANN' THEN 0D ELSE get(y, 1) - y[0] END, 'sse', 0D),
   (acc, x) -> named_struct(
      'l', acc.l + phi * acc.b + alpha * (x - (acc.l + phi * acc.b)),
      'b', phi * acc.b + beta * (x - (acc.l + phi * acc.b)),
@@ -149,6 +148,8 @@ def ets_fit(df: DataFrame, keys: Keys, index: str, value: str, grid=None) -> Dat
 
     AICc = m·ln(SSE/m) + 2k + 2k(k+1)/(m−k−1), m = n−1 one-step errors,
     k = 2 (ANN), 4 (AAN), 5 (AAdN).  Initial state: l₀ = y₁, b₀ = y₂ − y₁.
+    A series too short for any AICc (under 5 points) gets the level model of
+    the least SSE; with one point its variance is NULL.
     """
     grid = grid or ets_grid()
     # one literal expression (parsed once) instead of hundreds of Column objects
@@ -156,22 +157,24 @@ def ets_fit(df: DataFrame, keys: Keys, index: str, value: str, grid=None) -> Dat
         f"named_struct('fam', '{f}', 'alpha', {a!r}D, 'beta', {b!r}D, 'phi', {p!r}D)" for f, a, b, p in grid) + ")")
     # one exchange: the input is hash-partitioned by the series keys into a
     # core-sized partition count, and the collect reuses that partitioning
-    s = collect_series(spread_by_keys(df, keys), keys, index, value).where(F.col("n") >= 3)
+    s = collect_series(spread_by_keys(df, keys), keys, index, value)
     c = s.select(*keys, "y", "n", "_last", F.explode(arr).alias("g")).select(
         *keys, "y", "n", "_last", "g.fam", "g.alpha", "g.beta", "g.phi")
     c = c.withColumn("st", F.expr(_ETS_FOLD))
     k = F.when(F.col("fam") == "ANN", 2).when(F.col("fam") == "AAN", 4).otherwise(5)
     m = (F.col("n") - 1).cast("double")
     sse = F.greatest(F.col("st.sse"), F.lit(1e-12))
-    aicc = m * F.log(sse / m) + 2 * k + F.when(m - k - 1 > 0, 2 * k * (k + 1) / (m - k - 1))
+    m0 = F.nullif(m, F.lit(0.0))
+    aicc = m * F.log(sse / m0) + 2 * k + F.when(m - k - 1 > 0, 2 * k * (k + 1) / (m - k - 1))
     # invalid candidates (too few points for their parameters) rank last
     # instead of being filtered: a filter on aicc would be pushed below the
     # projection and evaluate the fold twice
     c = (c.withColumn("_npar", k).withColumn("aicc", aicc)
-          .withColumn("sigma2", F.col("st.sse") / F.when(m - k > 0, m - k).otherwise(m)))
-    rank_key = F.struct(F.coalesce("aicc", F.lit(float("inf"))).alias("a"), "_npar", "alpha", "beta", "phi")
+          .withColumn("sigma2", F.col("st.sse") / F.when(m - k > 0, m - k).otherwise(m0)))
+    rank_key = F.struct(F.coalesce("aicc", F.lit(float("inf"))).alias("a"), "_npar",
+                        F.when(F.col("aicc").isNull(), F.col("st.sse")).alias("s"), "alpha", "beta", "phi")
     best = c.groupBy(*keys).agg(F.min_by(F.struct("fam", "alpha", "beta", "phi", "st", "sigma2", "aicc", "_last"),
-                                         rank_key).alias("b")).where(F.col("b.aicc").isNotNull())
+                                         rank_key).alias("b"))
     return best.select(*keys, "b.fam", "b.alpha", "b.beta", "b.phi", F.col("b.st.l").alias("level"),
                        F.col("b.st.b").alias("trend"), "b.sigma2", "b.aicc", F.col("b._last").alias("_last"))
 

@@ -59,19 +59,16 @@ def semi_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str, bounde
     return df.join(_maybe_broadcast(keys_df, bounded), on=on, how="left_semi")
 
 
-def anti_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    return df.join(keys_df, on=on, how="left_anti")
-
-
 def unmatched_report(df: DataFrame, key_col: str, name_col: str) -> DataFrame:
     """Total / matched / failed counts attached to each failed name (one row
     per failed name, counts repeated) — the name bridge's printed report
-    without gathering the names into one list."""
+    without gathering the names into one list.  The counts are one aggregate
+    (a one-row scalar)."""
     miss = F.col(key_col).isNull()
-    total = df.agg(F.count(F.lit(1))).scalar()
-    matched = df.agg(F.count(F.when(~miss, 1))).scalar()
-    return df.where(miss).select(F.col(name_col).alias("failed_name"), total.alias("total"),
-                                 matched.alias("matched"), (total - matched).alias("failed"))
+    n = df.agg(F.struct(F.count(F.lit(1)).alias("total"), F.count(F.when(~miss, 1)).alias("matched"))).scalar()
+    return (df.where(miss).select(F.col(name_col).alias("failed_name"), n.alias("_n"))
+            .select("failed_name", F.col("_n.total").alias("total"), F.col("_n.matched").alias("matched"),
+                    (F.col("_n.total") - F.col("_n.matched")).alias("failed")))
 
 
 def lookup_dictionary(df: DataFrame, dictionary: DataFrame, column: str, out: str,

@@ -50,27 +50,37 @@ def unpivot_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], names_t
 
 
 def complete_grid(df: DataFrame, dims: Sequence[str], fill: dict | None = None,
-                  max_levels: int = 100_000) -> DataFrame:
+                  levels: dict[str, Sequence] | None = None) -> DataFrame:
     """``tidyr::complete``: every combination of the distinct values of
-    ``dims`` that occur in ``df``, left-joined to the data.
-
-    The first dimension stays distributed (its distinct rows are spread over
-    the cluster); every other dimension is a low-cardinality list (years,
-    variables) taken as a scalar subquery, and each distributed row explodes
-    it locally.  No cross join: the grid is built row-parallel and is exactly
-    the output size.  A list longer than ``max_levels`` fails the query.
+    ``dims`` that occur in ``df`` (NULL is a value), with the data where it
+    exists; every row of ``df`` is kept.
+
+    ``levels`` gives a dimension's values where they are known beforehand
+    (years of a horizon, variable names), so they need not be read off the
+    data.  The grid grows one dimension at a time: the rows so far are hashed
+    over slots, each slot meets the level rows by an equi-join (no cross
+    join), and the work is the size of the output.
     """
-    spread, *small = list(dims)
-    grid = df.select(spread).distinct()
-    for d in small:
-        levels = df.select(F.array_sort(F.collect_set(d))).scalar()
-        checked = F.when(F.size(levels) <= max_levels, levels).otherwise(
-            F.raise_error(F.lit(f"complete_grid: too many levels in {d}")))
-        grid = grid.withColumn(d, F.explode(checked))
-    out = grid.join(df, on=list(dims), how="left")
-    if fill:
-        out = out.fillna(fill)
-    return out
+    dims = list(dims)
+    levels = levels or {}
+    spark = df.sparkSession
+    slots = max(2 * spark.sparkContext.defaultParallelism, 2)
+
+    def rows_of(d):
+        if d in levels:
+            return spark.createDataFrame([(x,) for x in levels[d]], df.select(d).schema)
+        return df.select(d).distinct()
+    grid = rows_of(dims[0])
+    for d in dims[1:]:
+        spread = grid.withColumn("_slot", F.pmod(F.xxhash64(*grid.columns), F.lit(slots)).cast("int"))
+        each = rows_of(d).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        grid = spread.join(each, "_slot").drop("_slot")
+    cells = grid.select(F.struct(*dims).alias("_cell"))
+    rest = [c for c in df.columns if c not in dims]
+    data = df.select(F.struct(*dims).alias("_cell"), *rest)
+    out = cells.join(data, "_cell", "full" if levels else "left")
+    out = out.select(*[F.col("_cell")[d].alias(d) for d in dims], *rest)
+    return out.fillna(fill) if fill else out
 
 
 def union_by_name(*dfs: DataFrame) -> DataFrame:

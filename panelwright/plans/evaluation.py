@@ -69,7 +69,8 @@ def divergence(acc: DataFrame, keys: Sequence[str], model_a: str, model_b: str)
         F.first(F.when(F.col("model") == model_a, F.col("MAPE")), ignorenulls=True).alias("mape_a"),
         F.first(F.when(F.col("model") == model_b, F.col("MAPE")), ignorenulls=True).alias("mape_b"))
     p = p.withColumn("divergence", F.abs(F.col("mape_a") - F.col("mape_b"))).where(F.col("divergence").isNotNull())
-    return p
+    # ranked on the displayed precision, so float noise cannot split ties
+    return rank_all(p.withColumn("_r", F.round("divergence", 6)), "_r", descending=True).drop("_r")
 
 
 def combine_difference(fa: DataFrame, fb: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -91,10 +92,26 @@ def combine_product_minus(fw: DataFrame, fr: DataFrame, fe: DataFrame, on: Seque
     return j.select(*on, (F.col("W") * F.col("R") - F.col("E")).alias("mean"), var.alias("variance"))
 
 
-def rank_by(df: DataFrame, metric: str, out: str = "rank", partition: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(F.col(metric).asc_nulls_last()) if partition \
-        else Window.orderBy(F.col(metric).asc_nulls_last())
-    return df.withColumn(out, F.rank().over(w))
+def rank_all(df: DataFrame, metric: str, out: str = "rank", descending: bool = False, slices: int = 1024) -> DataFrame:
+    """Rank over the whole table (ties share a rank, NULL last) without a
+    window over the whole table: the metric's range is cut into ``slices``,
+    rows are ranked within their slice, and the rows of the slices before are
+    added (a table of at most ``slices`` + 1 rows)."""
+    t = (-F.col(metric) if descending else F.col(metric)).cast("double")
+    span = df.agg(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()
+    cut = df.withColumn("_t", t).withColumn("_span", span)
+    width = F.nullif(F.col("_span.hi") - F.col("_span.lo"), F.lit(0.0))
+    part = F.least(F.floor(F.coalesce((F.col("_t") - F.col("_span.lo")) / width, F.lit(0.0)) * slices), F.lit(slices - 1))
+    cut = cut.withColumn("_slice", F.when(F.col("_t").isNull(), F.lit(slices)).otherwise(part).cast("int")).drop("_span")
+    sizes = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
+    before = (sizes.agg(F.array_agg(F.struct("_slice", "_c")).alias("_all"))            # at most slices + 1 entries
+              .select(F.explode("_all").alias("_s"), "_all")
+              .select(F.col("_s._slice").alias("_slice"), F.aggregate(
+                  F.filter("_all", lambda x: x["_slice"] < F.col("_s._slice")), F.lit(0).cast("long"),
+                  lambda acc, x: acc + x["_c"]).alias("_before")))
+    w = Window.partitionBy("_slice").orderBy(F.col("_t").asc_nulls_last())
+    return (cut.join(before, "_slice").withColumn(out, (F.col("_before") + F.rank().over(w)).cast("int"))
+            .drop("_slice", "_before", "_t"))
 
 
 def trend_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "Gradient") -> DataFrame:

@@ -46,6 +46,14 @@ def test_complete_grid_has_no_cross_product(spark):
     assert rs.complete_grid(df, ["c", "y", "v"]).count() == 8
 
 
+def test_complete_grid_keeps_null_levels_and_given_levels(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", None, 2.0), (None, 1, 3.0)], "c string, y int, a double")
+    got = {(r.c, r.y, r.a) for r in rs.complete_grid(df, ["c", "y"]).collect()}
+    assert got == {("a", 1, 1.0), ("a", None, 2.0), (None, 1, 3.0), (None, None, None)}
+    got = {(r.c, r.y, r.a) for r in rs.complete_grid(df, ["c", "y"], levels={"y": [1, 7]}).collect()}
+    assert got == {("a", 1, 1.0), ("a", 7, None), (None, 1, 3.0), (None, 7, None), ("a", None, 2.0)}
+
+
 def test_global_top_n_with_ties_uses_no_single_partition_window(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 17).cast("double").alias("v"))
     out = top_n_with_ties(df, 3, "v")
@@ -53,8 +61,8 @@ def test_global_top_n_with_ties_uses_no_single_partition_window(spark):
     assert out.count() == 58  # the top 3 are all 16.0, which occurs 58 times: every tie is kept
 
 
-def test_large_groups_do_not_use_percentile(spark):
+def test_quantiles_use_no_percentile(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(100)], "k string, x double")
-    big = exact_quantiles(df, ["k"], "x", (0.5,), max_group_rows=10)  # a group above the bound
-    assert "percentile" not in _plan(big).lower()
-    assert big.collect()[0].q == 49.5
+    q = exact_quantiles(df, ["k"], "x", (0.5,))
+    assert "percentile" not in _plan(q).lower()
+    assert q.collect()[0].q == 49.5

@@ -121,10 +121,9 @@ def test_exact_quantiles_match_numpy_with_a_hot_key(spark):
     hot = [("hot", float(x)) for x in rng.normal(size=3000).round(3)]
     cold = [(f"k{i % 7}", float(x)) for i, x in enumerate(rng.exponential(size=700).round(3))]
     df = spark.createDataFrame(hot + cold + [("nulls", None)], "k string, x double")
-    got = {(r.k, r.p): r.q for r in agg.exact_quantiles(df, ["k"], "x", (0.1, 0.5, 0.75),
-                                                           max_group_rows=500).collect()}
-    fast = {(r.k, r.p): r.q for r in agg.exact_quantiles(df, ["k"], "x", (0.1, 0.5, 0.75)).collect()}
-    assert set(fast) == set(got) and all(abs(fast[k] - got[k]) < 1e-9 for k in got)
+    got = {(r.k, r.p): r.q for r in agg.exact_quantiles(df, ["k"], "x", (0.1, 0.5, 0.75)).collect()}
+    few = {(r.k, r.p): r.q for r in agg.exact_quantiles(df, ["k"], "x", (0.1, 0.5, 0.75), buckets=3).collect()}
+    assert few == got
     by = {}
     for k, x in hot + cold:
         by.setdefault(k, []).append(x)
@@ -133,3 +132,32 @@ def test_exact_quantiles_match_numpy_with_a_hot_key(spark):
             assert abs(got[(k, p)] - float(np.quantile(xs, p))) < 1e-9
     med = {r.k: r.m for r in agg.median_by(df, ["k"], "x", "m").collect()}
     assert med["nulls"] is None and abs(med["hot"] - float(np.median(by["hot"]))) < 1e-12
+
+
+def test_quantiles_of_repeats_nan_nulls_and_extremes(spark):
+    rows = [("rep", 7.0)] * 100_000 + [("rep", 1.0), ("nan", float("nan")), ("nan", 2.0), ("nan", 4.0), ("none", None),
+                                        (None, 5.0), ("wide", -1e300), ("wide", 0.0), ("wide", 1e300), ("inf", float("inf")), ("inf", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r.m for r in agg.median_by(df, ["k"], "x", "m").collect()}
+    assert got == {"rep": 7.0, "nan": 3.0, "none": None, None: 5.0, "wide": 0.0, "inf": float("inf")}
+
+
+def test_rank_all_matches_a_window(spark):
+    from panelwright.plans.evaluation import rank_all
+    xs = [3.0, 1.0, 2.0, 2.0, None, -5.0, 1e9, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for desc in (False, True):
+        got = {r.i: r["rank"] for r in rank_all(df, "x", descending=desc, slices=4).collect()}
+        val = [x for x in xs if x is not None]
+        want = {i: (len(val) if x is None else sum(v > x if desc else v < x for v in val)) + 1 for i, x in enumerate(xs)}
+        assert got == want
+    assert rank_all(df.limit(0), "x").collect() == []
+
+
+def test_ets_keeps_short_series(spark):
+    from panelwright.operators import forecast as fc
+    rows = [(f"n{n}", i, float(i * i + 1)) for n in (1, 2, 3, 4, 5, 9) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    out = fc.fc_ets(df, ["k"], "i", "x", 3).collect()
+    assert len(out) == 18 and all(r["mean"] is not None for r in out)
+    assert {r.k for r in out if r.variance is None} == {"n1"}
