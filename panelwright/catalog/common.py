@@ -56,9 +56,15 @@ def waste(spark, sf_dir, trade=None):
 
 
 def trade(spark, sf_dir):
+    """The panel for queries that read it more than once (written first)."""
     return b.trade_panel(spark, sf_dir)
 
 
+def trade_once(spark, sf_dir, years=None):
+    """The panel for queries that read it once (nothing is written)."""
+    return b.trade_panel(spark, sf_dir, materialized=False, years=years)
+
+
 def scratch_path(spark, name: str) -> str:
     """A fresh folder under the session's checkpoint directory (shared storage
     on a cluster) for queries that write and read back."""

@@ -100,18 +100,21 @@ def agg_all_null_flag(spark, sf_dir):
         agg.all_null(["Qty", "PrimaryValue"]).alias("all_missing"), F.count(F.lit(1)).alias("n"))
 
 
-# Observed months per series run 51-54 at sf0.01; the cut keeps some series and drops others.
-MIN_SERIES = 53
+# Fixed value: the least series length of the reference.  A series here is one
+# country, flow and year of months, which at every scale has full and short ones.
+MIN_SERIES = 10
 
 
 @query("agg_group_size_filter", with_ctes(f"""
 SELECT * EXCLUDE (n) FROM (
-  SELECT *, count(*) OVER (PARTITION BY Country, flowDesc) AS n FROM trade_m WHERE Qty IS NOT NULL)
+  SELECT *, (Year - 1) // 12 AS period, count(*) OVER (PARTITION BY Country, flowDesc, (Year - 1) // 12) AS n
+  FROM trade_m WHERE Qty IS NOT NULL)
 WHERE n >= {MIN_SERIES}""", "trade_m"), doubles={"Qty": 6, "PrimaryValue": 4})
 def agg_group_size_filter(spark, sf_dir):
-    """Keep monthly series with at least MIN_SERIES observed quantities."""
-    t = b.trade_panel(spark, sf_dir, monthly=True).where(F.col("Qty").isNotNull())
-    return agg.keep_groups_min_size(t, ["Country", "flowDesc"], MIN_SERIES)
+    """Keep series (country, flow, year of months) with at least MIN_SERIES observed quantities."""
+    t = b.trade_panel(spark, sf_dir, monthly=True, materialized=False).where(F.col("Qty").isNotNull())
+    t = t.withColumn("period", F.expr("(Year - 1) div 12"))
+    return agg.keep_groups_min_size(t, ["Country", "flowDesc", "period"], MIN_SERIES)
 
 
 @query("agg_nonnull_gate", with_ctes("""

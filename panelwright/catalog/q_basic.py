@@ -10,7 +10,7 @@ from ..operators.timeseries import fill_chain_expr
 from ..sources import bindings as b
 from ..sources import files
 from . import sqlfrag as sf
-from .common import WASTE_DIGITS, scratch_path, trade, waste
+from .common import WASTE_DIGITS, scratch_path, trade, trade_once, waste
 from .registry import query
 from .sqlbind import with_ctes
 
@@ -25,7 +25,7 @@ WASTE_COLS = list(WASTE_DIGITS)
 def src_csv_panel(spark, sf_dir):
     """Panel written as header CSV with NA for NULL, read back with an explicit schema."""
     path = scratch_path(spark, "trade_csv")
-    files.write_csv(trade(spark, sf_dir), path)
+    files.write_csv(trade_once(spark, sf_dir), path)
     return files.read_csv_panel(spark, path, "trade")
 
 
@@ -83,7 +83,7 @@ SELECT Country, Year, Qty AS Quantity, PrimaryValue AS TradeValue, flowDesc FROM
        doubles={"Quantity": 6, "TradeValue": 4})
 def proj_select_rename(spark, sf_dir):
     """select, rename, select-with-rename and drop."""
-    t = trade(spark, sf_dir)
+    t = trade_once(spark, sf_dir)
     return (t.select("Country", "Year", F.col("Qty").alias("Quantity"), "PrimaryValue", "flowDesc", "flowCode")
              .withColumnRenamed("PrimaryValue", "TradeValue").drop("flowCode"))
 
@@ -122,7 +122,7 @@ SELECT Country, Year, flowDesc, Qty / 1e9 AS Qty_Mt, (Qty / 1e9) * 1e9 AS Qty_kg
        doubles={"Qty_Mt": 15, "Qty_kg": 6})
 def proj_unit_scale(spark, sf_dir):
     """kg → million tonnes and back (factor 1e9)."""
-    t = trade(spark, sf_dir)
+    t = trade_once(spark, sf_dir)
     mt = F.col("Qty") / 1e9
     return t.select("Country", "Year", "flowDesc", mt.alias("Qty_Mt"), (mt * 1e9).alias("Qty_kg"))
 
@@ -172,7 +172,7 @@ SELECT Year, Country, flowDesc,
 FROM trade""", "trade"), doubles={"unit_price_raw": 6})
 def cond_if_else(spark, sf_dir):
     """Tri-valued if/else: a NULL condition gives NULL, not the else branch."""
-    t = trade(spark, sf_dir)
+    t = trade_once(spark, sf_dir)
     q, v = F.col("Qty"), F.col("PrimaryValue")
     return t.select("Year", "Country", "flowDesc",
                     X.if_else3((q > 0) & (v > 0), v / q, F.lit(None).cast("double")).alias("unit_price_raw"),
@@ -198,7 +198,7 @@ SELECT Year, Country, flowDesc, coalesce(Qty, 0.0) AS Qty, coalesce(PrimaryValue
        doubles={"Qty": 6, "PrimaryValue": 4, "Qty_guess": 6})
 def null_fill(spark, sf_dir):
     """replace_na / coalesce."""
-    t = trade(spark, sf_dir).select("Year", "Country", "flowDesc", "Qty", "PrimaryValue")
+    t = trade_once(spark, sf_dir).select("Year", "Country", "flowDesc", "Qty", "PrimaryValue")
     return (t.withColumn("Qty_guess", F.coalesce("Qty", F.col("PrimaryValue") / 2000.0, F.lit(0.0)))
              .fillna(0.0, subset=["Qty", "PrimaryValue"]))
 
@@ -224,7 +224,8 @@ def clamp(spark, sf_dir):
 SELECT * FROM trade WHERE Year >= 1996 AND Year <= 2000 AND Qty > 1000 AND flowDesc = 'Import'""", "trade"),
        doubles=TRADE_D)
 def filter_compare(spark, sf_dir):
-    t = trade(spark, sf_dir)
+    """Comparisons on year, quantity and flow; the years reach the scan of orders."""
+    t = trade_once(spark, sf_dir, years=(1996, 2000))
     return t.where(F.col("Year").between(1996, 2000) & (F.col("Qty") > 1000) & (F.col("flowDesc") == "Import"))
 
 
@@ -241,7 +242,7 @@ WHERE ratio IS NOT NULL AND NOT isnan(ratio) AND abs(ratio) < 'inf'::DOUBLE""",
        doubles={"ratio": 6})
 def filter_is_finite(spark, sf_dir):
     """Drop Inf/NaN/NULL ratios."""
-    t = trade(spark, sf_dir).select("Year", "Country", "flowDesc",
+    t = trade_once(spark, sf_dir).select("Year", "Country", "flowDesc",
                                     X.safe_div("PrimaryValue", "Qty").alias("ratio"))
     return t.where(X.is_finite("ratio"))
 
@@ -268,14 +269,14 @@ SELECT * EXCLUDE (rn) FROM (
     "trade"), doubles=TRADE_D)
 def distinct_keep_first(spark, sf_dir):
     """distinct(Country, .keep_all = TRUE): the first row per country in (Year, flow) order."""
-    return rel.distinct_keep_first(trade(spark, sf_dir), ["Country"], ["Year", "flowDesc"])
+    return rel.distinct_keep_first(trade_once(spark, sf_dir), ["Country"], ["Year", "flowDesc"])
 
 
 @query("distinct_sorted", with_ctes("""
 SELECT DISTINCT Year FROM trade""", "trade"))
 def distinct_sorted(spark, sf_dir):
     """Sorted unique values (years available)."""
-    return trade(spark, sf_dir).select("Year").distinct().orderBy("Year")
+    return trade_once(spark, sf_dir).select("Year").distinct().orderBy("Year")
 
 
 @query("scalar_lookup", with_ctes("""
@@ -307,7 +308,7 @@ SELECT Country, flowDesc, Year,
 FROM trade""", "trade"))
 def fn_string(spark, sf_dir):
     """paste, paste0, gsub, str_remove (anchored), grepl, toTitleCase."""
-    t = trade(spark, sf_dir)
+    t = trade_once(spark, sf_dir)
     c = F.col("Country")
     spaced = F.regexp_replace(c, "_", " ")
     return t.select("Country", "flowDesc", "Year",
@@ -339,7 +340,7 @@ FROM trade WHERE PrimaryValue > 0""", "trade"),
        doubles={"sqrt_abs": 6, "sq": 2, "log_value": 9, "abs_gap": 6, "ratio": 6})
 def fn_math(spark, sf_dir):
     """sqrt, abs, ^, log10, safe division."""
-    t = trade(spark, sf_dir).where(F.col("PrimaryValue") > 0)
+    t = trade_once(spark, sf_dir).where(F.col("PrimaryValue") > 0)
     q, v = F.col("Qty"), F.col("PrimaryValue")
     return t.select("Year", "Country", "flowDesc", F.sqrt(F.abs(q)).alias("sqrt_abs"), F.pow(q, 2).alias("sq"),
                     F.log10(v).alias("log_value"), F.abs(q - v / 2000.0).alias("abs_gap"),
@@ -352,7 +353,7 @@ SELECT Year, Country, flowDesc, Qty IS NULL AS qty_missing, coalesce(Qty, -1.0)
 FROM trade""", "trade"), doubles={"qty_or_flag": 6})
 def fn_null(spark, sf_dir):
     """is.na, coalesce, replace_na, is.finite-style test."""
-    t = trade(spark, sf_dir)
+    t = trade_once(spark, sf_dir)
     ratio = X.safe_div("PrimaryValue", "Qty")
     return t.select("Year", "Country", "flowDesc", F.col("Qty").isNull().alias("qty_missing"),
                     F.coalesce("Qty", F.lit(-1.0)).alias("qty_or_flag"),

@@ -97,12 +97,13 @@ SELECT *, coalesce(unit_price_interp, global_unit_price) AS unit_price_final FRO
          ("e_blank",))
 _STRICT = "(Qty IS NULL OR (Qty = 0 AND PrimaryValue > 0)) AND unit_price_final IS NOT NULL AND unit_price_final > 0"
 register("e_hist", f"""
-SELECT *, Est_Recycled_Amount * 1e9 AS Est_Recycled_Amount_Kg, Est_Waste_Produced * 1e9 AS Est_Waste_Produced_Kg,
-       Exports * 1e9 AS Exports_Kg, Imports * 1e9 AS Imports_Kg FROM (
+SELECT *, round(Est_Recycled_Amount * 1e9, 2) AS Est_Recycled_Amount_Kg,
+       round(Est_Waste_Produced * 1e9, 2) AS Est_Waste_Produced_Kg,
+       round(Exports * 1e9, 2) AS Exports_Kg, round(Imports * 1e9, 2) AS Imports_Kg FROM (
   SELECT b.Country, b.Year, b.Est_Waste_Produced, b.Est_Recycled_Amount,
-         coalesce(b.Regional_Recycling_Rate, 0.0) AS Regional_Recycling_Rate,
+         round(coalesce(b.Regional_Recycling_Rate, 0.0), 9) AS Regional_Recycling_Rate,
          coalesce(w.Imports, 0.0) AS Imports, coalesce(w.Exports, 0.0) AS Exports,
-         coalesce(w.Import_Value, 0.0) AS Import_Value, coalesce(w.Export_Value, 0.0) AS Export_Value
+         round(coalesce(w.Import_Value, 0.0), 2) AS Import_Value, round(coalesce(w.Export_Value, 0.0), 2) AS Export_Value
   FROM waste b LEFT JOIN (
     SELECT Country, Year, max(CASE WHEN flowDesc = 'Import' THEN Qty_filled END) AS Imports,
            max(CASE WHEN flowDesc = 'Export' THEN Qty_filled END) AS Exports,
@@ -125,6 +126,19 @@ register("e_paths_b", sf.residual_paths("e_fin", ["Country", "Variable"], "Amoun
          ("e_fin",))
 
 
+register("e_fit", sf.arima_fit("e_fin", ["Country", "Variable"], "Amount"), ("e_fin",))
+
+
+def _arima_ctes(name: str) -> str:
+    """The CTEs of a forecast-file query with ARIMA paths in place of the naive ones."""
+    keys = ["Country", "Variable"]
+    text = with_ctes(f"SELECT * FROM {name}", "e_fit", name)
+    for seed in SEEDS[:2]:
+        naive = sf.residual_paths("e_fin", keys, "Amount", "Year", HE, 1, seed, "NAIVE").strip()
+        text = text.replace(naive, sf.arima_paths("e_fit", keys, HE, 1, seed).strip())
+    return text
+
+
 def _wide_sql(src, value):
     return ", ".join(f"max(CASE WHEN Variable = '{v}' THEN {value} END) AS {v}" for v in VARS)
 
@@ -163,21 +177,24 @@ FROM e_paths_b p LEFT JOIN (SELECT Country, Variable, stddev_samp(Amount) AS his
 register("e_gp", f"""
 SELECT Year, median(Import_Value / Imports_Kg) AS Global_Avg_Price FROM e_full WHERE Imports_Kg > {_MK} GROUP BY Year""",
          ("e_full",))
+# a country's year may be both history and forecast: history first
+_T = "Year * 2 + (CASE WHEN Type = 'History' THEN 0 ELSE 1 END)"
+_TF = _T.replace("Year", "f.Year").replace("Type", "f.Type")
 register("e_ind", f"""
 SELECT *, (Processed_Own_Waste + Processed_Others_Waste) * Smoothed_Price AS Local_Industry_Value FROM (
   SELECT *, CASE WHEN rn >= 3 THEN full3 ELSE first_value(CASE WHEN rn = 3 THEN full3 END IGNORE NULLS)
-              OVER (PARTITION BY Country ORDER BY Year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END
+              OVER (PARTITION BY Country ORDER BY {_T} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END
             AS Smoothed_Price FROM (
-    SELECT *, row_number() OVER (PARTITION BY Country ORDER BY Year) AS rn,
+    SELECT *, row_number() OVER (PARTITION BY Country ORDER BY {_T}) AS rn,
            CASE WHEN count(Final_Price) OVER w3 = 3 THEN avg(Final_Price) OVER w3 END AS full3 FROM (
       SELECT *, CASE WHEN coalesce(Interp_Price, Global_Avg_Price) IS NOT NULL
                      THEN least(coalesce(Interp_Price, Global_Avg_Price), {_CAP}) END AS Final_Price FROM (
-        SELECT *, {sf.chain('Raw_Price', ['Country'], 'Year', x='pos')} AS Interp_Price FROM (
+        SELECT *, {sf.chain('Raw_Price', ['Country'], _T, x='pos')} AS Interp_Price FROM (
           SELECT f.*, g.Global_Avg_Price,
                  {sf.if_else3(f'f.Imports_Kg > {_MK}', 'f.Import_Value / f.Imports_Kg', 'NULL')} AS Raw_Price,
-                 row_number() OVER (PARTITION BY f.Country ORDER BY f.Year) AS pos
+                 row_number() OVER (PARTITION BY f.Country ORDER BY {_TF}) AS pos
           FROM e_full f LEFT JOIN e_gp g ON f.Year = g.Year)))
-    WINDOW w3 AS (PARTITION BY Country ORDER BY Year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)))""",
+    WINDOW w3 AS (PARTITION BY Country ORDER BY {_T} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)))""",
          ("e_full", "e_gp"))
 register("e_out", f"""
 SELECT i.Country, i.Year, i.Type, {', '.join('i.' + c for c in fs.OUTPUT_COLS[3:13])}, s.Self_Sufficiency,
@@ -185,16 +202,17 @@ SELECT i.Country, i.Year, i.Type, {', '.join('i.' + c for c in fs.OUTPUT_COLS[3:
 FROM e_ind i LEFT JOIN e_self s ON i.Country = s.Country AND i.Year = s.Year AND i.Type = s.Type""",
          ("e_ind", "e_self"))
 
-# Rounding of forecast-system outputs.  Scenario paths add 20 residuals of
-# ~1e9 kg values, so their last float bits differ between engines by ~1e-2 kg:
-# kg columns and industry value are compared in whole thousands.
-KGD = {c: -3 for c in KG_COLS}
-OUT_D = {**KGD, "Regional_Recycling_Rate": 6, "Import_Value": 2, "Export_Value": 2, "Processed_Own_Waste": -3,
-         "Processed_Others_Waste": -3, "Percent_Own_Processed": 4, "Self_Sufficiency": 4, "Local_Industry_Value": -3}
+# Rounding of forecast-system outputs: significant digits, as the columns mix
+# magnitudes and scenario paths add 20 residuals; differences of such columns
+# keep fewer digits than their terms.
+KGD = {c: "sig8" for c in KG_COLS}
+DIFF = {"Processed_Own_Waste": "sig6", "Processed_Others_Waste": "sig8", "Percent_Own_Processed": 4}
+OUT_D = {**KGD, **DIFF, "Regional_Recycling_Rate": 6, "Import_Value": 2, "Export_Value": 2, "Self_Sufficiency": 4,
+         "Local_Industry_Value": "sig6"}
 
 
 def e1(spark, sf_dir, model="NAIVE"):
-    return fs.run(waste(spark, sf_dir), h=HE, model=model, seeds=SEEDS, **E1)
+    return fs.ForecastSystem(waste(spark, sf_dir), h=HE, model=model, seeds=SEEDS, **E1)
 
 
 @query("dom_history_kg", with_ctes("SELECT * FROM e_hist", "e_hist"),
@@ -202,48 +220,47 @@ def e1(spark, sf_dir, model="NAIVE"):
                 "Regional_Recycling_Rate": 9, "Imports": 12, "Exports": 12, "Import_Value": 2, "Export_Value": 2})
 def dom_history_kg(spark, sf_dir):
     """Outlier-blanked, imputed, 0-filled history with kg columns."""
-    return e1(spark, sf_dir)["history"]
+    return e1(spark, sf_dir).history()
 
 
 @query("dom_forecast_input", with_ctes("SELECT * FROM e_fin", "e_fin"), doubles={"Amount": "sig10"})
 def dom_forecast_input(spark, sf_dir):
     """Seven series per country, gaps filled, interp → locf → nocb → 0."""
-    return e1(spark, sf_dir)["forecast_input"]
+    return e1(spark, sf_dir).forecast_input()
 
 
 @query("dom_self_sufficiency", with_ctes("SELECT * FROM e_self", "e_self"), doubles={"Self_Sufficiency": 4})
 def dom_self_sufficiency(spark, sf_dir):
     """History and 20-year scenario self-sufficiency (%), typed union."""
-    return e1(spark, sf_dir)["self"]
+    return e1(spark, sf_dir).self_sufficiency()
 
 
-@query("dom_self_sufficiency_arima")
+@query("dom_self_sufficiency_arima", _arima_ctes("e_self"), doubles={"Self_Sufficiency": 4})
 def dom_self_sufficiency_arima(spark, sf_dir):
     """Same branch with automatic-ARIMA bootstrap paths (the reference's model)."""
-    return e1(spark, sf_dir, "ARIMA")["self"]
+    return e1(spark, sf_dir, "ARIMA").self_sufficiency()
 
 
 @query("dom_industry_inputs", with_ctes("SELECT * FROM e_full", "e_full"),
-       doubles={**KGD, "Regional_Recycling_Rate": 6, "Import_Value": 2, "Export_Value": 2,
-                "Processed_Own_Waste": -3, "Processed_Others_Waste": -3, "Percent_Own_Processed": 4})
+       doubles={**KGD, **DIFF, "Regional_Recycling_Rate": 6, "Import_Value": 2, "Export_Value": 2})
 def dom_industry_inputs(spark, sf_dir):
     """Noisy scenario → complete grid → rate clamp → wide → metrics, ∪ history."""
-    return e1(spark, sf_dir)["full"]
+    return e1(spark, sf_dir).full()
 
 
 @query("dom_global_price", with_ctes("SELECT * FROM e_gp", "e_gp"), doubles={"Global_Avg_Price": 3})
 def dom_global_price(spark, sf_dir):
     """Yearly median import price over rows above the quantity floor."""
-    return e1(spark, sf_dir)["global_prices"]
+    return e1(spark, sf_dir).global_prices()
 
 
 @query("dom_industry_value", with_ctes("""
 SELECT Country, Year, Type, Raw_Price, Interp_Price, Global_Avg_Price, Final_Price, Smoothed_Price, Local_Industry_Value
 FROM e_ind""", "e_ind"), doubles={"Raw_Price": 3, "Interp_Price": 3, "Global_Avg_Price": 3, "Final_Price": 3,
-                                  "Smoothed_Price": 3, "Local_Industry_Value": -3})
+                                  "Smoothed_Price": 3, "Local_Industry_Value": "sig6"})
 def dom_industry_value(spark, sf_dir):
     """Price chain per country × processed volume."""
-    return e1(spark, sf_dir)["industry"].select("Country", "Year", "Type", "Raw_Price", "Interp_Price",
+    return e1(spark, sf_dir).industry().select("Country", "Year", "Type", "Raw_Price", "Interp_Price",
                                                  "Global_Avg_Price", "Final_Price", "Smoothed_Price",
                                                  "Local_Industry_Value")
 
@@ -251,22 +268,22 @@ def dom_industry_value(spark, sf_dir):
 @query("dom_best_of_both", with_ctes("SELECT * FROM e_out", "e_out"), doubles=OUT_D)
 def dom_best_of_both(spark, sf_dir):
     """Industry branch ⟕ self-sufficiency branch on (Country, Year, Type): the forecast file."""
-    return e1(spark, sf_dir)["output"]
+    return e1(spark, sf_dir).output()
 
 
-@query("dom_best_of_both_arima")
+@query("dom_best_of_both_arima", _arima_ctes("e_out"), doubles=OUT_D)
 def dom_best_of_both_arima(spark, sf_dir):
     """The forecast file with automatic-ARIMA bootstrap paths in both branches."""
-    return e1(spark, sf_dir, "ARIMA")["output"]
+    return e1(spark, sf_dir, "ARIMA").output()
 
 
 @query("dom_volatility_columns", with_ctes("""
 SELECT *, stddev_samp(Local_Industry_Value) OVER (PARTITION BY Country) AS Vol_Industry_Value,
        stddev_samp(Self_Sufficiency) OVER (PARTITION BY Country) AS Vol_Self_Sufficiency FROM e_out""", "e_out"),
-       doubles={**OUT_D, "Vol_Industry_Value": -3, "Vol_Self_Sufficiency": 4})
+       doubles={**OUT_D, "Vol_Industry_Value": "sig6", "Vol_Self_Sufficiency": 4})
 def dom_volatility_columns(spark, sf_dir):
     """Per-country sd of industry value and self-sufficiency attached to every row (window, no re-join)."""
-    o = e1(spark, sf_dir)["output"]
+    o = e1(spark, sf_dir).output()
     w = Window.partitionBy("Country")
     return o.withColumns({"Vol_Industry_Value": F.stddev_samp("Local_Industry_Value").over(w),
                           "Vol_Self_Sufficiency": F.stddev_samp("Self_Sufficiency").over(w)})
@@ -276,10 +293,10 @@ def dom_volatility_columns(spark, sf_dir):
 SELECT o.Country, o.Year, o.Type, o.Local_Industry_Value, 'Top 5 volatile' AS label
 FROM e_out o WHERE o.Country IN (
   SELECT Country FROM e_out GROUP BY Country ORDER BY stddev_samp(Local_Industry_Value) DESC NULLS LAST, Country
-  LIMIT 5)""", "e_out"), doubles={"Local_Industry_Value": -3})
+  LIMIT 5)""", "e_out"), doubles={"Local_Industry_Value": "sig6"})
 def dom_volatile_topn(spark, sf_dir):
     """Rows of the 5 countries with the most volatile industry value, labelled."""
-    o = e1(spark, sf_dir)["output"]
+    o = e1(spark, sf_dir).output()
     sd = o.groupBy("Country").agg(F.stddev_samp("Local_Industry_Value").alias("sd"))
     top = rel.top_n(sd, 5, [F.col("sd").desc_nulls_last(), F.col("Country")]).select("Country")
     return rel.semi_join(o, top, "Country", bounded=True).select(
@@ -583,18 +600,16 @@ SELECT Country, Year, Type,
        CASE WHEN Percent_Own_Processed IS NULL THEN 'n/a'
             ELSE format('{:,.2f}', round_even(Percent_Own_Processed, 2) + 0.0) END AS sufficiency_txt,
        CASE WHEN Local_Industry_Value IS NULL THEN 'n/a'
-            ELSE format('{:,}', CAST(round_even(round(Local_Industry_Value, -3), 0) AS BIGINT)) END AS value_txt
+            ELSE format('{:,}', CAST(round_even(round(Local_Industry_Value, 2), 0) AS BIGINT)) END AS value_txt
 FROM e_out""", "e_out"))
 def dom_prescriptive_profile(spark, sf_dir):
     """Per country-year sufficiency and industry value as display text, with an explicit no-data state."""
-    o = e1(spark, sf_dir)["output"]
+    o = e1(spark, sf_dir).output()
     p, v = F.col("Percent_Own_Processed"), F.col("Local_Industry_Value")
     return o.select("Country", "Year", "Type",
                     F.when(p.isNull() & v.isNull(), "no data").otherwise("ok").alias("state"),
                     F.coalesce(F.format_number(F.bround(p, 2) + F.lit(0.0), 2), F.lit("n/a")).alias("sufficiency_txt"),
-                    # whole thousands: the unit digit of a ~1e12 estimate is below the
-                    # precision its float sums keep across summation orders
-                    X.big_mark(v, pre_round=-3).alias("value_txt"))
+                    X.big_mark(v, pre_round=2).alias("value_txt"))
 
 
 @query("dom_waste_history", with_ctes("""
@@ -633,7 +648,7 @@ UNPIVOT INCLUDE NULLS (Value FOR Series IN ("Sufficiency Index (%)", "Industry V
        doubles={"Value": "sig7"})
 def dom_prescriptive_history(spark, sf_dir):
     """Sufficiency and industry value long per country and year."""
-    o = e1(spark, sf_dir)["output"].select("Country", "Year",
+    o = e1(spark, sf_dir).output().select("Country", "Year",
                                             F.col("Percent_Own_Processed").alias("Sufficiency Index (%)"),
                                             F.col("Local_Industry_Value").alias("Industry Value (USD)"))
     return unpivot_long(o, ["Country", "Year"], ["Sufficiency Index (%)", "Industry Value (USD)"], "Series", "Value")

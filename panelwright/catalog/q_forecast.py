@@ -8,6 +8,7 @@ from ..functions.exprs import clamp as clamp_expr
 from ..functions.exprs import std_normal
 from ..operators import forecast as fc
 from ..operators import timeseries as ts
+from ..operators.arima import arima_paths, fc_arima
 from ..plans import evaluation as ev
 from ..session import cut_lineage
 from ..sources import bindings as b
@@ -113,9 +114,13 @@ SELECT {k}, 'AR1' AS model, Year, c * {geo} + pow(phi, kk) * y AS mean, sigma2 *
 register("fcm_mean", _sql_mean("train_m", KEYS, H), ("train_m",))
 register("fcm_naive", _sql_naive("train_m", KEYS, H), ("train_m",))
 register("fcm_ets", _sql_ets("train_m", KEYS, H), ("train_m",))
+register("fit_arima", sf.arima_fit("train_m", KEYS, "Qty"), ("train_m",))
+register("fit_arima_full", sf.arima_fit("series_m", KEYS, "Qty"), ("series_m",))
+register("fcm_arima", sf.arima_forecast("fit_arima", KEYS, H), ("fit_arima",))
 register("fcm_ar1", _sql_ar1("train_m", KEYS, H), ("train_m",))
-register("fcm_all", "SELECT * FROM fcm_mean UNION ALL SELECT * FROM fcm_naive UNION ALL SELECT * FROM fcm_ets",
-         ("fcm_mean", "fcm_naive", "fcm_ets"))
+register("fcm_all", """SELECT * FROM fcm_mean UNION ALL SELECT * FROM fcm_naive UNION ALL SELECT * FROM fcm_ets
+UNION ALL SELECT Country, flowDesc, model, Year, mean, variance FROM fcm_arima""",
+         ("fcm_mean", "fcm_naive", "fcm_ets", "fcm_arima"))
 register("fcm_act", """
 SELECT f.*, t.Qty AS actual FROM fcm_all f LEFT JOIN test_m t
   ON f.Country = t.Country AND f.flowDesc = t.flowDesc AND f.Year = t.Year""", ("fcm_all", "test_m"))
@@ -126,8 +131,12 @@ FROM fcm_act WHERE actual IS NOT NULL GROUP BY 1, 2, 3""", ("fcm_act",))
 
 
 def _models(train, h=H):
-    return (fc.fc_mean(train, KEYS, IDX, "Qty", h).unionByName(fc.fc_naive(train, KEYS, IDX, "Qty", h))
-              .unionByName(fc.fc_ets(train, KEYS, IDX, "Qty", h)))
+    """MEAN, NAIVE, ETS and ARIMA forecasts under one model column."""
+    fits = [f(train, KEYS, IDX, "Qty", h) for f in (fc.fc_mean, fc.fc_naive, fc.fc_ets, fc_arima)]
+    out = fits[0]
+    for f in fits[1:]:
+        out = out.unionByName(f.select(*out.columns))
+    return out
 
 
 def models_m(spark, sf_dir, h=H):
@@ -174,14 +183,17 @@ def q_fc_arima_ar1(spark, sf_dir):
     return fc.fc_ar1(train, KEYS, IDX, "Qty", H)
 
 
-@query("fc_arima")
+ARIMA_D = {"mean": "sig7", "variance": "sig6", "aicc": 4}
+
+
+@query("fc_arima", with_ctes("SELECT * FROM fcm_arima", "fcm_arima"), doubles=ARIMA_D)
 def q_fc_arima(spark, sf_dir):
-    """Automatic ARIMA: d by KPSS, (p, q) with p + q ≤ 5 by AICc, one grouped-map fit per series."""
+    """Automatic ARIMA: d ≤ 2 by KPSS, AR order ≤ 2 with or without constant by AICc."""
     train, _ = split_m(spark, sf_dir)
-    return fc.fc_arima(train, KEYS, IDX, "Qty", H)
+    return fc_arima(train, KEYS, IDX, "Qty", H)
 
 
-MENU = {"MEAN": fc.fc_mean, "NAIVE": fc.fc_naive, "ETS": fc.fc_ets, "ARIMA": fc.fc_arima, "AR1": fc.fc_ar1}
+MENU = {"MEAN": fc.fc_mean, "NAIVE": fc.fc_naive, "ETS": fc.fc_ets, "ARIMA": fc_arima, "AR1": fc.fc_ar1}
 
 
 def model_menu(choice: str):
@@ -192,16 +204,20 @@ def model_menu(choice: str):
 
 @query("fc_model_menu", with_ctes("SELECT * FROM fcm_all UNION ALL SELECT * FROM fcm_ar1", "fcm_all", "fcm_ar1"), doubles=FC_D)
 def q_fc_model_menu(spark, sf_dir):
-    """User-picked model (parameter → branch): every SQL-checkable branch in
-    turn, told apart by the model column."""
+    """User-picked model (parameter → branch): every branch in turn, told
+    apart by the model column."""
     train, _ = split_m(spark, sf_dir)
-    picks = [model_menu(m)(train, KEYS, IDX, "Qty", H) for m in ("MEAN", "NAIVE", "ETS", "AR1")]
-    return picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3])
+    cols = [*KEYS, "model", IDX, "mean", "variance"]
+    picks = [model_menu(m)(train, KEYS, IDX, "Qty", H).select(*cols) for m in MENU]
+    out = picks[0]
+    for p in picks[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("fc_multi_model", with_ctes("SELECT * FROM fcm_all", "fcm_all"), doubles=FC_D)
 def q_fc_multi_model(spark, sf_dir):
-    """MEAN, NAIVE and ETS side by side per series (one model column)."""
+    """MEAN, NAIVE, ETS and ARIMA side by side per series (one model column)."""
     return models_m(spark, sf_dir)
 
 
@@ -240,10 +256,11 @@ def q_fc_bootstrap_mean_paths(spark, sf_dir):
     return fc.residual_paths(series_m(spark, sf_dir), KEYS, IDX, "Qty", PATH_H, PATHS, SEED, "MEAN")
 
 
-@query("fc_bootstrap_arima")
+@query("fc_bootstrap_arima", with_ctes(sf.arima_paths("fit_arima_full", KEYS, PATH_H, 1, SEED), "fit_arima_full"),
+       doubles={"sim": "sig6"})
 def q_fc_bootstrap_arima(spark, sf_dir):
     """Bootstrap future of the automatic ARIMA (h = 20, one path), seeded per series."""
-    return fc.arima_paths(series_m(spark, sf_dir), KEYS, IDX, "Qty", PATH_H, 1, SEED)
+    return arima_paths(series_m(spark, sf_dir), KEYS, IDX, "Qty", PATH_H, 1, SEED)
 
 
 NOISE_SEED = 7
@@ -366,13 +383,13 @@ def q_agg_mean_median_errors(spark, sf_dir):
 @query("fc_divergence", with_ctes("""
 SELECT *, CAST(rank() OVER (ORDER BY round(divergence, 6) DESC) AS INTEGER) AS rank FROM (
   SELECT Country, flowDesc, mape_a, mape_b, abs(mape_a - mape_b) AS divergence FROM (
-    SELECT Country, flowDesc, max(CASE WHEN model = 'ETS' THEN MAPE END) AS mape_a,
-           max(CASE WHEN model = 'NAIVE' THEN MAPE END) AS mape_b
-    FROM fcm_acc WHERE model IN ('ETS', 'NAIVE') GROUP BY 1, 2))
+    SELECT Country, flowDesc, max(CASE WHEN model = 'ARIMA' THEN MAPE END) AS mape_a,
+           max(CASE WHEN model = 'ETS' THEN MAPE END) AS mape_b
+    FROM fcm_acc WHERE model IN ('ARIMA', 'ETS') GROUP BY 1, 2))
 WHERE divergence IS NOT NULL""", "fcm_acc"), doubles={"mape_a": 6, "mape_b": 6, "divergence": 6})
 def q_fc_divergence(spark, sf_dir):
-    """Per-series |MAPE_ETS − MAPE_NAIVE| and its rank (1 = largest)."""
-    return ev.divergence(cut_lineage(accuracy_m(spark, sf_dir)), KEYS, "ETS", "NAIVE")
+    """Per-series |MAPE_ARIMA − MAPE_ETS| and its rank (1 = largest)."""
+    return ev.divergence(cut_lineage(accuracy_m(spark, sf_dir)), KEYS, "ARIMA", "ETS")
 
 
 @query("fc_refit_full", with_ctes(_sql_naive("series_m", KEYS, 10) + " UNION ALL " + _sql_ets("series_m", KEYS, 10), "series_m"),

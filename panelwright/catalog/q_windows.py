@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import relational as rel
 from ..operators import timeseries as ts
-from .common import trade
+from .common import trade, trade_once
 from .registry import query
 from .sqlbind import register, with_ctes
 
@@ -21,7 +21,7 @@ SELECT Country, Year, PrimaryValue / nullif(Qty, 0) AS price FROM trade WHERE fl
 @query("sort_multi", with_ctes("SELECT * FROM trade", "trade"), doubles=TRADE_D)
 def sort_multi(spark, sf_dir):
     """Order by country, then year descending, then flow."""
-    return trade(spark, sf_dir).orderBy("Country", F.col("Year").desc(), "flowDesc")
+    return trade_once(spark, sf_dir).orderBy("Country", F.col("Year").desc(), "flowDesc")
 
 
 @query("topn_no_ties", with_ctes("""
@@ -29,7 +29,7 @@ SELECT Country, sum(PrimaryValue) AS total_value FROM trade WHERE flowDesc = 'Im
 GROUP BY Country ORDER BY total_value DESC, Country LIMIT 5""", "trade"), doubles={"total_value": 4})
 def topn_no_ties(spark, sf_dir):
     """First 5 rows after sorting (TakeOrderedAndProject)."""
-    t = trade(spark, sf_dir).where(F.col("flowDesc") == "Import")
+    t = trade_once(spark, sf_dir).where(F.col("flowDesc") == "Import")
     totals = t.groupBy("Country").agg(F.sum("PrimaryValue").alias("total_value"))
     return rel.top_n(totals, 5, [F.col("total_value").desc(), F.col("Country")])
 
@@ -51,7 +51,7 @@ SELECT Year, Country, price FROM (
 WHERE rk <= 2""", "import_prices"), doubles={"price": 6})
 def topn_per_group(spark, sf_dir):
     """Top 2 import prices per year, ties kept."""
-    p = trade(spark, sf_dir).where(F.col("flowDesc") == "Import").select(
+    p = trade_once(spark, sf_dir).where(F.col("flowDesc") == "Import").select(
         "Year", "Country", X.safe_div("PrimaryValue", "Qty").alias("price")).where(F.col("price").isNotNull())
     return rel.top_n_with_ties(p, 2, "price", partition=["Year"])
 
@@ -76,7 +76,7 @@ SELECT Country, flowDesc, max(Year) AS last_year, arg_max_null(Qty, Year) AS las
 FROM trade GROUP BY Country, flowDesc""", "trade"), doubles={"last_qty": 6, "last_value": 4})
 def last_point(spark, sf_dir):
     """Row at the maximum index of each series (max_by, no sort)."""
-    return trade(spark, sf_dir).groupBy("Country", "flowDesc").agg(
+    return trade_once(spark, sf_dir).groupBy("Country", "flowDesc").agg(
         F.max("Year").alias("last_year"), F.max_by("Qty", "Year").alias("last_qty"),
         F.max_by("PrimaryValue", "Year").alias("last_value"))
 
@@ -107,7 +107,7 @@ FROM (SELECT *, row_number() OVER w AS rn,
     "import_prices"), doubles={"price": 6, "price_smooth": 6})
 def roll_mean_right(spark, sf_dir):
     """Width-3 right-aligned mean, first two rows extended from the first full window."""
-    p = trade(spark, sf_dir).where(F.col("flowDesc") == "Import").select(
+    p = trade_once(spark, sf_dir).where(F.col("flowDesc") == "Import").select(
         "Country", "Year", X.safe_div("PrimaryValue", "Qty").alias("price"))
     return ts.roll_mean_right(p, ["Country"], "Year", "price", "price_smooth")
 
@@ -116,4 +116,4 @@ def roll_mean_right(spark, sf_dir):
 SELECT Country, Year, count(*) AS n_rows FROM trade GROUP BY Country, Year HAVING count(*) > 1""", "trade"))
 def series_index_declare(spark, sf_dir):
     """Duplicate (key, index) rows: keyed by Country only, each year holds two flows."""
-    return ts.duplicate_index_rows(trade(spark, sf_dir), ["Country"], "Year")
+    return ts.duplicate_index_rows(trade_once(spark, sf_dir), ["Country"], "Year")

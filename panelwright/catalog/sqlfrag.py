@@ -79,3 +79,83 @@ SELECT {k}, path, {index}, {sim} AS sim FROM (
         JOIN (SELECT {k}, count(*) AS _m FROM {r0} GROUP BY {k}) m USING ({k})))) g
   LEFT JOIN (SELECT {k}, _e, row_number() OVER (PARTITION BY {k} ORDER BY {index}) AS _pos FROM {r0}) r
     ON {on} AND g._pos = r._pos)"""
+
+
+def _kpss(e: str, n: str) -> str:
+    lag = f"least(CAST(trunc(4 * pow({n} / 100.0, 0.25)) AS BIGINT), {n} - 1)"
+    run = (f"list_reduce({e}, lambda c, x: {{'s': c.s + x, 'q': c.q + (c.s + x) * (c.s + x)}}, {{'s': 0.0::DOUBLE, 'q': 0.0::DOUBLE}}).q")
+    lrv = (f"((list_sum(list_transform({e}, lambda x: x * x)) + coalesce(list_sum(list_transform(range(1, {lag} + 1), lambda s: 2.0 * (1.0 - s / ({lag} + 1.0)) "
+           f"* list_sum(list_transform(range(s + 1, {n} + 1), lambda i: {e}[i] * {e}[i - s])))), 0.0)) / {n})")
+    return f"CASE WHEN {n} > 3 AND {lrv} > 1e-12 THEN {run} / ({n} * {n} * {lrv}) ELSE 0.0 END"
+
+
+def arima_fit(src: str, keys, value: str, index: str = "Year") -> str:
+    """DuckDB text of ``operators.arima.arima_fit``."""
+    k = ", ".join(keys)
+    diff = "list_transform(range(2, len({a}) + 1), lambda i: {a}[i] - {a}[i - 1])"
+    x = {"0": "w[i]", "1": "coalesce(CASE WHEN i > 1 THEN w[i - 1] END, 0.0)", "2": "coalesce(CASE WHEN i > 2 THEN w[i - 2] END, 0.0)"}
+    names = ("s0", "s1", "s2", "s00", "s01", "s02", "s11", "s12", "s22")
+    sums = ", ".join(f"list_sum(list_transform(range(o + 1, len(w) + 1), lambda i: {' * '.join(x[c] for c in n[1:])})) AS {n}" for n in names)
+    cross = ", ".join(f"s{a}{b} - CASE WHEN constant THEN s{a} * s{b} / m ELSE 0.0 END AS c{a}{b}"
+                      for a, b in (("0", "0"), ("0", "1"), ("0", "2"), ("1", "1"), ("1", "2"), ("2", "2")))
+    edge = 0.999
+    return f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY aicc NULLS LAST, p, NOT constant) AS rn FROM (
+    SELECT *, sse / nullif(m - k + 1, 0) AS sigma2, CASE WHEN constant THEN (s0 - phi1 * s1 - phi2 * s2) / m ELSE 0.0 END AS c,
+      CASE WHEN m - k - 1 > 0 AND abs(phi2) < {edge} AND phi2 + phi1 < {edge} AND phi2 - phi1 < {edge}
+           THEN m * ln(greatest(sse, 1e-12) / m) + 2 * k + 2 * k * (k + 1) / (m - k - 1) END AS aicc FROM (
+      SELECT *, greatest(c00 - phi1 * c01 - phi2 * c02, 0.0) AS sse, p + constant::INT + 1 AS k FROM (
+        SELECT *, CASE p WHEN 0 THEN 0.0 WHEN 1 THEN c01 / nullif(c11, 0) ELSE (c01 * c22 - c02 * c12) / nullif(c11 * c22 - c12 * c12, 0) END AS phi1,
+               CASE p WHEN 2 THEN (c02 * c11 - c01 * c12) / nullif(c11 * c22 - c12 * c12, 0) ELSE 0.0 END AS phi2 FROM (
+          SELECT *, {cross} FROM (
+            SELECT f.*, g.p, g.constant FROM (
+              SELECT *, {sums} FROM (
+                SELECT *, (len(w) - o)::DOUBLE AS m FROM (SELECT *, CASE WHEN len(w) >= 6 THEN 2 ELSE 0 END AS o FROM (
+                  SELECT *, CASE d WHEN 0 THEN y0 WHEN 1 THEN y1 ELSE y2 END AS w FROM (
+                    SELECT *, CASE WHEN {_kpss('e0', 'len(y0)')} <= 0.463 THEN 0 WHEN {_kpss('e1', 'len(y1)')} <= 0.463 THEN 1 ELSE 2 END AS d FROM (
+                      SELECT *, list_transform(y0, lambda x: x - list_sum(y0) / len(y0)) AS e0,
+                             list_transform(y1, lambda x: x - list_sum(y1) / len(y1)) AS e1, {diff.format(a='y1')} AS y2 FROM (
+                        SELECT *, {diff.format(a='y0')} AS y1 FROM (
+                          SELECT {k}, list({value} ORDER BY {index}) AS y0, max({index}) AS last FROM {src} GROUP BY {k})))))))) f,
+              (VALUES (0, true), (0, false), (1, true), (1, false), (2, true), (2, false)) g(p, constant)
+            WHERE (g.p = 0 OR f.o = 2) AND (f.d < 2 OR NOT g.constant OR f.o = 0)))))))
+WHERE rn = 1"""
+
+
+def _arima_fold(steps: str) -> str:
+    new = "(c + phi1 * s.a + phi2 * s.b + x.draw)"
+    l1 = f"CASE WHEN d = 2 THEN s.l1 + {new} ELSE {new} END"
+    l0 = f"CASE WHEN d = 0 THEN {new} ELSE s.l0 + {l1} END"
+    psi = "CASE WHEN x.step = 1 THEN 1.0 ELSE phi1 * s.pa + phi2 * s.pb END"
+    q1 = f"CASE WHEN d = 2 THEN s.q1 + {psi} ELSE {psi} END"
+    q0 = f"CASE WHEN d = 0 THEN {psi} ELSE s.q0 + {q1} END"
+    v = f"s.v + ({q0}) * ({q0})"
+    z = "0.0::DOUBLE"
+    start = (f"{{'a': w[len(w)], 'b': coalesce(CASE WHEN len(w) > 1 THEN w[len(w) - 1] END, 0.0), 'l1': coalesce(y1[len(y1)], 0.0), 'l0': y0[len(y0)], "
+             f"'pa': {z}, 'pb': {z}, 'q1': {z}, 'q0': {z}, 'v': {z}, 'out': []::STRUCT(step BIGINT, mean DOUBLE, v DOUBLE)[]}}")
+    return (f"list_reduce({steps}, lambda s, x: {{'a': {new}, 'b': s.a, 'l1': {l1}, 'l0': {l0}, 'pa': {psi}, 'pb': s.pa, 'q1': {q1}, 'q0': {q0}, "
+            f"'v': {v}, 'out': list_append(s.out, {{'step': x.step::BIGINT, 'mean': {l0}, 'v': {v}}})}}, {start}).out")
+
+
+def arima_forecast(fit: str, keys, h: int, index: str = "Year") -> str:
+    """Forecast rows from a fit table."""
+    k = ", ".join(keys)
+    steps = f"list_transform(range(1, {h} + 1), lambda j: {{'step': j, 'draw': 0.0::DOUBLE}})"
+    return f"""
+SELECT {k}, 'ARIMA' AS model, (last + x.step)::INTEGER AS {index}, x.mean AS mean, sigma2 * x.v AS variance, p, d, constant, aicc
+FROM (SELECT *, unnest({_arima_fold(steps)}) AS x FROM {fit})"""
+
+
+def arima_paths(fit: str, keys, h: int, times: int, seed, index: str = "Year") -> str:
+    """DuckDB text of ``operators.arima.arima_paths``."""
+    k = ", ".join(keys)
+    u = md5_uniform(", ".join([*keys, "CAST(path AS VARCHAR)", "CAST(last + j AS VARCHAR)"]), seed)
+    draws = f"list_transform(range(1, {h} + 1), lambda j: {{'step': j, 'draw': resid[CAST(floor({u} * len(resid)) AS BIGINT) + 1]}})"
+    return f"""
+SELECT {k}, path, (last + x.step)::INTEGER AS {index}, x.mean AS sim FROM (
+  SELECT *, unnest({_arima_fold('draws')}) AS x FROM (
+    SELECT *, {draws} AS draws FROM (
+      SELECT *, unnest(range(1, {times} + 1))::INTEGER AS path, list_transform(range(o + 1, len(w) + 1), lambda i: w[i] - c
+        - phi1 * coalesce(CASE WHEN i > 1 THEN w[i - 1] END, 0.0) - phi2 * coalesce(CASE WHEN i > 2 THEN w[i - 2] END, 0.0)) AS resid
+      FROM {fit})))"""

@@ -9,9 +9,7 @@ accuracy are derived from it.
 * ETS is a grid search folded over the sorted series with the built-in
   ``aggregate`` higher-order function; the grid is a literal array exploded
   per series, the winner is a ``min_by`` on AICc — no Python.
-* Automatic ARIMA fits the (p, q) candidates of a series in a grouped-map
-  pandas job (NumPy least squares, Hannan–Rissanen); every candidate comes
-  back as rows and the best is chosen by Spark.  Python only runs the fit.
+* Automatic ARIMA is in ``operators.arima``.
 
 A series is bounded by its index range (years / months): collecting one into
 an array is bounded by that length, not by the data volume.
@@ -19,18 +17,13 @@ an array is bounded by that length, not by the data volume.
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import md5_uniform
-from ..session import ship_package, spread_by_keys
+from ..session import spread_by_keys
 
 Keys = Sequence[str]
 
@@ -193,243 +186,6 @@ def fc_ets(df: DataFrame, keys: Keys, index: str, value: str, h: int, grid=None)
                     (F.col("sigma2") * (F.lit(1.0) + var_terms)).alias("variance"))
 
 
-# --- automatic ARIMA (grouped-map fit per candidate) ---------------------------------
-
-# Search space of the automatic ARIMA: p, q ≤ 5 with p + q ≤ 5 (the usual
-# automatic-ARIMA limits), each with and without a constant for d ≤ 1.
-ARIMA_PQ = [(p, q) for p in range(6) for q in range(6) if p + q <= 5]
-KPSS_CRIT = 0.463  # 5 % critical value of the level-stationarity KPSS test
-
-
-def _kpss(y: np.ndarray) -> float:
-    n = len(y)
-    e = y - y.mean()
-    s = np.cumsum(e)
-    lags = int(math.trunc(4 * (n / 100.0) ** 0.25))
-    lrv = float(e @ e) / n
-    for lag in range(1, min(lags, n - 1) + 1):
-        lrv += 2 * (1 - lag / (lags + 1)) * float(e[lag:] @ e[:-lag]) / n
-    return float(s @ s) / (n * n * lrv) if lrv > 0 else 0.0
-
-
-def choose_d(y: np.ndarray, max_d: int = 2) -> int:
-    d = 0
-    while d < max_d and len(y) > 3 and np.ptp(y) > 0 and _kpss(y) > KPSS_CRIT:
-        y = np.diff(y)
-        d += 1
-    return d
-
-
-def _roots_ok(coefs) -> bool:
-    if len(coefs) == 0 or not np.any(coefs):
-        return True
-    r = np.roots(np.r_[-np.asarray(coefs)[::-1], 1.0])
-    return bool(np.all(np.abs(r) > 1.001))
-
-
-def _lagmat(x, lags, start):
-    return np.column_stack([x[start - i:len(x) - i] for i in range(1, lags + 1)]) if lags else np.empty((len(x) - start, 0))
-
-
-def arima_fit_one(y: np.ndarray, p: int, d: int, q: int, const: bool | None = None):
-    """CSS-style fit of ARIMA(p,d,q) by Hannan–Rissanen; returns dict or None.
-
-    ``const``: constant in the differenced model (a mean for d = 0, a drift
-    for d = 1); default: only for d = 0.
-    """
-    w = np.diff(y, n=d) if d else y.astype(float)
-    n = len(w)
-    const = (d == 0) if const is None else bool(const and d < 2)
-    if q:
-        m = min(max(p + q + 2, 3), n // 3)
-        if m < 1 or n - m <= m + 1:
-            return None
-        X = np.column_stack([np.ones(n - m), _lagmat(w, m, m)])
-        beta, *_ = np.linalg.lstsq(X, w[m:], rcond=None)
-        ehat = np.r_[np.zeros(m), w[m:] - X @ beta]
-    else:
-        ehat = np.zeros(n)
-    start = max(p, q, (min(max(p + q + 2, 3), n // 3) if q else 0))
-    neff = n - start
-    k = p + q + int(const) + 1
-    if neff - k - 1 <= 0:
-        return None
-    cols = [np.ones(neff)] if const else []
-    if p:
-        cols.append(_lagmat(w, p, start))
-    if q:
-        cols.append(_lagmat(ehat, q, start))
-    X = np.column_stack(cols) if cols else np.empty((neff, 0))
-    beta = np.linalg.lstsq(X, w[start:], rcond=None)[0] if X.shape[1] else np.empty(0)
-    c = float(beta[0]) if const else 0.0
-    phi = beta[int(const):int(const) + p]
-    theta = beta[int(const) + p:]
-    if not (_roots_ok(phi) and _roots_ok(-theta)):
-        return None
-    e = np.zeros(n)
-    for t in range(start, n):
-        e[t] = w[t] - c - sum(phi[i] * w[t - 1 - i] for i in range(p)) - sum(theta[j] * e[t - 1 - j] for j in range(q))
-    sse = float(e[start:] @ e[start:])
-    s2ml = max(sse / neff, 1e-300)
-    loglik = -0.5 * neff * (math.log(2 * math.pi * s2ml) + 1)
-    aicc = -2 * loglik + 2 * k + 2 * k * (k + 1) / (neff - k - 1)
-    return {"c": c, "phi": phi, "theta": theta, "sigma2": sse / max(neff - k + 1, 1), "aicc": aicc,
-            "w": w, "e": e, "start": start}
-
-
-def arima_forecast(y: np.ndarray, d: int, fit: dict, h: int):
-    """Point forecasts and variances (ψ-weights of φ(B)(1−B)^d)."""
-    w, e, c, phi, theta = list(fit["w"]), list(fit["e"]), fit["c"], fit["phi"], fit["theta"]
-    p, q = len(phi), len(theta)
-    for _ in range(h):
-        t = len(w)
-        val = c + sum(phi[i] * w[t - 1 - i] for i in range(p)) + sum(theta[j] * e[t - 1 - j] for j in range(q)
-                                                                      if t - 1 - j < len(e))
-        w.append(val)
-    fw = np.array(w[-h:])
-    levels = [np.asarray(y, float)]
-    for _ in range(d):
-        levels.append(np.diff(levels[-1]))
-    for k in range(d, 0, -1):
-        fw = levels[k - 1][-1] + np.cumsum(fw)
-    ar = np.r_[1.0, -np.asarray(phi)]
-    for _ in range(d):
-        ar = np.convolve(ar, [1.0, -1.0])
-    star = -ar[1:]
-    psi = [1.0]
-    for j in range(1, h):
-        v = theta[j - 1] if j - 1 < q else 0.0
-        v += sum(star[i - 1] * psi[j - i] for i in range(1, min(j, len(star)) + 1))
-        psi.append(v)
-    var = fit["sigma2"] * np.cumsum(np.square(psi))
-    return fw, var
-
-
-def _seed(key: str, seed: int) -> int:
-    return int(hashlib.md5(f"{key}|{seed}".encode()).hexdigest()[:8], 16)
-
-
-def arima_candidates(df: DataFrame, keys: Keys, index: str, value: str, h: int,
-                     pq: Sequence[tuple[int, int]] = ARIMA_PQ) -> DataFrame:
-    """Every viable (series, p, d, q) fit with its AICc and h forecast rows.
-
-    One grouped-map call per series fits all (p, q) candidates (a series is a
-    few dozen points, so per-call overhead dominates per-candidate groups);
-    the choice among candidates is left to Spark.
-    """
-    keys = list(keys)
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [
-        T.StructField("p", T.IntegerType()), T.StructField("d", T.IntegerType()), T.StructField("q", T.IntegerType()),
-        T.StructField("constant", T.BooleanType()),
-        T.StructField("aicc", T.DoubleType()), T.StructField("sigma2", T.DoubleType()),
-        T.StructField(index, T.IntegerType()), T.StructField("mean", T.DoubleType()),
-        T.StructField("variance", T.DoubleType())])
-    names = [f.name for f in schema.fields]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        y = pdf[value].to_numpy(float)
-        if len(y) < 3:
-            return pd.DataFrame(columns=names)
-        d = choose_d(y)
-        last = int(pdf[index].iloc[-1])
-        parts = []
-        for p, q in pq:
-            for const in ((True, False) if d < 2 else (False,)):
-                res = arima_fit_one(y, p, d, q, const)
-                if res is None:
-                    continue
-                mean, var = arima_forecast(y, d, res, h)
-                out = pd.DataFrame({index: np.arange(last + 1, last + h + 1, dtype="int32"), "mean": mean,
-                                    "variance": var})
-                out["p"], out["d"], out["q"], out["constant"] = p, d, q, const
-                out["aicc"], out["sigma2"] = res["aicc"], res["sigma2"]
-                parts.append(out)
-        if not parts:
-            return pd.DataFrame(columns=names)
-        out = pd.concat(parts, ignore_index=True)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[names]
-
-    ship_package(df.sparkSession)
-    x = spread_by_keys(df.select(*keys, index, value), keys)
-    return x.groupBy(*keys).applyInPandas(fit, schema)
-
-
-def fc_arima(df: DataFrame, keys: Keys, index: str, value: str, h: int,
-             pq: Sequence[tuple[int, int]] = ARIMA_PQ) -> DataFrame:
-    """Automatic ARIMA: d by repeated KPSS tests; (p, q) ≤ 5 and the constant
-    (mean for d = 0, drift for d = 1) by minimum AICc."""
-    c = arima_candidates(df, keys, index, value, h, pq)
-    w = Window.partitionBy(*keys).orderBy("aicc", "p", "q", "constant")
-    ranked = c.withColumn("_rk", F.dense_rank().over(w)).where("_rk = 1")
-    return ranked.select(*keys, F.lit("ARIMA").alias("model"), index, "mean", "variance", "p", "d", "q",
-                         "constant", "aicc")
-
-
-def simulate_arima(y: np.ndarray, p: int, d: int, q: int, const: bool, h: int, times: int,
-                   rng: np.random.Generator) -> list[np.ndarray]:
-    """``times`` bootstrap futures of length h: the fitted recursion driven by
-    in-sample residuals drawn with replacement, then undifferenced."""
-    fit = arima_fit_one(y, p, d, q, const)
-    resid = fit["e"][fit["start"]:] if fit is not None and len(fit["e"]) > fit["start"] else np.zeros(1)
-    levels = [np.asarray(y, float)]
-    for _ in range(d):
-        levels.append(np.diff(levels[-1]))
-    out = []
-    for _ in range(times):
-        draws = rng.choice(resid, size=h, replace=True)
-        w, e = list(fit["w"]), list(fit["e"])
-        for t in range(h):
-            n = len(w)
-            val = fit["c"] + sum(fit["phi"][i] * w[n - 1 - i] for i in range(p)) \
-                + sum(fit["theta"][j] * e[n - 1 - j] for j in range(q)) + draws[t]
-            w.append(val)
-            e.append(draws[t])
-        fw = np.array(w[-h:])
-        for k in range(d, 0, -1):
-            fw = levels[k - 1][-1] + np.cumsum(fw)
-        out.append(fw)
-    return out
-
-
-def series_rng(key_text: str, seed: int) -> np.random.Generator:
-    return np.random.default_rng(_seed(key_text, seed))
-
-
-def arima_paths(df: DataFrame, keys: Keys, index: str, value: str, h: int, times: int = 1, seed: int = 123,
-                pq: Sequence[tuple[int, int]] = ARIMA_PQ) -> DataFrame:
-    """Bootstrap futures of the chosen ARIMA: residuals resampled with a
-    generator seeded by md5(key, seed), so a path never depends on
-    partitioning or retries."""
-    keys = list(keys)
-    orders = fc_arima(df, keys, index, value, 1, pq).select(*keys, "p", "d", "q", "constant")
-    x = df.join(orders, on=keys, how="inner")
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("path", T.IntegerType()),
-                                        T.StructField(index, T.IntegerType()), T.StructField("sim", T.DoubleType())])
-
-    def sim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        y = pdf[value].to_numpy(float)
-        p, d, q = (int(pdf[c].iloc[0]) for c in ("p", "d", "q"))
-        rng = series_rng("|".join(str(pdf[k].iloc[0]) for k in keys), seed)
-        paths = simulate_arima(y, p, d, q, bool(pdf["constant"].iloc[0]), h, times, rng)
-        last = int(pdf[index].iloc[-1])
-        out = pd.concat([pd.DataFrame({"path": i + 1, index: np.arange(last + 1, last + h + 1), "sim": fw})
-                         for i, fw in enumerate(paths)], ignore_index=True)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out["path"] = out["path"].astype("int32")
-        out[index] = out[index].astype("int32")
-        return out[[f.name for f in schema.fields]]
-
-    ship_package(df.sparkSession)
-    return spread_by_keys(x, keys).groupBy(*keys).applyInPandas(sim, schema)
-
-
 # --- derived tables ------------------------------------------------------------------
 
 def intervals(fc: DataFrame) -> DataFrame:

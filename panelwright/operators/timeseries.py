@@ -51,9 +51,13 @@ def declare_series(df: DataFrame, keys: Keys, index: str) -> DataFrame:
 def fill_gaps(df: DataFrame, keys: Keys, index: str) -> DataFrame:
     """Insert the missing index values of each key between its own min and
     max; inserted rows have NULL measures."""
-    bounds = df.groupBy(*keys).agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"))
-    grid = bounds.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(index))
-    return grid.join(df, on=[*keys, index], how="left")
+    # each row also stands for the gap up to the next row of its key
+    after = F.lead(index).over(_spec(keys, index))
+    upto = F.coalesce(F.greatest(after - 1, F.col(index)), F.col(index))
+    rest = [c for c in df.columns if c not in (*keys, index)]
+    wide = df.withColumn("_upto", upto).withColumn("_at", F.explode(F.sequence(F.col(index), F.col("_upto"))))
+    return wide.select(*keys, F.col("_at").alias(index),
+                       *[F.when(F.col("_at") == F.col(index), F.col(c)).alias(c) for c in rest])
 
 
 def _interp_expr(value: str, x: Column, keys: Keys, index: str) -> tuple[Column, Column, Column]:

@@ -5,8 +5,8 @@ industry-value branches → merged output.
 Spark shape: the two branches share ``forecast_input`` (one Exchange on
 (Country, Variable) for the fill chain); each branch adds one pivot on
 (Country, Year) and the industry branch one window on Country.  Scenario
-paths come from a deterministic generator (md5 for MEAN/NAIVE, md5-seeded
-NumPy for ARIMA), so a recomputed partition reproduces the same numbers.
+paths come from a deterministic generator (md5 of key, path, step and seed),
+so a recomputed partition reproduces the same numbers.
 Stages read by several later stages are checkpointed (``cut_lineage``).
 """
 
@@ -19,8 +19,10 @@ from ..functions.exprs import clamp, if_else3, pmax, pmin, std_normal
 from ..operators import forecast as fc
 from ..operators import imputation as imp
 from ..operators import timeseries as ts
+from ..operators.arima import arima_paths
 from ..operators.aggregate import median_by
 from ..operators.reshape import complete_grid, pivot_multi, pivot_single, union_by_name
+from ..session import cut_lineage
 
 MT = 1e9
 VARS = ["Est_Waste_Produced_Kg", "Est_Recycled_Amount_Kg", "Imports_Kg", "Exports_Kg", "Import_Value",
@@ -51,9 +53,13 @@ def history_data(wide: DataFrame, max_price: float, min_qty: float) -> DataFrame
     base = wide.select("Country", "Year", "Est_Waste_Produced", "Est_Recycled_Amount", RATE)
     h = base.join(w, on=["Country", "Year"], how="left").fillna(
         0.0, subset=["Imports", "Exports", "Import_Value", "Export_Value", RATE])
-    return h.withColumns({"Est_Recycled_Amount_Kg": F.col("Est_Recycled_Amount") * MT,
-                          "Est_Waste_Produced_Kg": F.col("Est_Waste_Produced") * MT,
-                          "Exports_Kg": F.col("Exports") * MT, "Imports_Kg": F.col("Imports") * MT})
+    # measures are fixed to cents and hundredths of a kg here, so what follows
+    # does not depend on the order in which the facts were summed
+    h = h.withColumns({"Import_Value": F.round("Import_Value", 2), "Export_Value": F.round("Export_Value", 2),
+                       RATE: F.round(RATE, 9)})
+    return h.withColumns({"Est_Recycled_Amount_Kg": F.round(F.col("Est_Recycled_Amount") * MT, 2),
+                          "Est_Waste_Produced_Kg": F.round(F.col("Est_Waste_Produced") * MT, 2),
+                          "Exports_Kg": F.round(F.col("Exports") * MT, 2), "Imports_Kg": F.round(F.col("Imports") * MT, 2)})
 
 
 def forecast_input(history: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def forecast_input(history: DataFrame) -> DataFrame:
 def scenario_paths(finput: DataFrame, h: int, seed: int, model: str) -> DataFrame:
     keys = ["Country", "Variable"]
     if model == "ARIMA":
-        return fc.arima_paths(finput, keys, "Year", "Amount", h, 1, seed)
+        return arima_paths(finput, keys, "Year", "Amount", h, 1, seed)
     return fc.residual_paths(finput, keys, "Year", "Amount", h, 1, seed, model)
 
 
@@ -95,7 +101,8 @@ def industry_inputs(history: DataFrame, finput: DataFrame, paths: DataFrame, noi
     hsd = F.when(F.col("hist_sd").isNull() | (F.col("hist_sd") == 0), F.lit(0.001)).otherwise(F.col("hist_sd"))
     z = std_normal(F.col("Country"), F.col("Variable"), F.col("path"), F.col("Year"), seed=noise_seed)
     j = j.withColumn("Amount", pmax(F.col("sim") + z * hsd * 0.10, 0.0)).select("Country", "Year", "Variable", "Amount")
-    j = complete_grid(j, ["Country", "Year", "Variable"], fill={"Amount": 0.0})
+    # the grid reads the noisy paths for its levels and its cells: write them once
+    j = complete_grid(cut_lineage(j), ["Country", "Year", "Variable"], fill={"Amount": 0.0}, levels={"Variable": VARS})
     j = j.withColumn("Amount", F.when(F.col("Variable") == RATE, clamp("Amount", 0.0, rate_max))
                      .otherwise(F.col("Amount")))
     fut = pivot_single(j, ["Country", "Year"], "Variable", "Amount", VARS)
@@ -120,10 +127,12 @@ def industry_value(full: DataFrame, min_kg: float = 1000.0, price_cap: float = 2
     j = full.join(prices, on="Year", how="left")
     raw = F.when(F.col("Imports_Kg") > min_kg, F.col("Import_Value") / F.col("Imports_Kg"))
     j = j.withColumn("Raw_Price", if_else3(F.col("Imports_Kg") > min_kg, raw, F.lit(None).cast("double")))
-    j = j.withColumn("_pos", F.row_number().over(ts._spec(["Country"], "Year")))
-    j = j.withColumn("Interp_Price", ts.fill_chain_expr("Raw_Price", ["Country"], "Year", x="_pos")).drop("_pos")
+    # a country's year may occur as history and as forecast (series of unequal length): history first
+    j = j.withColumn("_t", F.col("Year") * 2 + (F.col("Type") != "History").cast("int"))
+    j = j.withColumn("_pos", F.row_number().over(ts._spec(["Country"], "_t")))
+    j = j.withColumn("Interp_Price", ts.fill_chain_expr("Raw_Price", ["Country"], "_t", x="_pos")).drop("_pos")
     j = j.withColumn("Final_Price", pmin(F.coalesce("Interp_Price", "Global_Avg_Price"), price_cap))
-    j = ts.roll_mean_right(j, ["Country"], "Year", "Final_Price", "Smoothed_Price")
+    j = ts.roll_mean_right(j, ["Country"], "_t", "Final_Price", "Smoothed_Price").drop("_t")
     return j.withColumn("Local_Industry_Value",
                         (F.col("Processed_Own_Waste") + F.col("Processed_Others_Waste")) * F.col("Smoothed_Price"))
 
@@ -137,25 +146,50 @@ def best_of_both(industry: DataFrame, self_df: DataFrame) -> DataFrame:
     return industry.join(self_df, on=["Country", "Year", "Type"], how="left").select(*OUTPUT_COLS)
 
 
-def run(wide: DataFrame, h: int = 20, model: str = "NAIVE", max_price: float = 5.0, min_qty: float = 1000.0,
-        min_kg: float = 1000.0, price_cap: float = 2.50, seeds=(123, 124, 7)) -> dict[str, DataFrame]:
-    """The whole E1 job; returns every intermediate table by name.
+class ForecastSystem:
+    """The E1 job as stages that are planned when asked for.
 
-    Each stage that later stages read more than once (the wide input, the
-    history, the forecast input, the combined industry table) is written to
-    the shared checkpoint folder: plans stay linear instead of re-deriving
-    the same sub-plan in every branch, and a lost executor re-reads the
-    stage instead of recomputing from the raw tables.
+    A stage read by several later ones is written to the shared checkpoint
+    folder on its first such use (``_stored``), so each model is fitted once
+    and plans stay linear; asking for the history alone plans nothing else.
     """
-    from ..session import cut_lineage
-    wide = cut_lineage(wide)
-    hist = cut_lineage(history_data(wide, max_price, min_qty))
-    finput = cut_lineage(forecast_input(hist))
-    paths_a = scenario_paths(finput, h, seeds[0], model)
-    paths_b = scenario_paths(finput, h, seeds[1], model)
-    self_df = self_sufficiency(hist, paths_a)
-    full = cut_lineage(industry_inputs(hist, finput, paths_b, seeds[2]))
-    prices = global_prices(full, min_kg)
-    ind = industry_value(full, min_kg, price_cap, prices)
-    return {"history": hist, "forecast_input": finput, "self": self_df, "full": full,
-            "global_prices": prices, "industry": ind, "output": best_of_both(ind, self_df)}
+
+    def __init__(self, wide: DataFrame, h: int = 20, model: str = "NAIVE", max_price: float = 5.0,
+                 min_qty: float = 1000.0, min_kg: float = 1000.0, price_cap: float = 2.50, seeds=(123, 124, 7)):
+        self.wide, self.h, self.model, self.seeds = wide, h, model, seeds
+        self.max_price, self.min_qty, self.min_kg, self.price_cap = max_price, min_qty, min_kg, price_cap
+        self._written: dict[str, DataFrame] = {}
+
+    def _stored(self, stage: str) -> DataFrame:
+        if stage not in self._written:
+            self._written[stage] = cut_lineage(getattr(self, stage)())
+        return self._written[stage]
+
+    def _wide(self) -> DataFrame:
+        return self.wide
+
+    def history(self) -> DataFrame:
+        # the panel is read for the trade rows and for the base columns
+        return history_data(self._stored("_wide"), self.max_price, self.min_qty)
+
+    def forecast_input(self) -> DataFrame:
+        return forecast_input(self.history() if "history" not in self._written else self._stored("history"))
+
+    def _paths(self, seed: int) -> DataFrame:
+        return scenario_paths(self._stored("forecast_input"), self.h, seed, self.model)
+
+    def self_sufficiency(self) -> DataFrame:
+        return self_sufficiency(self._stored("history"), self._paths(self.seeds[0]))
+
+    def full(self) -> DataFrame:
+        hist = self._stored("history")
+        return industry_inputs(hist, self._stored("forecast_input"), self._paths(self.seeds[1]), self.seeds[2])
+
+    def global_prices(self) -> DataFrame:
+        return global_prices(self._stored("full"), self.min_kg)
+
+    def industry(self) -> DataFrame:
+        return industry_value(self._stored("full"), self.min_kg, self.price_cap, self.global_prices())
+
+    def output(self) -> DataFrame:
+        return best_of_both(self.industry(), self.self_sufficiency())

@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = False,
-                           flag: str = "l_linestatus") -> DataFrame:
+                           flag: str = "l_linestatus", years: tuple[int, int] | None = None) -> DataFrame:
     """Σ quantity and Σ value per (period, supplier, ``flag``).
 
     Eager aggregation: the fact join ``lineitem ⋈ orders`` (shuffled on the
@@ -41,11 +41,16 @@ def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = Fal
     the second exchange carries suppliers × periods × 6 flags instead of
     every line (``flag`` is the one line attribute the caller groups by) — at
     TPC-H scale 100 000 the supplier table is far above any
-    broadcast threshold and that join is a shuffle of its own.
+    broadcast threshold and that join is a shuffle of its own.  ``years``
+    (first, last) becomes a date range on the scan of orders.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", flag)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
+    if years:
+        # both bounds in the column's own type, so that they reach the Parquet scan
+        kind = dict(o.dtypes)["o_orderdate"]
+        o = o.where((d >= F.lit(f"{years[0]}-01-01").cast(kind)) & (d < F.lit(f"{years[1] + 1}-01-01").cast(kind)))
     period = (F.year(d) * 12 + F.month(d)) if monthly else F.year(d)
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .groupBy(period.cast("int").alias("Year"), "l_suppkey", flag)
@@ -74,7 +79,7 @@ def _flow(status: Column, imp, exp) -> Column:
 
 
 def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
-                missing: bool = True, materialized: bool = True) -> DataFrame:
+                missing: bool = True, materialized: bool = True, years: tuple[int, int] | None = None) -> DataFrame:
     """UN-style long trade panel ``Year, CountryCode, Country, flowCode,
     flowDesc, Qty, PrimaryValue`` (one row per country × period × flow).
 
@@ -83,7 +88,7 @@ def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
     (period + nation key) so that imputation has work to do; rows are never
     dropped.
     """
-    lines = with_nation(supplier_period_totals(spark, sf_dir, monthly), spark, sf_dir)
+    lines = with_nation(supplier_period_totals(spark, sf_dir, monthly, years=years), spark, sf_dir)
     panel = (lines.groupBy("Year", F.col("n_nationkey").alias("nk"),
                            F.col("n_name").alias("Country"), F.col("l_linestatus").alias("st"))
                   .agg(F.sum("q").alias("q"), F.sum("v").alias("v")))
@@ -101,9 +106,9 @@ def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
         _flow(F.col("st"), FLOW_IMPORT, FLOW_EXPORT).alias("flowDesc"),
         qty.cast("double").alias("Qty"),
         val.cast("double").alias("PrimaryValue"))
-    # The panel plays the part of the reference's trade file: queries read it
-    # several times (reference prices, series, pivots), so it is written once
-    # per query as a table instead of re-running the fact join per reader.
+    # The panel plays the part of the reference's trade file: queries that read
+    # it several times (reference prices, series, pivots) have it written once
+    # as a table instead of re-running the fact join per reader.
     return materialize(out, "trade_m" if monthly else "trade") if materialized else out
 
 

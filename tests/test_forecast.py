@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelwright.operators import forecast as fc
+from panelwright.operators.arima import arima_paths, fc_arima
 
 Y = [10.0, 12.0, 11.0, 13.0, 15.0, 14.0, 16.0, 18.0, 17.0, 19.0]
 
@@ -55,17 +56,86 @@ def test_ets_picks_minimum_aicc_of_grid(spark):
     assert abs(fit.aicc - best) < 1e-9
 
 
-def test_arima_selects_a_candidate_per_series(spark):
-    rng = np.random.default_rng(1)
-    e = rng.normal(size=80)
-    y = [0.0]
-    for t in range(1, 80):
-        y.append(0.7 * y[-1] + e[t])
-    df = spark.createDataFrame([("s", i, float(v + 50)) for i, v in enumerate(y)], "k string, t int, y double")
-    out = fc.fc_arima(df, ["k"], "t", "y", 6).orderBy("t").collect()
-    assert len(out) == 6
-    assert len({(r.p, r.d, r.q) for r in out}) == 1
-    assert all(out[i].variance <= out[i + 1].variance + 1e-9 for i in range(5))
+def _arima_py(y):
+    """Plain version of the documented model: (d, p, constant, c, phi, sigma2, w, sample start)."""
+    def kpss(x):
+        n = len(x)
+        e = x - x.mean()
+        lags = min(int(4 * (n / 100) ** 0.25), n - 1)
+        lrv = e @ e / n + sum(2 * (1 - s / (lags + 1)) * (e[s:] @ e[:-s]) / n for s in range(1, lags + 1))
+        return np.cumsum(e) @ np.cumsum(e) / (n * n * lrv) if n > 3 and lrv > 1e-12 else 0.0
+    y = np.asarray(y, float)
+    d = 0 if kpss(y) <= 0.463 else 1 if kpss(np.diff(y)) <= 0.463 else 2
+    w = np.diff(y, n=d)
+    o = 2 if len(w) >= 6 else 0
+    best = None
+    for p in (0, 1, 2) if o else (0,):
+        for const in (True, False) if d < 2 or not o else (False,):
+            cols = ([np.ones(len(w) - o)] if const else []) + [w[o - i:len(w) - i] for i in range(1, p + 1)]
+            target = w[o:]
+            beta = np.linalg.lstsq(np.column_stack(cols), target, rcond=None)[0] if cols else np.zeros(0)
+            res = target - (np.column_stack(cols) @ beta if cols else 0)
+            c, phi = (beta[0], beta[1:]) if const else (0.0, beta)
+            a, b = (*phi, 0.0, 0.0)[:2]
+            m, k = len(target), p + const + 1
+            ok = m - k - 1 > 0 and abs(b) < 0.999 and a + b < 0.999 and b - a < 0.999
+            aicc = m * np.log(max(res @ res, 1e-12) / m) + 2 * k + 2 * k * (k + 1) / (m - k - 1) if ok else np.inf
+            if best is None or (aicc, p, not const) < best[0]:
+                best = ((aicc, p, not const), (d, p, const, c, a, b, res @ res / (m - k + 1) if m - k + 1 else None, w, res))
+    return best[1]
+
+
+def _arima_future(y, fit, draws):
+    d, _, _, c, a, b, _, w, _ = fit
+    w, levels = list(w), [np.asarray(y, float)]
+    for _ in range(d):
+        levels.append(np.diff(levels[-1]))
+    for e in draws:
+        w.append(c + a * w[-1] + (b * w[-2] if len(w) > 1 else 0.0) + e)
+    f = np.array(w[-len(draws):])
+    for k in range(d, 0, -1):
+        f = levels[k - 1][-1] + np.cumsum(f)
+    return f
+
+
+def _arima_series():
+    rng = np.random.default_rng(3)
+    ar = [0.0]
+    for _ in range(79):
+        ar.append(0.7 * ar[-1] + rng.normal())
+    return {"s1": np.cumsum(rng.normal(1.0, 1.0, 40)), "s2": 20 + rng.normal(0, 1, 35), "ar": 50 + np.array(ar),
+            "s3": np.array([5.0 + 0.3 * t + (t % 4) for t in range(30)]), "quad": np.cumsum(np.cumsum(rng.normal(0.5, 1.0, 60))),
+            "const": np.full(12, 3.0), "n1": [4.0], "n2": [4.0, 5.0], "n5": [1.0, 3.0, 2.0, 4.0, 3.0]}
+
+
+def test_arima_equals_a_plain_search(spark):
+    series = _arima_series()
+    df = spark.createDataFrame([(k, t, float(v)) for k, ys in series.items() for t, v in enumerate(ys)], "k string, t int, y double")
+    rows = fc_arima(df, ["k"], "t", "y", 4).collect()
+    assert len(rows) == 4 * len(series)
+    for k, ys in series.items():
+        fit = _arima_py(ys)
+        got = sorted((r for r in rows if r.k == k), key=lambda r: r.t)
+        assert {(r.d, r.p, r.constant) for r in got} == {fit[:3]}, k
+        assert np.allclose([r["mean"] for r in got], _arima_future(ys, fit, [0.0] * 4), rtol=1e-6), k
+        if fit[6] is None:
+            assert all(r.variance is None for r in got)
+        else:
+            unit = _arima_future(np.zeros(3), (fit[0], 0, 0, 0.0, fit[4], fit[5], 0, np.zeros(2), 0), [1.0, 0.0, 0.0, 0.0])
+            assert np.allclose([r.variance for r in got], fit[6] * np.cumsum(np.square(unit)), rtol=1e-5, atol=1e-9), k
+
+
+def test_arima_paths_draw_the_residuals(spark):
+    import hashlib
+    series = {k: v for k, v in _arima_series().items() if len(v) > 20}
+    df = spark.createDataFrame([(k, t, float(v)) for k, ys in series.items() for t, v in enumerate(ys)], "k string, t int, y double")
+    got = {(r.k, r.path, r.t): r.sim for r in arima_paths(df.repartition(3), ["k"], "t", "y", 4, times=2, seed=5).collect()}
+    for k, ys in series.items():
+        fit = _arima_py(ys)
+        for path in (1, 2):
+            us = [(int(hashlib.md5(f"{k}|{path}|{len(ys) - 1 + j}|5".encode()).hexdigest()[:8], 16) + 0.5) / 2 ** 32 for j in range(1, 5)]
+            future = _arima_future(ys, fit, [fit[8][int(u * len(fit[8]))] for u in us])
+            assert np.allclose([got[k, path, len(ys) + i] for i in range(4)], future, rtol=1e-6), k
 
 
 def test_paths_do_not_depend_on_partitioning(spark):
@@ -97,42 +167,3 @@ def test_split_relative_is_panel_wide(spark):
     train, test = fc.split_relative(df, "t", 4)
     assert train.agg(F.max("t")).collect()[0][0] == 2005
     assert test.where("k = 'b'").count() == 2
-
-
-def test_arima_job_equals_local_brute_force(spark):
-    """The distributed fit (grouped map + Spark-side AICc choice) equals an
-    exhaustive local search over the same candidates on a small fixture."""
-    rng = np.random.default_rng(3)
-    series = {"s1": np.cumsum(rng.normal(1.0, 1.0, 40)), "s2": 20 + rng.normal(0, 1, 35),
-              "s3": np.array([5.0 + 0.3 * t + (t % 4) for t in range(30)])}
-    rows = [(k, t, float(v)) for k, ys in series.items() for t, v in enumerate(ys)]
-    df = spark.createDataFrame(rows, "k string, t int, y double")
-    got = {(r.k, r.t): r.mean for r in fc.fc_arima(df, ["k"], "t", "y", 3).collect()}
-    for k, ys in series.items():
-        d = fc.choose_d(ys)
-        best = None
-        for p, q in fc.ARIMA_PQ:
-            for const in ((True, False) if d < 2 else (False,)):
-                res = fc.arima_fit_one(ys, p, d, q, const)
-                if res is not None and (best is None or (res["aicc"], p, q, const) < best[0]):
-                    best = ((res["aicc"], p, q, const), res)
-        mean, _ = fc.arima_forecast(ys, d, best[1], 3)
-        for i in range(3):
-            assert abs(got[(k, len(ys) + i)] - mean[i]) < 1e-6
-
-
-def test_arima_paths_equal_local_simulation(spark):
-    """Bootstrap paths of the distributed job equal a local run of the same
-    seeded simulation for the model the search picks (brute force on a fixture)."""
-    rng = np.random.default_rng(11)
-    series = {"a": np.cumsum(rng.normal(0.5, 1.0, 30)), "b": 10 + rng.normal(0, 1, 25)}
-    rows = [(k, t, float(v)) for k, ys in series.items() for t, v in enumerate(ys)]
-    df = spark.createDataFrame(rows, "k string, t int, y double")
-    got = {(r.k, r.path, r.t): r.sim for r in fc.arima_paths(df, ["k"], "t", "y", 4, times=2, seed=5).collect()}
-    orders = {r.k: (r.p, r.d, r.q, r.constant) for r in fc.fc_arima(df, ["k"], "t", "y", 1).collect()}
-    for k, ys in series.items():
-        p, d, q, const = orders[k]
-        local = fc.simulate_arima(ys, p, d, q, const, 4, 2, fc.series_rng(k, 5))
-        for i, fw in enumerate(local):
-            for j in range(4):
-                assert abs(got[(k, i + 1, len(ys) + j)] - fw[j]) < 1e-9

@@ -66,3 +66,27 @@ def test_quantiles_use_no_percentile(spark):
     q = exact_quantiles(df, ["k"], "x", (0.5,))
     assert "percentile" not in _plan(q).lower()
     assert q.collect()[0].q == 49.5
+
+
+def test_year_filter_reaches_the_orders_scan(spark, small_dir):
+    import __spark_entry__ as E
+    p = E.queries()["filter_compare"](spark, small_dir)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in p and "LessThan(o_orderdate" in p
+
+
+def test_history_starts_no_forecast(spark, small_dir, monkeypatch):
+    from panelwright.catalog import q_domain
+    from panelwright.plans import forecast_system as fs
+    monkeypatch.setattr(fs, "scenario_paths", lambda *a: (_ for _ in ()).throw(AssertionError("paths planned")))
+    assert q_domain.e1(spark, small_dir).history().columns[:2] == ["Country", "Year"]
+
+
+def test_industry_value_on_series_of_unequal_length(spark):
+    """History and forecast rows of one country and year: history first, at any partitioning."""
+    from panelwright.plans import forecast_system as fs
+    rows = [("A", y, "History", 2000.0, 10.0 * y, 5.0, 5.0) for y in range(2000, 2006)]
+    rows += [("A", y, "Forecast", 2000.0, 50.0 * y, 5.0, 5.0) for y in range(2003, 2009)]
+    df = spark.createDataFrame(rows, "Country string, Year int, Type string, Imports_Kg double, Import_Value double, "
+                                     "Processed_Own_Waste double, Processed_Others_Waste double")
+    out = [sorted(map(tuple, fs.industry_value(df.repartition(n, "Import_Value"), price_cap=1e9).collect())) for n in (1, 7)]
+    assert out[0] == out[1] and len(out[0]) == 12

@@ -51,23 +51,3 @@ def test_declare_series_rejects_duplicates(spark):
     df = _series(spark, [("a", 1, 1.0), ("a", 1, 2.0)])
     with pytest.raises(ValueError):
         ts.declare_series(df, ["k"], "t")
-
-
-def test_streaming_refresh_recomputes_on_new_files(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from panelwright.sources import files, schemas
-    from panelwright.streaming import refresh_on_arrival
-    src = tmp_path / "in"
-    src.mkdir()
-    rows = [(1995, "N1", "A", "M", "Import", 10.0, 100.0), (1996, "N1", "A", "M", "Import", None, 120.0)]
-    df = spark.createDataFrame(rows, schemas.TRADE)
-    files.write_csv(df, str(src / "batch1"))
-
-    def plan(t):
-        return t.groupBy("Country").agg(F.count("*").alias("n"))
-
-    q = refresh_on_arrival(spark, str(src / "batch1"), schemas.TRADE, str(tmp_path / "landing"),
-                           str(tmp_path / "out"), plan, str(tmp_path / "ckpt"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).collect()[0].n == 2
