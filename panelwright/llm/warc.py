@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import on_workers, text_or_empty
+from .common import on_workers, store, text_or_empty
 
 DATE = "2024-01-01T00:00:00Z"
 SEGMENT_BYTES, SEGMENTS_PER_FILE, STEP = 4 << 20, 16, 1 << 16
@@ -216,7 +216,9 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Give revisits the payload size of the response they refer to, found by
-    id and digest; a revisit without its response gets NULL."""
+    id and digest; a revisit without its response gets NULL.  The archives are
+    read once."""
+    records = store(records.drop("payload"), "warc-records")        # read for both sides of the join
     responses = (records.filter("record_type = 'response'")
                  .select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"),
                          F.col("payload_bytes").alias("r_bytes")).distinct())
