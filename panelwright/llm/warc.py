@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import on_workers, store, text_or_empty
 
 DATE = "2024-01-01T00:00:00Z"
-SEGMENT_BYTES, SEGMENTS_PER_FILE, STEP = 4 << 20, 16, 1 << 16
+SEGMENT_BYTES, SEGMENTS_PER_FILE, STEP = 1 << 20, 16, 1 << 16
 
 # fixed values of the WARC 1.1 format
 VERSION = b"WARC/1.1"

@@ -11,7 +11,6 @@ their runs go straight to its model; other words take the whole tokenizer.
 from __future__ import annotations
 
 import json
-import re
 from array import array
 
 import numpy as np
@@ -19,7 +18,7 @@ import regex
 
 MAX_WORDS, LONG_WORD = 600_000, 64
 # separators that str.split() knows but the tokenizer takes for characters
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 # below this character, composed form is the only form
 _LATIN_END = "ɐ"
 
@@ -89,4 +88,4 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         find = self.words.__getitem__
-        return [self._whole(t) if _ODD.search(t) else b"".join(map(find, t.split())) for t in texts]
+        return [self._whole(t) if any([c in t for c in _ODD]) else b"".join(map(find, t.split())) for t in texts]
