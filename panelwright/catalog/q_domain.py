@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import relational as rel
-from ..operators.reshape import pivot_multi, pivot_single, unpivot_long
+from ..operators.reshape import complete_grid, pivot_multi, pivot_single, unpivot_long
 from ..plans import forecast_system as fs
 from ..plans import prescriptive as pr
 from ..session import cut_lineage
@@ -431,6 +431,15 @@ SELECT Year, CountryCode, Country, flowDesc, Qty AS Qty_raw, PrimaryValue AS Pri
     FROM (SELECT *, coalesce(unit_price_interp, global_unit_price) AS unit_price_final FROM (
       SELECT *, {sf.chain('unit_price_raw', ['CountryCode', 'flowDesc'], 'Year')} AS unit_price_interp FROM imp_raw))))""",
          ("imp_raw",))
+register("snapshot_raw", """
+SELECT CountryCode, Country, Year,
+       coalesce(sum(CASE WHEN flowDesc = 'Import' THEN tq END), 0.0) AS total_qty_Import,
+       coalesce(sum(CASE WHEN flowDesc = 'Export' THEN tq END), 0.0) AS total_qty_Export,
+       coalesce(sum(CASE WHEN flowDesc = 'Import' THEN tv END), 0.0) AS total_value_Import,
+       coalesce(sum(CASE WHEN flowDesc = 'Export' THEN tv END), 0.0) AS total_value_Export
+FROM (SELECT CountryCode, Country, Year, flowDesc, coalesce(sum(Qty_raw), 0.0) AS tq,
+             coalesce(sum(PrimaryValue_raw), 0.0) AS tv FROM app_trade GROUP BY 1, 2, 3, 4)
+GROUP BY 1, 2, 3""", ("app_trade",))
 register("snapshot", """
 SELECT CountryCode, Country, Year,
        coalesce(sum(CASE WHEN flowDesc = 'Import' THEN tq END), 0.0) AS total_qty_Import,
@@ -470,6 +479,16 @@ def dom_year_snapshot(spark, sf_dir):
     return year_snapshot(spark, sf_dir, "imputed")
 
 
+@query("dom_year_snapshot_sources", with_ctes("""
+SELECT *, 'raw' AS source FROM snapshot_raw UNION ALL SELECT *, 'imputed' AS source FROM snapshot""",
+    "snapshot_raw", "snapshot"), doubles=SNAP_D)
+def dom_year_snapshot_sources(spark, sf_dir):
+    """Per-country trade totals for every year, from the raw and from the imputed data."""
+    app = cut_lineage(app_trade(spark, sf_dir))     # read for both sources
+    return year_snapshot(spark, sf_dir, "raw", app).withColumn("source", F.lit("raw")).unionByName(
+        year_snapshot(spark, sf_dir, "imputed", app).withColumn("source", F.lit("imputed")))
+
+
 register("dim", """
 SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS CountryCode, n_name AS name,
        regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '', 'g') AS k FROM nation""", ())
@@ -494,15 +513,21 @@ METRIC_COLUMNS = {"import": ("total_qty_Import", "Waste imported (kg)"),
                   "waste_recyc": ("waste_recyc_kg", "Waste recycled (kg)")}
 
 
+def country_dim(spark, sf_dir):
+    nation = b.table(spark, sf_dir, "nation")
+    return nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("CountryCode"),
+                         F.col("n_name").alias("name"), rel.normalised_name("n_name").alias("_k"))
+
+
 def metric_table(spark, sf_dir, metric: str = "import"):
     col_name, label = METRIC_COLUMNS[metric]
-    nation = b.table(spark, sf_dir, "nation")
-    dim = nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("CountryCode"),
-                        F.col("n_name").alias("name"), rel.normalised_name("n_name").alias("_k"))
+    dim = country_dim(spark, sf_dir)
     t_long = trade(spark, sf_dir)
     app = cut_lineage(app_trade(spark, sf_dir, t_long))  # read twice: year list and snapshot
-    years = app.select(F.array_sort(F.collect_set("Year"))).scalar()
-    grid = dim.withColumn("Year", F.explode(years))
+    # every country with every year of the data: dimension × years, no list collected
+    cells = dim.select("CountryCode", F.lit(None).cast("int").alias("Year")).unionByName(
+        app.select(F.lit(None).cast("string").alias("CountryCode"), "Year").distinct())
+    grid = complete_grid(cells, ["CountryCode", "Year"]).dropna().join(dim, "CountryCode")
     w = waste(spark, sf_dir, t_long)
     wy = w.join(dim.select("CountryCode", "_k"), rel.normalised_name(w["Country"]) == F.col("_k")).select(
         "CountryCode", "Year", (F.col("Est_Waste_Produced") * 1e9).alias("waste_prod_kg"),
@@ -521,6 +546,40 @@ def dom_metric_table(spark, sf_dir):
     return metric_table(spark, sf_dir, "import")
 
 
+# The map's metrics and their labels.
+MAP_METRICS = {**METRIC_COLUMNS, "import_value": ("total_value_Import", "Import value (USD)"),
+               "export_value": ("total_value_Export", "Export value (USD)"),
+               "sufficiency": ("Self_Sufficiency", "Self-sufficiency (%)"),
+               "industry": ("Local_Industry_Value", "Industry value (USD)")}
+_PRESCRIPTIVE = ("sufficiency", "industry")
+
+
+def _metric_rows(names, table, code="CountryCode"):
+    return " UNION ALL ".join(f"SELECT {code} AS CountryCode, Year, '{m}' AS metric, '{MAP_METRICS[m][1]}' AS label, "
+                              f"{MAP_METRICS[m][0]} AS value FROM {table}" for m in names)
+
+
+register("metric_long", f"""
+{_metric_rows([m for m in MAP_METRICS if m not in _PRESCRIPTIVE], "metric_table")}
+UNION ALL SELECT * FROM ({_metric_rows(_PRESCRIPTIVE, "(SELECT d.CountryCode, o.Year, o.Self_Sufficiency, o.Local_Industry_Value FROM e_out o JOIN dim d ON regexp_replace(lower(trim(o.Country)), '[^a-z0-9]+', '', 'g') = d.k WHERE o.Type = 'History')")})""",
+         ("metric_table", "e_out", "dim"))
+
+
+@query("dom_metric_long", with_ctes("SELECT * FROM metric_long", "metric_long"), doubles={"value": "sig6"})
+def dom_metric_long(spark, sf_dir):
+    """The map's eight metrics with labels, one row per country, year and metric."""
+    t = metric_table(spark, sf_dir, "import")
+    dim = country_dim(spark, sf_dir).select("CountryCode", "_k")
+    o = e1(spark, sf_dir).output().where(F.col("Type") == "History")
+    o = o.join(dim, rel.normalised_name(o["Country"]) == F.col("_k"))
+
+    def rows(df, names):
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(MAP_METRICS[m][1]).alias("label"),
+                                   F.col(MAP_METRICS[m][0]).alias("value")) for m in names])
+        return df.select("CountryCode", "Year", F.explode(cells).alias("x")).select("CountryCode", "Year", "x.*")
+    return rows(t, [m for m in MAP_METRICS if m not in _PRESCRIPTIVE]).unionByName(rows(o, _PRESCRIPTIVE))
+
+
 BINS = 7
 
 
