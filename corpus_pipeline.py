@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds; those that had
-    text and lose all of it are dropped.  ``n_chars`` follows the text."""
+    """Documents without lines that an earlier document holds; those in which
+    nothing but repeats of earlier lines, short ones included, would be left
+    are dropped.  ``n_chars`` follows the text."""
     after = line_dedup(docs, drop_emptied=True)
     return after.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

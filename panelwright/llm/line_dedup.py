@@ -44,7 +44,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(base: DataFrame, min_chars: int) -> DataFrame:
-    """Lines long enough to be compared: place, text, 128-bit identity, length."""
+    """Lines of at least ``min_chars`` characters: place, text, 128-bit identity, length."""
     return (base.select("id", "tk", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .withColumn("line", F.trim("line")).withColumn("n", F.char_length("line")).filter(F.col("n") >= min_chars)
             .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), F.col("line"))))
@@ -107,33 +107,53 @@ def _near_lines(base: DataFrame, distinct: DataFrame) -> DataFrame:
             .filter(F.levenshtein("line", "earlier_line", 1).between(0, 1)).select("h1", "h2").distinct())
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_chars: int = MIN_CHARS) -> DataFrame:
-    """Positions (from 0) of the lines to drop, per document.
+def line_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 min_chars: int = MIN_CHARS) -> DataFrame:
+    """Positions (from 0) of the lines that repeat an earlier one, per document.
 
-    A line, trimmed of blanks, is dropped if an earlier line of the table, in
-    the order (id, position), equals it or is one edit away; lines of under
-    ``min_chars`` characters are never dropped.  Returns ``id, tk`` (hash of
-    the text) and ``dropped`` (sorted positions) for documents that lose lines.
+    Lines are trimmed of blanks; the order is (id, position); empty lines do
+    not count.  Returns ``id, tk`` (hash of the text) and two sorted lists,
+    NULL if empty: ``dropped``, lines of ``min_chars`` characters and more
+    that equal an earlier line of the table or are one edit away, and
+    ``short``, shorter lines that equal an earlier one.  Documents without
+    either have no row.
     """
     base = _keyed(docs, id_col, text_col)
-    lines = _lines(base, min_chars)
+    lines = _lines(base, 1)
     place = F.struct("id", "pos", "tk")
-    distinct = store(lines.withColumn("halves", _halves("line", "n")).groupBy("h1", "h2")
+    long = F.col("n") >= min_chars
+    distinct = store(lines.withColumn("halves", F.when(long, _halves("line", "n"))).groupBy("h1", "h2")
                      .agg(F.min(place).alias("ord"), F.count("*").alias("c"),
                           F.first("n").alias("n"), F.first("halves").alias("halves")), "distinct-lines")
-    near = store(_near_lines(base, distinct), "near-lines").withColumn("near", F.lit(True))
+    near = store(_near_lines(base, distinct.filter(long)), "near-lines").withColumn("near", F.lit(True))
     judged = (distinct.select("h1", "h2", "ord", "c").join(near, ["h1", "h2"], "left")
               .filter("c > 1 OR near").select("h1", "h2", "ord", "near"))
-    out = (lines.select("id", "tk", "pos", "h1", "h2").join(judged, ["h1", "h2"])
+    out = (lines.select("id", "tk", "pos", "n", "h1", "h2").join(judged, ["h1", "h2"])
            .filter(F.col("near") | (F.col("ord") != place)))
-    return out.groupBy("id", "tk").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+
+    def positions(which):
+        found = F.collect_set(F.when(which, F.col("pos")))
+        return F.when(F.size(found) > 0, F.sort_array(found))
+    return out.groupBy("id", "tk").agg(positions(long).alias("dropped"), positions(~long).alias("short"))
+
+
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   min_chars: int = MIN_CHARS) -> DataFrame:
+    """Positions (from 0) of the lines to drop, per document.
+
+    A line, trimmed of blanks, is dropped if an earlier line of the table, in
+    the order (id, position), equals it or is one edit away; lines of under
+    ``min_chars`` characters are never dropped.  Returns ``id, tk`` (hash of
+    the text) and ``dropped`` (sorted positions) for documents that lose lines.
+    """
+    return line_repeats(docs, id_col, text_col, min_chars).filter("dropped IS NOT NULL").select("id", "tk", "dropped")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                min_chars: int = MIN_CHARS, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of the text; all columns stay.
-    ``drop_emptied`` drops documents that lose all but blank lines.
+    ``drop_emptied`` drops documents in which every line that is not blank is
+    taken out or, below ``min_chars``, equals an earlier line of the table.
 
     * Kept lines keep their text, blanks and order.  A document without
       repeated lines is returned unchanged; one that loses every line has the
@@ -142,8 +162,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * Rows that repeat id and text are one document and get the same result.
     * Columns of any name are allowed; an empty table gives an empty result.
     """
-    gone = line_decisions(docs, id_col, text_col, min_chars)
-    gone = gone.select(F.struct(F.col("id"), F.col("tk")).alias("gone_key"), "dropped")
+    gone = line_repeats(docs, id_col, text_col, min_chars)
+    gone = gone.select(F.struct(F.col("id"), F.col("tk")).alias("gone_key"), "dropped", "short")
     t = F.col(text_col).cast("string")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("tk")).alias("row_key"))
@@ -151,11 +171,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          & (F.col("row_key.tk") == F.col("gone_key.tk")), "left")
     row = F.col("row")
     parts = F.split(row[text_col].cast("string"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
+    none = F.array().cast("array<int>")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce("dropped", none))
     clean = F.when(F.col("dropped").isNull(), row[text_col].cast("string")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     if drop_emptied:
-        joined = joined.filter(F.col("dropped").isNull() | (F.length(F.trim(F.translate(clean, "\n", " "))) > 0))
+        new = F.exists(F.array_except(kept, F.coalesce("short", none)), lambda i: F.length(F.trim(F.get(parts, i))) > 0)
+        joined = joined.filter(F.col("gone_key").isNull() | new)
     return joined.select(*[(clean if c == text_col else row[c]).alias(c) for c in docs.columns])
 
 
