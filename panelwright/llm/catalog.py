@@ -11,7 +11,7 @@ from .common import read_table, scratch
 from .decontamination import find_passages
 from .exact_dedup import exact_dedup
 from .html_text import extract_text, learn_weights
-from .line_dedup import line_report
+from .line_dedup import line_report, short_repeats
 from .ngram_join import jaccard_classes
 from .packing import pack_documents, packed_digests
 from .quality import grade_documents
@@ -60,6 +60,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_short_line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return short_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(
@@ -130,6 +134,13 @@ per AS (SELECT doc_id, count(*) AS c, string_agg(pos, ',' ORDER BY pos) AS dropp
 SELECT d.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(c, 0))::BIGINT AS n_kept, coalesce(dropped, '') AS dropped
 FROM docs d LEFT JOIN per USING (doc_id)"""
 
+SQL_OP9_SHORT = """
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(ls))) AS pos, trim(unnest(ls), ' ') AS line FROM docs),
+firsts AS (SELECT line, min({'d': doc_id, 'p': pos}) AS o FROM lines WHERE length(line) BETWEEN 1 AND 29 GROUP BY line)
+SELECT doc_id, count(*) AS n_short, string_agg(pos, ',' ORDER BY pos) AS short
+FROM lines JOIN firsts USING (line) WHERE o <> {'d': doc_id, 'p': pos} GROUP BY doc_id"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ngram_join": (op1_ngram_join, SQL_OP1),
     "op2_ordinal_quality": (op2_ordinal_quality, None),
@@ -140,6 +151,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_token_counts": (op7_token_counts, None),
     "op8_warc_round_trip": (op8_warc_round_trip, SQL_OP8),
     "op9_line_dedup": (op9_line_dedup, SQL_OP9),
+    "op9_short_line_repeats": (op9_short_line_repeats, SQL_OP9_SHORT),
     "op10_benchmark_passages": (op10_benchmark_passages, None),
     "pipeline": (pipeline, None),
 }

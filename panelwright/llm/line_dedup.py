@@ -191,3 +191,17 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (base.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("tk") == F.col("g_tk")), "left")
             .select(F.col("id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size(lost)).cast("long").alias("n_kept"),
                     F.array_join(lost, ",").alias("dropped")))
+
+
+def short_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per document that holds lines of under ``min_chars`` characters
+    equal to an earlier line: ``doc_id, n_short`` (how many) and ``short``
+    (positions as a comma-separated list).  They stay in the texts."""
+    lines = _lines(_keyed(docs, id_col, text_col), 1).filter(F.col("n") < min_chars)
+    place = F.struct("id", "pos", "tk")
+    repeated = lines.groupBy("h1", "h2").agg(F.min(place).alias("ord"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    found = (lines.select("id", "tk", "pos", "h1", "h2").join(repeated, ["h1", "h2"]).filter(F.col("ord") != place)
+             .groupBy("id", "tk").agg(F.sort_array(F.collect_set("pos")).alias("short")))
+    return found.select(F.col("id").alias("doc_id"), F.size("short").cast("long").alias("n_short"),
+                        F.array_join("short", ",").alias("short"))

@@ -65,3 +65,5 @@ def test_short_repeats_are_found(spark):
     texts = ["ab\nab\n\n " + "x" * 40, "cd\n ab \n\n" + "x" * 40, "cd.\n\t", None, "ab"]
     got = {r["id"]: (r["dropped"], r["short"]) for r in line_dedup.line_repeats(table(spark, texts)).collect()}
     assert got == {0: (None, [1]), 1: ([3], [1]), 4: (None, [0])}
+    rows = line_dedup.short_repeats(table(spark, [*texts, "ab\nAll rights\nab"])).collect()
+    assert {tuple(r) for r in rows} == {(0, 1, "1"), (1, 1, "1"), (4, 1, "0"), (5, 2, "0,2")}
