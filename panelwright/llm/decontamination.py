@@ -7,6 +7,11 @@ are counted in bands of 2(e + 1) diagonals that overlap by half, so one band
 holds all of them; bands below the bound are dropped, the rest are verified by
 an edit-distance alignment limited to the band.
 
+A quote may begin and end anywhere in an item, so besides abutting patterns an
+item has short ones that overlap: a quote of ``WINDOW + STEP`` characters holds
+one of them whole, wherever it lies.  Occurrences of an item's patterns that
+continue each other are one place.
+
 Benchmark items are cut into patterns and indexed in blocks of at most
 ``BLOCK_CHARS`` characters.  Each block is one pass over the documents with
 the block's index broadcast, so its size is bounded however large the
@@ -28,9 +33,10 @@ from .common import on_workers, text_or_empty
 
 Q = 8                    # a power of two
 EDIT_RATE = 0.1
-PATTERN_CHARS = 100      # patterns have this many to twice as many characters
+PATTERN_CHARS = 100      # abutting patterns have this many to twice as many characters
+WINDOW, STEP = 59, 20    # length of the overlapping patterns and of the steps between them
 MIN_ITEM_CHARS = 30      # shorter items would match anywhere
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 SLICE_CHARS = 1_000_000
 _TABLE_BITS = 22
 
@@ -56,15 +62,23 @@ class Index:
     """Q-gram index of the patterns of some benchmark items."""
 
     def __init__(self, items: list[tuple], edit_rate: float = EDIT_RATE):
-        self.patterns, self.item = [], []
+        self.patterns, self.item, self.text, self.offset = [], [], [], []
+        self.texts = []
         for item, text in items:
             codes = normalised(text)
             if len(codes) < MIN_ITEM_CHARS:
                 continue
-            parts = max(1, len(codes) // PATTERN_CHARS)
-            for part in np.array_split(codes, parts):
-                self.patterns.append(part)
+            parts = np.array_split(np.arange(len(codes)), max(1, len(codes) // PATTERN_CHARS))
+            spans = {(int(p[0]), int(p[-1]) + 1) for p in parts}
+            last = len(codes) - WINDOW
+            if last > 0:
+                spans |= {(at, at + WINDOW) for at in [*range(0, last, STEP), last]}
+            for lo, hi in sorted(spans):
+                self.patterns.append(codes[lo:hi])
                 self.item.append(item)
+                self.text.append(len(self.texts))
+                self.offset.append(lo)
+            self.texts.append(codes)
         size = np.array([len(p) for p in self.patterns], np.int64)
         # an edit budget at which the lemma still asks for a shared q-gram
         self.edits = np.minimum((size * edit_rate).astype(np.int64), (size - Q) // Q) if len(size) else size
@@ -112,7 +126,7 @@ def align(region: np.ndarray, pattern: np.ndarray, edits: int, anchored: bool =
 
 
 def search(codes: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple]:
-    """All (text number, item, start, end, edits) of indexed patterns in the
+    """All (text number, pattern, start, end, edits) of indexed patterns in the
     concatenated texts ``codes``; text i is codes[bounds[i]:bounds[i + 1]]."""
     if not len(index) or len(codes) < Q:
         return []
@@ -159,23 +173,23 @@ def search(codes: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple]:
                 back = region[max(end - m - e, 0):end][::-1]
                 length = align(back, pattern[::-1], e, anchored=True)[1]
             place = (t, p, lo + end - length - int(bounds[t]), lo + end - int(bounds[t]))
-            found.setdefault(place, (t, index.item[p], place[2], place[3], cost))
+            found.setdefault(place, (*place, cost))
     return list(found.values())
 
 
-def search_texts(texts: list[str], index: Index) -> list[tuple]:
+def _hits(texts: list[str], index: Index) -> list[tuple]:
     """``search`` over a list of texts in blocks of bounded size; a longer
     text is searched in slices that overlap by more than a pattern."""
     out = []
     overlap = 4 * PATTERN_CHARS
     for lo, hi in text_blocks(texts):
         if len(texts[hi - 1]) > SLICE_CHARS:
-            out += [(lo + t, *rest) for t, *rest in search_texts(texts[lo:hi - 1], index)]
+            out += [(lo + t, *rest) for t, *rest in _hits(texts[lo:hi - 1], index)]
             seen = set()
             for at in range(0, len(texts[hi - 1]), SLICE_CHARS):
                 part = normalised(texts[hi - 1][at:at + SLICE_CHARS + overlap])
-                seen.update((hi - 1, item, at + a, at + b, cost)
-                            for _, item, a, b, cost in search(part, np.array([0, len(part)]), index))
+                seen.update((hi - 1, p, at + a, at + b, cost)
+                            for _, p, a, b, cost in search(part, np.array([0, len(part)]), index))
             out += sorted(seen)
             continue
         codes = normalised("\n".join(texts[lo:hi]))
@@ -184,6 +198,33 @@ def search_texts(texts: list[str], index: Index) -> list[tuple]:
     return out
 
 
+def search_texts(texts: list[str], index: Index) -> list[tuple]:
+    """All (text number, item, start, end, edits): places that hold a pattern
+    of an item.  Occurrences of its patterns that overlap and lie alike in
+    text and item are one place; its edits are those between the place and
+    the part of the item that the patterns span."""
+    places: dict[tuple, list] = {}
+    for t, p, start, end, cost in sorted(_hits(texts, index), key=lambda x: (x[0], x[2], x[3], x[1])):
+        e, lo, hi = int(index.edits[p]), index.offset[p], index.offset[p] + len(index.patterns[p])
+        known = places.setdefault((t, index.text[p]), [])
+        for x in known:
+            if start <= x["end"] and abs(start - lo - x["shift"]) <= e + x["e"]:
+                break
+        else:
+            known.append(x := {"start": start, "end": end, "lo": lo, "hi": hi, "costs": [], "item": index.item[p]})
+        x.update(end=max(end, x["end"]), lo=min(lo, x["lo"]), hi=max(hi, x["hi"]), shift=start - lo, e=e)
+        x["costs"].append(cost)
+    out = []
+    for (t, k), known in places.items():
+        for x in known:
+            cost = x["costs"][0]
+            if len(x["costs"]) > 1:
+                most = sum(x["costs"])
+                cost = min(align(normalised(texts[t][x["start"]:x["end"]]), index.texts[k][x["lo"]:x["hi"]], most)[0], most)
+            out.append((t, x["item"], x["start"], x["end"], cost))
+    return out
+
+
 def indexes(benchmark: DataFrame, item_col: str, text_col: str, edit_rate: float) -> Iterator[Index]:
     """Indexes of the benchmark, each of at most ``BLOCK_CHARS`` characters
     plus one item; rows are streamed, one block is held at a time."""
@@ -204,8 +245,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per occurrence: ``doc_id, item_id, start, end`` (characters of
     the text) and ``edits``.
 
-    Letter case and the kind of white space do not count.  Items of 200 and
-    more characters are cut into patterns of 100 to 200, each found on its own.
+    Letter case and the kind of white space do not count.  An occurrence is a
+    part of an item of at least ``WINDOW`` characters, or the whole of a
+    shorter one, see ``Index`` and ``search_texts``.
 
     * Items that are NULL or shorter than ``MIN_ITEM_CHARS`` are not searched;
       NULL and empty documents contain nothing.
@@ -235,7 +277,7 @@ def contaminated(df: DataFrame, index: Index, text_col: str = "text") -> Column:
 
     def test(texts):
         out = np.zeros(len(texts), bool)
-        out[[t for t, *_ in search_texts(texts.tolist(), shared.value)]] = True
+        out[[t for t, *_ in _hits(texts.tolist(), shared.value)]] = True
         return pd.Series(out)
     test.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(test, "boolean")(text_or_empty(text_col))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from panelwright.llm import line_dedup
+from panelwright.llm import decontamination, line_dedup
 
 from .test_brute_force import brute_links, edit1, prose, table
 
@@ -67,3 +67,28 @@ def test_short_repeats_are_found(spark):
     assert got == {0: (None, [1]), 1: ([3], [1]), 4: (None, [0])}
     rows = line_dedup.short_repeats(table(spark, [*texts, "ab\nAll rights\nab"])).collect()
     assert {tuple(r) for r in rows} == {(0, 1, "1"), (1, 1, "1"), (4, 1, "0"), (5, 2, "0,2")}
+
+
+def test_quotes_that_straddle_a_cut(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng.randint(18, 120), rng)) for i in range(20)]
+    texts, expected = [], {}
+    for i, item in items:
+        for share, lo in ((0.8, 0.1), (0.5, 0.25)):
+            a, n = int(lo * len(item)), max(80, int(share * len(item)))
+            quote = item[a:a + n]
+            if len(quote) == n:
+                before = prose(30, rng) + " "
+                expected[len(texts)] = (i, len(before), len(before) + n)
+                texts.append(before + quote + " " + prose(30, rng))
+    texts += [prose(300, rng), items[0][1] + " " + items[0][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.find_passages(table(spark, texts), bench).collect()
+    assert sum(r["doc_id"] == len(texts) - 1 for r in rows) == 2
+    assert {r["doc_id"] for r in rows} == {*expected, len(texts) - 1} and len(rows) == len(expected) + 2
+    for r in rows:      # neighbouring patterns are one place, which reaches to within a step of the quote's ends
+        if r["doc_id"] in expected:
+            item, a, b = expected[r["doc_id"]]
+            assert r["item_id"] == item and abs(r["start"] - a) <= 25 and abs(r["end"] - b) <= 25 and r["edits"] <= 10     # end patterns may hang over the quote
+    kept = decontamination.drop_contaminated(table(spark, texts), bench).collect()
+    assert [r["doc_id"] for r in kept] == [len(texts) - 2]
