@@ -12,6 +12,7 @@ from .decontamination import find_passages
 from .exact_dedup import exact_dedup
 from .html_text import extract_text, learn_weights
 from .line_dedup import line_report, short_repeats
+from .maxscore import top_k
 from .ngram_join import jaccard_classes
 from .packing import pack_documents, packed_digests
 from .quality import grade_documents
@@ -71,6 +72,10 @@ def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("edits").cast("long").alias("least_edits"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -141,6 +146,14 @@ firsts AS (SELECT line, min({'d': doc_id, 'p': pos}) AS o FROM lines WHERE lengt
 SELECT doc_id, count(*) AS n_short, string_agg(pos, ',' ORDER BY pos) AS short
 FROM lines JOIN firsts USING (line) WHERE o <> {'d': doc_id, 'p': pos} GROUP BY doc_id"""
 
+SQL_OP12 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INT AS rank, vec_id, score FROM k WHERE n <= 5"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ngram_join": (op1_ngram_join, SQL_OP1),
     "op2_ordinal_quality": (op2_ordinal_quality, None),
@@ -153,6 +166,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_line_dedup": (op9_line_dedup, SQL_OP9),
     "op9_short_line_repeats": (op9_short_line_repeats, SQL_OP9_SHORT),
     "op10_benchmark_passages": (op10_benchmark_passages, None),
+    "op12_exact_topk": (op12_exact_topk, SQL_OP12),
     "pipeline": (pipeline, None),
 }
 
