@@ -15,6 +15,7 @@ from .line_dedup import line_report, short_repeats
 from .maxscore import top_k
 from .ngram_join import jaccard_classes
 from .packing import pack_documents, packed_digests
+from .periodic_runs import periodic_runs
 from .quality import grade_documents
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -72,6 +73,10 @@ def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("edits").cast("long").alias("least_edits"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
 
@@ -166,6 +171,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_line_dedup": (op9_line_dedup, SQL_OP9),
     "op9_short_line_repeats": (op9_short_line_repeats, SQL_OP9_SHORT),
     "op10_benchmark_passages": (op10_benchmark_passages, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
     "op12_exact_topk": (op12_exact_topk, SQL_OP12),
     "pipeline": (pipeline, None),
 }
