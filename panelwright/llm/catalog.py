@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, scratch
+from .conversation_repair import repair_conversations
 from .decontamination import find_passages
 from .exact_dedup import exact_dedup
 from .html_text import extract_text, learn_weights
@@ -81,6 +82,10 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -173,6 +178,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_benchmark_passages": (op10_benchmark_passages, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
     "op12_exact_topk": (op12_exact_topk, SQL_OP12),
+    "op13_conversation_repair": (op13_conversation_repair, None),
     "pipeline": (pipeline, None),
 }
 
