@@ -164,6 +164,84 @@ s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INT AS rank, vec_id, score FROM k WHERE n <= 5"""
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string expression in DuckDB, bit by bit."""
+    eight = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda l: ascii(l)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {eight}), 4294967295)"
+
+
+# Equal words of a text, paired by their distance, stated directly.
+SQL_OP11 = rf"""
+WITH h AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+a AS (SELECT doc_id, ws, len(ws) AS n, h, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE ws END AS ws FROM p),
+w AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM d),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY doc_id, q, part),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t,
+        min({{'l': -length, 's': start, 'p': period}}) AS b FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, -b.l AS length, b.p AS period, 1000 * -b.l // b.p AS exponent_milli,
+       sha256(coalesce(r.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _plus(state: str, cost: str, edit: str, line: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'l': {state}.l || {line}}}"
+
+
+def _edit_steps() -> str:
+    """Cheapest edits so far (cost, audit, lines) by the state they end in,
+    row by row: after nothing (z), a system (s), a user (u), an assistant (a)."""
+    own, cost = "chr(10) || role || ':' || text", "e"
+    u = [f"CASE WHEN ini = 'u' THEN {_plus(x, cost, 'K', own)} ELSE {_plus(x, '1 + e', 'R', "chr(10) || 'user:' || text")} END" for x in "zsa"]
+    a = f"CASE WHEN ini = 'a' THEN {_plus('u', cost, 'K', own)} ELSE {_plus('u', '1 + e', 'R', "chr(10) || 'assistant:' || text")} END"
+    gone = {x: _plus(x, "2", "D", "''") for x in "zsua"}
+    return f"""
+SELECT conv_id, i, {gone["z"]} AS z0,
+  CASE WHEN live AND ini = 's' THEN least({gone["s"]}, {_plus("z", cost, "K", own)}) ELSE {gone["s"]} END AS s0,
+  CASE WHEN live THEN least({gone["u"]}, {", ".join(u)}) ELSE {gone["u"]} END AS u0,
+  CASE WHEN live THEN least({gone["a"]}, {a}) ELSE {gone["a"]} END AS a0 FROM b"""
+
+
+_USER_FIRST = ", ".join(_plus(x, "5", "I", "chr(10) || 'user:'") for x in ("z0", "s0", "a0"))
+_OPEN = f"least(u0, {_USER_FIRST})"
+
+SQL_OP13 = rf"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+n AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN min(i) OVER (PARTITION BY conv_id, role, text) < i THEN 'duplicate'
+    WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS ini,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'l': ''}} AS z0, {{'c': 1000000, 'a': '', 'l': ''}} AS s0,
+    {{'c': 1000000, 'a': '', 'l': ''}} AS u0, {{'c': 1000000, 'a': '', 'l': ''}} AS a0 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT * FROM (
+    WITH b AS (SELECT dp.conv_id, f.i, f.role, f.text, f.ini, fault NOT IN ('blank', 'duplicate') AS live, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS e,
+      z0 AS z, s0 AS s, {_OPEN} AS u, least(a0, {_plus(f"({_OPEN})", "5", "I", "chr(10) || 'assistant:'")}) AS a
+      FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1)
+    {_edit_steps()})),
+best AS (SELECT conv_id, least(z0, a0, {_plus(f"({_OPEN})", "5", "I", "chr(10) || 'assistant:'")}) AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM dp),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, x.c::BIGINT AS cost, x.a AS audit, sha256(substr(x.l, 2)) AS repaired_sha256
+FROM best LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id WHERE k = 1"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ngram_join": (op1_ngram_join, SQL_OP1),
     "op2_ordinal_quality": (op2_ordinal_quality, None),
@@ -176,9 +254,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_line_dedup": (op9_line_dedup, SQL_OP9),
     "op9_short_line_repeats": (op9_short_line_repeats, SQL_OP9_SHORT),
     "op10_benchmark_passages": (op10_benchmark_passages, None),
-    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op11_periodic_runs": (op11_periodic_runs, SQL_OP11),
     "op12_exact_topk": (op12_exact_topk, SQL_OP12),
-    "op13_conversation_repair": (op13_conversation_repair, None),
+    "op13_conversation_repair": (op13_conversation_repair, SQL_OP13),
     "pipeline": (pipeline, None),
 }
 

@@ -375,8 +375,8 @@ def test_propagation_with_several_hubs(spark):
 
 # --- web pages ----------------------------------------------------------------
 
-WEIGHTS = html_text.Weights({("word", "p|False|", True): 5000, ("word", "h1|False|", True): 300, ("word", "li|True|menu", False): 900,
-                             ("word", "footer|False|footer", False): 400, ("tag", "p", True): 300, ("tag", "h1", True): 30,
+WEIGHTS = html_text.Weights({("word", "p|False", True): 5000, ("word", "h1|False", True): 300, ("word", "li|True", False): 900,
+                             ("word", "div|False", False): 400, ("tag", "p", True): 300, ("tag", "h1", True): 30,
                              ("tag", "li", False): 300, ("tag", "a", False): 300, ("tag", "div", False): 90})
 
 
@@ -391,6 +391,54 @@ def test_main_text(html, expected):
     assert html_text.main_text(html, WEIGHTS) == expected
 
 
+def words(n, stem="w"):
+    return " ".join(f"{stem}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("weights", [WEIGHTS, html_text.Weights({})])
+def test_what_stands_in_an_article_does_not_cut_it(weights):
+    for inner in ("<aside class='promo'>%s</aside>", "<div class='text-ad'><p>%s</p></div>", "<form><p>%s</p></form>", "<nav><ul><li>%s</li></ul></nav>",
+                  "<div class='cookie-notice'>%s</div>", "<section id='comments'><article class='comment'><p>%s</p></article></section>",
+                  "<div hidden><p>%s</p></div>", "<div style='display:none'>%s</div>", "<footer><p>%s</p></footer>"):
+        page = f"<nav>menu</nav><article><p>{words(150)}</p>{inner % words(400, 'x')}<p>{words(151, 'z')}</p></article><footer>foot</footer>"
+        assert html_text.main_text(page, weights) == words(150) + "\n" + words(151, "z")
+    page = f"<article><p>x y</p><ul><li><a href='a'>l one</a></li><li>b</li></ul><p>q</p></article><div><p>{words(300)}</p></div>"
+    assert html_text.main_text(page, weights) == "x y\nl one\nb\nq"
+
+
+@pytest.mark.parametrize("name", ["comment-body", "main-nav", "main-menu", "mainNav", "post-footer", "entry-meta", "story-share", "content-sidebar",
+                                  "article-comments", "text-ad"])
+def test_any_word_of_a_name_takes_a_container_out(name):
+    for page in (f"<article><p>{words(20)}</p><div class='{name}'>{words(90, 'n')}</div><p>{words(15, 'z')}</p></article>",
+                 f"<div><p>{words(20)}</p><div class='{name}'><p>{words(90, 'n')}</p></div><p>{words(15, 'z')}</p></div>"):
+        for weights in (WEIGHTS, html_text.Weights({})):
+            assert html_text.main_text(page, weights) == f"{words(20)}\n{words(15, 'z')}"
+
+
+@pytest.mark.parametrize("html,expected", [
+    ("<header><p>Site</p></header><article><header><h1>Title</h1></header><p>x y z</p></article>", "Title\nx y z"),
+    ("<article class='entry'><div class='article-header'><h1>T</h1></div>x</article>", "T\nx"),
+    ("<body class='has-sidebar no-comments'><div id='page-wrapper'><article class='post category-ads'><p>x y z</p></article></div></body>", "x y z"),
+    ("<form id='aspnetForm'><div class='content'><article><p>x y z</p></article></div></form>", "x y z"),
+    ("<div class='content-sidebar-wrap'><main><p>x y z</p><div class='comment-body'>c</div></main></div>", "x y z"),
+    ("<article><p>x y</p></article><section id='comments'><article class='comment'><p>I like it</p></article></section>", "x y"),
+    ("<div class='sidebar'><article><p>teaser</p></article></div><p>x y z</p>", "x y z")])
+def test_containers_around_and_in_an_article(html, expected):
+    assert html_text.main_text(html, WEIGHTS) == expected
+
+
+def test_container_names_are_learned(spark):
+    """``x17`` and ``legal`` hold no article on pages with a mark; ``banner`` does."""
+    marked = [(i, f"<div class='x17'><p>{words(9)}</p></div><div class='legal'>{words(9)}</div>"
+                  f"<article><div class='banner'><p>{words(30)}</p></div><div class='post-{i}'>a</div></article>") for i in range(60)]
+    df = spark.createDataFrame(marked, "page_id long, html string")
+    weights = html_text.learn_weights(df)
+    assert {"x", "legal"} <= weights.lean and "banner" not in weights.lean      # a name's letters count
+    page = f"<div class='banner'><p>{words(15)}</p></div><div class='x17'><p>{words(50, 'n')}</p></div><p>{words(20, 'z')}</p>"
+    assert html_text.main_text(page, weights) == f"{words(15)}\n{words(20, 'z')}"
+    assert html_text.main_text(page, html_text.Weights({})) == f"{words(50, 'n')}\n{words(20, 'z')}"
+
+
 def test_best_region_is_the_greatest_sum():
     page = "<p>a b c</p>" + "<ul><li><a>x</a></li></ul>" * 9 + "<p>d e f g h</p><p>i j</p>" + "<ul><li><a>x</a></li></ul>" * 9 + "<p>k</p>"
     assert html_text.main_text(page, WEIGHTS) == "d e f g h\ni j"
