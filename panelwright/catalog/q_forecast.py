@@ -10,6 +10,7 @@ from ..operators import forecast as fc
 from ..operators import timeseries as ts
 from ..operators.arima import arima_paths, fc_arima
 from ..plans import evaluation as ev
+from ..plans.model_table import ModelTable
 from ..session import cut_lineage
 from ..sources import bindings as b
 from . import sqlfrag as sf
@@ -69,32 +70,47 @@ SELECT {k}, 'NAIVE' AS model, Year, y AS mean, s2 * (Year - last) AS variance FR
 
 def _sql_ets(src, keys, h, value="Qty"):
     k = ", ".join(keys)
-    grid = ", ".join(f"{{'fam': '{f}', 'alpha': {a!r}::DOUBLE, 'beta': {bb!r}::DOUBLE, 'phi': {p!r}::DOUBLE}}"
-                     for f, a, bb, p in fc.ets_grid())
-    fold = ("list_reduce(y[2:], lambda acc, x: {'l': acc.l + phi * acc.b + alpha * (x - (acc.l + phi * acc.b)), "
-            "'b': phi * acc.b + beta * (x - (acc.l + phi * acc.b)), "
-            "'sse': acc.sse + (x - (acc.l + phi * acc.b)) * (x - (acc.l + phi * acc.b))}, "
-            "{'l': y[1], 'b': CASE WHEN fam = 'ANN' THEN 0.0::DOUBLE ELSE y[2] - y[1] END, 'sse': 0.0::DOUBLE})")
-    cum = "CASE WHEN phi = 1.0 THEN (Year - last) * 1.0 ELSE phi * (1.0 - pow(phi, Year - last)) / (1.0 - phi) END"
-    varsum = ("coalesce(list_sum(list_transform(generate_series(2, Year - last), lambda j: pow(alpha + beta * "
-              "CASE WHEN phi = 1.0 THEN (j - 1) * 1.0 ELSE phi * (1.0 - pow(phi, j - 1)) / (1.0 - phi) END, 2))), 0.0)")
+    points = {t: "[" + ", ".join(f"{{'alpha': {a!r}::DOUBLE, 'beta': {bb!r}::DOUBLE, 'phi': {p!r}::DOUBLE}}" for f, a, bb, p in fc.ets_grid() if f == t) + "]"
+              for t in fc.ETS_TRENDS}
+    z = "0.0::DOUBLE"
+    g0 = "CASE WHEN trend = 'NN' THEN 0.0 ELSE q.phi * (y[2] - y[1]) END"
+    aicc = ("CASE WHEN err = 'M' THEN CASE WHEN s.ok THEN m * ln(greatest(s.rse, 1e-12) / nullif(m, 0)) + 2 * s.lf END ELSE m * ln(greatest(s.sse, 1e-12) / nullif(m, 0)) END "
+            "+ 2 * k + CASE WHEN m - k - 1 > 0 THEN 2 * k * (k + 1) / (m - k - 1) END")
+    rel = "CASE WHEN err = 'M' AND s.ok AND s.f > 0 THEN {e} ELSE 0.0 END"
+    run = (f"list_reduce(y[2:], lambda s, x: {{'f': s.f + q.alpha * (x - s.f) + q.phi * (s.g + q.beta * (x - s.f)), 'g': q.phi * (s.g + q.beta * (x - s.f)), "
+           f"'sse': s.sse + (x - s.f) * (x - s.f), 'rse': s.rse + {rel.format(e='(x - s.f) / s.f * ((x - s.f) / s.f)')}, "
+           f"'lf': s.lf + {rel.format(e='ln(CASE WHEN s.f > 0 THEN s.f END)')}, 'ok': s.ok AND s.f > 0 AND x > 0}}, "
+           f"{{'f': y[1] + {g0}, 'g': ({g0})::DOUBLE, 'sse': {z}, 'rse': {z}, 'lf': {z}, 'ok': y[1] > 0}})")
+    score = (f"list_transform([{run}], lambda s: {{'a': coalesce(round({aicc}, 9), 1e300), 'z': CASE WHEN m - k - 1 > 0 THEN 0.0 ELSE s.sse END, "
+             "'alpha': q.alpha, 'beta': q.beta, 'phi': q.phi, 'f': s.f, 'g': s.g, 'ss': CASE WHEN err = 'M' THEN s.rse ELSE s.sse END})[1]")
+    (a0, a1), (b0, _), (p0, p1) = fc.ETS_BOUNDS.values()
+    moves = ", ".join(f"{{'a': {da}, 'b': {db}, 'p': {dp}}}" for da, db, dp in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
+    alpha = f"least(greatest(b.alpha + v.a * 0.1::DOUBLE * pow(0.5, j), {a0}::DOUBLE), {a1}::DOUBLE)"
+    moved = (f"list_transform(list_filter([{moves}], lambda v: trend = 'AdN' OR (v.p = 0 AND (trend = 'AN' OR v.b = 0))), lambda v: {{'alpha': {alpha}, "
+             f"'beta': CASE WHEN trend = 'NN' THEN 0.0 ELSE least(greatest(b.beta + v.b * 0.1::DOUBLE * pow(0.5, j), {b0}::DOUBLE), {alpha}) END, "
+             f"'phi': CASE WHEN trend = 'AdN' THEN least(greatest(b.phi + v.p * 0.1::DOUBLE * pow(0.5, j), {p0}::DOUBLE), {p1}::DOUBLE) ELSE 1.0 END}})")
+    total = "CASE WHEN phi = 1 THEN {j} * 1.0 ELSE phi * (1 - pow(phi, {j})) / (1 - phi) END"
+    weight = f"pow(alpha + beta * {total.format(j='i')}, 2)"
+    mean = f"(level + {total.format(j='j')} * slope)"
+    theta = (f"list_reduce(range(1, {h} + 1), lambda t, j: list_append(t, {mean} * {mean} + sigma2 * coalesce(list_sum(list_transform(range(1, j), "
+             f"lambda i: {weight} * t[j - i])), 0.0)), []::DOUBLE[])")
     return f"""
-SELECT {k}, 'ETS' AS model, Year, level + {cum} * trend AS mean, sigma2 * (1.0 + {varsum}) AS variance FROM (
-  SELECT *, CAST(unnest(generate_series(last + 1, last + {h})) AS INTEGER) AS Year FROM (
-    SELECT {k}, fam, alpha, beta, phi, st.l AS level, st.b AS trend, sigma2, last FROM (
-      SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY aicc NULLS LAST, kk,
-                                        CASE WHEN aicc IS NULL THEN st.sse END, alpha, beta, phi) AS rn FROM (
-        SELECT *, m * ln(greatest(st.sse, 1e-12) / nullif(m, 0)) + 2 * kk
-                  + CASE WHEN m - kk - 1 > 0 THEN 2 * kk * (kk + 1) / (m - kk - 1) END AS aicc,
-               st.sse / CASE WHEN m - kk > 0 THEN m - kk ELSE nullif(m, 0) END AS sigma2
-        FROM (SELECT *, {fold} AS st, CASE fam WHEN 'ANN' THEN 2 WHEN 'AAN' THEN 4 ELSE 5 END AS kk,
-                     CAST(n - 1 AS DOUBLE) AS m
-              FROM (SELECT s.*, g.fam, g.alpha, g.beta, g.phi
-                    FROM (SELECT {k}, list({value} ORDER BY Year) AS y, count(*) AS n, max(Year) AS last
-                          FROM {src} GROUP BY {k}) s,
-                         (SELECT unnest([{grid}]) AS g0) gg(g)))
-        ))
-    WHERE rn = 1))"""
+SELECT {k}, 'ETS' AS model, (last + x.j)::INTEGER AS Year, x.mean, x.variance FROM (
+  SELECT {k}, last, unnest(list_transform(range(1, {h} + 1), lambda j: {{'j': j, 'mean': {mean}, 'variance': CASE WHEN err = 'M'
+           THEN greatest((1 + sigma2) * theta[j] - {mean} * {mean}, 0.0)
+           ELSE sigma2 * (1 + coalesce(list_sum(list_transform(range(1, j), lambda i: {weight})), 0.0)) END}})) AS x FROM (
+    SELECT *, CASE WHEN err = 'M' THEN {theta} END AS theta FROM (
+      SELECT {k}, last, err, best.alpha AS alpha, best.beta AS beta, best.phi AS phi, best.f - best.g AS level, best.g / best.phi AS slope,
+             best.ss / CASE WHEN m - k > 0 THEN m - k ELSE nullif(m, 0) END AS sigma2 FROM (
+        SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY best.a, k, err, best.z, best.alpha, best.beta, best.phi) AS rn FROM (
+          SELECT * EXCLUDE (start), list_reduce(range(1, {fc.ETS_HALVINGS} + 1), lambda b, j:
+              list_sort(list_concat([b], list_transform({moved}, lambda q: {score})))[1], start) AS best FROM (
+            SELECT *, list_sort(list_transform(CASE trend {" ".join(f"WHEN '{t}' THEN {x}" for t, x in points.items())} END, lambda q: {score}))[1] AS start FROM (
+              SELECT s.*, (n - 1)::DOUBLE AS m, g.* FROM (
+                SELECT {k}, list({value}::DOUBLE ORDER BY Year) AS y, count(*) AS n, max(Year) AS last FROM {src} GROUP BY {k}) s,
+                (VALUES {", ".join(f"('{e}', '{t}', {n})" for e in "AM" for t, n in fc.ETS_TRENDS.items())}) g(err, trend, k)
+              WHERE g.err = 'A' OR list_min(s.y) > 0))))
+      WHERE rn = 1)))"""
 
 
 def _sql_ar1(src, keys, h, value="Qty"):
@@ -171,7 +187,7 @@ def q_fc_naive(spark, sf_dir):
 
 @query("fc_ets", with_ctes("SELECT * FROM fcm_ets", "fcm_ets"), doubles=FC_D)
 def q_fc_ets(spark, sf_dir):
-    """Automatic ETS: level / trend / damped-trend grid, minimum AICc."""
+    """Automatic ETS: additive or multiplicative errors, no / additive / damped trend, continuous parameters, minimum AICc."""
     train, _ = split_m(spark, sf_dir)
     return fc.fc_ets(train, KEYS, IDX, "Qty", H)
 
@@ -188,7 +204,7 @@ ARIMA_D = {"mean": "sig7", "variance": "sig6", "aicc": 4}
 
 @query("fc_arima", with_ctes("SELECT * FROM fcm_arima", "fcm_arima"), doubles=ARIMA_D)
 def q_fc_arima(spark, sf_dir):
-    """Automatic ARIMA: d ≤ 2 by KPSS, AR order ≤ 2 with or without constant by AICc."""
+    """Automatic ARIMA: d ≤ 2 by KPSS, AR and MA orders up to 3 with or without constant by AICc."""
     train, _ = split_m(spark, sf_dir)
     return fc_arima(train, KEYS, IDX, "Qty", H)
 
@@ -392,12 +408,16 @@ def q_fc_divergence(spark, sf_dir):
     return ev.divergence(cut_lineage(accuracy_m(spark, sf_dir)), KEYS, "ARIMA", "ETS")
 
 
-@query("fc_refit_full", with_ctes(_sql_naive("series_m", KEYS, 10) + " UNION ALL " + _sql_ets("series_m", KEYS, 10), "series_m"),
-       doubles=FC_D)
+REFIT_H = 10
+
+
+@query("fc_refit_full", with_ctes(" UNION ALL ".join([
+    _sql_mean("series_m", KEYS, REFIT_H), _sql_naive("series_m", KEYS, REFIT_H), _sql_ets("series_m", KEYS, REFIT_H),
+    f"SELECT Country, flowDesc, model, Year, mean, variance FROM ({sf.arima_forecast('fit_arima_full', KEYS, REFIT_H)})"]),
+    "series_m", "fit_arima_full"), doubles={"mean": "sig7", "variance": "sig6"})
 def q_fc_refit_full(spark, sf_dir):
-    """Models refitted on all data, 10 steps ahead: NAIVE and ETS."""
-    s = series_m(spark, sf_dir)
-    return fc.fc_naive(s, KEYS, IDX, "Qty", 10).unionByName(fc.fc_ets(s, KEYS, IDX, "Qty", 10))
+    """The compared models refitted on all data, 10 steps ahead, from a stored model table."""
+    return ModelTable(series_m(spark, sf_dir), KEYS, IDX, "Qty").forecast(REFIT_H)
 
 
 @query("jump_off_point", with_ctes("""
@@ -440,9 +460,12 @@ SELECT Country, Year, Variable, Amount FROM (SELECT Country, Year, """ + ", ".jo
 UNPIVOT INCLUDE NULLS (Amount FOR Variable IN (""" + ", ".join(WVARS) + "))", ("waste",))
 register("wl_train", f"SELECT * FROM wl WHERE Year <= {CUT_YEAR}", ("wl",))
 register("wl_test", f"SELECT * FROM wl WHERE Year > {CUT_YEAR}", ("wl",))
+register("fit_arima_w", sf.arima_fit("wl_train", ["Country", "Variable"], "Amount"), ("wl_train",))
 register("wfc", _sql_mean("wl_train", ["Country", "Variable"], HB, "Amount")
          + " UNION ALL " + _sql_naive("wl_train", ["Country", "Variable"], HB, "Amount")
-         + " UNION ALL " + _sql_ets("wl_train", ["Country", "Variable"], HB, "Amount"), ("wl_train",))
+         + " UNION ALL " + _sql_ets("wl_train", ["Country", "Variable"], HB, "Amount")
+         + " UNION ALL SELECT Country, Variable, model, Year, mean, variance FROM ("
+         + sf.arima_forecast("fit_arima_w", ["Country", "Variable"], HB) + ")", ("wl_train", "fit_arima_w"))
 
 
 def waste_long(spark, sf_dir):
@@ -453,10 +476,8 @@ def waste_models(spark, sf_dir):
     # the annual series feed every approach and the test split: materialise once
     wl = cut_lineage(waste_long(spark, sf_dir))
     train, test = fc.split_absolute(wl, IDX, CUT_YEAR)
-    k = ["Country", "Variable"]
-    fits = [f(train, k, IDX, "Amount", HB) for f in (fc.fc_mean, fc.fc_naive, fc.fc_ets)]
     # every part of a combination reads the forecasts: write them once
-    return cut_lineage(fits[0].unionByName(fits[1]).unionByName(fits[2])), test
+    return cut_lineage(ModelTable(train, ["Country", "Variable"], IDX, "Amount").forecast(HB)), test
 
 
 def _part(f, var):

@@ -6,9 +6,9 @@ table ``(keys…, model, index, mean, variance)``; intervals, paths and
 accuracy are derived from it.
 
 * MEAN, NAIVE and AR(1) are plain aggregates / windows (JVM side, SQL-checkable).
-* ETS is a grid search folded over the sorted series with the built-in
-  ``aggregate`` higher-order function; the grid is a literal array exploded
-  per series, the winner is a ``min_by`` on AICc — no Python.
+* ETS is a grid and pattern search folded over the sorted series with the
+  built-in ``aggregate`` higher-order function; the winner is a ``min_by`` on
+  AICc — no Python.
 * Automatic ARIMA is in ``operators.arima``.
 
 A series is bounded by its index range (years / months): collecting one into
@@ -107,83 +107,122 @@ def fc_ar1(df: DataFrame, keys: Keys, index: str, value: str, h: int) -> DataFra
                     (F.col("sigma2") * geo2).alias("variance"))
 
 
-# --- ETS grid folded with aggregate() ------------------------------------------------
+# --- ETS: grid and pattern search folded with aggregate() ------------------------------
+
+# fixed values: parameters by trend type (initial states and variance included)
+ETS_TRENDS = {"NN": 2, "AN": 4, "AdN": 5}
+ETS_HALVINGS = 6
+ETS_BOUNDS = {"alpha": (0.001, 0.999), "beta": (0.0001, 0.999), "phi": (0.8, 0.98)}
+
 
 def ets_grid(alphas=None, betas=None, phis=None) -> list[tuple[str, float, float, float]]:
-    """(family, α, β, φ) rows: level (ANN), trend (AAN), damped trend (AAdN); β ≤ α."""
+    """(trend, α, β, φ) start points: none (NN), additive (AN), damped (AdN); β ≤ α."""
     alphas = alphas or [round(0.05 + 0.1 * i, 2) for i in range(10)]
     betas = betas or [0.01, 0.05, 0.1, 0.2, 0.3]
     phis = phis or [0.8, 0.9, 0.98]
-    grid = [("ANN", a, 0.0, 1.0) for a in alphas]
-    grid += [("AAN", a, b, 1.0) for a in alphas for b in betas if b <= a]
-    grid += [("AAdN", a, b, p) for a in alphas for b in betas if b <= a for p in phis]
+    grid = [("NN", a, 0.0, 1.0) for a in alphas]
+    grid += [("AN", a, b, 1.0) for a in alphas for b in betas if b <= a]
+    grid += [("AdN", a, b, p) for a in alphas for b in betas if b <= a for p in phis]
     return grid
 
 
 def collect_series(df: DataFrame, keys: Keys, index: str, value: str) -> DataFrame:
-    """One row per key: values sorted by index, plus n and last index."""
-    s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"),
-                                                                    F.col(value).alias("v")))).alias("_s"),
-                              F.max(index).alias("_last"))
-    return s.select(*keys, F.col("_s.v").alias("y"), F.size("_s").alias("n"), "_last")
-
-
-_ETS_FOLD = """
-aggregate(slice(y, 2, n), named_struct('l', y[0], 'b', CASE WHEN fam = 'ANN' THEN 0D ELSE get(y, 1) - y[0] END, 'sse', 0D),
-  (acc, x) -> named_struct(
-     'l', acc.l + phi * acc.b + alpha * (x - (acc.l + phi * acc.b)),
-     'b', phi * acc.b + beta * (x - (acc.l + phi * acc.b)),
-     'sse', acc.sse + (x - (acc.l + phi * acc.b)) * (x - (acc.l + phi * acc.b))))"""
+    """One row per series: ``_key`` (struct of the keys, so no name of theirs
+    meets a working column), ``y`` (values sorted by index), ``n``, ``_last``."""
+    rows = df.select(F.struct(*keys).alias("_key"), F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v")).alias("_x"))
+    s = spread_by_keys(rows, ["_key"]).groupBy("_key").agg(F.array_sort(F.collect_list("_x")).alias("_s"), F.max("_x.i").alias("_last"))
+    return s.select("_key", F.col("_s.v").alias("y"), F.size("_s").alias("n"), "_last")
+
+
+# One pass of a parameter struct q through the series: f is the next one-step
+# forecast, g its (damped) trend part; sums of squared errors, absolute and
+# relative, and of log forecasts; ok while forecasts and values are positive.
+_ETS_PASS = """
+aggregate(slice(y, 2, n),
+  named_struct('f', y[0] + IF(trend = 'NN', 0D, q.phi * (get(y, 1) - y[0])), 'g', IF(trend = 'NN', 0D, q.phi * (get(y, 1) - y[0])),
+               'sse', 0D, 'rse', 0D, 'lf', 0D, 'ok', y[0] > 0D),
+  (s, x) -> named_struct(
+    'f', s.f + q.alpha * (x - s.f) + q.phi * (s.g + q.beta * (x - s.f)),
+    'g', q.phi * (s.g + q.beta * (x - s.f)),
+    'sse', s.sse + (x - s.f) * (x - s.f),
+    'rse', s.rse + IF(err = 'M' AND s.ok AND s.f > 0D, (x - s.f) / s.f * ((x - s.f) / s.f), 0D),
+    'lf', s.lf + IF(err = 'M' AND s.ok AND s.f > 0D, ln(s.f), 0D),
+    'ok', s.ok AND s.f > 0D AND x > 0D),
+  s -> named_struct('a', coalesce(round({aicc}, 9), {none}D), 'z', IF(m - k - 1 > 0, 0D, s.sse), 'alpha', q.alpha, 'beta', q.beta, 'phi', q.phi,
+                    'f', s.f, 'g', s.g, 'ss', IF(err = 'M', s.rse, s.sse)))"""
+_ETS_AICC = ("IF(err = 'M', IF(s.ok, m * ln(greatest(s.rse, 1e-12D) / nullif(m, 0D)) + 2D * s.lf, NULL), m * ln(greatest(s.sse, 1e-12D) / nullif(m, 0D))) "
+             "+ 2 * k + IF(m - k - 1 > 0, 2 * k * (k + 1) / (m - k - 1), NULL)")
+_NO_AICC = "1e300"
+
+
+def _ets_moves() -> str:
+    """The parameters one step up or down each, within their bounds (β ≤ α)."""
+    (a0, a1), (b0, _), (p0, p1) = ETS_BOUNDS.values()
+    moves = ", ".join(f"named_struct('a', {da}D, 'b', {db}D, 'p', {dp}D)" for da, db, dp in
+                      ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
+    alpha = f"least(greatest(b.alpha + v.a * 0.1D * pow(0.5D, j), {a0}D), {a1}D)"
+    return (f"transform(filter(array({moves}), v -> trend = 'AdN' OR (v.p = 0D AND (trend = 'AN' OR v.b = 0D))), v -> named_struct('alpha', {alpha}, "
+            f"'beta', IF(trend = 'NN', 0D, least(greatest(b.beta + v.b * 0.1D * pow(0.5D, j), {b0}D), {alpha})), "
+            f"'phi', IF(trend = 'AdN', least(greatest(b.phi + v.p * 0.1D * pow(0.5D, j), {p0}D), {p1}D), 1D)))")
 
 
 def ets_fit(df: DataFrame, keys: Keys, index: str, value: str, grid=None) -> DataFrame:
-    """Best (family, α, β, φ) per series by AICc with its final level/trend and σ².
-
-    AICc = m·ln(SSE/m) + 2k + 2k(k+1)/(m−k−1), m = n−1 one-step errors,
-    k = 2 (ANN), 4 (AAN), 5 (AAdN).  Initial state: l₀ = y₁, b₀ = y₂ − y₁.
-    A series too short for any AICc (under 5 points) gets the level model of
-    the least SSE; with one point its variance is NULL.
+    """Model table, one row per series: ``_key`` and the best ``fam, alpha, beta,
+    phi`` by ``aicc`` with the final ``level``, ``trend`` and ``sigma2`` (relative
+    for multiplicative errors).
+
+    Families: additive or multiplicative errors (A, M) × no, additive or damped
+    trend; M only for series and fits that stay positive.  Parameters are
+    continuous: from the best point of a grid, a pattern search tries a step up
+    and down in each, with steps halved ``ETS_HALVINGS`` times, so the result is
+    never worse than the grid's.  −2 log L is m·ln(SSE/m) for A and
+    m·ln(Σ(e/f)²/m) + 2Σ ln f for M, AICc adds 2k + 2k(k+1)/(m−k−1); m = n−1
+    one-step errors, k = 2, 4, 5.  Initial state: l₀ = y₁, b₀ = y₂ − y₁.  A
+    series too short for any AICc (under 5 points) gets the additive level
+    model of the least SSE; with one point its variance is NULL.
     """
     grid = grid or ets_grid()
-    # one literal expression (parsed once) instead of hundreds of Column objects
-    arr = F.expr("array(" + ", ".join(
-        f"named_struct('fam', '{f}', 'alpha', {a!r}D, 'beta', {b!r}D, 'phi', {p!r}D)" for f, a, b, p in grid) + ")")
+    points = {t: "array(" + ", ".join(f"named_struct('alpha', {a!r}D, 'beta', {b!r}D, 'phi', {p!r}D)" for f, a, b, p in grid if f == t) + ")"
+              for t in ETS_TRENDS}
+    points = {t: x for t, x in points.items() if x != "array()"}
     # one exchange: the input is hash-partitioned by the series keys into a
     # core-sized partition count, and the collect reuses that partitioning
-    s = collect_series(spread_by_keys(df, keys), keys, index, value)
-    c = s.select(*keys, "y", "n", "_last", F.explode(arr).alias("g")).select(
-        *keys, "y", "n", "_last", "g.fam", "g.alpha", "g.beta", "g.phi")
-    c = c.withColumn("st", F.expr(_ETS_FOLD))
-    k = F.when(F.col("fam") == "ANN", 2).when(F.col("fam") == "AAN", 4).otherwise(5)
-    m = (F.col("n") - 1).cast("double")
-    sse = F.greatest(F.col("st.sse"), F.lit(1e-12))
-    m0 = F.nullif(m, F.lit(0.0))
-    aicc = m * F.log(sse / m0) + 2 * k + F.when(m - k - 1 > 0, 2 * k * (k + 1) / (m - k - 1))
-    # invalid candidates (too few points for their parameters) rank last
-    # instead of being filtered: a filter on aicc would be pushed below the
-    # projection and evaluate the fold twice
-    c = (c.withColumn("_npar", k).withColumn("aicc", aicc)
-          .withColumn("sigma2", F.col("st.sse") / F.when(m - k > 0, m - k).otherwise(m0)))
-    rank_key = F.struct(F.coalesce("aicc", F.lit(float("inf"))).alias("a"), "_npar",
-                        F.when(F.col("aicc").isNull(), F.col("st.sse")).alias("s"), "alpha", "beta", "phi")
-    best = c.groupBy(*keys).agg(F.min_by(F.struct("fam", "alpha", "beta", "phi", "st", "sigma2", "aicc", "_last"),
-                                         rank_key).alias("b"))
-    return best.select(*keys, "b.fam", "b.alpha", "b.beta", "b.phi", F.col("b.st.l").alias("level"),
-                       F.col("b.st.b").alias("trend"), "b.sigma2", "b.aicc", F.col("b._last").alias("_last"))
+    s = collect_series(df, keys, index, value)
+    families = ", ".join(f"named_struct('err', '{e}', 'trend', '{t}', 'k', {ETS_TRENDS[t]})" for e in "AM" for t in points)
+    c = s.withColumn("g", F.explode(F.expr(f"filter(array({families}), g -> g.err = 'A' OR array_min(y) > 0)")))
+    c = c.select("_key", "y", "n", "_last", "g.err", "g.trend", "g.k", (F.col("n") - 1).cast("double").alias("m"))
+    score = _ETS_PASS.replace("{aicc}", _ETS_AICC).replace("{none}", _NO_AICC)
+    start = "CASE trend " + " ".join(f"WHEN '{t}' THEN {x}" for t, x in points.items()) + " END"
+    c = c.withColumn("best", F.expr(f"array_min(transform({start}, q -> {score}))"))
+    c = c.withColumn("best", F.expr(f"aggregate(sequence(1, {ETS_HALVINGS}), best, (b, j) -> array_min(concat(array(b), transform({_ets_moves()}, q -> {score}))))"))
+    rank = F.struct("best.a", "k", "err", "best.z", "best.alpha", "best.beta", "best.phi")
+    best = c.groupBy("_key").agg(F.min_by(F.struct("err", "trend", "best", "k", "m", "_last"), rank).alias("b"))
+    sigma2 = F.col("b.best.ss") / F.when(F.col("b.m") - F.col("b.k") > 0, F.col("b.m") - F.col("b.k")).otherwise(F.nullif("b.m", F.lit(0.0)))
+    return best.select("_key", F.concat("b.err", "b.trend").alias("fam"), "b.best.alpha", "b.best.beta", "b.best.phi",
+                       (F.col("b.best.f") - F.col("b.best.g")).alias("level"), (F.col("b.best.g") / F.col("b.best.phi")).alias("trend"),
+                       sigma2.alias("sigma2"), F.when(F.col("b.best.a") < float(_NO_AICC), F.col("b.best.a")).alias("aicc"), F.col("b._last").alias("_last"))
+
+
+def ets_forecast(fit: DataFrame, keys: Keys, index: str, h: int) -> DataFrame:
+    """Forecast table of an ETS model table.  Mean l + (φ+…+φ^h)·b.  Variance
+    with c_j = α + β(φ+…+φ^j): additive errors σ²(1 + Σ_{j<h} c_j²);
+    multiplicative (1 + σ²)θ_h − μ_h², θ_h = μ_h² + σ² Σ_{j<h} c_j² θ_{h−j}."""
+    total = "IF(phi = 1D, {j} * 1D, phi * (1 - pow(phi, {j})) / (1 - phi))"
+    mean = f"(level + {total.format(j='j')} * trend)"
+    weight = f"pow(alpha + beta * {total.format(j='i')}, 2)"
+    add = f"(1D + aggregate(sequence(1, j), 0D, (t, i) -> t + IF(i < j, {weight}, 0D)))"
+    theta = (f"aggregate(sequence(1, {int(h)}), cast(array() AS array<double>), (t, j) -> concat(t, array({mean} * {mean} + sigma2 * "
+             f"aggregate(sequence(1, j), 0D, (u, i) -> u + IF(i < j, {weight} * get(t, j - 1 - i), 0D)))))")
+    f = fit.withColumn("_t", F.expr(f"IF(fam LIKE 'M%', {theta}, NULL)"))
+    variance = f"IF(fam LIKE 'M%', greatest((1D + sigma2) * _t[j - 1] - {mean} * {mean}, 0D), sigma2 * {add})"
+    f = f.withColumn("x", F.explode(F.expr(f"transform(sequence(1, {int(h)}), j -> named_struct('j', j, 'mean', {mean}, 'variance', {variance}))")))
+    return f.select(*[F.col("_key")[k].alias(k) for k in keys], F.lit("ETS").alias("model"), (F.col("_last") + F.col("x.j")).alias(index),
+                    F.col("x.mean").alias("mean"), F.col("x.variance").alias("variance"))
 
 
 def fc_ets(df: DataFrame, keys: Keys, index: str, value: str, h: int, grid=None) -> DataFrame:
-    """ETS forecast: mean l + (φ+…+φ^h)·b; variance σ²(1 + Σ_{j<h}(α + β·Φ_j)²)."""
-    fit = ets_fit(df, keys, index, value, grid)
-    f = fit.select("*", _horizon(h, F.col("_last")).alias(index))
-    hh = (F.col(index) - F.col("_last")).cast("int")
-    phi = F.col("phi")
-    # Φ_j = φ + … + φ^j (= j when φ = 1)
-    cum = F.when(phi == 1.0, hh.cast("double")).otherwise(phi * (F.lit(1.0) - F.pow(phi, hh)) / (F.lit(1.0) - phi))
-    var_terms = F.expr(f"aggregate(sequence(1, {index} - _last), 0D, (acc, j) -> acc + CASE WHEN j = 1 THEN 0D ELSE "
-                       "pow(alpha + beta * CASE WHEN phi = 1D THEN (j - 1) * 1D ELSE phi * (1 - pow(phi, j - 1)) / (1 - phi) END, 2) END)")
-    return f.select(*keys, F.lit("ETS").alias("model"), index, (F.col("level") + cum * F.col("trend")).alias("mean"),
-                    (F.col("sigma2") * (F.lit(1.0) + var_terms)).alias("variance"))
+    """ETS forecast of a series table (see ``ets_fit`` and ``ets_forecast``)."""
+    return ets_forecast(ets_fit(df, keys, index, value, grid), keys, index, h)
 
 
 # --- derived tables ------------------------------------------------------------------

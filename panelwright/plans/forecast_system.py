@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, if_else3, pmax, pmin, std_normal
-from ..operators import forecast as fc
 from ..operators import imputation as imp
 from ..operators import timeseries as ts
-from ..operators.arima import arima_paths
 from ..operators.aggregate import median_by
 from ..operators.reshape import complete_grid, pivot_multi, pivot_single, union_by_name
 from ..session import cut_lineage
+from .model_table import ModelTable
 
 MT = 1e9
 VARS = ["Est_Waste_Produced_Kg", "Est_Recycled_Amount_Kg", "Imports_Kg", "Exports_Kg", "Import_Value",
@@ -68,13 +67,6 @@ def forecast_input(history: DataFrame) -> DataFrame:
     return ts.fill_chain(long, ["Country", "Variable"], "Year", "Amount", final=0.0)
 
 
-def scenario_paths(finput: DataFrame, h: int, seed: int, model: str) -> DataFrame:
-    keys = ["Country", "Variable"]
-    if model == "ARIMA":
-        return arima_paths(finput, keys, "Year", "Amount", h, 1, seed)
-    return fc.residual_paths(finput, keys, "Year", "Amount", h, 1, seed, model)
-
-
 def _metrics(df: DataFrame, own_name: str = "Processed_Own_Waste") -> DataFrame:
     own = F.col("Est_Recycled_Amount_Kg") - F.col("Exports_Kg")
     pct = if_else3(F.col("Est_Waste_Produced_Kg") > 0, own / F.col("Est_Waste_Produced_Kg") * 100, F.lit(0.0))
@@ -150,8 +142,9 @@ class ForecastSystem:
     """The E1 job as stages that are planned when asked for.
 
     A stage read by several later ones is written to the shared checkpoint
-    folder on its first such use (``_stored``), so each model is fitted once
-    and plans stay linear; asking for the history alone plans nothing else.
+    folder on its first such use (``_stored``), so plans stay linear; asking
+    for the history alone plans nothing else.  The model is fitted once
+    (``ModelTable``); the branches draw their paths from the stored fit.
     """
 
     def __init__(self, wide: DataFrame, h: int = 20, model: str = "NAIVE", max_price: float = 5.0,
@@ -159,6 +152,7 @@ class ForecastSystem:
         self.wide, self.h, self.model, self.seeds = wide, h, model, seeds
         self.max_price, self.min_qty, self.min_kg, self.price_cap = max_price, min_qty, min_kg, price_cap
         self._written: dict[str, DataFrame] = {}
+        self._models: ModelTable | None = None
 
     def _stored(self, stage: str) -> DataFrame:
         if stage not in self._written:
@@ -176,7 +170,9 @@ class ForecastSystem:
         return forecast_input(self.history() if "history" not in self._written else self._stored("history"))
 
     def _paths(self, seed: int) -> DataFrame:
-        return scenario_paths(self._stored("forecast_input"), self.h, seed, self.model)
+        if self._models is None:
+            self._models = ModelTable(self._stored("forecast_input"), ["Country", "Variable"], "Year", "Amount")
+        return self._models.paths(self.model, self.h, 1, seed)
 
     def self_sufficiency(self) -> DataFrame:
         return self_sufficiency(self._stored("history"), self._paths(self.seeds[0]))
