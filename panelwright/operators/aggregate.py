@@ -3,7 +3,7 @@
 Plain group aggregates (sum/avg/count/min/max/stddev) are split by Spark into
 a map-side partial aggregate and a final one, so only one row per group and
 task crosses the shuffle.  Exact median / quartiles are rank selections over
-slices of each group's range (``exact_quantiles``): no group is ever merged in
+slices of about equal counts (``exact_quantiles``): no group is ever merged in
 one task.  Statistics that are attached back to every row use a window over the
 group instead of aggregate + self-join (one shuffle instead of two).
 """
@@ -23,36 +23,67 @@ def sum_by(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFr
     return df.groupBy(*keys).agg(*[sum0(src).alias(out) for out, src in values.items()])
 
 
-BUCKETS = 4096
+BUCKETS = 256
+ACCURACY = 4096     # rank error of the cut points: one part in so many
+
+
+def cut_points(value: Column | str, slices: int = BUCKETS) -> Column:
+    """Aggregate: values that cut a group into ``slices`` of about equal
+    counts whatever its distribution, from a mergeable quantile sketch of
+    bounded size (map-side combine).  Where exactly they fall does not matter
+    to what is computed over the slices."""
+    return F.array_distinct(F.percentile_approx(value, [i / slices for i in range(1, slices)] or [0.5], ACCURACY))
+
+
+def slice_of(value: Column, cuts: Column, slices: int = BUCKETS) -> Column:
+    """Number of cut points below ``value``, by binary search."""
+    steps = F.sequence(F.lit(1), F.lit(max(slices, 2).bit_length() + 1))
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def halve(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        below = (a["lo"] < a["hi"]) & (F.get(cuts, mid) < value)
+        return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"),
+                        F.when(below | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda a: a["lo"])
+
+
+def sliced_counts(df: DataFrame, keys: Sequence[str], value: Column, buckets: int = BUCKETS) -> DataFrame:
+    """Distinct values per group with their slice: ``_k`` (struct of the
+    keys), ``_v, _c`` (count), ``_n`` (rows of the group), ``_b``.  NULL and
+    NaN are left out.
+
+    Equal values are counted with map-side combine, so one repeated any number
+    of times is one row.  A slice holds about one part in ``buckets`` of its
+    group's distinct values; the cut points are joined on the group's key,
+    where adaptive execution splits a hot group's rows."""
+    counts = (df.select(F.struct(*keys).alias("_k"), value.cast("double").alias("_v"))
+              .where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    cuts = counts.groupBy("_k").agg(cut_points("_v", buckets).alias("_cuts"), F.sum("_c").alias("_n"))
+    return counts.join(cuts, "_k").withColumn("_b", slice_of(F.col("_v"), F.col("_cuts"), buckets)).drop("_cuts")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                     probs: Sequence[float] = (0.5,), buckets: int = BUCKETS) -> DataFrame:
     """Exact quantiles (linear interpolation, R type 7) per group.
 
-    One path at every size, without a driver action:
+    One path at every size and for any distribution, without a driver action:
 
-    1. equal values of a group are counted (map-side combine), so a value
-       repeated any number of times is one row;
-    2. each group's range is cut into ``buckets`` slices on a log scale; their
-       counts, running per group, tell in which slice each wanted rank
-       ⌊p(n−1)⌋ and ⌈p(n−1)⌉ lies;
+    1. each group's distinct values are cut into ``buckets`` slices of about
+       equal counts (``sliced_counts``);
+    2. the slices' counts, running per group, tell in which slice each wanted
+       rank ⌊p(n−1)⌋ and ⌈p(n−1)⌉ lies;
     3. only the values of those slices are ordered, per (group, slice), and
        the rows at the ranks are picked.
 
-    No task sees more of a group than one slice of its distinct values.  NULL
-    and NaN are missing (R's ``na.rm``).  Returns ``keys…, p, q``; groups
-    without a value are absent.  NULL keys form a group like others.
+    No task orders more of a group than one slice: an outlier takes a slice of
+    its own instead of pressing the others into one.  NULL and NaN are missing
+    (R's ``na.rm``).  Returns ``keys…, p, q``; groups without a value are
+    absent.  NULL keys form a group like others.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
-    counts = (df.select(F.struct(*keys).alias("_k"), v.cast("double").alias("_v"))
-              .where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    scale = F.signum("_v") * F.log1p(F.least(F.abs("_v"), F.lit(1.7e308)))
-    span = counts.groupBy("_k").agg(F.min(scale).alias("_lo"), F.max(scale).alias("_hi"), F.sum("_c").alias("_n"))
-    sliced = counts.join(span, "_k").withColumn("_b", F.least(
-        F.floor(F.coalesce((scale - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0)) * buckets),
-        F.lit(buckets - 1)))
+    sliced = sliced_counts(df, keys, v, buckets)
     running = Window.partitionBy("_k").orderBy("_b")
     slices = (sliced.groupBy("_k", "_b").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
               .withColumn("_before", F.sum("_c").over(running) - F.col("_c")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_cdf, norm_pdf, safe_div
-from ..operators.aggregate import exact_quantiles
+from ..operators.aggregate import BUCKETS, cut_points, exact_quantiles, slice_of
 
 INV_SQRT_PI = 0.5641895835477563  # 1 / sqrt(pi)
 
@@ -92,26 +92,34 @@ def combine_product_minus(fw: DataFrame, fr: DataFrame, fe: DataFrame, on: Seque
     return j.select(*on, (F.col("W") * F.col("R") - F.col("E")).alias("mean"), var.alias("variance"))
 
 
-def rank_all(df: DataFrame, metric: str, out: str = "rank", descending: bool = False, slices: int = 1024) -> DataFrame:
-    """Rank over the whole table (ties share a rank, NULL last) without a
-    window over the whole table: the metric's range is cut into ``slices``,
-    rows are ranked within their slice, and the rows of the slices before are
-    added (a table of at most ``slices`` + 1 rows)."""
-    t = (-F.col(metric) if descending else F.col(metric)).cast("double")
-    span = df.agg(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()
-    cut = df.withColumn("_t", t).withColumn("_span", span)
-    width = F.nullif(F.col("_span.hi") - F.col("_span.lo"), F.lit(0.0))
-    part = F.least(F.floor(F.coalesce((F.col("_t") - F.col("_span.lo")) / width, F.lit(0.0)) * slices), F.lit(slices - 1))
-    cut = cut.withColumn("_slice", F.when(F.col("_t").isNull(), F.lit(slices)).otherwise(part).cast("int")).drop("_span")
-    sizes = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
-    before = (sizes.agg(F.array_agg(F.struct("_slice", "_c")).alias("_all"))            # at most slices + 1 entries
+def rank_all(df: DataFrame, metric: str, out: str = "rank", descending: bool = False, slices: int = BUCKETS) -> DataFrame:
+    """Rank over the whole table (ties share a rank, NULL last; -0.0 is 0.0
+    and NaN comes after all numbers) without a window over the whole table.
+
+    Distinct values are counted (map-side combine, so ties are one row however
+    many they are) and cut into slices of about equal counts, whatever their
+    distribution.  A value's rank is one more than the rows of the slices
+    before (a table of at most ``slices`` + 2 rows) and of the smaller values
+    of its own slice; ranks are joined back on the value, where adaptive
+    execution splits a hot one."""
+    t = (F.col(metric).cast("double") + F.lit(0.0))
+    t = F.when(F.isnan(t), t).otherwise(-t if descending else t)
+    valued = df.withColumn("_t", t + F.lit(0.0))
+    counts = valued.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = counts.where(~F.isnan("_t")).agg(cut_points("_t", slices)).scalar()
+    counts = counts.withColumn("_cuts", F.coalesce(cuts, F.array().cast("array<double>")))
+    counts = counts.withColumn("_slice", F.when(F.col("_t").isNull(), F.lit(slices + 1)).when(F.isnan("_t"), F.lit(slices))
+                               .otherwise(slice_of(F.col("_t"), F.col("_cuts"), slices))).drop("_cuts")
+    sizes = counts.groupBy("_slice").agg(F.sum("_c").alias("_c"))
+    before = (sizes.agg(F.array_agg(F.struct("_slice", "_c")).alias("_all"))            # at most slices + 2 entries
               .select(F.explode("_all").alias("_s"), "_all")
               .select(F.col("_s._slice").alias("_slice"), F.aggregate(
                   F.filter("_all", lambda x: x["_slice"] < F.col("_s._slice")), F.lit(0).cast("long"),
                   lambda acc, x: acc + x["_c"]).alias("_before")))
-    w = Window.partitionBy("_slice").orderBy(F.col("_t").asc_nulls_last())
-    return (cut.join(before, "_slice").withColumn(out, (F.col("_before") + F.rank().over(w)).cast("int"))
-            .drop("_slice", "_before", "_t"))
+    w = Window.partitionBy("_slice").orderBy(F.col("_t").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.join(before, "_slice").select(
+        F.col("_t").alias("_value"), (F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + 1).cast("int").alias(out))
+    return valued.join(ranks, valued["_t"].eqNullSafe(ranks["_value"])).drop("_t", "_value")
 
 
 def trend_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "Gradient") -> DataFrame:

@@ -142,6 +142,37 @@ def test_quantiles_of_repeats_nan_nulls_and_extremes(spark):
     assert got == {"rep": 7.0, "nan": 3.0, "none": None, None: 5.0, "wide": 0.0, "inf": float("inf")}
 
 
+def _squeezed(n=20_000):
+    """Values within a hundredth of each other, one far out, one very far out."""
+    import numpy as np
+    return [1.0 + float(x) / 100 for x in np.random.default_rng(2).random(n)] + [1e12, 1e300, -1e300]
+
+
+def test_quantiles_and_ranks_spread_whatever_the_range(spark):
+    import numpy as np
+    from panelwright.plans.evaluation import rank_all
+    xs = _squeezed()
+    df = spark.createDataFrame([("a", x) for x in xs] + [("b", 1.0)], "k string, x double").repartition(6)
+    sizes = agg.sliced_counts(df, ["k"], F.col("x")).where("_k.k = 'a'").groupBy("_b").count()
+    assert sizes.count() > 200 and sizes.agg(F.max("count")).collect()[0][0] < 0.02 * len(xs)
+    got = {(r.k, r.p): r.q for r in agg.exact_quantiles(df, ["k"], "x", (0.0, 0.25, 0.5, 1.0)).collect()}
+    for p in (0.0, 0.25, 0.5, 1.0):
+        assert got["a", p] == float(np.quantile(xs, p)) and got["b", p] == 1.0
+    ranks = {r.x: r["rank"] for r in rank_all(df.where("k = 'a'"), "x").collect()}
+    assert ranks == {x: i + 1 for i, x in enumerate(sorted(xs))}
+
+
+def test_ranks_of_many_ties_are_one_row_per_value(spark):
+    from panelwright.plans.evaluation import rank_all
+    df = spark.range(30_000).select((F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double"))).alias("x"))
+    out = rank_all(df, "x", descending=True)
+    assert out.where("x = 5.0").select("rank").distinct().collect()[0][0] == out.where("x > 5.0").count() + 1
+    odd = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("inf"),), (None,), (-1.0,)], "x double")
+    up = sorted(r["rank"] for r in rank_all(odd, "x").collect())
+    assert up == [1, 2, 2, 4, 5, 6]
+    assert {str(r.x): r["rank"] for r in rank_all(odd, "x", descending=True).collect()} == {"inf": 1, "0.0": 2, "-0.0": 2, "-1.0": 4, "nan": 5, "None": 6}
+
+
 def test_rank_all_matches_a_window(spark):
     from panelwright.plans.evaluation import rank_all
     xs = [3.0, 1.0, 2.0, 2.0, None, -5.0, 1e9, None]
