@@ -634,23 +634,58 @@ def dom_metric_bins(spark, sf_dir):
     return pretty_bins(m, "metric_value", ["Year"])
 
 
-@query("dom_country_profile", with_ctes("""
-SELECT w.Country, min(w.Year) AS first_year, max(w.Year) AS last_year, count(*) AS n_years,
-       min(CASE WHEN w.Processed_Others_Waste > 0 THEN w.Year END) AS turning_year,
-       bool_and(w.Est_Waste_Produced IS NULL) AS no_waste_data,
-       max(t.n_trade) AS n_trade_rows
-FROM waste w LEFT JOIN (SELECT Country, count(Qty) AS n_trade FROM trade GROUP BY Country) t ON w.Country = t.Country
-GROUP BY w.Country""", "waste", "trade"))
+_PROFILE_TRADE = """
+SELECT CountryCode, Year, coalesce(sum(Qty_{s}) FILTER (flowDesc = 'Import'), 0.0) AS qi, coalesce(sum(Qty_{s}) FILTER (flowDesc = 'Export'), 0.0) AS qe,
+       coalesce(sum(PrimaryValue_{s}) FILTER (flowDesc = 'Import'), 0.0) AS vi, coalesce(sum(PrimaryValue_{s}) FILTER (flowDesc = 'Export'), 0.0) AS ve
+FROM app_trade GROUP BY 1, 2"""
+PROFILE_D = {**{c: "sig8" for c in ("waste_produced_kg", "recycled_kg", "own_processed_kg", "others_processed_kg", "percent_own")},
+             "import_qty": 6, "export_qty": 6, "import_value": 4, "export_value": 4}
+
+
+@query("dom_country_profile", with_ctes(f"""
+SELECT * FROM (WITH y AS (SELECT DISTINCT Year FROM app_trade UNION SELECT Year FROM waste),
+c AS (SELECT 'N' || n_nationkey AS CountryCode, n_name AS Country FROM nation),
+span AS (SELECT Country, min(Year) AS first_year, max(Year) AS last_year, min(Year) FILTER (Processed_Others_Waste > 0) AS turning_year FROM waste GROUP BY 1),
+t AS (SELECT 'raw' AS source, * FROM ({_PROFILE_TRADE.format(s="raw")}) UNION ALL SELECT 'imputed', * FROM ({_PROFILE_TRADE.format(s="imputed")}))
+SELECT c.CountryCode, c.Country, y.Year, s.source,
+  CASE WHEN span.Country IS NULL THEN 'no data in any year' WHEN w.Country IS NULL THEN 'no data for this year' ELSE 'ok' END AS waste_state,
+  span.first_year, span.last_year, span.turning_year, w.Est_Waste_Produced * 1e9 AS waste_produced_kg, w.Est_Recycled_Amount * 1e9 AS recycled_kg,
+  w.Processed_Own_Waste * 1e9 AS own_processed_kg, w.Processed_Others_Waste * 1e9 AS others_processed_kg, w.Percent_Own_Processed AS percent_own,
+  CASE WHEN t.CountryCode IS NULL OR (qi = 0 AND qe = 0 AND vi = 0 AND ve = 0) THEN 'no data' ELSE 'ok' END AS trade_state,
+  qi AS import_qty, qe AS export_qty, vi AS import_value, ve AS export_value
+FROM c CROSS JOIN y CROSS JOIN (VALUES ('raw'), ('imputed')) s(source)
+LEFT JOIN span ON span.Country = c.Country LEFT JOIN waste w ON w.Country = c.Country AND w.Year = y.Year
+LEFT JOIN t ON t.CountryCode = c.CountryCode AND t.Year = y.Year AND t.source = s.source)""", "waste", "app_trade"), doubles=PROFILE_D)
 def dom_country_profile(spark, sf_dir):
-    """Per country: years available, turning year (first year importing others' waste), data availability."""
+    """Per country, year and trade source: the waste block and the trade block
+    with their no-data states, the years available and the turning year (first
+    year of processing others' waste).  Countries without a row keep their
+    place; the years are those of either table (a list bounded by the calendar)."""
     t_long = trade(spark, sf_dir)
-    w = waste(spark, sf_dir, t_long)
-    t = t_long.groupBy("Country").agg(F.count("Qty").alias("n_trade"))
-    return w.join(t, "Country", "left").groupBy("Country").agg(
-        F.min("Year").alias("first_year"), F.max("Year").alias("last_year"), F.count(F.lit(1)).alias("n_years"),
-        F.min(F.when(F.col("Processed_Others_Waste") > 0, F.col("Year"))).alias("turning_year"),
-        F.bool_and(F.col("Est_Waste_Produced").isNull()).alias("no_waste_data"),
-        F.max("n_trade").alias("n_trade_rows"))
+    w = cut_lineage(waste(spark, sf_dir, t_long))
+    app = cut_lineage(app_trade(spark, sf_dir, t_long))
+    years = w.select("Year").union(app.select("Year")).agg(F.collect_set("Year")).scalar()
+    places = b.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("CountryCode"), F.col("n_name").alias("Country"))
+    places = (places.withColumn("Year", F.explode(years))
+              .withColumn("source", F.explode(F.array(F.lit("raw"), F.lit("imputed")))))
+    span = w.groupBy("Country").agg(F.min("Year").alias("first_year"), F.max("Year").alias("last_year"),
+                                    F.min(F.when(F.col("Processed_Others_Waste") > 0, F.col("Year"))).alias("turning_year"))
+    kg = w.select("Country", "Year", *[(F.col(c) * 1e9).alias(o) for c, o in (
+        ("Est_Waste_Produced", "waste_produced_kg"), ("Est_Recycled_Amount", "recycled_kg"), ("Processed_Own_Waste", "own_processed_kg"),
+        ("Processed_Others_Waste", "others_processed_kg"))], F.col("Percent_Own_Processed").alias("percent_own"), F.lit(True).alias("_has_waste"))
+    both = app.select("CountryCode", "Year", "flowDesc", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("source"), F.col(f"Qty_{s}").alias("q"), F.col(f"PrimaryValue_{s}").alias("v")) for s in ("raw", "imputed")])).alias("x"))
+    totals = both.groupBy("CountryCode", "Year", F.col("x.source").alias("source")).agg(*[
+        F.coalesce(F.sum(F.when(F.col("flowDesc") == flow, F.col(f"x.{c}"))), F.lit(0.0)).alias(o)
+        for flow, c, o in (("Import", "q", "import_qty"), ("Export", "q", "export_qty"), ("Import", "v", "import_value"), ("Export", "v", "export_value"))])
+    j = places.join(span, "Country", "left").join(kg, ["Country", "Year"], "left").join(totals, ["CountryCode", "Year", "source"], "left")
+    nothing = F.col("import_qty").isNull() | ((F.col("import_qty") == 0) & (F.col("export_qty") == 0) & (F.col("import_value") == 0) & (F.col("export_value") == 0))
+    return j.select(
+        "CountryCode", "Country", "Year", "source",
+        F.when(F.col("first_year").isNull(), "no data in any year").when(F.col("_has_waste").isNull(), "no data for this year").otherwise("ok").alias("waste_state"),
+        "first_year", "last_year", "turning_year", "waste_produced_kg", "recycled_kg", "own_processed_kg", "others_processed_kg", "percent_own",
+        F.when(nothing, "no data").otherwise("ok").alias("trade_state"), "import_qty", "export_qty", "import_value", "export_value")
 
 
 @query("dom_prescriptive_profile", with_ctes("""

@@ -10,6 +10,7 @@ from ..operators import forecast as fc
 from ..operators import timeseries as ts
 from ..operators.arima import arima_paths, fc_arima
 from ..plans import evaluation as ev
+from ..plans.interactive import interactive_forecast
 from ..plans.model_table import ModelTable
 from ..session import cut_lineage
 from ..sources import bindings as b
@@ -377,6 +378,37 @@ def q_fc_crps(spark, sf_dir):
     return ev.crps_normal(with_actual_m(spark, sf_dir), [*KEYS, "model"])
 
 
+CRPS_PATHS = 40
+
+
+def _crps_paths_sql():
+    """Energy form, stated directly: mean |X − y| − ½ mean |X − X'|."""
+    parts = [f"SELECT Country, flowDesc, '{m}' AS model, Year, sim FROM ({sql})" for m, sql in (
+        ("MEAN", sf.residual_paths("train_m", KEYS, "Qty", IDX, H, CRPS_PATHS, SEED, "MEAN")),
+        ("NAIVE", sf.residual_paths("train_m", KEYS, "Qty", IDX, H, CRPS_PATHS, SEED, "NAIVE")),
+        ("ARIMA", sf.arima_paths("fit_arima", KEYS, H, CRPS_PATHS, SEED)))]
+    return f"""
+SELECT Country, flowDesc, model, avg(crps) AS CRPS FROM (
+  SELECT Country, flowDesc, model, Year,
+         list_avg(list_transform(xs, lambda x: abs(x - y))) - 0.5 * list_avg(list_transform(xs, lambda a: list_avg(list_transform(xs, lambda b: abs(a - b))))) AS crps
+  FROM (SELECT p.Country, p.flowDesc, p.model, p.Year, list(p.sim) AS xs, any_value(t.Qty) AS y FROM ({" UNION ALL ".join(parts)}) p
+        JOIN test_m t ON p.Country = t.Country AND p.flowDesc = t.flowDesc AND p.Year = t.Year WHERE t.Qty IS NOT NULL GROUP BY 1, 2, 3, 4))
+GROUP BY 1, 2, 3"""
+
+
+@query("fc_crps_paths", with_ctes(_crps_paths_sql(), "train_m", "test_m", "fit_arima"), doubles={"CRPS": 7})
+def q_fc_crps_paths(spark, sf_dir):
+    """Mean CRPS of simulated distributions (bootstrap paths of MEAN, NAIVE and
+    ARIMA, from stored fits) against the hold-out, in sorted-sample form."""
+    train, test = split_m(spark, sf_dir)
+    table = ModelTable(train, KEYS, IDX, "Qty")
+    paths = None
+    for m in ("MEAN", "NAIVE", "ARIMA"):
+        one = table.paths(m, H, CRPS_PATHS, SEED).withColumn("model", F.lit(m))
+        paths = one if paths is None else paths.unionByName(one)
+    return ev.crps_sample(paths, test, KEYS, IDX, "Qty")
+
+
 @query("fc_error_summary", with_ctes("""
 SELECT model, avg(RMSE) AS mean_RMSE, median(RMSE) AS median_RMSE, avg(MAE) AS mean_MAE, median(MAE) AS median_MAE,
        avg(MAPE) AS mean_MAPE, median(MAPE) AS median_MAPE FROM fcm_acc GROUP BY model""", "fcm_acc"),
@@ -561,6 +593,42 @@ def q_fc_bottom_up_controlled(spark, sf_dir):
     return bu_controlled(f)
 
 
+E3_START, E3_CUT, E3_H = 1993, 1997, 3
+E3_D = {**{c: "sig7" for c in ("value", "lo80", "hi80", "lo95", "hi95")}, "RMSE": "sig6", "MAE": "sig6", "MAPE": "sig6"}
+register("e3_train", f"""
+SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY Country, Variable) AS n FROM wl
+  WHERE Amount IS NOT NULL AND Year BETWEEN {E3_START} AND {E3_CUT}) WHERE n >= 2""", ("wl",))
+register("e3_arima", sf.arima_fit("e3_train", ["Country", "Variable"], "Amount"), ("e3_train",))
+
+
+def _e3_sql(model):
+    k = ["Country", "Variable"]
+    table = {"ETS": _sql_ets("e3_train", k, E3_H, "Amount"), "MEAN": _sql_mean("e3_train", k, E3_H, "Amount"),
+             "ARIMA": sf.arima_forecast("e3_arima", k, E3_H)}[model]
+    no = lambda *cols: ", ".join(f"NULL::DOUBLE AS {c}" for c in cols)
+    bounds, errors = ("lo80", "hi80", "lo95", "hi95"), ("RMSE", "MAE", "MAPE")
+    return f"""
+SELECT * FROM (WITH f AS (SELECT Country, Variable, Year, mean, sqrt(variance) AS sd FROM ({table}))
+SELECT Country, Variable, 'train' AS kind, '{model}' AS model, Year, Amount AS value, {no(*bounds, *errors)} FROM e3_train
+UNION ALL SELECT Country, Variable, 'forecast', '{model}', Year, mean, mean - 1.28 * sd, mean + 1.28 * sd, mean - 1.96 * sd, mean + 1.96 * sd, {no(*errors)} FROM f
+UNION ALL SELECT Country, Variable, 'bridge', '{model}', max(Year), arg_max(Amount, Year), {no(*bounds, *errors)} FROM e3_train GROUP BY 1, 2
+UNION ALL SELECT Country, Variable, 'bridge', '{model}', min(Year), arg_min(mean, Year), {no(*bounds, *errors)} FROM f GROUP BY 1, 2
+UNION ALL SELECT f.Country, f.Variable, 'accuracy', '{model}', NULL, NULL, {no(*bounds)}, sqrt(avg((mean - Amount) * (mean - Amount))), avg(abs(mean - Amount)),
+  avg(abs((mean - Amount) / nullif(Amount, 0))) * 100 FROM f JOIN wl ON f.Country = wl.Country AND f.Variable = wl.Variable AND f.Year = wl.Year
+  WHERE Amount IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _e3(model):
+    def run(spark, sf_dir):
+        return interactive_forecast(waste_long(spark, sf_dir), ["Country", "Variable"], IDX, "Amount", E3_START, E3_CUT, model, E3_H)
+    run.__doc__ = f"Interactive forecast with {model}: training rows, forecast with bounds, bridge and accuracy of every series, in one plan."
+    return run
+
+
+for _model in ("ETS", "ARIMA", "MEAN"):
+    query(f"dom_interactive_{_model.lower()}", with_ctes(_e3_sql(_model), "wl", "e3_train", "e3_arima"), doubles=E3_D)(_e3(_model))
+
+
 @query("fc_leaderboard", with_ctes("""
 SELECT Approach, model, RMSE, MAE, MAPE, CAST(rank() OVER (ORDER BY round(RMSE, 6) ASC NULLS LAST) AS INTEGER) AS rank FROM (
   SELECT Approach, model, sqrt(avg((d - a) * (d - a))) AS RMSE, avg(abs(d - a)) AS MAE,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.names import resolve_names
 from ..operators import relational as rel
 from ..plans import prescriptive as pr
 from ..sources import bindings as b
@@ -152,17 +153,44 @@ def join_semi_topn(spark, sf_dir):
     return rel.semi_join(t, top, "Country", bounded=True)
 
 
-@query("lookup_iso3", with_ctes("""
+_FOLDED = "regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', '', 'g')"
+
+
+@query("lookup_iso3", with_ctes(f"""
 SELECT m.Country, d.CountryCode AS iso3
 FROM oecd_mapping m LEFT JOIN (
-  SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS CountryCode,
-         regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '', 'g') AS key FROM nation) d
-ON regexp_replace(lower(trim(m.Country)), '[^a-z0-9]+', '', 'g') = d.key""", "oecd_mapping"))
+  SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS CountryCode, {_FOLDED.format("n_name")} AS key FROM nation) d
+ON {_FOLDED.format("m.Country")} = d.key""", "oecd_mapping"))
 def lookup_iso3(spark, sf_dir):
-    """Country name in any spelling → code, through a normalised-name key."""
+    """Country name in any spelling (case, accents, punctuation) → code, through a folded key."""
     m = b.oecd_mapping(spark, sf_dir)
     d = b.table(spark, sf_dir, "nation").select(
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iso3"),
         rel.normalised_name("n_name").alias("_key"))
     return (m.join(d, rel.normalised_name(m["Country"]) == d["_key"], "left")
              .select("Country", "iso3"))
+
+
+# spellings as trade files have them: accents, added words, another word order, and names that are none
+_SPELLED = """
+SELECT n_nationkey, unnest([translate(n_name, 'AEIOU', 'ÁÉÍÖÜ'), 'The ' || lower(n_name) || ' (...1998)',
+  array_to_string(list_reverse(string_split(n_name, ' ')), ', ') || ' Rep.', 'Isle ' || n_nationkey]) AS raw FROM nation"""
+
+
+@query("lookup_name_patterns", f"""
+WITH s AS ({_SPELLED}),
+w AS (SELECT *, string_split(trim(regexp_replace(lower(strip_accents(raw)), '[^a-z0-9]+', ' ', 'g')), ' ') AS has FROM s),
+k AS (SELECT n_name, string_split(trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM nation),
+m AS (SELECT w.raw, n_name, len(words) AS n, array_to_string(has, '') = array_to_string(words, '') AS same FROM w JOIN k
+  ON len(list_filter(words, lambda x: len(list_filter(has, lambda h: starts_with(h, x))) > 0)) = len(words)),
+b AS (SELECT raw, arg_min(n_name, {{'s': NOT same, 'n': -n, 'm': n_name}}) AS canonical, bool_or(same) AS same FROM m GROUP BY raw)
+SELECT s.n_nationkey, s.raw, canonical, CASE WHEN same THEN 'name' WHEN canonical IS NOT NULL THEN 'pattern' END AS matched_by
+FROM s LEFT JOIN b ON s.raw = b.raw""")
+def lookup_name_patterns(spark, sf_dir):
+    """Names as trade files spell them → canonical names by folded key, then by
+    ordered patterns met on word beginnings; unmatched names keep a NULL."""
+    n = b.table(spark, sf_dir, "nation")
+    spelled = F.array(F.translate("n_name", "AEIOU", "ÁÉÍÖÜ"), F.concat(F.lit("The "), F.lower("n_name"), F.lit(" (...1998)")),
+                      F.concat(F.array_join(F.reverse(F.split("n_name", " ")), ", "), F.lit(" Rep.")),
+                      F.concat(F.lit("Isle "), F.col("n_nationkey").cast("string")))
+    return resolve_names(n.select("n_nationkey", F.explode(spelled).alias("raw")), "raw", n, "n_name")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_uniform
 from ..session import spread_by_keys
+from .timeseries import once_each
 
 KPSS_CRIT = 0.463   # fixed value: 5 % critical value of the KPSS level test
 EDGE = 0.999        # stationarity and invertibility margin
@@ -114,7 +115,8 @@ def arima_fit(df: DataFrame, keys: Sequence[str], index: str, value: str) -> Dat
     # the keys travel as one struct, so no name of theirs meets a working column
     rows = df.select(F.struct(*keys).alias("_key"), F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v")).alias("_x"))
     s = spread_by_keys(rows, ["_key"]).groupBy("_key").agg(
-        F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["v"]).alias("y0"), F.max("_x.i").alias("_last"))
+        F.array_sort(F.collect_list("_x")).alias("_x"), F.max("_x.i").alias("_last"))
+    s = s.select("_key", "_last", F.transform(once_each("_x"), lambda x: x["v"]).alias("y0"))
     s = s.withColumn("y1", F.expr(_diff("y0"))).withColumn("y2", F.expr(_diff("y1")))
     for k in (0, 1):
         n = f"size(y{k})"

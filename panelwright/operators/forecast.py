@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_uniform
 from ..session import spread_by_keys
+from .timeseries import once_each
 
 Keys = Sequence[str]
 
@@ -131,6 +132,7 @@ def collect_series(df: DataFrame, keys: Keys, index: str, value: str) -> DataFra
     meets a working column), ``y`` (values sorted by index), ``n``, ``_last``."""
     rows = df.select(F.struct(*keys).alias("_key"), F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v")).alias("_x"))
     s = spread_by_keys(rows, ["_key"]).groupBy("_key").agg(F.array_sort(F.collect_list("_x")).alias("_s"), F.max("_x.i").alias("_last"))
+    s = s.withColumn("_s", once_each("_s"))
     return s.select("_key", F.col("_s.v").alias("y"), F.size("_s").alias("n"), "_last")
 
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import normalised_name  # noqa: F401 (the lookup key of this module's joins)
+
 
 def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
@@ -81,12 +83,6 @@ def lookup_dictionary(df: DataFrame, dictionary: DataFrame, column: str, out: st
     return j.withColumn(out, F.coalesce(F.col("_canon"), F.col(column))).drop("_alias", "_canon")
 
 
-def normalised_name(c: Column | str) -> Column:
-    """Lower-case, trimmed, punctuation-free name used as a lookup key."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "")
-
-
 def distinct_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """``distinct(keys, .keep_all=TRUE)`` with a deterministic 'first'."""
     w = Window.partitionBy(*keys).orderBy(*order)

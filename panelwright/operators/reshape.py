@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 def pivot_single(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str,
                  values: Sequence, agg: str = "first", fill=None) -> DataFrame:
-    """``pivot_wider`` of one value column; one output column per value."""
-    fn = {"first": lambda c: F.first(c, ignorenulls=True), "sum": F.sum, "max": F.max, "min": F.min}[agg]
+    """``pivot_wider`` of one value column; one output column per value.  With
+    ``agg="first"`` a cell must hold one row: two make the query fail."""
+    def only(c):
+        twice = F.raise_error(F.lit(f"pivot: more than one row for {list(ids)} and a value of {names_from}"))
+        return F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.first(c, ignorenulls=True))
+    fn = {"first": only, "sum": F.sum, "max": F.max, "min": F.min}[agg]
     out = df.groupBy(*ids).pivot(names_from, list(values)).agg(fn(values_from))
     if fill is not None:
         out = out.fillna(fill, subset=[str(v) for v in values])

@@ -40,20 +40,29 @@ def duplicate_index_rows(df: DataFrame, keys: Keys, index: str) -> DataFrame:
 
 
 def declare_series(df: DataFrame, keys: Keys, index: str) -> DataFrame:
-    """``as_tsibble``: reject duplicate (keys, index) rows.  Runs one
-    aggregate job; use before operators that assume uniqueness."""
-    dup = duplicate_index_rows(df, keys, index).limit(1).collect()
-    if dup:
-        raise ValueError(f"duplicate index rows for keys {list(keys)} / {index}: {dup[0].asDict()}")
-    return df
+    """``as_tsibble``: a table whose plan fails when a key holds an index
+    twice.  No job is run here: the index is compared with the one before it
+    over the window that series operators use anyway (no further Exchange or
+    Sort), and whatever reads the index carries the check."""
+    twice = F.lag(index).over(_spec(keys, index)) == F.col(index)
+    says = F.concat(F.lit(f"duplicate index rows for keys {list(keys)} / {index}: "), F.to_json(F.struct(*keys, index)))
+    return df.withColumn(index, F.when(twice, F.raise_error(says)).otherwise(F.col(index)))
+
+
+def once_each(rows: str) -> Column:
+    """A series' collected rows (structs with index ``i``), failing the query if an index is there twice."""
+    twice = F.size(F.array_distinct(F.transform(rows, lambda x: x["i"]))) < F.size(rows)
+    return F.when(twice, F.raise_error(F.lit("duplicate index rows in a series"))).otherwise(F.col(rows))
 
 
 def fill_gaps(df: DataFrame, keys: Keys, index: str) -> DataFrame:
     """Insert the missing index values of each key between its own min and
-    max; inserted rows have NULL measures."""
+    max; inserted rows have NULL measures.  A key that holds an index twice
+    makes the query fail (see ``declare_series``)."""
     # each row also stands for the gap up to the next row of its key
     after = F.lead(index).over(_spec(keys, index))
-    upto = F.coalesce(F.greatest(after - 1, F.col(index)), F.col(index))
+    twice = F.raise_error(F.lit(f"duplicate index rows for keys {list(keys)} / {index}"))
+    upto = F.when(after == F.col(index), twice).otherwise(F.coalesce(after - 1, F.col(index)))
     rest = [c for c in df.columns if c not in (*keys, index)]
     wide = df.withColumn("_upto", upto).withColumn("_at", F.explode(F.sequence(F.col(index), F.col("_upto"))))
     return wide.select(*keys, F.col("_at").alias(index),

@@ -46,6 +46,21 @@ def crps_normal(fc_actual: DataFrame, by: Sequence[str]) -> DataFrame:
                      .groupBy(*by).agg(F.avg("_crps").alias("CRPS")))
 
 
+def crps_sample(paths: DataFrame, actual: DataFrame, keys: Sequence[str], index: str, value: str) -> DataFrame:
+    """Mean CRPS per key and model of simulated futures ``(keys…, model, path,
+    index, sim)`` against the actuals.
+
+    With the n sorted draws x₁ ≤ … ≤ xₙ of a period the energy form
+    E|X − y| − ½E|X − X'| is 2/n² · Σ (xᵢ − y)(n·[y < xᵢ] − i + ½).  A period's
+    draws are as many as there are paths, sorted in one array."""
+    a = actual.select(*keys, index, F.col(value).alias("_y")).where(F.col("_y").isNotNull())
+    s = paths.where(F.col("sim").isNotNull()).groupBy(*keys, "model", index).agg(F.array_sort(F.collect_list("sim")).alias("_x")).join(a, on=[*keys, index])
+    n = F.size("_x").cast("double")
+    terms = F.transform("_x", lambda x, i: (x - F.col("_y")) * (F.when(F.col("_y") < x, n).otherwise(F.lit(0.0)) - i - 0.5))
+    return s.withColumn("_crps", F.lit(2.0) / (n * n) * F.aggregate(terms, F.lit(0.0), lambda t, x: t + x)).groupBy(*keys, "model").agg(
+        F.avg("_crps").alias("CRPS"))
+
+
 def error_summary(acc: DataFrame, by: Sequence[str] = ("model",),
                   metrics: Sequence[str] = ("RMSE", "MAE", "MAPE")) -> DataFrame:
     """Mean and exact median of each metric over the series.

@@ -46,8 +46,24 @@ def test_fill_gaps_per_key_range(spark):
     assert sorted((r.k, r.t) for r in out.collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 10), ("b", 11)]
 
 
-def test_declare_series_rejects_duplicates(spark):
+def test_a_repeated_index_fails_the_plan_that_reads_it(spark):
     import pytest
-    df = _series(spark, [("a", 1, 1.0), ("a", 1, 2.0)])
-    with pytest.raises(ValueError):
-        ts.declare_series(df, ["k"], "t")
+    from panelwright.operators import reshape
+    from panelwright.operators.arima import arima_fit
+    from panelwright.operators.forecast import ets_fit
+    df = _series(spark, [("a", 1, 1.0), ("a", 1, 2.0), ("b", 1, 1.0), ("b", 2, 3.0)])
+    good = df.where("k = 'b'")
+    value = [c for c in df.columns if c not in ("k", "t")][0]
+    assert sorted(r.t for r in ts.declare_series(good, ["k"], "t").collect()) == [1, 2]
+    for read in (lambda d: ts.declare_series(d, ["k"], "t"), lambda d: ts.fill_gaps(d, ["k"], "t"),
+                 lambda d: arima_fit(d, ["k"], "t", value), lambda d: ets_fit(d, ["k"], "t", value),
+                 lambda d: reshape.pivot_single(d, ["k"], "t", value, [1, 2])):
+        read(good).collect()
+        with pytest.raises(Exception, match="duplicate index|more than one row"):
+            read(df).collect()
+
+
+def test_the_check_of_a_series_adds_no_exchange(spark):
+    df = _series(spark, [("a", 1, 1.0), ("a", 3, 2.0)])
+    plan = ts.fill_gaps(df, ["k"], "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "raise_error" in plan
