@@ -10,7 +10,8 @@ an edit-distance alignment limited to the band.
 A quote may begin and end anywhere in an item, so besides abutting patterns an
 item has short ones that overlap: a quote of ``WINDOW + STEP`` characters holds
 one of them whole, wherever it lies.  Occurrences of an item's patterns that
-continue each other are one place.
+continue each other are one place.  An item too short to be told from ordinary
+words (under ``MIN_ITEM_CHARS``) counts where it is a whole line of a document.
 
 Benchmark items are cut into patterns and indexed in blocks of at most
 ``BLOCK_CHARS`` characters.  Each block is one pass over the documents with
@@ -35,7 +36,7 @@ Q = 8                    # a power of two
 EDIT_RATE = 0.1
 PATTERN_CHARS = 100      # abutting patterns have this many to twice as many characters
 WINDOW, STEP = 59, 20    # length of the overlapping patterns and of the steps between them
-MIN_ITEM_CHARS = 30      # shorter items would match anywhere
+MIN_ITEM_CHARS = 30      # shorter items would match anywhere: they must be a whole line
 BLOCK_CHARS = 1_000_000
 SLICE_CHARS = 1_000_000
 _TABLE_BITS = 22
@@ -58,15 +59,24 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def line_key(line: str) -> str:
+    """A line as short items are compared: lower case, one blank for white space."""
+    return " ".join(line.lower().split())
+
+
 class Index:
-    """Q-gram index of the patterns of some benchmark items."""
+    """Q-gram index of the patterns of some benchmark items; short items by
+    their line (``lines``: key → items)."""
 
     def __init__(self, items: list[tuple], edit_rate: float = EDIT_RATE):
         self.patterns, self.item, self.text, self.offset = [], [], [], []
         self.texts = []
+        self.lines: dict[str, list] = {}
         for item, text in items:
             codes = normalised(text)
             if len(codes) < MIN_ITEM_CHARS:
+                if key := line_key(text):
+                    self.lines.setdefault(key, []).append(item)
                 continue
             parts = np.array_split(np.arange(len(codes)), max(1, len(codes) // PATTERN_CHARS))
             spans = {(int(p[0]), int(p[-1]) + 1) for p in parts}
@@ -98,7 +108,18 @@ class Index:
         self.table[self.gram >> np.uint64(64 - _TABLE_BITS)] = True
 
     def __len__(self):
-        return len(self.patterns)
+        return len(self.patterns) + len(self.lines)
+
+    def line_hits(self, text: str) -> list[tuple]:
+        """(item, start, end) of the text's lines that are short items."""
+        out, at = [], 0
+        for line in text.split("\n") if self.lines else ():
+            # white space around a line and in it is free, so its length bounds nothing
+            for item in self.lines.get(line_key(line), ()):
+                start = at + len(line) - len(line.lstrip())
+                out.append((item, start, at + len(line.rstrip())))
+            at += len(line) + 1
+        return out
 
 
 def align(region: np.ndarray, pattern: np.ndarray, edits: int, anchored: bool = False) -> tuple[int, int]:
@@ -128,7 +149,7 @@ def align(region: np.ndarray, pattern: np.ndarray, edits: int, anchored: bool =
 def search(codes: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple]:
     """All (text number, pattern, start, end, edits) of indexed patterns in the
     concatenated texts ``codes``; text i is codes[bounds[i]:bounds[i + 1]]."""
-    if not len(index) or len(codes) < Q:
+    if not index.patterns or len(codes) < Q:
         return []
     grams = _grams(codes)
     hit = np.flatnonzero(index.table[grams >> np.uint64(64 - _TABLE_BITS)])
@@ -222,7 +243,7 @@ def search_texts(texts: list[str], index: Index) -> list[tuple]:
                 most = sum(x["costs"])
                 cost = min(align(normalised(texts[t][x["start"]:x["end"]]), index.texts[k][x["lo"]:x["hi"]], most)[0], most)
             out.append((t, x["item"], x["start"], x["end"], cost))
-    return out
+    return out + [(t, *hit, 0) for t, text in enumerate(texts) for hit in index.line_hits(text)]
 
 
 def indexes(benchmark: DataFrame, item_col: str, text_col: str, edit_rate: float) -> Iterator[Index]:
@@ -247,10 +268,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Letter case and the kind of white space do not count.  An occurrence is a
     part of an item of at least ``WINDOW`` characters, or the whole of a
-    shorter one, see ``Index`` and ``search_texts``.
+    shorter one, see ``Index`` and ``search_texts``; an item of under
+    ``MIN_ITEM_CHARS`` characters occurs where it is a whole line.
 
-    * Items that are NULL or shorter than ``MIN_ITEM_CHARS`` are not searched;
-      NULL and empty documents contain nothing.
+    * NULL and blank items are not searched; NULL and empty documents contain
+      nothing.
     * Rows that repeat a document give their occurrences again; NULL ids stay.
     * Other columns are ignored; an empty table on either side gives no rows.
     """
@@ -277,7 +299,9 @@ def contaminated(df: DataFrame, index: Index, text_col: str = "text") -> Column:
 
     def test(texts):
         out = np.zeros(len(texts), bool)
-        out[[t for t, *_ in _hits(texts.tolist(), shared.value)]] = True
+        whole = texts.tolist()
+        out[[t for t, *_ in _hits(whole, shared.value)]] = True
+        out |= np.array([bool(shared.value.line_hits(t)) for t in whole], dtype=bool)
         return pd.Series(out)
     test.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(test, "boolean")(text_or_empty(text_col))

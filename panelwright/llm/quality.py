@@ -157,17 +157,23 @@ def _sample_features(batches):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           sample_rows: int = SAMPLE_ROWS) -> OrdinalModel | None:
-    """Fit on at most ``sample_rows`` labelled rows that ``docs`` holds.
+    """Fit on at most ``sample_rows`` labelled rows of ``docs``.
 
     A row of ``labels`` (doc_id, quality, toxic) gives grade 0 for toxic
     text, 1 for quality 0, else 2; a NULL quality is no label, a NULL toxic counts
-    as 0.  None if no labelled row is found."""
+    as 0.  Labels of documents that ``docs`` lacks do not use up the sample, and
+    an id that ``docs`` repeats counts once, with the text of the smallest hash,
+    so no more than ``sample_rows`` rows come to the driver.  None if no
+    labelled row is found."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    chosen = (labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
-              .select(F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.col("doc_id").cast("long").alias("l_id"),
-                      grade.alias("grade")).distinct().orderBy("key", "l_id", "grade").limit(sample_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    picked = rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id")).select("key", "grade", "text")   # <= sample_rows rows
+    valid = (labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
+             .select(F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.col("doc_id").cast("long").alias("l_id"), grade.alias("grade")).distinct())
+    present = rows.where(F.col("id").isNotNull()).select("id").distinct()                   # ids alone, no texts
+    chosen = valid.join(present, F.col("l_id") == F.col("id"), "left_semi").orderBy("key", "l_id", "grade").limit(sample_rows)
+    picked = (rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id"))                  # <= sample_rows rows
+              .groupBy("key", "l_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text"))
+              .select("key", "grade", "text"))
     got = on_workers(picked).mapInPandas(_sample_features, "key long, grade int, at array<int>").toArrow()
     order = np.lexsort((got["grade"].to_numpy(), got["key"].to_numpy()))
     at = got["at"].combine_chunks()

@@ -243,3 +243,27 @@ def test_a_rerun_stops_where_vectors_differ_by_a_constant():
     assert machine.run("uauaua", conversation_repair.LAST)[0] == machine.run("uauaua", other)[0]
     # rows that must be deleted never make two ends the same
     assert machine.first("1212", conversation_repair.LAST, other) == conversation_repair.LAST
+
+
+# --- bounds of earlier operators ------------------------------------------------------
+
+def test_short_benchmark_items_are_whole_lines(spark):
+    from panelwright.llm.decontamination import drop_contaminated, find_passages
+    bench = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "Yes"), (3, "  \n "), (4, "yes"), (5, None)], "item_id long, text string")
+    texts = ["intro\n  what is  2 + 2?\t\nend", "He asked what is 2 + 2? of me", "YES", "yes and no", "", None, "no\nYes\r\nyes"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in find_passages(docs, bench).collect())
+    assert got == [(0, 1, 8, 23, 0), (2, 2, 0, 3, 0), (2, 4, 0, 3, 0), (6, 2, 3, 6, 0), (6, 2, 8, 11, 0), (6, 4, 3, 6, 0), (6, 4, 8, 11, 0)]
+    assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {1, 3, 4, 5}
+
+
+def test_the_classifier_sample_is_bounded_by_rows_of_documents(spark, monkeypatch):
+    from panelwright.llm import quality
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grade, **k: seen.append((len(rows), sorted(grade.tolist()))))
+    docs = spark.createDataFrame([(7, f"word{i}") for i in range(500)] + [(8, "a b"), (9, "c d"), (None, "x")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 400)] + [(7, 1, 0), (8, 0, 0), (9, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    quality.train(docs, labels, sample_rows=10)
+    quality.train(docs, labels, sample_rows=2)
+    assert seen[0] == (3, [0, 1, 2]) and seen[1][0] == 2
+    assert quality.train(docs, labels.where("doc_id >= 100"), sample_rows=10) is None
