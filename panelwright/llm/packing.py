@@ -1,14 +1,18 @@
 """Harmonic packing of documents into fixed-size token sequences.
 
-A document's tokens are cut into pieces whose lengths are reciprocals of the
-capacity C: whole sequences (class 1), then one piece of C/2, C/4, … C/64 for
-each binary digit of the rest, then a tail of under C/64 tokens.  Class k's
-bins take exactly k pieces of C/k tokens and are then full; tails form the
-last class, laid one after the other and cut where a sequence is full.  Every
-task fills the bins of its own rows, so nothing is shuffled and a repeated
-task gives whole sequences again.  At the end of a task the pieces of
-unfinished bins are laid out like tails, and the last sequence is cut into
-powers of two, which need no padding.
+Lengths are partitioned into reciprocal-capacity classes: class k holds the
+lengths in (C/(k+1), C/k] of a capacity C, and its bins take exactly k whole
+documents.  What a bin of k documents leaves free is filled by the next
+document to arrive, which is cut there; its rest is classed by its own length.
+Lengths over C give whole sequences first; those under C/64 form the last
+class, laid one after the other and cut where a sequence is full.  So a
+sequence costs at most one cut, and no bin is padded.
+
+Every task fills the bins of its own rows, so nothing is shuffled and a
+repeated task gives whole sequences again.  A task holds at most k - 1
+documents of class k, under C tokens for each class.  At its end the documents
+of unfinished bins are laid out like the last class, and the last sequence is
+cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ class Packer:
     def __init__(self, first_sequence: int, capacity: int = CAPACITY, smallest: int = SMALLEST):
         self.capacity, self.smallest = capacity, smallest
         self.next = first_sequence
-        self.bins: dict[int, list] = {}
+        self.bins: dict[int, list] = {}     # class k: fewer than k documents
+        self.open: list = []                # a bin of k documents that has room left
+        self.room = 0
         self.tail: list = []
         self.tail_size = 0
         self.rows: list[tuple] = []
@@ -58,31 +64,46 @@ class Packer:
                 self._close(self.tail)
                 self.tail, self.tail_size = [], 0
 
+    def _fill(self, doc, start: int, ids: bytes, n: int) -> int:
+        """Put tokens from ``start`` into the bin that has room; where it ends."""
+        take = min(self.room, n - start)
+        if take:
+            self.open.append((doc, start, take, ids[4 * start:4 * (start + take)], n))
+            self.room -= take
+            if not self.room:
+                self._close(self.open)
+                self.open = []
+        return start + take
+
     def add(self, doc, ids: bytes) -> None:
-        """Cut a document (little-endian uint32 ids) and place its pieces."""
+        """Place a document (little-endian uint32 ids)."""
         n = len(ids) // 4
-        start = 0
+        start = self._fill(doc, 0, ids, n)
         while n - start >= self.capacity:
             self._close([(doc, start, self.capacity, ids[4 * start:4 * (start + self.capacity)], n)])
             start += self.capacity
-        size = self.capacity // 2
-        while size >= self.smallest:
-            if n - start >= size:
-                bin_ = self.bins.setdefault(size, [])
-                bin_.append((doc, start, size, ids[4 * start:4 * (start + size)], n))
-                if len(bin_) * size == self.capacity:
-                    self._close(bin_)
-                    self.bins[size] = []
-                start += size
-            size //= 2
-        if start < n:
-            self._lay((doc, start, n - start, ids[4 * start:], n))
+        size = n - start
+        if not size:
+            return
+        piece = (doc, start, size, ids[4 * start:], n)
+        if size < self.smallest:
+            self._lay(piece)
+            return
+        k = self.capacity // size
+        bin_ = self.bins.setdefault(k, [])
+        bin_.append(piece)
+        if len(bin_) == k:
+            self.bins[k] = []
+            self.open, self.room = bin_, self.capacity - sum(p[2] for p in bin_)
+            if not self.room:
+                self._close(self.open)
+                self.open = []
 
     def finish(self) -> None:
-        for size in sorted(self.bins, reverse=True):
-            for piece in self.bins[size]:
+        for bin_ in [self.open] + [self.bins[k] for k in sorted(self.bins)]:
+            for piece in bin_:
                 self._lay(piece)
-        self.bins = {}
+        self.bins, self.open, self.room = {}, [], 0
         rest, left = self.tail, self.tail_size
         self.tail, self.tail_size = [], 0
         while left:
@@ -130,7 +151,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     * NULL and empty texts consist of the end id.  Every row of ``docs`` is
       packed, also rows that repeat an id or have a NULL id.
-    * ``capacity`` and ``smallest`` must be powers of two.
+    * ``capacity`` must be a power of two; documents of under ``smallest``
+      tokens form the last class.
     * Other columns are ignored; an empty table gives an empty result.
     """
     vocabulary = vocabulary or default_vocabulary()

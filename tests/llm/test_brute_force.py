@@ -268,6 +268,20 @@ def test_packer_any_lengths(lengths):
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
     by_seq = check_pieces([dict(zip(names, r)) for r in p.rows], {i: x for i, x in ids.items() if x})
     assert sum(r[0]["sequence_tokens"] < 4096 for r in by_seq.values()) <= 12
+    assert len(p.rows) <= len([n for n in lengths if n]) + len(by_seq)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 7, 64])
+def test_a_class_fills_its_bins_with_whole_documents(k):
+    size = 4096 // k
+    p = packing.Packer(0)
+    for i in range(3 * k):
+        p.add(i, np.arange(size, dtype="<u4").tobytes())
+        assert sum(len(b) for b in p.bins.values()) < k
+    whole = {r[0] for r in p.rows if r[2] == size}
+    assert len(p.rows) >= 2 * k and len(whole) >= 2 * k - 1
+    p.finish()
+    assert sum(r[2] for r in p.rows) == 3 * k * size
 
 
 @settings(max_examples=150, deadline=None)
