@@ -5,7 +5,9 @@ round counts the shards of each document's neighbours (an aggregation per
 group and a join back), lets documents ask for the shard that holds most of
 them, and grants moves under capacity quotas: what comes into a shard beyond
 what leaves it must fit its room.
-Only the shard-by-shard request matrices reach the driver.
+Only the shard-by-shard request matrices reach the driver.  The links of a
+large group are spread over parts by node, and its counts are repeated for
+every part, so no task gets a whole large group.
 
 A last pass makes the counts exact: rows are ordered by shard, with linked
 groups in the middle of each shard and single documents at its ends, numbered
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import store, text_or_empty
 
 SHARDS, ROUNDS, SLACK = 8, 4, 0.2
+HUB_PARTS, PART_ROWS = 1024, 1000
 _UNIT = 1 << 20
 
 
@@ -53,15 +56,37 @@ def _quotas(wants: dict[tuple[int, int, int], int], load: list[int], capacity: f
     return share
 
 
+def _spread(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of hubs with several nodes, as ``(node, hub, salt)``, and the
+    hubs of more than one part, ``(hub, parts)``.
+
+    A part is a ``HUB_PARTS``-th of all links, or ``PART_ROWS`` if that is
+    more, so fewer than ``HUB_PARTS`` hubs have several parts, and all of them
+    together under twice that number of parts."""
+    sizes = store(links.groupBy("hub").count().filter("count > 1"), "shard-hubs")
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    part = max(PART_ROWS, total / HUB_PARTS)
+    large = store(sizes.filter(F.col("count") > part).select("hub", F.ceil(F.col("count") / part).cast("int").alias("parts")),
+                  "shard-large-hubs")
+    salted = (links.join(F.broadcast(large), "hub", "left")     # under HUB_PARTS rows
+              .withColumn("salt", F.pmod(F.xxhash64(F.lit("part"), F.col("node")), F.coalesce("parts", F.lit(1))).cast("int")))
+    return salted.select("node", "hub", "salt").join(_per_part(sizes.select("hub"), large), ["hub", "salt"]), large
+
+
+def _per_part(hubs: DataFrame, large: DataFrame) -> DataFrame:
+    """A row of ``hubs`` for every part of its hub, with its ``salt``."""
+    return (hubs.join(F.broadcast(large), "hub", "left")        # under HUB_PARTS rows
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts"))
+
+
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
               slack: float = SLACK) -> DataFrame:
     """``nodes(node)`` and ``links(node, hub)`` → ``(node, shard)``.
 
     Nodes of a hub are neighbours; a node may have several hubs.  No shard is
     granted moves beyond (1 + ``slack``) of an even share."""
-    links = links.filter("hub IS NOT NULL")
-    many = links.groupBy("hub").count().filter("count > 1").select("hub")
-    links = store(links.join(many, "hub"), "shard-links")
+    links, large = _spread(links.filter("hub IS NOT NULL"))
+    links = store(links, "shard-links")
     first = F.pmod(F.xxhash64(F.lit("shard"), F.col("node")), F.lit(shards)).cast("int")
     linked = store(links.groupBy("node").agg(F.min("hub").alias("main")).withColumn("shard", first), "shard-labels")
     nodes = nodes.select("node", first.alias("shard"))
@@ -77,8 +102,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         at = links.join(linked.select("node", "shard"), "node")
         tie = [F.pmod(F.xxhash64(F.lit(s), F.col("hub")), F.lit(_UNIT)) / F.lit(4.0 * _UNIT) for s in range(shards)]
         held = at.groupBy("hub").agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"n{s}") for s in range(shards)])
-        held = held.select("hub", *[(F.col(f"n{s}") + tie[s]).alias(f"n{s}") for s in range(shards)])
-        liking = links.join(held, "hub").groupBy("node").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)])
+        held = _per_part(held.select("hub", *[(F.col(f"n{s}") + tie[s]).alias(f"n{s}") for s in range(shards)]), large)
+        liking = links.join(held, ["hub", "salt"]).groupBy("node").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)])
         most = F.greatest(*[F.col(f"n{s}") for s in range(shards)])
         best = F.coalesce(*[F.when(F.col(f"n{s}") == most, F.lit(s)) for s in range(shards)])
         near = sum((F.col(f"n{s}") for s in range(shards)), F.lit(0.0))

@@ -387,6 +387,52 @@ def test_propagation_with_several_hubs(spark):
     assert len(got) == 400 and cut < 60 and max(Counter(got.values()).values()) < 200
 
 
+def plain_rounds(links, shards, rounds, slack, first, draw, tie):
+    """Rounds of label propagation in plain Python: every node by itself."""
+    hubs = defaultdict(list)
+    for n, h in links:
+        hubs[h].append(n)
+    hubs = {h: ns for h, ns in hubs.items() if len(ns) > 1}
+    of = defaultdict(list)
+    for h, ns in hubs.items():
+        for n in ns:
+            of[n].append(h)
+    label, load = dict(first), [list(first.values()).count(s) for s in range(shards)]
+    for turn in range(rounds):
+        held = {h: [sum(label[n] == s for n in ns) + tie[h][s] for s in range(shards)] for h, ns in hubs.items()}
+        like = {n: [float(sum(held[h][s] for h in of[n])) for s in range(shards)] for n in of}
+        best = {n: v.index(max(v)) for n, v in like.items()}
+        size = {n: int(np.floor(np.log2(max(sum(v), 1.0)))) for n, v in like.items()}
+        wants = Counter((size[n], label[n], best[n]) for n in of if label[n] != best[n])
+        if not wants:
+            break
+        quota = sharding._quotas(dict(wants), load, (1 + slack) * len(first) / shards)
+        label.update({n: best[n] for n in of if label[n] != best[n] and draw[turn][min(of[n])] < quota[size[n], label[n], best[n]]})
+        load = [list(label.values()).count(s) for s in range(shards)]
+    return label
+
+
+@pytest.mark.parametrize("part_rows", [1000, 7])
+def test_rounds_equal_plain_propagation(spark, monkeypatch, part_rows):
+    """Also where hubs are spread over parts, one of them with a third of all nodes."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    n, shards, rounds = 240, 4, 4
+    links = [(i, "hot") for i in range(80)] + [(i, f"g{i // 6}") for i in range(40, n)] + [(i, f"x{i}") for i in range(0, n, 5)]
+    unit = sharding._UNIT
+    nodes = spark.range(n).toDF("node")
+    hubs = spark.createDataFrame([(h,) for h in sorted({h for _, h in links})], "hub string")
+    first = dict(nodes.select("node", F.pmod(F.xxhash64(F.lit("shard"), F.col("node")), F.lit(shards))).collect())
+    tie = {r[0]: [x / (4.0 * unit) for x in r[1:]] for r in hubs.select(
+        "hub", *[F.pmod(F.xxhash64(F.lit(s), F.col("hub")), F.lit(unit)) for s in range(shards)]).collect()}
+    draw = [dict(hubs.select("hub", F.pmod(F.xxhash64(F.lit(t), F.col("hub")), F.lit(unit)) / F.lit(float(unit))).collect()) for t in range(rounds)]
+    rows = sharding.propagate(nodes, spark.createDataFrame(links, "node long, hub string"), shards, rounds).collect()
+    got = {r["node"]: r["shard"] for r in rows}
+    assert len(rows) == n and got == plain_rounds(links, shards, rounds, sharding.SLACK, first, draw, tie)
+    cut = [sum(label[i] != label[i + 1] for i in range(80, n - 1)) for label in (first, got)]
+    assert cut[1] < cut[0]
+
+
 # --- web pages ----------------------------------------------------------------
 
 WEIGHTS = html_text.Weights({("word", "p|False", True): 5000, ("word", "h1|False", True): 300, ("word", "li|True", False): 900,
