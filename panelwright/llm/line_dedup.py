@@ -197,7 +197,15 @@ def short_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per document that holds lines of under ``min_chars`` characters
     equal to an earlier line: ``doc_id, n_short`` (how many) and ``short``
-    (positions as a comma-separated list).  They stay in the texts."""
+    (positions as a comma-separated list).  They stay in the texts.
+
+    * Lines are trimmed of blanks; blank lines do not count.  The order is
+      (id, position), a NULL id first, so one of equal lines has no row.
+    * NULL and empty texts have no lines.  Rows that repeat id and text are one
+      document and have one row; other rows of an id are documents of their own.
+    * Texts of any length are read whole; other columns are ignored; an empty
+      table gives an empty result.
+    """
     lines = _lines(_keyed(docs, id_col, text_col), 1).filter(F.col("n") < min_chars)
     place = F.struct("id", "pos", "tk")
     repeated = lines.groupBy("h1", "h2").agg(F.min(place).alias("ord"), F.count("*").alias("c")).filter("c > 1").drop("c")

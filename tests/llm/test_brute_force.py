@@ -362,6 +362,45 @@ def test_ordinal_gradient_reaches_a_stationary_point():
 
 # --- sharding -----------------------------------------------------------------
 
+def plain_loss(params, rows, grade, ridge):
+    """Penalised -log likelihood of the cumulative-link model, row by row."""
+    *w, a, gap = params
+    th = [-np.inf, a, a + np.exp(gap), np.inf]
+    loss = ridge / 2 * sum(x * x for x in w)
+    for r, g in zip(rows, grade):
+        score = sum(w[i] for i in r)
+        p = 1 / (1 + np.exp(-(th[g + 1] - score))) - 1 / (1 + np.exp(-(th[g] - score)))
+        loss -= np.log(p)
+    return loss
+
+
+def test_ordinal_fit_equals_a_plain_newton_fit():
+    """Three features, 90 rows; the minimum by Newton steps on differences of the plain loss."""
+    rng = random.Random(21)
+    rows, grade = [], []
+    for _ in range(90):
+        r = [i for i in range(3) if rng.random() < 0.35]
+        rows.append(np.array(r, np.int64))
+        grade.append(2 if not r else rng.choice([0, 0, 1, 2]) if 0 in r else rng.choice([0, 1, 1, 2]))
+    grade = np.array(grade)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "MIN_Z", 0.0)
+        model = quality.fit(rows, grade, rounds=3000, rate=0.01)
+    x, h, n = np.array([0.0, 0.0, 0.0, -1.0, 0.5]), 1e-3, 5
+    e = np.eye(n) * h
+
+    def f(p):
+        return plain_loss(p, rows, grade, 0.1)
+    for _ in range(12):
+        g = np.array([(f(x + e[i]) - f(x - e[i])) / (2 * h) for i in range(n)])
+        hess = np.array([[(f(x + e[i] + e[j]) - f(x + e[i] - e[j]) - f(x - e[i] + e[j]) + f(x - e[i] - e[j])) / (4 * h * h)
+                          for j in range(n)] for i in range(n)])
+        step = np.linalg.solve(hess, g)
+        x = x - step * min(1, 1 / np.abs(step).max())
+    assert np.allclose(model.weights[:3], x[:3], atol=0.02) and (x[:3] < 0).all()
+    assert np.allclose(model.thresholds, [x[3], x[3] + np.exp(x[4])], atol=0.02)
+
+
 def test_shards_are_even_and_keep_groups(spark):
     texts = [f"solo {i}" for i in range(300)] + [f"pair {i // 2}" for i in range(200)] + ["big"] * 260 + [f"five {i // 5}" for i in range(100)] + [None, ""]
     rows = sharding.shard_documents(table(spark, texts)).collect()

@@ -11,7 +11,7 @@ from panelwright.llm import catalog
 from panelwright.llm.decontamination import find_passages
 from panelwright.llm.exact_dedup import exact_dedup
 from panelwright.llm.html_text import extract_text, learn_weights
-from panelwright.llm.line_dedup import line_dedup, line_report
+from panelwright.llm.line_dedup import line_dedup, line_report, short_repeats
 from panelwright.llm.ngram_join import jaccard_classes
 from panelwright.llm.packing import pack_documents
 from panelwright.llm.quality import grade_documents
@@ -88,6 +88,16 @@ def test_line_dedup_cases(edges):
     assert {r["doc_id"] for r in line_dedup(edges, drop_emptied=True).collect()} == {None, 1, 2, 3, 5, 6, 7, 8, 9}
 
 
+def test_short_repeats_cases(spark, edges, none):
+    found = short_repeats(edges)
+    assert found.columns == ["doc_id", "n_short", "short"] == short_repeats(none).columns
+    assert found.collect() == [] == short_repeats(none).collect()        # "?!" twice under one id is one document
+    texts = [(None, "ab"), (1, "ab\n\n ab"), (1, "ab\n\n ab"), (1, "ab\ncd"), (2, None), (2, ""), (3, LONG + "\n\n cd "), (4, "cd" + " " * 40)]
+    rows = spark.createDataFrame([(*r, *("x",) * len(CLASH)) for r in texts], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASH))
+    got = sorted(tuple(r) for r in short_repeats(rows).collect())
+    assert got == [(1, 1, "0"), (1, 2, "0,2"), (3, 1, "2"), (4, 1, "0")]
+
+
 def test_jaccard_cases(edges):
     rows = jaccard_classes(edges).collect()
     by = {(r["id"], r["tk"]): r for r in rows}
