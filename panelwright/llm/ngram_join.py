@@ -11,6 +11,9 @@
    intersections from one matrix product.  It returns link counts and a
    spanning forest (rows in proportion to the documents), never the pairs.
 4. Classes are the components of the verified links.
+
+Where only the classes matter, ``class_forest`` verifies a spanning part of the
+links instead of all of them.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import mix, text_blocks, word_hashes
@@ -161,6 +164,36 @@ def _compare(threshold: Fraction):
     return run
 
 
+def _candidates(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int):
+    """The rows (id, tk, text), their sets (id, tk, set_id, …), the distinct sets
+    (``node``, ``rep``, ``docs``, ``grams``, ``bands``) and the candidate
+    component (``root``) of every set (``node``) that shares a band with another."""
+    text = text_or_empty(text_col)
+    base = on_workers(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    described = store(base.mapInPandas(_describe(words, bands, rows),
+                                       "id long, tk long, grams long, set_id string, bands array<long>"), "signatures")
+
+    sets = store(described.groupBy("set_id").agg(
+        F.min(_place()).alias("rep"), F.count("*").alias("docs"), F.first("grams").alias("grams"),
+        F.first("bands").alias("bands")).withColumn("node", F.xxhash64("set_id")), "sets")
+
+    keyed = sets.select("node", F.explode("bands").alias("key"))
+    hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
+            .filter("hub <> other").select("key", "hub"))
+    edges = keyed.join(hubs, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    return base, described, sets, components(edges, "candidates")
+
+
+def _place() -> Column:
+    """Order of rows: NULL ids last, then id, then text hash."""
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tk"))
+
+
+def _blocks(grams: Column, sets: Column) -> Column:
+    """Blocks that so many sets with so many n-grams are cut into."""
+    return F.ceil(F.greatest(grams / F.lit(BLOCK_GRAMS), sets / F.lit(BLOCK_SETS))).cast("int")
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``id, tk`` (hash of the text), ``set_id``,
@@ -179,28 +212,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
       one is.
     * Other columns are ignored; an empty table gives an empty result.
     """
-    bands = band_count(threshold, recall, rows)
-    text = text_or_empty(text_col)
-    base = on_workers(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    described = store(base.mapInPandas(_describe(words, bands, rows),
-                                       "id long, tk long, grams long, set_id string, bands array<long>"), "signatures")
-
-    # NULL ids sort last: (is null, id, text hash)
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("tk"))
-    sets = store(described.groupBy("set_id").agg(
-        F.min(place).alias("rep"), F.count("*").alias("docs"), F.first("grams").alias("grams"),
-        F.first("bands").alias("bands")).withColumn("node", F.xxhash64("set_id")), "sets")
-
-    keyed = sets.select("node", F.explode("bands").alias("key"))
-    hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
-            .filter("hub <> other").select("key", "hub"))
-    edges = keyed.join(hubs, "key").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    cand = components(edges, "candidates")
-
+    base, described, sets, cand = _candidates(docs, id_col, text_col, words, band_count(threshold, recall, rows), rows)
     members = store(sets.join(cand, "node").select("root", "set_id", "docs", "grams", F.col("rep.id").alias("r_id"),
                                                    F.col("rep.tk").alias("r_tk")), "members")
-    blocks = members.groupBy("root").agg(F.ceil(F.greatest(
-        F.sum("grams") / F.lit(BLOCK_GRAMS), F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("k"))
+    blocks = members.groupBy("root").agg(_blocks(F.sum("grams"), F.count("*")).alias("k"))
     members = (members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
                .drop("grams"))
     here = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tk") == F.col("r_tk"))
@@ -222,15 +237,78 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_set = classed.join(heads, "root").select(
         "set_id", F.col("head.id").alias("class_id"), "class_size", "head",
         (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
-    return (described.select("id", "tk", "set_id", place.alias("place")).join(per_set, "set_id")
+    return (described.select("id", "tk", "set_id", _place().alias("place")).join(per_set, "set_id")
             .select("id", "tk", "set_id", "class_id", "class_size", "n_links", (F.col("place") == F.col("head")).alias("lead")))
 
 
+def class_forest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                 threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """The first row of every class (``none, id, tk``: NULL id, id, text hash)
+    in the order of ``jaccard_classes``, found without counting links.
+
+    Only as many links are verified as it takes to join the classes:
+
+    1. every block of a candidate component is compared in itself and with one
+       set of the component, so work and rows grow with the component's size;
+    2. a band hash whose sets are then still of several classes is compared
+       across its classes: the sets of its largest class meet the others, but
+       not each other.  Band hashes of the same sets are compared once.
+
+    A link is missed with probability 1 - ``recall`` at the threshold, and less
+    above it, unless other links join its texts."""
+    base, _, sets, cand = _candidates(docs, id_col, text_col, words, band_count(threshold, recall, rows), rows)
+    compare = _compare(Fraction(threshold).limit_denominator(10_000))
+    schema = "set_id string, links long, root string"
+
+    members = sets.join(cand, "node").select("node", "root", "set_id", "grams", "rep")
+    here = F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("tk") == F.col("rep.tk"))
+    members = store(base.join(members, here).dropDuplicates(["set_id"])
+                    .select("node", "root", "set_id", F.col("grams").alias("n"), "text"), "member-texts")
+
+    parts = members.groupBy("root").agg(_blocks(F.sum("n"), F.count("*")).alias("k"), F.min("set_id").alias("lead"))
+    near = (members.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
+            .select("root", "set_id", "text", F.when(F.col("set_id") == F.col("lead"), F.sequence(F.lit(0), F.col("k") - 1))
+                    .otherwise(F.array("own")).alias("at")))
+    near = (near.mapInPandas(_with_sets(words), "root long, set_id string, at array<int>, grams binary")
+            .withColumn("a", F.explode("at")))
+    first = store(near.select("root", "set_id", F.lit(1).cast("long").alias("docs"), F.col("a").alias("block"), "a", F.col("a").alias("b"), "grams")
+                  .groupBy("root", "a", "b").applyInPandas(compare, schema), "first-links").select("set_id", "root")
+
+    joined = components(first.select(F.col("set_id").alias("u"), F.col("root").alias("v")), "first-classes")
+    classed = members.select("node", "set_id", "n").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
+    classed = classed.select("node", "set_id", "n", F.coalesce("root", "set_id").alias("class"))
+    keyed = (sets.select("node", F.explode("bands").alias("key"))
+             .join(classed, "node").select("key", "set_id", "n", "class"))
+    h = F.xxhash64("set_id").cast("decimal(38,0)")
+    shares = keyed.groupBy("key", "class").agg(F.count("*").alias("c"), F.sum("n").alias("g"), F.sum(h).alias("h"))
+    mixed = (shares.groupBy("key").agg(F.max(F.struct("c", "g", "class")).alias("top"), F.sum("c").alias("c"), F.sum("g").alias("g"),
+                                       F.sum("h").alias("h"), F.count("*").alias("classes")).filter("classes > 1")
+             .groupBy("h", "c", "g").agg(F.min(F.struct("key", "top")).alias("one"))
+             .select("one.key", "one.top.class", _blocks(F.col("one.top.g"), F.col("one.top.c")).alias("k_top"),
+                     _blocks(F.col("g") - F.col("one.top.g"), F.col("c") - F.col("one.top.c")).alias("k_rest"))
+             .withColumnRenamed("class", "top"))
+    # blocks of the other classes are numbered first; those of the largest class meet them only
+    slot = F.xxhash64("set_id", F.lit(1))
+    across = keyed.join(mixed, "key").withColumn("in_top", F.col("class") == F.col("top")).select(
+        "key", "set_id",
+        F.when(F.col("in_top"), F.col("k_rest") + F.pmod(slot, F.col("k_top"))).otherwise(F.pmod(slot, F.col("k_rest"))).cast("int").alias("block"),
+        F.sequence(F.lit(0), F.col("k_rest") - 1 + F.when(F.col("in_top"), 0).otherwise(F.col("k_top"))).alias("others"))
+    again = (members.select("set_id", "text").join(across.select("set_id"), "set_id", "left_semi")
+             .mapInPandas(_with_sets(words), "set_id string, grams binary"))
+    across = (across.join(again, "set_id").withColumn("other", F.explode("others"))
+              .select("key", "set_id", F.lit(1).cast("long").alias("docs"), "block", F.least("block", "other").alias("a"),
+                      F.greatest("block", "other").alias("b"), "grams"))
+    second = across.groupBy("key", "a", "b").applyInPandas(compare, schema).select("set_id", "root")
+
+    found = components(first.union(second).select(F.col("set_id").alias("u"), F.col("root").alias("v")), "classes")
+    return (sets.select("set_id", "rep").join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
+            .groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("rep").alias("rep")).select("rep.*"))
+
+
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the smallest
     id.  All columns stay; see ``jaccard_classes`` for the defined cases."""
-    leads = (jaccard_classes(docs, id_col, text_col, **options).filter("lead")
-             .select(F.struct("id", "tk").alias("lead_key")).distinct())
+    leads = class_forest(docs, id_col, text_col, **options).select(F.struct("id", "tk").alias("lead_key"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("tk")).alias("key"))
     kept = packed.join(leads, F.col("key") == F.col("lead_key"), "left_semi").dropDuplicates(["key"])

@@ -80,6 +80,24 @@ def test_ngram_join_links_and_classes(spark, monkeypatch, block_sets):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
 
 
+def chains():
+    """Sliding windows: neighbours are linked, texts further apart only share bands; steps too wide to be linked as well."""
+    texts = []
+    for step in (2, 2, 3, 6, 11):
+        words = prose(300).split()
+        texts += [" ".join(words[at:at + 60]) for at in range(0, 40 * step if step < 6 else 200, step)]
+    return texts + texts[:3] + [None, ""]
+
+
+@pytest.mark.parametrize("block_sets,rows", [(1024, 4), (3, 1)])     # one row a band: nearly every band hash holds several classes
+def test_class_forest_joins_chains(spark, monkeypatch, block_sets, rows):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block_sets)
+    texts = chains()
+    root = brute_links(texts)[1]
+    leads = ngram_join.class_forest(table(spark, texts), rows=rows).collect()
+    assert sorted(r["id"] for r in leads) == sorted(set(root))
+
+
 def test_band_count_meets_recall():
     b = ngram_join.band_count(0.8, 0.9999, 4)
     assert 1 - (1 - 0.8 ** 4) ** b >= 0.9999 > 1 - (1 - 0.8 ** 4) ** (b - 1)
