@@ -118,8 +118,9 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
     out = np.zeros((len(left), len(right)), np.int64)
-    width = max(64, (1 << 22) // len(sets))
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+    shared = int(col[-1]) + 1 if len(col) else 0
+    width = max(64, min(shared, (1 << 22) // len(sets)))
+    for lo in range(0, shared, width):
         a, b = np.searchsorted(col, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[owner[a:b], col[a:b] - lo] = 1
@@ -250,9 +251,10 @@ def class_forest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     1. every block of a candidate component is compared in itself and with one
        set of the component, so work and rows grow with the component's size;
-    2. a band hash whose sets are then still of several classes is compared
-       across its classes: the sets of its largest class meet the others, but
-       not each other.  Band hashes of the same sets are compared once.
+    2. in a component of several blocks, a band hash whose sets are then still
+       of several classes is compared across its classes: the sets of its
+       largest class meet the others, but not each other.  Band hashes of the
+       same sets are compared once.
 
     A link is missed with probability 1 - ``recall`` at the threshold, and less
     above it, unless other links join its texts."""
@@ -275,7 +277,8 @@ def class_forest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   .groupBy("root", "a", "b").applyInPandas(compare, schema), "first-links").select("set_id", "root")
 
     joined = components(first.select(F.col("set_id").alias("u"), F.col("root").alias("v")), "first-classes")
-    classed = members.select("node", "set_id", "n").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
+    cut = parts.filter("k > 1").select("root")           # components of one block are compared in full
+    classed = members.join(cut, "root", "left_semi").select("node", "set_id", "n").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
     classed = classed.select("node", "set_id", "n", F.coalesce("root", "set_id").alias("class"))
     keyed = (sets.select("node", F.explode("bands").alias("key"))
              .join(classed, "node").select("key", "set_id", "n", "class"))
