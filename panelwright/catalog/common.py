@@ -51,13 +51,19 @@ WASTE_DIGITS = {"Est_Waste_Produced": 9, "Est_Recycled_Amount": 9, "Regional_Rec
                 "Processed_Own_Waste": 9, "Processed_Others_Waste": 12, "Percent_Own_Processed": 7}
 
 
-def waste(spark, sf_dir, trade=None):
-    return pr.prescriptive_dataset(spark, sf_dir, trade=trade)
+def waste(spark, sf_dir, trade=None, totals=None):
+    return pr.prescriptive_dataset(spark, sf_dir, trade=trade, totals=totals)
 
 
-def trade(spark, sf_dir):
+def trade(spark, sf_dir, totals=None):
     """The panel for queries that read it more than once (written first)."""
-    return b.trade_panel(spark, sf_dir)
+    return b.trade_panel(spark, sf_dir, totals=totals)
+
+
+def trade_and_totals(spark, sf_dir):
+    """The panel and the totals that ``waste`` takes, from one fact join."""
+    totals = b.nation_totals(spark, sf_dir)
+    return trade(spark, sf_dir, totals), totals
 
 
 def trade_once(spark, sf_dir, years=None):

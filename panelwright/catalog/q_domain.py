@@ -14,7 +14,7 @@ from ..plans import prescriptive as pr
 from ..session import cut_lineage
 from ..sources import bindings as b
 from . import sqlfrag as sf
-from .common import WASTE_DIGITS, trade, waste
+from .common import WASTE_DIGITS, trade, trade_and_totals, waste
 from .q_joins import bridge_built
 from .registry import query
 from .sqlbind import register, with_ctes
@@ -211,8 +211,8 @@ OUT_D = {**KGD, **DIFF, "Regional_Recycling_Rate": 6, "Import_Value": 2, "Export
          "Local_Industry_Value": "sig6"}
 
 
-def e1(spark, sf_dir, model="NAIVE"):
-    return fs.ForecastSystem(waste(spark, sf_dir), h=HE, model=model, seeds=SEEDS, **E1)
+def e1(spark, sf_dir, model="NAIVE", wide=None):
+    return fs.ForecastSystem(wide if wide is not None else waste(spark, sf_dir), h=HE, model=model, seeds=SEEDS, **E1)
 
 
 @query("dom_history_kg", with_ctes("SELECT * FROM e_hist", "e_hist"),
@@ -519,16 +519,18 @@ def country_dim(spark, sf_dir):
                          F.col("n_name").alias("name"), rel.normalised_name("n_name").alias("_k"))
 
 
-def metric_table(spark, sf_dir, metric: str = "import"):
+def metric_table(spark, sf_dir, metric: str = "import", t_long=None, w=None):
+    """``t_long``, ``w``: the trade panel and the waste table, from a caller that holds both."""
     col_name, label = METRIC_COLUMNS[metric]
     dim = country_dim(spark, sf_dir)
-    t_long = trade(spark, sf_dir)
+    if t_long is None or w is None:
+        t_long, totals = trade_and_totals(spark, sf_dir)
+        w = waste(spark, sf_dir, t_long, totals)
     app = cut_lineage(app_trade(spark, sf_dir, t_long))  # read twice: year list and snapshot
     # every country with every year of the data: dimension × years, no list collected
     cells = dim.select("CountryCode", F.lit(None).cast("int").alias("Year")).unionByName(
         app.select(F.lit(None).cast("string").alias("CountryCode"), "Year").distinct())
     grid = complete_grid(cells, ["CountryCode", "Year"]).dropna().join(dim, "CountryCode")
-    w = waste(spark, sf_dir, t_long)
     wy = w.join(dim.select("CountryCode", "_k"), rel.normalised_name(w["Country"]) == F.col("_k")).select(
         "CountryCode", "Year", (F.col("Est_Waste_Produced") * 1e9).alias("waste_prod_kg"),
         (F.col("Est_Recycled_Amount") * 1e9).alias("waste_recyc_kg"),
@@ -568,9 +570,11 @@ UNION ALL SELECT * FROM ({_metric_rows(_PRESCRIPTIVE, "(SELECT d.CountryCode, o.
 @query("dom_metric_long", with_ctes("SELECT * FROM metric_long", "metric_long"), doubles={"value": "sig6"})
 def dom_metric_long(spark, sf_dir):
     """The map's eight metrics with labels, one row per country, year and metric."""
-    t = metric_table(spark, sf_dir, "import")
+    t_long, totals = trade_and_totals(spark, sf_dir)
+    w = cut_lineage(waste(spark, sf_dir, t_long, totals))    # read by the table and the forecast system
+    t = metric_table(spark, sf_dir, "import", t_long, w)
     dim = country_dim(spark, sf_dir).select("CountryCode", "_k")
-    o = e1(spark, sf_dir).output().where(F.col("Type") == "History")
+    o = e1(spark, sf_dir, wide=w).output().where(F.col("Type") == "History")
     o = o.join(dim, rel.normalised_name(o["Country"]) == F.col("_k"))
 
     def rows(df, names):
@@ -661,8 +665,8 @@ def dom_country_profile(spark, sf_dir):
     with their no-data states, the years available and the turning year (first
     year of processing others' waste).  Countries without a row keep their
     place; the years are those of either table (a list bounded by the calendar)."""
-    t_long = trade(spark, sf_dir)
-    w = cut_lineage(waste(spark, sf_dir, t_long))
+    t_long, totals = trade_and_totals(spark, sf_dir)
+    w = cut_lineage(waste(spark, sf_dir, t_long, totals))
     app = cut_lineage(app_trade(spark, sf_dir, t_long))
     years = w.select("Year").union(app.select("Year")).agg(F.collect_set("Year")).scalar()
     places = b.table(spark, sf_dir, "nation").select(
@@ -722,8 +726,8 @@ UNPIVOT INCLUDE NULLS (Value FOR Series IN ("Waste produced", "Own waste process
        doubles={"Value": "sig10"})
 def dom_waste_history(spark, sf_dir):
     """Waste history ⟗ imputed trade per country and year, five series long."""
-    t_long = trade(spark, sf_dir)
-    w = waste(spark, sf_dir, t_long).select("Country", "Year", (F.col("Est_Waste_Produced") * 1e9).alias("Waste produced"),
+    t_long, totals = trade_and_totals(spark, sf_dir)
+    w = waste(spark, sf_dir, t_long, totals).select("Country", "Year", (F.col("Est_Waste_Produced") * 1e9).alias("Waste produced"),
                                     (F.col("Processed_Own_Waste") * 1e9).alias("Own waste processed"),
                                     (F.col("Processed_Others_Waste") * 1e9).alias("Others' waste processed"))
     t = app_trade(spark, sf_dir, t_long).groupBy("Country", "Year", "flowDesc").agg(X.sum0("Qty_imputed").alias("q"))

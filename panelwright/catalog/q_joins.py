@@ -8,7 +8,7 @@ from ..operators.names import resolve_names
 from ..operators import relational as rel
 from ..plans import prescriptive as pr
 from ..sources import bindings as b
-from .common import WASTE_DIGITS, trade, waste
+from .common import WASTE_DIGITS, trade, trade_and_totals, waste
 from .registry import query
 from .sqlbind import register, with_ctes
 
@@ -31,9 +31,10 @@ FROM country_est e LEFT JOIN trade_wide t ON e.Country = t.Country AND e.Year =
         "Import_Value", "Export_Value")})
 def join_left_multi(spark, sf_dir):
     """Country estimates ⟕ wide trade on (Country, Year); unmatched stay NULL."""
+    t_long, totals = trade_and_totals(spark, sf_dir)
     shares = pr.gdp_shares(pr.gdp_clean(b.gdp(spark, sf_dir), b.country_bridge(spark, sf_dir)))
-    est = pr.country_estimates(shares, pr.regional_rates(b.recycling(spark, sf_dir)))
-    return est.join(pr.trade_wide(trade(spark, sf_dir)), on=["Country", "Year"], how="left")
+    est = pr.country_estimates(shares, pr.regional_rates(b.recycling(spark, sf_dir, totals)))
+    return est.join(pr.trade_wide(t_long), on=["Country", "Year"], how="left")
 
 
 @query("join_inner_multi", with_ctes("SELECT * FROM country_est", "country_est"),
@@ -111,8 +112,8 @@ FROM waste w FULL JOIN trade_wide t ON w.Country = t.Country AND w.Year = t.Year
        doubles={"Est_Waste_Produced": 9, "Trade_Imports": 12})
 def join_full_outer(spark, sf_dir):
     """Waste history ⟗ trade on (Country, Year): rows of either side kept."""
-    t_long = trade(spark, sf_dir)
-    w = waste(spark, sf_dir, t_long).select("Country", "Year", "Est_Waste_Produced")
+    t_long, totals = trade_and_totals(spark, sf_dir)
+    w = waste(spark, sf_dir, t_long, totals).select("Country", "Year", "Est_Waste_Produced")
     t = pr.trade_wide(t_long).select("Country", "Year", F.col("Imports").alias("Trade_Imports"))
     return w.join(t, on=["Country", "Year"], how="full")
 
@@ -129,13 +130,13 @@ LEFT JOIN (SELECT * FROM waste WHERE Year = (SELECT y FROM snap_year)) w ON d.na
        doubles={"Imports": 12, "Exports": 12, "Est_Waste_Produced": 9, "Percent_Own_Processed": 7})
 def join_star_metrics(spark, sf_dir):
     """Country dimension ⟕ trade ⟕ waste for the latest year; dimension rows kept."""
-    t_long = trade(spark, sf_dir)
+    t_long, totals = trade_and_totals(spark, sf_dir)
     year = t_long.agg(F.max("Year")).scalar()
     dim = b.table(spark, sf_dir, "nation").select(
         F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("CountryCode"), F.col("n_name").alias("name"))
     t = pr.trade_wide(t_long).where(F.col("Year") == year).select(
         F.col("Country").alias("name"), "Imports", "Exports")
-    w = waste(spark, sf_dir, t_long).where(F.col("Year") == year).select(
+    w = waste(spark, sf_dir, t_long, totals).where(F.col("Year") == year).select(
         F.col("Country").alias("name"), "Est_Waste_Produced", "Percent_Own_Processed")
     return dim.join(t, "name", "left").join(w, "name", "left")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import reshape as rs
 from ..plans import prescriptive as pr
 from ..sources import bindings as b
-from .common import WASTE_DIGITS, trade, waste
+from .common import WASTE_DIGITS, trade, trade_and_totals, waste
 from .registry import query
 from .sqlbind import with_ctes
 
@@ -73,8 +73,8 @@ SELECT Country, Year, NULL::DOUBLE, Exports, NULL FROM trade_wide""", "waste", "
        doubles={"Imports": 12, "Exports": 12})
 def union_by_name(spark, sf_dir):
     """bind_rows: columns matched by name, missing ones NULL."""
-    t_long = trade(spark, sf_dir)
-    a = waste(spark, sf_dir, t_long).select("Country", "Year", "Imports", F.lit("History").alias("Type"))
+    t_long, totals = trade_and_totals(spark, sf_dir)
+    a = waste(spark, sf_dir, t_long, totals).select("Country", "Year", "Imports", F.lit("History").alias("Type"))
     c = pr.trade_wide(t_long).select("Exports", "Year", "Country")
     return rs.union_by_name(a, c)
 

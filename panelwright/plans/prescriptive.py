@@ -82,11 +82,13 @@ def waste_processing(est: DataFrame, trade_w: DataFrame, guard: str = "null") ->
 
 
 def prescriptive_dataset(spark, sf_dir: str, dedupe_codes: bool = False,
-                         trade: DataFrame | None = None) -> DataFrame:
+                         trade: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """E2 end to end from the driver tables (the ``waste`` fixture); pass
-    ``trade`` when the caller already holds the trade panel."""
+    ``totals`` (``nation_totals``) and ``trade`` when the caller already holds
+    them, so that the fact join is not run again."""
+    totals = totals if totals is not None else b.nation_totals(spark, sf_dir)
     shares = gdp_shares(gdp_clean(b.gdp(spark, sf_dir), b.country_bridge(spark, sf_dir), dedupe_codes))
-    est = country_estimates(shares, regional_rates(b.recycling(spark, sf_dir)))
+    est = country_estimates(shares, regional_rates(b.recycling(spark, sf_dir, totals)))
     # read once here, so no need to write the panel first
-    trade = trade if trade is not None else b.trade_panel(spark, sf_dir, materialized=False)
+    trade = trade if trade is not None else b.trade_panel(spark, sf_dir, materialized=False, totals=totals)
     return waste_processing(est, trade_wide(trade))

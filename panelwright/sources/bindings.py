@@ -17,6 +17,8 @@ measured them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,18 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = False,
-                           flag: str = "l_linestatus", years: tuple[int, int] | None = None) -> DataFrame:
+                           flag: str | Sequence[str] = "l_linestatus", years: tuple[int, int] | None = None) -> DataFrame:
     """Σ quantity and Σ value per (period, supplier, ``flag``).
 
     Eager aggregation: the fact join ``lineitem ⋈ orders`` (shuffled on the
     order key) is aggregated to supplier grain *before* the supplier join, so
     the second exchange carries suppliers × periods × 6 flags instead of
-    every line (``flag`` is the one line attribute the caller groups by) — at
+    every line (``flag`` is the line attribute, or attributes, the caller groups by) — at
     TPC-H scale 100 000 the supplier table is far above any
     broadcast threshold and that join is a shuffle of its own.  ``years``
     (first, last) becomes a date range on the scan of orders.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", flag)
+    flags = [flag] if isinstance(flag, str) else list(flag)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", *flags)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
     if years:
@@ -53,7 +56,7 @@ def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = Fal
         o = o.where((d >= F.lit(f"{years[0]}-01-01").cast(kind)) & (d < F.lit(f"{years[1] + 1}-01-01").cast(kind)))
     period = (F.year(d) * 12 + F.month(d)) if monthly else F.year(d)
     return (li.join(o, li.l_orderkey == o.o_orderkey)
-              .groupBy(period.cast("int").alias("Year"), "l_suppkey", flag)
+              .groupBy(period.cast("int").alias("Year"), "l_suppkey", *flags)
               .agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v")))
 
 
@@ -63,10 +66,24 @@ def with_nation(totals: DataFrame, spark: SparkSession, sf_dir: str, with_region
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     out = (totals.join(s, totals.l_suppkey == s.s_suppkey)
                  .join(n, s.s_nationkey == n.n_nationkey))
-    if with_region:
-        r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-        out = out.join(r, n.n_regionkey == r.r_regionkey)
-    return out
+    return attach_region(out, spark, sf_dir) if with_region else out
+
+
+def attach_region(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return lines.join(r, lines["n_regionkey"] == r.r_regionkey)
+
+
+def nation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Σ quantity and Σ value per (year, supplier nation, line status, return
+    flag), written once: what ``trade_panel`` and ``recycling`` both derive
+    from, for queries that need the two.  The fact join, by far the largest
+    shuffle, then runs once per query; the table has nations × years × 6 rows.
+    """
+    flags = ["l_linestatus", "l_returnflag"]
+    lines = with_nation(supplier_period_totals(spark, sf_dir, flag=flags), spark, sf_dir)
+    return materialize(lines.groupBy("Year", "n_nationkey", "n_name", "n_regionkey", *flags)
+                       .agg(F.sum("q").alias("q"), F.sum("v").alias("v")), "nation-totals")
 
 
 def title_word(c: Column) -> Column:
@@ -79,16 +96,20 @@ def _flow(status: Column, imp, exp) -> Column:
 
 
 def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
-                missing: bool = True, materialized: bool = True, years: tuple[int, int] | None = None) -> DataFrame:
+                missing: bool = True, materialized: bool = True, years: tuple[int, int] | None = None,
+                totals: DataFrame | None = None) -> DataFrame:
     """UN-style long trade panel ``Year, CountryCode, Country, flowCode,
     flowDesc, Qty, PrimaryValue`` (one row per country × period × flow).
 
     ``monthly=True`` uses the index ``year*12 + month`` (longer series with
     real gaps).  ``missing=True`` blanks measures by a fixed rule on
     (period + nation key) so that imputation has work to do; rows are never
-    dropped.
+    dropped.  ``totals``: the caller's ``nation_totals``, for the yearly panel
+    of all years.
     """
-    lines = with_nation(supplier_period_totals(spark, sf_dir, monthly, years=years), spark, sf_dir)
+    if totals is not None and (monthly or years):
+        raise ValueError("totals hold years only, and all of them")
+    lines = totals if totals is not None else with_nation(supplier_period_totals(spark, sf_dir, monthly, years=years), spark, sf_dir)
     panel = (lines.groupBy("Year", F.col("n_nationkey").alias("nk"),
                            F.col("n_name").alias("Country"), F.col("l_linestatus").alias("st"))
                   .agg(F.sum("q").alias("q"), F.sum("v").alias("v")))
@@ -112,13 +133,14 @@ def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
     return materialize(out, "trade_m" if monthly else "trade") if materialized else out
 
 
-def recycling(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recycling(spark: SparkSession, sf_dir: str, totals: DataFrame | None = None) -> DataFrame:
     """OECD-style long table: region × year × code → OBS_VALUE (millions).
 
     TOTAL = all revenue, REC = returned ('R') revenue, LAND = 'N' revenue.
+    ``totals``: the caller's ``nation_totals``.
     """
-    lines = with_nation(supplier_period_totals(spark, sf_dir, flag="l_returnflag"), spark, sf_dir,
-                        with_region=True)
+    lines = attach_region(totals, spark, sf_dir) if totals is not None else with_nation(
+        supplier_period_totals(spark, sf_dir, flag="l_returnflag"), spark, sf_dir, with_region=True)
     v = F.col("v")
     agg = (lines.groupBy(F.col("r_name").alias("LOCATION_CODES"), F.col("Year").alias("TIME_PERIOD"))
                 .agg((F.sum(v) / 1e6).alias("TOTAL"),
