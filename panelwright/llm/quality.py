@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers, text_or_empty
+from .common import on_workers, store, text_or_empty
 
 SAMPLE_ROWS = 12_000
 DIM = 1 << 18
@@ -102,6 +102,13 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+def screened(df: np.ndarray, top: np.ndarray, mean: float, std: float, slack: float = 0.0) -> np.ndarray:
+    """Which features get a weight: rows with the feature (``df``, of them
+    ``top`` of the top grade) have the top grade clearly less often than all."""
+    z = (top / np.maximum(df, 1) - mean) * np.sqrt(df) / max(std, 1e-9)
+    return (df >= MIN_DF) & (z <= slack - MIN_Z)
+
+
 def fit(rows: list[np.ndarray], grade: np.ndarray, rounds: int = 500, ridge: float = 0.1,
         rate: float = 0.05) -> OrdinalModel | None:
     """Maximum likelihood with ridge, by Adam on the full sample.  Only
@@ -113,11 +120,8 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, rounds: int = 500, ridge: flo
     at = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     df = np.bincount(at, minlength=DIM)
-    # screening: rows with the feature have the top grade clearly less often than all rows
     top = (grade == GRADES - 1).astype(float)
-    share = np.bincount(at, top[row], DIM) / np.maximum(df, 1)
-    z = (share - top.mean()) * np.sqrt(df) / max(top.std(), 1e-9)
-    used = (df >= MIN_DF) & (z <= -MIN_Z)
+    used = screened(df, np.bincount(at, top[row], DIM), top.mean(), top.std())
     at, row = at[used[at]], row[used[at]]
     names, col = np.unique(at, return_inverse=True)
     w = np.zeros(len(names))
@@ -155,6 +159,27 @@ def _sample_features(batches):
         yield pd.DataFrame({"key": pdf["key"], "grade": pdf["grade"], "at": rows})
 
 
+def _slot_counts(batches):
+    """Rows and rows of the top grade by feature; slot ``DIM`` counts all rows."""
+    df, top = np.zeros(DIM + 1, np.int64), np.zeros(DIM + 1, np.int64)
+    for pdf in batches:
+        for grade, at in zip(pdf["grade"], pdf["at"]):
+            at = np.append(at, DIM)
+            df[at] += 1
+            if grade == GRADES - 1:
+                top[at] += 1
+    seen = np.flatnonzero(df)
+    yield pd.DataFrame({"slot": seen, "df": df[seen], "top": top[seen]})
+
+
+def _only(used: np.ndarray):
+    """Rows with those of their features that are ``used``."""
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(at=[at[used[at]] for at in pdf["at"].map(lambda x: np.asarray(x, np.int64))])
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           sample_rows: int = SAMPLE_ROWS) -> OrdinalModel | None:
     """Fit on at most ``sample_rows`` labelled rows of ``docs``.
@@ -163,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text, 1 for quality 0, else 2; a NULL quality is no label, a NULL toxic counts
     as 0.  Labels of documents that ``docs`` lacks do not use up the sample, and
     an id that ``docs`` repeats counts once, with the text of the smallest hash,
-    so no more than ``sample_rows`` rows come to the driver.  None if no
+    so no more than ``sample_rows`` rows come to the driver, and only with the
+    features that pass the screening, which is counted in tasks.  None if no
     labelled row is found."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -174,7 +200,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = (rows.join(F.broadcast(chosen), F.col("id") == F.col("l_id"))                  # <= sample_rows rows
               .groupBy("key", "l_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text"))
               .select("key", "grade", "text"))
-    got = on_workers(picked).mapInPandas(_sample_features, "key long, grade int, at array<int>").toArrow()
+    sample = store(on_workers(picked).mapInPandas(_sample_features, "key long, grade int, at array<int>"), "sample-features")
+    counts = (sample.select("grade", "at").mapInPandas(_slot_counts, "slot int, df long, top long")
+              .groupBy("slot").agg(F.sum("df").alias("df"), F.sum("top").alias("top")).filter(F.col("df") >= MIN_DF).toArrow())
+    df, top = np.zeros(DIM + 1, np.int64), np.zeros(DIM + 1, np.int64)
+    df[counts["slot"].to_numpy()], top[counts["slot"].to_numpy()] = counts["df"].to_numpy(), counts["top"].to_numpy()
+    mean = top[DIM] / max(df[DIM], 1)
+    # a little slack: ``fit`` screens again, by the same rule
+    used = screened(df[:DIM], top[:DIM], mean, (mean * (1 - mean)) ** 0.5, 1e-6)
+    got = sample.mapInPandas(_only(used), "key long, grade int, at array<int>").toArrow()
     order = np.lexsort((got["grade"].to_numpy(), got["key"].to_numpy()))
     at = got["at"].combine_chunks()
     if not len(got):

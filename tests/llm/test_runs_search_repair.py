@@ -267,3 +267,18 @@ def test_the_classifier_sample_is_bounded_by_rows_of_documents(spark, monkeypatc
     quality.train(docs, labels, sample_rows=2)
     assert seen[0] == (3, [0, 1, 2]) and seen[1][0] == 2
     assert quality.train(docs, labels.where("doc_id >= 100"), sample_rows=10) is None
+
+
+def test_only_screened_features_come_to_the_driver(spark, monkeypatch):
+    from panelwright.llm import quality
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 30)) + (" badword" if i % 3 == 0 else "") for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, grade, **k: seen.append(rows) or fit(rows, grade, **k))
+    model = quality.train(docs, labels)
+    assert len(seen[0]) == 120 and {x for r in seen[0] for x in r} == set(np.flatnonzero(model.weights))
+    order = docs.join(labels, "doc_id").selectExpr("text", "if(quality = 0, 1, 2) AS grade", "xxhash64(doc_id) AS key").orderBy("key", "grade").collect()
+    whole = fit([np.array(sorted(quality.features(r.text, quality.all_slots()))) for r in order], np.array([r.grade for r in order]))
+    assert (whole.weights == model.weights).all() and (whole.thresholds == model.thresholds).all() and whole.weights.any()
