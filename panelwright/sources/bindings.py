@@ -17,8 +17,6 @@ measured them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = False,
-                           flag: str | Sequence[str] = "l_linestatus", years: tuple[int, int] | None = None) -> DataFrame:
+                           flag: str = "l_linestatus", years: tuple[int, int] | None = None,
+                           returns: bool = False) -> DataFrame:
     """Σ quantity and Σ value per (period, supplier, ``flag``).
 
     Eager aggregation: the fact join ``lineitem ⋈ orders`` (shuffled on the
     order key) is aggregated to supplier grain *before* the supplier join, so
     the second exchange carries suppliers × periods × 6 flags instead of
-    every line (``flag`` is the line attribute, or attributes, the caller groups by) — at
+    every line (``flag`` is the one line attribute the caller groups by) — at
     TPC-H scale 100 000 the supplier table is far above any
     broadcast threshold and that join is a shuffle of its own.  ``years``
-    (first, last) becomes a date range on the scan of orders.
+    (first, last) becomes a date range on the scan of orders.  ``returns``
+    adds Σ value of the returned ('R') and the 'N' lines.
     """
-    flags = [flag] if isinstance(flag, str) else list(flag)
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", *flags)
+    more = ["l_returnflag"] if returns else []
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", flag, *more)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
     if years:
@@ -56,34 +56,37 @@ def supplier_period_totals(spark: SparkSession, sf_dir: str, monthly: bool = Fal
         o = o.where((d >= F.lit(f"{years[0]}-01-01").cast(kind)) & (d < F.lit(f"{years[1] + 1}-01-01").cast(kind)))
     period = (F.year(d) * 12 + F.month(d)) if monthly else F.year(d)
     return (li.join(o, li.l_orderkey == o.o_orderkey)
-              .groupBy(period.cast("int").alias("Year"), "l_suppkey", *flags)
-              .agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v")))
+              .groupBy(period.cast("int").alias("Year"), "l_suppkey", flag)
+              .agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"),
+                   *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_extendedprice")).otherwise(0.0)).alias(f"v{f}")
+                     for f in "RN" if returns]))
 
 
 def with_nation(totals: DataFrame, spark: SparkSession, sf_dir: str, with_region: bool = False) -> DataFrame:
     """Attach supplier nation (and region) to supplier-grain totals."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    out = (totals.join(s, totals.l_suppkey == s.s_suppkey)
-                 .join(n, s.s_nationkey == n.n_nationkey))
-    return attach_region(out, spark, sf_dir) if with_region else out
+    return _named(totals.join(s, totals.l_suppkey == s.s_suppkey), spark, sf_dir, with_region)
 
 
-def attach_region(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return lines.join(r, lines["n_regionkey"] == r.r_regionkey)
+def _named(lines: DataFrame, spark: SparkSession, sf_dir: str, with_region: bool = False) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    out = lines.join(n, lines["s_nationkey"] == n.n_nationkey)
+    if with_region:
+        r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+        out = out.join(r, n.n_regionkey == r.r_regionkey)
+    return out
 
 
 def nation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Σ quantity and Σ value per (year, supplier nation, line status, return
-    flag), written once: what ``trade_panel`` and ``recycling`` both derive
-    from, for queries that need the two.  The fact join, by far the largest
-    shuffle, then runs once per query; the table has nations × years × 6 rows.
+    """Σ quantity and Σ value (all, 'R' and 'N' lines) per (year, supplier's
+    nation key, line status), written once: what ``trade_panel`` and
+    ``recycling`` both derive from, for queries that need the two.  The fact
+    join, by far the largest shuffle, then runs once per query.
     """
-    flags = ["l_linestatus", "l_returnflag"]
-    lines = with_nation(supplier_period_totals(spark, sf_dir, flag=flags), spark, sf_dir)
-    return materialize(lines.groupBy("Year", "n_nationkey", "n_name", "n_regionkey", *flags)
-                       .agg(F.sum("q").alias("q"), F.sum("v").alias("v")), "nation-totals")
+    lines = supplier_period_totals(spark, sf_dir, returns=True)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return materialize(lines.join(s, lines.l_suppkey == s.s_suppkey).groupBy("Year", "s_nationkey", "l_linestatus")
+                       .agg(*[F.sum(c).alias(c) for c in ("q", "v", "vR", "vN")]), "nation-totals")
 
 
 def title_word(c: Column) -> Column:
@@ -109,7 +112,8 @@ def trade_panel(spark: SparkSession, sf_dir: str, monthly: bool = False,
     """
     if totals is not None and (monthly or years):
         raise ValueError("totals hold years only, and all of them")
-    lines = totals if totals is not None else with_nation(supplier_period_totals(spark, sf_dir, monthly, years=years), spark, sf_dir)
+    lines = (_named(totals, spark, sf_dir) if totals is not None
+             else with_nation(supplier_period_totals(spark, sf_dir, monthly, years=years), spark, sf_dir))
     panel = (lines.groupBy("Year", F.col("n_nationkey").alias("nk"),
                            F.col("n_name").alias("Country"), F.col("l_linestatus").alias("st"))
                   .agg(F.sum("q").alias("q"), F.sum("v").alias("v")))
@@ -139,13 +143,16 @@ def recycling(spark: SparkSession, sf_dir: str, totals: DataFrame | None = None)
     TOTAL = all revenue, REC = returned ('R') revenue, LAND = 'N' revenue.
     ``totals``: the caller's ``nation_totals``.
     """
-    lines = attach_region(totals, spark, sf_dir) if totals is not None else with_nation(
-        supplier_period_totals(spark, sf_dir, flag="l_returnflag"), spark, sf_dir, with_region=True)
     v = F.col("v")
+    if totals is not None:
+        lines, returned, kept = _named(totals, spark, sf_dir, with_region=True), F.col("vR"), F.col("vN")
+    else:
+        lines = with_nation(supplier_period_totals(spark, sf_dir, flag="l_returnflag"), spark, sf_dir, with_region=True)
+        returned, kept = (F.when(F.col("l_returnflag") == f, v).otherwise(0.0) for f in "RN")
     agg = (lines.groupBy(F.col("r_name").alias("LOCATION_CODES"), F.col("Year").alias("TIME_PERIOD"))
                 .agg((F.sum(v) / 1e6).alias("TOTAL"),
-                     (F.sum(F.when(F.col("l_returnflag") == "R", v).otherwise(0.0)) / 1e6).alias("REC"),
-                     (F.sum(F.when(F.col("l_returnflag") == "N", v).otherwise(0.0)) / 1e6).alias("LAND")))
+                     (F.sum(returned) / 1e6).alias("REC"),
+                     (F.sum(kept) / 1e6).alias("LAND")))
     long = agg.unpivot(["LOCATION_CODES", "TIME_PERIOD"], ["TOTAL", "REC", "LAND"],
                        "PLASTICS_CODES", "OBS_VALUE")
     return long.select("LOCATION_CODES", title_word(F.col("LOCATION_CODES")).alias("Location"),
